@@ -87,6 +87,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
 
 def _by_fragment(frag: np.ndarray, count: int):
     """(fragment, positions) for the fragments that occur, in order."""
+    if not len(frag):
+        return
     order = np.argsort(frag, kind="stable")
     cuts = np.searchsorted(frag[order], np.arange(count + 1)) if count <= len(frag) else None
     if cuts is None:
@@ -148,9 +150,10 @@ def _frequencies(rows: DataFrame, fragments: int) -> DataFrame:
     return packed.groupBy("frag").applyInArrow(merge, "frag long, total long, grams binary, dfs binary")
 
 
-def _shared_grams(rows: DataFrame, name: str, count_only: bool) -> DataFrame:
+def _shared_grams(rows: DataFrame, name: str, percent: int, count_only: bool) -> DataFrame:
     """Per class the n-grams that others have too. rows: (class_id, n, grams), one for each class.
-    count_only: (class_id, n, shared); else (class_id, n, grams) with the rarest first, ties by hash."""
+    count_only: (class_id, n, shared); else (class_id, n, grams) of the classes that share enough of theirs with others, the
+    rarest first, ties by hash. What the fragments count goes to buckets of classes, where it is added up for each class."""
     total = rows.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     fragments = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT), 1)
     known = cut(_frequencies(rows, fragments), f"{name}-frequencies")
@@ -179,37 +182,39 @@ def _shared_grams(rows: DataFrame, name: str, count_only: bool) -> DataFrame:
         ids, ns, runs, h = col("ids", np.int64), col("ns", np.int64), col("runs", np.int32), col("grams", U)
         at = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
         some = known_h[at] == h if len(known_h) else np.zeros(len(h), bool)
-        who = np.repeat(np.arange(len(ids)), runs)[some]
-        per = np.bincount(who, minlength=len(ids))
-        live = per > 0
+        per = np.bincount(np.repeat(np.arange(len(ids)), runs)[some], minlength=len(ids))
+        live = np.flatnonzero(per)
+        got, dfs, first = h[some], known_n[at[some]] if len(known_h) else known_n, np.concatenate(([0], np.cumsum(per)))
+        rows = []
+        for bucket, own in _by_fragment((mix(ids[live].view(U)) % U(fragments)).astype(np.int64), fragments):
+            own = live[own]
+            row = [bucket, _blob(ids[own]), _blob(ns[own]), _blob(per[own])]
+            if not count_only:
+                places = np.concatenate([np.arange(first[x], first[x + 1]) for x in own])
+                row += [_blob(got[places]), _blob(dfs[places])]
+            rows.append(row)
+        return pa.table({name: pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.binary()) for i, name in enumerate(fields)})
+
+    def add(key, table):
+        col = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+        ids, ns, per = col("ids", np.int64), col("ns", np.int64), col("per", np.int64)
+        classes, first, which = np.unique(ids, return_index=True, return_inverse=True)
+        total = np.bincount(which, per, len(classes)).astype(np.int64)
+        n = ns[first]
         if count_only:
-            return pa.table({"class_id": ids[live], "n": ns[live], "shared": per[live].astype(np.int64)})
-        got, dfs = h[some], known_n[at[some]]
-        cuts = np.cumsum(per[live])[:-1] if live.any() else []
-        return pa.table({"class_id": ids[live], "n": ns[live], "grams": pa.array([_blob(x) for x in np.split(got, cuts)] if live.any() else [], pa.binary()), "dfs": pa.array([_blob(x) for x in np.split(dfs, cuts)] if live.any() else [], pa.binary())})
+            return pa.table({"class_id": classes, "n": n, "shared": total})
+        enough = total >= _need(n, percent)
+        who = np.repeat(which, per)
+        h, df = col("grams", U)[enough[who]], col("dfs", np.int64)[enough[who]]
+        order = np.lexsort((h, df, who[enough[who]]))
+        offs = np.concatenate(([0], np.cumsum(total[enough]))).astype(np.int32)
+        return pa.table({"class_id": classes[enough], "n": n[enough], "grams": pa.ListArray.from_arrays(pa.array(offs), pa.array(h[order].view(np.int64)))})
 
     packed = rows.select("class_id", "n", "grams").mapInArrow(pack, "frag long, slice long, ids binary, ns binary, runs binary, grams binary")
     both = packed.groupBy("frag", "slice").cogroup(known.groupBy("frag", "slice"))
-    if count_only:
-        return both.applyInArrow(meet, "class_id long, n long, shared long").groupBy("class_id", "n").agg(F.sum("shared").alias("shared"))
-    parts = both.applyInArrow(meet, "class_id long, n long, grams binary, dfs binary")
-    return parts.groupBy("class_id", "n").agg(F.collect_list(F.struct("grams", "dfs")).alias("parts"))
-
-
-def _ordered(parts: DataFrame, percent: int) -> DataFrame:
-    """(class_id, n, grams): classes that share enough n-grams, theirs in the global order, rare ones first."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for c, n, parts in zip(batch.column("class_id").to_pylist(), batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                h = np.concatenate([np.frombuffer(p["grams"], U) for p in parts])
-                df = np.concatenate([np.frombuffer(p["dfs"], np.int64) for p in parts])
-                if len(h) >= _need(n, percent):
-                    out.append((c, n, h[np.lexsort((h, df))]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), _lists([x[2] for x in out])], ["class_id", "n", "grams"])
-
-    return parts.mapInArrow(run, "class_id long, n long, grams array<long>")
+    fields = ["bucket", "ids", "ns", "per"] + ([] if count_only else ["grams", "dfs"])
+    parts = both.applyInArrow(meet, ", ".join(f"{x} {'long' if x == 'bucket' else 'binary'}" for x in fields))
+    return parts.groupBy("bucket").applyInArrow(add, "class_id long, n long, shared long" if count_only else "class_id long, n long, grams array<long>")
 
 
 def _linked(members: list[tuple[int, int, np.ndarray]], split: int, percent: int) -> np.ndarray:
@@ -293,11 +298,11 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     spark = docs.sparkSession
     rows = cut(sets(docs, id_col, text_col, words, percent, prefix=True), "sets")
     classes = cut(rows.where("n > 0 and id is not null").groupBy("class_id").agg(F.min("id").alias("id")), "classes")
-    first = _shared_grams(_one_each(rows, classes), "first", count_only=True)
+    first = _shared_grams(_one_each(rows, classes), "first", percent, count_only=True)
     some = cut(first.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))).join(classes, "class_id").select("id", "class_id"), "some")
     left = docs.join(maybe_broadcast(some.select(F.col("id").alias(id_col)).distinct(), some.count(), 24), id_col, "left_semi")
     whole = cut(_one_each(sets(left, id_col, text_col, words, percent, prefix=False), some), "whole")
-    return rows, classes, cut(_ordered(_shared_grams(whole, "second", count_only=False), percent), "ordered")
+    return rows, classes, cut(_shared_grams(whole, "second", percent, count_only=False), "ordered")
 
 
 def _one_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
