@@ -74,9 +74,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def read_chats(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """(conv_col, turns, loss_text, formatted_chars) of each conversation, from its windows: its turns (role, text), each
     once, all text under the loss mask, unescaped, in order, and the characters of all windows."""
-    body = F.expr(f"slice(split(formatted, '<[|]im_start[|]>'), 2, 2147483647)")
+    body = F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>")))
     turn = F.transform(body, lambda t: F.struct(F.url_decode(F.substring_index(t, "\n", 1)).alias("role"), unescape(t.substr(F.length(F.substring_index(t, "\n", 1)) + 2, F.length(t) - F.length(F.substring_index(t, "\n", 1)) - 2 - len(END))).alias("text")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    read = windows.select(conv_col, "window", F.slice(turn, F.col("n_repeated") + 1, F.lit(2147483647)).alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("chars"))
+    read = windows.select(conv_col, "window", F.slice(turn, F.col("n_repeated") + 1, F.greatest(F.size(turn), F.lit(1))).alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("chars"))
     whole = read.groupBy(conv_col).agg(F.sort_array(F.collect_list(F.struct("window", "turns", "loss"))).alias("parts"), F.sum("chars").alias("formatted_chars"))
     return whole.select(conv_col, F.flatten(F.col("parts")["turns"]).alias("turns"), F.array_join(F.col("parts")["loss"], "").alias("loss_text"), "formatted_chars")
