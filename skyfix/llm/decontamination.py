@@ -95,5 +95,7 @@ def _print_keys(items: DataFrame, spans: DataFrame, lengths: list[int], span: in
     """(print): the fingerprints of long items, and the span hashes of short ones."""
     parts = [spans.where(F.col("n") < span).select(F.col("key").alias("print"))]
     if any(n >= span for n in lengths):
-        parts.append(fingerprints(items.where(F.size("words") >= span), k, window).select(F.explode("prints").alias("print")))
+        # Written first: else the filter that explode brings would be pushed down to where each hash is made again.
+        printed = cut(fingerprints(items.where(F.size("words") >= span), k, window).select("prints"), "item-prints")
+        parts.append(printed.select(F.explode("prints").alias("print")))
     return reduce(DataFrame.unionByName, parts).distinct()
