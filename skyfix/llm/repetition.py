@@ -73,8 +73,8 @@ class Measures:
         offs = self.texts.offs
         starts = np.unique(np.concatenate((offs[:-1], np.flatnonzero(self.texts.bytes == 10) + 1)))
         starts = starts[starts < len(self.texts.bytes)]
-        ends = np.concatenate((starts[1:], [len(self.texts.bytes)]))
-        ends = ends - (self.texts.bytes[ends - 1] == 10) if len(ends) else ends
+        ends = np.concatenate((starts[1:], [len(self.texts.bytes)]))[: len(starts)]
+        ends = ends - (self.texts.bytes[ends - 1] == 10)
         line = np.searchsorted(starts, self.start, "right") - 1
         chars = np.bincount(line, self.size, len(starts)).astype(np.int64)
         some = np.bincount(line, minlength=len(starts)) > 0
