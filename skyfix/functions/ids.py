@@ -35,7 +35,7 @@ def parse_footprint(path: Column, strict: bool = True) -> Column:
         bad = bad.when(n.isNull(), "a number is malformed")
     good = bad.isNull()
     if strict:
-        good = good & F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("footprint name "), path, F.lit(": "), bad)).cast("boolean"))
+        good = F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("footprint name "), path, F.lit(": "), bad)).cast("boolean"))
     corners = F.array(*(corner(number(2 * i), number(2 * i + 1)) for i in range(4)))
     ok = lambda c: F.when(good, c)
     return F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from skyfix.functions import frames as fr
 from skyfix.functions import geo, ids, vectors
 from skyfix.operators import evaluate, localize, measure, retrieval, select, spatial, training
+from skyfix.sources.shared import shared_dir
 from skyfix.sources.tables import manifest_numbers, scoped
+from skyfix.streaming import jobs
 
 from . import standins as S
 from .oracle_views import haversine, sql
@@ -564,3 +568,86 @@ def training_data(spark: SparkSession, d: str) -> DataFrame:
     q = S.query_descriptors(spark, d).select("query_id", "descriptor")
     tiles, _ = training.recluster(e, q, 10, 20, 0)
     return training.training_table(pairs.withColumn("source_tile", F.col("tile_id")).withColumn("tile_id", F.col("tile_id") % e.count()), tiles).select("query_id", F.col("source_tile").alias("tile_id"), "iou", "cluster_id")
+
+
+# -- composites and reports -------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT query_id, tile_id, round(similarity,6) AS similarity FROM ranked ORDER BY similarity DESC, query_id, tile_id LIMIT 25", "ranked"))
+def global_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report: the 25 most similar pairs of all."""
+    return _ranked(spark, d, 25).orderBy(F.desc("similarity"), "query_id", "tile_id").limit(25).select("query_id", "tile_id", *r6("similarity"))
+
+
+@query(sql("SELECT query_id, tile_id, rank, CASE WHEN n<4 THEN 0 ELSE num_inliers END AS usable, round(sqrt(pow(t.tile_lat-q.lat,2)+pow(t.tile_lon-q.lon,2))*111,4) AS snap_km FROM (SELECT c.*, line%7 AS n FROM candidates c) c JOIN tiles0 t USING(tile_id) JOIN (SELECT query_id AS cust, lat, lon FROM queries0) q ON q.cust=c.query_id%100", "candidates", "tiles0", "queries0"))
+def gated_inliers(spark: SparkSession, d: str) -> DataFrame:
+    c = S.candidates(spark, d).withColumn("n", F.col("line") % 7)
+    c = c.join(S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon"), "tile_id").join(S.queries(spark, d).select(F.col("query_id").alias("cust"), "lat", "lon"), F.col("query_id") % 100 == F.col("cust"))
+    return c.select("query_id", "tile_id", F.col("rank").cast("long").alias("rank"), localize.usable_inliers(F.col("n"), F.col("num_inliers")).alias("usable"), F.round(geo.rough_km(F.col("tile_lat"), F.col("tile_lon"), F.col("lat"), F.col("lon")), 4).alias("snap_km"))
+
+
+_BY_REGION = f"placed AS (SELECT q.query_id, region_name AS region, q.own_tile FROM qd q JOIN tiles0 t ON t.tile_id=q.own_tile JOIN regions ON {_NEAR('t.tile_lat', 't.tile_lon', '5000')})"
+
+
+@query(sql(f"SELECT p.region, count(DISTINCT p.query_id) AS num_queries, round(100.0*avg((coalesce(h.first_rank,99)<=5)::INT),6) AS recall_5, round(median({haversine('a.tile_lat', 'a.tile_lon', 'b.tile_lat', 'b.tile_lon')}),4) AS median_error_km FROM placed p JOIN (SELECT DISTINCT query_id FROM relevant) v ON v.query_id=p.query_id LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM ranked JOIN relevant USING(query_id,tile_id) WHERE rank<=5 GROUP BY 1) h ON h.query_id=p.query_id JOIN ranked k ON k.query_id=p.query_id AND k.rank=1 JOIN tiles0 a ON a.tile_id=p.own_tile JOIN tiles0 b ON b.tile_id=k.tile_id GROUP BY 1", "ranked", "relevant", "tiles0", "regions", more=_BY_REGION))
+def region_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    t = S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon")
+    own = S.query_descriptors(spark, d).select("query_id", F.col("own_tile").alias("tile_id")).join(t, "tile_id")
+    placed = spatial.in_regions(own, S.regions(spark), "tile_lat", "tile_lon", S.EVAL_TILES_KM).select("query_id", "region", F.col("tile_lat").alias("own_lat"), F.col("tile_lon").alias("own_lon"))
+    ranked = _ranked(spark, d, 5)
+    hits = placed.join(evaluate.first_hits(ranked, S.relevant(spark, d)), "query_id")
+    recall = evaluate.recall(hits, (5,), ["region"]).select("region", F.col("num_evaluated").alias("num_queries"), *r6("recall_5"))
+    top = hits.join(ranked.where("rank = 1").select("query_id", "tile_id"), "query_id").join(t, "tile_id")
+    top = top.select("region", F.lit(True).alias("correct"), geo.haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("tile_lat"), F.col("tile_lon")).alias("error_km"))
+    return recall.join(evaluate.coordinate_report(top, ["region"]).select("region", F.round("median_coord_error_km", 4).alias("median_error_km")), "region")
+
+
+@query(sql("SELECT p_brand AS model, count(*) AS tiles FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size=50) GROUP BY 1"))
+def available_models(spark: SparkSession, d: str) -> DataFrame:
+    p = S.table(spark, d, "part")
+    return p.join(p.where("p_size = 50").select("p_brand"), "p_brand", "left_semi").groupBy(F.col("p_brand").alias("model")).agg(F.count("*").alias("tiles"))
+
+
+@query(sql("SELECT p.run_id, l.n, round(l.mean,6) AS mean_latency, round(l.p95,6) AS p95_latency, round(p.peak,4) AS peak_rss_mb, round(p.watts,4) AS mean_power_w FROM (SELECT run_id, max(rss_mb) AS peak, avg(power_w) AS watts FROM power GROUP BY 1) p JOIN (SELECT user_id%10 AS run_id, count(*) AS n, avg(value) AS mean, quantile_cont(value,0.95) AS p95 FROM events GROUP BY 1) l ON l.run_id=p.run_id", "samples", more=_POWER))
+def profile_report(spark: SparkSession, d: str) -> DataFrame:
+    events = S.table(spark, d, "events").withColumn("run_id", F.col("user_id") % 10)
+    latency = evaluate.latency_report(events, "value", ["run_id"]).join(events.groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
+    power = evaluate.resource_report(evaluate.counter_power(S.samples(spark, d), "ts", "counter", 262144000.0, ["run_id"]), ["run_id"])
+    return latency.join(power, "run_id").select("run_id", "n", *r6("mean_latency", "p95_latency"), *r6("peak_rss_mb", "mean_power_w", places=4))
+
+
+# -- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
+    """All that a stream has, by one run over what is there now, written to the shared folder."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}" if mode == "append" else f"{path}/out")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.readStream.schema(S.table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, max(value) AS peak, round(avg(value),6) AS mean, count(*) AS n FROM events GROUP BY 1")
+def stream_resource_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("rss_mb"))
+    return _drained(jobs.resource_windows(rows), spark, "complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean"), "n")
+
+
+@query("SELECT user_id%3 AS camera, time_bucket(INTERVAL '15 minutes', ts) AS arc_start, count(*) AS n_rows FROM events GROUP BY 1,2")
+def stream_measurement_arcs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).alias("camera"), F.col("event_id").alias("frame_id"))
+    return _drained(jobs.measurement_arcs(rows), spark, "complete").select("camera", F.col("arc_start").cast("timestamp_ntz").alias("arc_start"), "n_rows")
+
+
+@query(sql("SELECT query_id, status, confidence, tile_id AS matched_tile_id FROM fixes WHERE query_id IN (SELECT o_orderkey FROM orders)", "fixes"))
+def stream_localization(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    known = S.candidates(spark, d).select("query_id", "tile_id", "rank", "num_inliers")
+    frames = _stream(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"))
+    job = lambda batch: localize.decide(batch, known).select("query_id", "status", "confidence", "matched_tile_id")
+    jobs.localize_stream(frames, job, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("query_id", "status", "confidence", "matched_tile_id")

@@ -73,7 +73,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, tile_id, rank, similarity, num_inliers, correspondences, homography, tile_h, tile_w) from lineitem."""
+    """(query_id, tile_id, rank, line, similarity, num_inliers, correspondences, homography, tile_h, tile_w) from lineitem."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     p, q, n = F.col("l_partkey"), F.col("l_quantity"), F.col("l_linenumber")
 
@@ -83,7 +83,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     matrix = F.array(F.lit(0.4), F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(0.45), F.lit(5.0), n * F.lit(1e-5), F.lit(0.0), F.lit(1.0))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("query_id"), p.alias("tile_id"), F.row_number().over(w).alias("rank"), (1 - F.col("l_discount")).alias("similarity"), q.cast("int").alias("num_inliers"),
+        F.col("l_orderkey").alias("query_id"), p.alias("tile_id"), F.row_number().over(w).alias("rank"), n.alias("line"), (1 - F.col("l_discount")).alias("similarity"), q.cast("int").alias("num_inliers"),
         F.transform(F.sequence(F.lit(0), F.lit(5)), match).alias("correspondences"), F.when(p % 7 != 0, matrix).alias("homography"), F.lit(320).alias("tile_h"), F.lit(384).alias("tile_w"),
     )
 
