@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_model import held_out
-from .shared import U, Texts, mix, steps
+from .shared import U, Texts, cut, mix, steps, tidy_shuffles
 
 BUCKETS = 1 << 15
 #: Orders of the character n-grams.
@@ -133,7 +133,8 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     language by name. Other columns are ignored; an empty table gives none. Whole texts are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
-    model = train(rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out("id", 3, 1)), character_features)
+    with tidy_shuffles(docs.sparkSession):
+        model = train(rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out("id", 3, 1)), character_features)
     names = np.array([*model.names, "und"], dtype=object)
 
     def run(batches):
@@ -146,5 +147,6 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     best, score = np.where(has, p.argmax(1), best), np.where(has, p.max(1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names[best], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    out = rows.select("id", "text").mapInArrow(run, "id long, lang_pred string, score double")
+    with tidy_shuffles(docs.sparkSession):
+        out = cut(rows.select("id", "text").mapInArrow(run, "id long, lang_pred string, score double"), "languages")
     return out.select(F.col("id").alias(id_col), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score")

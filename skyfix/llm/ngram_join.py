@@ -29,7 +29,7 @@ from .components import components
 from .shared import U, Texts, cut, maybe_broadcast, mix, rolled, steps, tidy_shuffles
 
 #: N-grams in a fragment on average, in a slice of a hot fragment at most, and held back by a mapper before it sends.
-FRAGMENT, SLICE, HELD = 1_000_000, 4_000_000, 2_000_000
+FRAGMENT, SLICE, HELD = 500_000, 2_000_000, 500_000
 #: Classes and n-grams in a block of candidates.
 BLOCK_ROWS, BLOCK_GRAMS = 400, 200_000
 #: N-grams whose overlaps are counted at once for a pair of blocks.

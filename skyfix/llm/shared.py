@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that one numpy step takes at a time; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Rows times bytes up to which a table may be broadcast; beyond it the same join is shuffled.
 BROADCAST_BYTES = 48 << 20
 
@@ -36,16 +36,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch: whole texts are long, and each batch is held by Spark and by Python at once.
+BATCH_ROWS = 1000
+
+
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession):
-    """While it lasts, Spark removes the shuffle files of each finished query."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """While it lasts, Spark removes the shuffle files of each finished query and sends texts in small Arrow batches."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    old = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
