@@ -14,7 +14,7 @@ from .select import top_k
 from .spatial import small
 
 #: Queries that one pass over the descriptors takes; more queries make more passes. Their vectors are what tasks get sent.
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 1024
 
 
 def expand_rotations(tiles: DataFrame, tile: str = "tile_id", degrees: tuple[int, ...] = ROTATIONS) -> DataFrame:
@@ -28,6 +28,16 @@ def similarities(queries: DataFrame, descriptors: DataFrame, dim: int) -> DataFr
     return descriptors.join(F.broadcast(q)).withColumn("similarity", dot(F.col("query_descriptor"), F.col("descriptor"), dim)).drop("query_descriptor", "descriptor")
 
 
+def _merged(score: np.ndarray, tile: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best different tiles of each row, best first, ties by tile."""
+    order = np.lexsort((tile, -score), axis=1)
+    score, tile = np.take_along_axis(score, order, 1), np.take_along_axis(tile, order, 1)
+    again = np.tril(tile[:, :, None] == tile[:, None, :], -1) & (score > -np.inf)[:, None, :]
+    score = np.where(again.any(2), -np.inf, score)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(tile, order, 1)
+
+
 def _block_top_k(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exclude: bool) -> DataFrame:
     rows = queries.select("query_id", checked(F.col("descriptor"), dim).alias("d"), *(["own_tile"] if exclude else [])).collect()
     if not rows:
@@ -50,16 +60,8 @@ def _block_top_k(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, e
             tile = tile[first]
             if own is not None:
                 score[own[:, None] == tile[None, :]] = -np.inf
-            both_s, both_t = np.hstack((best_s, score)), np.hstack((best_t, np.broadcast_to(tile, score.shape)))
-            for i in range(len(ids)):
-                kinds: dict[int, float] = {}
-                for at in np.lexsort((both_t[i], -both_s[i]))[: 4 * k]:
-                    kinds.setdefault(int(both_t[i, at]), both_s[i, at])
-                    if len(kinds) == k:
-                        break
-                top = [x for x in kinds.items() if x[1] > -np.inf]
-                best_s[i] = [x[1] for x in top] + [-np.inf] * (k - len(top))
-                best_t[i] = [x[0] for x in top] + [0] * (k - len(top))
+            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best_s, best_t = _merged(np.hstack((best_s, np.take_along_axis(score, at, 1))), np.hstack((best_t, tile[at])), k)
         q, at = np.nonzero(best_s > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), pa.array(best_t[q, at]), pa.array(best_s[q, at])], ["query_id", "tile_id", "similarity"])
 
