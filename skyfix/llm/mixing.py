@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes import NaiveBayes, posteriors, train, word_features
-from .shared import cut, steps, tidy_shuffles
+from .shared import cut, maybe_broadcast, steps, tidy_shuffles
 
 #: Domain of (quality, toxic) labels, and the share of the mixed tokens that each is to have.
 DOMAINS = ("clean", "low", "toxic")
@@ -30,7 +30,8 @@ def domain(quality: str = "quality", toxic: str = "toxic"):
 def memberships(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tokens, p): words of each row and its posteriors over DOMAINS."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("label_id"), domain().alias("label")).where("label is not null")
+    known = labels.select(F.col(id_col).cast("long").alias("label_id"), domain().alias("label")).where("label is not null and label_id is not null")
+    known = maybe_broadcast(known, known.count(), 48)
     model: NaiveBayes = train(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, smoothing=0.05)
     places = [DOMAINS.index(n) for n in model.names]
 
