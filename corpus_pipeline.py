@@ -10,15 +10,16 @@ from skyfix.llm.decontamination import decontaminate
 from skyfix.llm.mixing import mix_to_targets
 from skyfix.llm.ngram_join import ngram_components
 from skyfix.llm.quality_model import quality_scores
-from skyfix.llm.shared import cut, documents
+from skyfix.llm.shared import cut, documents, maybe_broadcast
 
 #: A document whose language is predicted with less posterior than this is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in chosen (doc_id)."""
-    return docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs whose doc_id is in chosen (doc_id). Texts are not shuffled while the ids are few enough to send."""
+    ids = cut(chosen.select("doc_id").distinct(), "kept")
+    return docs.join(maybe_broadcast(ids, ids.count(), 24), "doc_id", "left_semi").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a copy or more in the mix, and their rate and copies."""
     rated = mix_to_targets(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0")
-    return docs.join(rated.select("doc_id", "rate", "copies"), "doc_id").select(*docs.columns, "rate", "copies")
+    rated = cut(rated.select("doc_id", "rate", "copies"), "rated")
+    return docs.join(maybe_broadcast(rated, rated.count(), 48), "doc_id").select(*docs.columns, "rate", "copies")
 
 
 STAGES = [
