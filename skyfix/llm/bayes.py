@@ -1,7 +1,7 @@
 """Multinomial naive Bayes over hashed features, and language identification with it.
 
 Mappers add up the feature counts of each class over their whole partition, Spark sums them, and the log-probability
-matrix (classes x BUCKETS, whatever the corpus size) is sent with the scoring tasks, where numpy scores sparse batches.
+matrix (classes x buckets, whatever the corpus size) is sent with the scoring tasks, where numpy scores sparse batches.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_model import held_out
-from .shared import U, Texts, cut, mix, steps, tidy_shuffles
+from .shared import U, Texts, cut, mix, separators, steps, tidy_shuffles
 
-BUCKETS = 1 << 15
+BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 17
 #: Orders of the character n-grams.
 ORDERS = (1, 2, 3, 4)
 #: Code points below this are folded by table: lower case, and everything but letters to one space.
@@ -70,22 +70,29 @@ def character_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int32)]), has
 
 
+#: Words are runs of ASCII letters, digits and anything above ASCII.
+_ALNUM = separators(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
+
+
 def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket) of each word (A-Z lower-cased) and of its last byte, and whether each row has a word."""
+    """(row, bucket) of each word without its marks (A-Z lower-cased) and of the mark that ends each run between white
+    space, and the number of such runs of each row."""
     texts = Texts(column, lower=True)
-    start, end, row = texts.words()
-    ends = texts.bytes[end - 1].astype(U) if len(end) else np.zeros(0, U)
-    buckets = np.concatenate((texts.hashes(start, end) % U(BUCKETS), mix(ends + U(1 << 40)) % U(BUCKETS))).astype(np.int32)
-    return np.concatenate((row, row)), buckets, np.bincount(row, minlength=len(column)) > 0
+    start, end, row = texts.words(_ALNUM)
+    _, run_end, run_row = texts.words()
+    ends = texts.bytes[run_end - 1].astype(U) if len(run_end) else np.zeros(0, U)
+    marks = np.flatnonzero(_ALNUM[ends.astype(np.int64)])
+    buckets = np.concatenate((texts.hashes(start, end) % U(WORD_BUCKETS), mix(ends[marks] + U(1 << 40)) % U(WORD_BUCKETS))).astype(np.int32)
+    return np.concatenate((row, run_row[marks])), buckets, np.bincount(run_row, minlength=len(column))
 
 
 class NaiveBayes:
-    """log_prob: (classes, BUCKETS); log_prior: (classes,)."""
+    """log_prob: (classes, buckets); log_prior: (classes,). counts: by class those of the buckets, then the rows."""
 
-    def __init__(self, counts: dict[str, np.ndarray], smoothing: float):
+    def __init__(self, counts: dict[str, np.ndarray], smoothing: float, buckets: int):
         self.names = sorted(counts)
-        both = np.array([counts[k] for k in self.names]) if counts else np.zeros((0, BUCKETS + 1))
-        tokens, docs = both[:, :BUCKETS] + smoothing, both[:, BUCKETS]
+        both = np.array([counts[k] for k in self.names]) if counts else np.zeros((0, buckets + 1))
+        tokens, docs = both[:, :buckets] + smoothing, both[:, buckets]
         self.log_prob = np.log(tokens / tokens.sum(1, keepdims=True)).astype(np.float32)
         self.log_prior = np.log(np.maximum(docs, 1e-9) / max(docs.sum(), 1e-9))
 
@@ -98,7 +105,7 @@ def posteriors(log: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def train(rows: DataFrame, features, smoothing: float = 0.5) -> NaiveBayes:
+def train(rows: DataFrame, features, buckets: int = BUCKETS, smoothing: float = 0.5) -> NaiveBayes:
     """From (label string, text): counts over all rows. The model has one row for each distinct label."""
 
     def run(batches):
@@ -108,9 +115,9 @@ def train(rows: DataFrame, features, smoothing: float = 0.5) -> NaiveBayes:
                 names, label = np.unique(np.array(part.column("label").to_pylist(), dtype=str), return_inverse=True)
                 row, bucket, _ = features(part.column("text"))
                 for k, name in enumerate(names.tolist()):
-                    own = counts.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                    own[:BUCKETS] += np.bincount(bucket[label[row] == k], minlength=BUCKETS)
-                    own[BUCKETS] += int((label == k).sum())
+                    own = counts.setdefault(name, np.zeros(buckets + 1, np.int64))
+                    own[:buckets] += np.bincount(bucket[label[row] == k], minlength=buckets)
+                    own[buckets] += int((label == k).sum())
         for name, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
@@ -119,9 +126,9 @@ def train(rows: DataFrame, features, smoothing: float = 0.5) -> NaiveBayes:
     packed = added.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).collect()
     counts = {}
     for r in packed:
-        own = counts.setdefault(r.label, np.zeros(BUCKETS + 1))
+        own = counts.setdefault(r.label, np.zeros(buckets + 1))
         own[[x.bucket for x in r["all"]]] = [x.n for x in r["all"]]
-    return NaiveBayes(counts, smoothing)
+    return NaiveBayes(counts, smoothing, buckets)
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

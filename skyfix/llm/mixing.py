@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bayes import NaiveBayes, posteriors, train, word_features
+from .bayes import WORD_BUCKETS, NaiveBayes, posteriors, train, word_features
 from .shared import cut, maybe_broadcast, steps, tidy_shuffles
 
 #: Domain of (quality, toxic) labels, and the share of the mixed tokens that each is to have.
@@ -32,19 +32,18 @@ def memberships(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), domain().alias("label")).where("label is not null and label_id is not null")
     known = maybe_broadcast(known, known.count(), 48)
-    model: NaiveBayes = train(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, smoothing=0.05)
+    model: NaiveBayes = train(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, WORD_BUCKETS, smoothing=0.05)
     places = [DOMAINS.index(n) for n in model.names]
 
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text"):
-                row, bucket, _ = word_features(part.column("text"))
+                row, bucket, tokens = word_features(part.column("text"))
                 p = np.zeros((part.num_rows, len(DOMAINS)))
                 if places:
                     p[:, places] = posteriors(model.log_joint(row, bucket, part.num_rows))
                 else:
                     p[:, 0] = 1
-                tokens = np.bincount(row, minlength=part.num_rows) // 2
                 offs = np.arange(part.num_rows + 1, dtype=np.int32) * len(DOMAINS)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(p.ravel()))], ["id", "tokens", "p"])
 

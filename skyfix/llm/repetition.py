@@ -11,7 +11,7 @@ from .shared import U, Texts, mix, rolled, steps
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Share of a text's word characters that repeated n-grams of each length may cover, and repeated lines.
-NGRAM_LIMITS = {5: 0.30, 8: 0.25, 12: 0.20}
+NGRAM_LIMITS = {5: 0.40, 8: 0.35, 12: 0.30}
 LINE_LIMIT = 0.30
 
 
