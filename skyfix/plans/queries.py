@@ -616,6 +616,21 @@ def profile_report(spark: SparkSession, d: str) -> DataFrame:
     return latency.join(power, "run_id").select("run_id", "n", *r6("mean_latency", "p95_latency"), *r6("peak_rss_mb", "mean_power_w", places=4))
 
 
+@query(sql("SELECT f.query_id, f.region_name AS region, f.timestamp FROM frames f WHERE f.query_id IN (SELECT query_id FROM labelled WHERE outcome='verified')", "frames", "candidates", more=_OUT))
+def verified_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames whose ids are among the verified ones; ids without a frame are dropped."""
+    verified = _outcomes(spark, d).where("outcome = 'verified'").select("query_id")
+    return S.frames(spark, d).join(verified, "query_id", "left_semi").select("query_id", "region", "timestamp")
+
+
+@query(sql("SELECT f.query_id, round(coalesce(c.lat, g.lat),6) AS lat, round(coalesce(c.lon, g.lon),6) AS lon FROM fixes f JOIN (SELECT query_id, avg(g_lat) AS lat, avg(g_lon) AS lon FROM ground GROUP BY 1) g ON g.query_id=f.query_id LEFT JOIN (SELECT query_id, avg(lat) AS lat, avg(lon) AS lon FROM foot GROUP BY 1) c ON c.query_id=f.query_id WHERE status='fix'", "ground", "fixes", more=_FOOT))
+def fix_centres(spark: SparkSession, d: str) -> DataFrame:
+    c = S.candidates(spark, d).join(S.tiles(spark, d).select("tile_id", "corners"), "tile_id")
+    out = localize.localize(S.frames(spark, d).select("query_id", "query_h", "query_w"), c).where("status = 'fix' and size(tie_points) > 0")
+    mean = lambda k: F.aggregate("tie_points", F.lit(0.0), lambda s, t: s + t[k]) / F.size("tie_points")
+    return out.select("query_id", localize.center_of(F.col("query_footprint"), mean("lat"), mean("lon")).alias("m")).select("query_id", *(F.round(f"m.{k}", 6).alias(k) for k in ("lat", "lon")))
+
+
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 
