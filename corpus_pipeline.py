@@ -35,7 +35,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; rows that repeat it stay once."""
-    return _keep(docs, ngram_components(docs).where("component_id = doc_id")).dropDuplicates(["doc_id"])
+    chosen = cut(ngram_components(docs).where("component_id = doc_id").select("doc_id"), "chosen")
+    kept = _keep(docs, chosen)
+    repeats = chosen.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeats else kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +47,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a copy or more in the mix, and their rate and copies."""
+    """Documents with a copy or more in the mix, and their rate and copies; rows that repeat a doc_id get the largest."""
     rated = mix_to_targets(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0")
-    rated = cut(rated.select("doc_id", "rate", "copies"), "rated")
+    rated = cut(rated.groupBy("doc_id").agg(F.max("rate").alias("rate"), F.max("copies").alias("copies")), "rated")
     return docs.join(maybe_broadcast(rated, rated.count(), 48), "doc_id").select(*docs.columns, "rate", "copies")
 
 
