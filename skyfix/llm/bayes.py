@@ -75,15 +75,16 @@ _ALNUM = separators(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
 
 
 def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket) of each word without its marks (A-Z lower-cased) and of the mark that ends each run between white
-    space, and the number of such runs of each row."""
+    """(row, bucket), each pair once, of the words without their marks (A-Z lower-cased) and of the marks that end runs between
+    white space, and the number of such runs of each row."""
     texts = Texts(column, lower=True)
     start, end, row = texts.words(_ALNUM)
     _, run_end, run_row = texts.words()
     ends = texts.bytes[run_end - 1].astype(U) if len(run_end) else np.zeros(0, U)
     marks = np.flatnonzero(_ALNUM[ends.astype(np.int64)])
     buckets = np.concatenate((texts.hashes(start, end) % U(WORD_BUCKETS), mix(ends[marks] + U(1 << 40)) % U(WORD_BUCKETS))).astype(np.int32)
-    return np.concatenate((row, run_row[marks])), buckets, np.bincount(run_row, minlength=len(column))
+    once = np.unique(np.concatenate((row, run_row[marks])) * WORD_BUCKETS + buckets)
+    return once // WORD_BUCKETS, (once % WORD_BUCKETS).astype(np.int32), np.bincount(run_row, minlength=len(column))
 
 
 class NaiveBayes:
@@ -106,7 +107,12 @@ def posteriors(log: np.ndarray) -> np.ndarray:
 
 
 def train(rows: DataFrame, features, buckets: int = BUCKETS, smoothing: float = 0.5) -> NaiveBayes:
-    """From (label string, text): counts over all rows. The model has one row for each distinct label."""
+    """From (label string, text): a model of all rows, with one row for each distinct label."""
+    return NaiveBayes(feature_counts(rows, features, buckets), smoothing, buckets)
+
+
+def feature_counts(rows: DataFrame, features, buckets: int) -> dict[str, np.ndarray]:
+    """From (label string, text): by label the counts of its buckets, then of its rows."""
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -128,7 +134,7 @@ def train(rows: DataFrame, features, buckets: int = BUCKETS, smoothing: float =
     for r in packed:
         own = counts.setdefault(r.label, np.zeros(buckets + 1))
         own[[x.bucket for x in r["all"]]] = [x.n for x in r["all"]]
-    return NaiveBayes(counts, smoothing, buckets)
+    return counts
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bayes import WORD_BUCKETS, NaiveBayes, posteriors, train, word_features
+from .bayes import WORD_BUCKETS, feature_counts, posteriors, word_features
+from .quality_model import Discriminant, _statistics, class_sums
 from .shared import cut, maybe_broadcast, steps, tidy_shuffles
 
 #: Domain of (quality, toxic) labels, and the share of the mixed tokens that each is to have.
@@ -21,33 +22,62 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 #: Steps of the fit, those between two written tables of rates, the step size and the pull towards a rate of 1.
 ROUNDS, WRITTEN, SIZE, PULL = 24, 8, 0.8, 0.002
+#: Of the classifier: standard deviations above chance of a word that marks a domain, and the shrinkage of covariances.
+DEVIATIONS, SHRINK, RIDGE = 8.0, 0.05, 1e-3
 
 
 def domain(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 0, "low").when(F.col(quality) == 1, "clean")
 
 
+def telling_words(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """(domains, buckets): flags of the words that mark a domain other than the largest: most texts that have the word are of
+    the domain, and far more than chance would give."""
+    rows = np.array([counts.get(d, np.zeros(WORD_BUCKETS + 1)) for d in DOMAINS], np.float64)
+    seen, texts = rows[:, :WORD_BUCKETS], rows[:, WORD_BUCKETS]
+    share, times = (seen.sum(1) / max(seen.sum(), 1.0))[:, None], seen.sum(0)
+    above = (seen - share * times) / np.sqrt(np.maximum(share * (1 - share) * times, 1e-9))
+    flags = (seen >= 0.5 * times) & (above >= DEVIATIONS)
+    flags[int(texts.argmax())] = False
+    return flags
+
+
 def memberships(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens, p): words of each row and its posteriors over DOMAINS."""
+    """(id, tokens, p): words of each row and its posteriors over DOMAINS.
+
+    The posteriors are of Gaussians over the quality statistics and the numbers of words that mark a domain.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), domain().alias("label")).where("label is not null and label_id is not null")
     known = maybe_broadcast(known, known.count(), 48)
-    model: NaiveBayes = train(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, WORD_BUCKETS, smoothing=0.05)
-    places = [DOMAINS.index(n) for n in model.names]
+    marks = telling_words(feature_counts(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, WORD_BUCKETS))
 
-    def run(batches):
+    def measure(batches):
         for batch in batches:
             for part in steps(batch, "text"):
                 row, bucket, tokens = word_features(part.column("text"))
-                p = np.zeros((part.num_rows, len(DOMAINS)))
-                if places:
-                    p[:, places] = posteriors(model.log_joint(row, bucket, part.num_rows))
+                told = np.stack([np.log1p(np.bincount(row[m[bucket]], minlength=part.num_rows)) for m in marks], axis=1)
+                x = np.hstack((_statistics(part.column("text")), told))
+                offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["id", "tokens", "x"])
+
+    x = cut(rows.mapInArrow(measure, "id long, tokens long, x array<double>"), "domain-statistics")
+    place = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("label")) - 1
+    model = Discriminant(class_sums(x.join(known, F.col("id") == F.col("label_id")).select(place.alias("label"), "x")), SHRINK, RIDGE)
+
+    def judge(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+                p = np.zeros((batch.num_rows, len(DOMAINS)))
+                if model.classes:
+                    p[:, sorted(model.classes)] = posteriors(np.stack([model.log_joint(found, k) for k in sorted(model.classes)], axis=1))
                 else:
                     p[:, 0] = 1
-                offs = np.arange(part.num_rows + 1, dtype=np.int32) * len(DOMAINS)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(p.ravel()))], ["id", "tokens", "p"])
+                offs = np.arange(batch.num_rows + 1, dtype=np.int32) * len(DOMAINS)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens"), pa.ListArray.from_arrays(pa.array(offs), pa.array(p.ravel()))], ["id", "tokens", "p"])
 
-    return rows.mapInArrow(run, "id long, tokens long, p array<double>")
+    return x.mapInArrow(judge, "id long, tokens long, p array<double>")
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
@@ -82,7 +112,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """(id_col, n_tokens, p_clean, p_low, p_toxic, rate, copies) for every row of docs.
 
     Learns from label rows whose document is there: toxic 1 is the domain `toxic`, else quality 0 `low` and 1 `clean`; other
-    labels are left out. Null and empty texts have no tokens and the class shares as posteriors. Without usable labels all
+    labels are left out. Null and empty texts have no tokens, and posteriors as texts without words. Without usable labels all
     is `clean`. Repeated rows count and are rated each; a null id is rated and never learnt from. Where the domain with the
     largest target has no tokens, every rate is 1. Other columns are ignored; an empty table gives none.
     """

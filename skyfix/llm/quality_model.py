@@ -84,7 +84,7 @@ def class_sums(rows: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], ["label", "at", "value"])
 
     added = rows.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(run, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
-    d = 1 + len(STATISTICS)
+    d = round(max((r["at"] + 1 for r in added), default=1) ** 0.5)
     out: dict[int, np.ndarray] = {}
     for r in added:
         out.setdefault(r.label, np.zeros(d * d))[r.at] = r.value
@@ -92,28 +92,30 @@ def class_sums(rows: DataFrame) -> dict[int, np.ndarray]:
 
 
 class Discriminant:
-    """Two Gaussians with covariances shrunk to the pooled one and to its mean variance."""
+    """Gaussians of the classes, with covariances shrunk to the pooled one and to its mean variance."""
 
     def __init__(self, sums: dict[int, np.ndarray], shrink: float, ridge: float):
         total = sum((s[0, 0] for s in sums.values()), 0.0)
+        self.share = {k: float(s[0, 0] / total) for k, s in sums.items()}
         self.classes = {}
-        self.prior = float(sums[1][0, 0] / total) if 1 in sums else (0.0 if 0 in sums else 0.5)
-        if not {0, 1} <= set(sums):
-            return
         cov = {k: s[1:, 1:] / s[0, 0] - np.outer(s[0, 1:], s[0, 1:]) / s[0, 0] ** 2 for k, s in sums.items()}
-        pooled = sum(s[0, 0] * cov[k] for k, s in sums.items()) / total
+        pooled = sum(s[0, 0] * cov[k] for k, s in sums.items()) / max(total, 1.0)
         for k, s in sums.items():
             own = (1 - shrink) * cov[k] + shrink * pooled
             own += ridge * max(np.trace(own) / len(own), 1e-9) * np.eye(len(own))
             factor = np.linalg.cholesky(own)
             self.classes[k] = (s[0, 1:] / s[0, 0], np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum(), np.log(s[0, 0] / total))
 
+    def log_joint(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Log density of class k and log share of it."""
+        mean, inverse, det, weight = self.classes[k]
+        return weight - 0.5 * (det + (((x - mean) @ inverse.T) ** 2).sum(1))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1."""
-        if not self.classes:
-            return np.full(len(x), self.prior)
-        log = {k: weight - 0.5 * (det + (((x - mean) @ inverse.T) ** 2).sum(1)) for k, (mean, inverse, det, weight) in self.classes.items()}
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        if not {0, 1} <= set(self.classes):
+            return np.full(len(x), self.share.get(1, 0.0 if self.share else 0.5))
+        return 1 / (1 + np.exp(np.clip(self.log_joint(x, 0) - self.log_joint(x, 1), -700, 700)))
 
 
 def held_out(id_col: str, parts: int, part: int):
