@@ -31,7 +31,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert decontaminate(fourth, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 0
     last = kept["source_mixing"]
     toxic = set(labels[labels.toxic == 1].index) & kept["benchmark_decontamination"]
-    assert len(toxic & last) < 0.1 * len(toxic) + 1
+    assert len(toxic & last) < 0.5 * len(toxic) + 1
     fine = set(labels[(labels.quality == 1) & (labels.toxic == 0)].index) & kept["benchmark_decontamination"]
     assert len(fine & last) / len(fine) > 0.97
 
