@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes import WORD_BUCKETS, feature_counts, posteriors, word_features
-from .quality_model import Discriminant, _statistics, class_sums
+from .quality_model import STATISTICS, Discriminant, _statistics, class_sums
 from .shared import cut, maybe_broadcast, steps, tidy_shuffles
 
 #: Domain of (quality, toxic) labels, and the share of the mixed tokens that each is to have.
@@ -22,53 +22,92 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 #: Steps of the fit, those between two written tables of rates, the step size and the pull towards a rate of 1.
 ROUNDS, WRITTEN, SIZE, PULL = 24, 8, 0.8, 0.002
-#: Of the classifier: standard deviations above chance of a word that marks a domain, and the shrinkage of covariances.
-DEVIATIONS, SHRINK, RIDGE = 8.0, 0.05, 1e-3
+#: Of the classifier: points and steps of the fit of words' shares, and the shrinkage of covariances.
+GRID, FIT, SHRINK, RIDGE = 40, 60, 0.05, 1e-3
 
 
 def domain(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 0, "low").when(F.col(quality) == 1, "clean")
 
 
-def telling_words(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """(domains, buckets): flags of the words that mark a domain other than the largest: most texts that have the word are of
-    the domain, and far more than chance would give."""
+def word_weights(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """(3, domains, buckets): log-odds that each word adds to its text being of the domain. Those of the largest domain are 0.
+
+    A word's share of texts of the domain is shrunk to the distribution of these shares over all words, fitted by EM on a grid:
+    a word without texts weighs nothing, one with few weighs as much as such words have proved to. The second and third
+    form leave one text out, of the domain and of another one, so that a labelled text can be weighed without itself.
+    """
     rows = np.array([counts.get(d, np.zeros(WORD_BUCKETS + 1)) for d in DOMAINS], np.float64)
     seen, texts = rows[:, :WORD_BUCKETS], rows[:, WORD_BUCKETS]
-    share, times = (seen.sum(1) / max(seen.sum(), 1.0))[:, None], seen.sum(0)
-    above = (seen - share * times) / np.sqrt(np.maximum(share * (1 - share) * times, 1e-9))
-    flags = (seen >= 0.5 * times) & (above >= DEVIATIONS)
-    flags[int(texts.argmax())] = False
-    return flags
+    out = np.zeros((3, len(DOMAINS), WORD_BUCKETS), np.float32)
+    for j in range(len(DOMAINS)):
+        if j == int(texts.argmax()):
+            continue
+        kinds, at, number = np.unique(seen[j] + 1j * seen.sum(0), return_inverse=True, return_counts=True)
+        own, times = kinds.real, kinds.imag
+        number = np.where(times > 0, number, 0)
+        share = (texts[j] + 0.5) / (texts.sum() + 0.5 * len(DOMAINS))
+        chance = np.log(share / (1 - share))
+        grid = np.sort(np.append(np.linspace(chance - 3, max(chance, 0) + 6, GRID), chance))
+        odds = 1 / (1 + np.exp(-grid))
+
+        def likelihood(of, all_, odds=odds):
+            log = np.outer(of, np.log(odds)) + np.outer(all_ - of, np.log1p(-odds))
+            return np.exp(log - log.max(1, keepdims=True))
+
+        known = likelihood(own, times)
+        spread = np.where(grid == chance, 0.5, 0.5 / GRID)
+        for _ in range(FIT):
+            spread = spread * (known.T @ (number / (known @ spread))) + 1e-3
+            spread /= spread.sum()
+        for form, (of, all_) in enumerate(((0, 0), (1, 1), (0, 1))):
+            all_ = np.maximum(times - all_, 0)
+            found = likelihood(np.minimum(np.maximum(own - of, 0), all_), all_)
+            mean = (found @ (spread * odds)) / (found @ spread)
+            out[form, j] = np.where(all_ > 0, np.log(mean / (1 - mean)) - chance, 0)[at.ravel()]
+    return out
+
+
+def evidence(weights: np.ndarray, row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, 2 * domains): what the words of each text say for each domain, then what they say against it.
+
+    Squares of weights are added up, so that many faint ones do not drown a strong one, and put on a logarithmic scale.
+    """
+    told = weights[:, bucket].astype(np.float64)
+    found = [np.bincount(row, w**2, rows) for side in (np.maximum(told, 0), np.minimum(told, 0)) for w in side]
+    return np.log1p(np.sqrt(np.stack(found, axis=1)) / 4)
 
 
 def memberships(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tokens, p): words of each row and its posteriors over DOMAINS.
 
-    The posteriors are of Gaussians over the quality statistics and the numbers of words that mark a domain.
+    The posteriors are of Gaussians over the quality statistics and the evidence of the words. The Gaussians are fitted to
+    evidence that leaves the labelled text itself out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), domain().alias("label")).where("label is not null and label_id is not null")
     known = maybe_broadcast(known, known.count(), 48)
-    marks = telling_words(feature_counts(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, WORD_BUCKETS))
+    weights = word_weights(feature_counts(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, WORD_BUCKETS))
 
     def measure(batches):
         for batch in batches:
             for part in steps(batch, "text"):
                 row, bucket, tokens = word_features(part.column("text"))
-                told = np.stack([np.log1p(np.bincount(row[m[bucket]], minlength=part.num_rows)) for m in marks], axis=1)
-                x = np.hstack((_statistics(part.column("text")), told))
+                x = np.hstack((_statistics(part.column("text")), *(evidence(w, row, bucket, part.num_rows) for w in weights)))
                 offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["id", "tokens", "x"])
 
     x = cut(rows.mapInArrow(measure, "id long, tokens long, x array<double>"), "domain-statistics")
     place = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("label")) - 1
-    model = Discriminant(class_sums(x.join(known, F.col("id") == F.col("label_id")).select(place.alias("label"), "x")), SHRINK, RIDGE)
+    n, d = len(STATISTICS), 2 * len(DOMAINS)
+    without = [F.when(place == j % len(DOMAINS), F.col("x")[n + d + j]).otherwise(F.col("x")[n + 2 * d + j]) for j in range(d)]
+    learnt = x.join(known, F.col("id") == F.col("label_id")).select(place.alias("label"), F.concat(F.slice("x", 1, n), F.array(*without)).alias("x"))
+    model = Discriminant(class_sums(learnt), SHRINK, RIDGE)
 
     def judge(batches):
         for batch in batches:
             if batch.num_rows:
-                found = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+                found = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)[:, : n + d]
                 p = np.zeros((batch.num_rows, len(DOMAINS)))
                 if model.classes:
                     p[:, sorted(model.classes)] = posteriors(np.stack([model.log_joint(found, k) for k in sorted(model.classes)], axis=1))
