@@ -1,7 +1,8 @@
 """Multinomial naive Bayes over hashed features, and language identification with it.
 
 Mappers add up the feature counts of each class over their whole partition, Spark sums them, and the log-probability
-matrix (classes x buckets, whatever the corpus size) is sent with the scoring tasks, where numpy scores sparse batches.
+matrix (classes x buckets, whatever the corpus size) is broadcast; numpy scores sparse batches with it. A prediction is a
+function of the row's text alone, so it is a column beside the others: no join brings it to the texts.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_model import held_out
-from .shared import U, Texts, cut, mix, separators, steps, tidy_shuffles
+from .shared import Texts, U, mix, separators, steps, text_function, tidy
 
-BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 17
+BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 18
+#: Bytes of a word's beginning that are features of their own: words of one stem share them.
+STEMS = (5, 6, 7)
 #: Orders of the character n-grams.
 ORDERS = (1, 2, 3, 4)
 #: Code points below this are folded by table: lower case, and everything but letters to one space.
@@ -74,17 +77,22 @@ def character_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
 _ALNUM = separators(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
 
 
-def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket), each pair once, of the words without their marks (A-Z lower-cased) and of the marks that end runs between
-    white space, and the number of such runs of each row."""
+def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, times), each pair once, of the words without their marks (A-Z lower-cased), of their beginnings and of the
+    marks that end runs between white space; and the number of such runs of each row."""
     texts = Texts(column, lower=True)
     start, end, row = texts.words(_ALNUM)
     _, run_end, run_row = texts.words()
     ends = texts.bytes[run_end - 1].astype(U) if len(run_end) else np.zeros(0, U)
     marks = np.flatnonzero(_ALNUM[ends.astype(np.int64)])
-    buckets = np.concatenate((texts.hashes(start, end) % U(WORD_BUCKETS), mix(ends[marks] + U(1 << 40)) % U(WORD_BUCKETS))).astype(np.int32)
-    once = np.unique(np.concatenate((row, run_row[marks])) * WORD_BUCKETS + buckets)
-    return once // WORD_BUCKETS, (once % WORD_BUCKETS).astype(np.int32), np.bincount(run_row, minlength=len(column))
+    found, rows = [texts.hashes(start, end), mix(ends[marks] + U(1 << 40))], [row, run_row[marks]]
+    for size in STEMS:
+        some = np.flatnonzero(end - start > size)
+        found.append(mix(texts.hashes(start[some], start[some] + size) + U(size)))
+        rows.append(row[some])
+    buckets = (np.concatenate(found) % U(WORD_BUCKETS)).astype(np.int64)
+    once, times = np.unique(np.concatenate(rows) * WORD_BUCKETS + buckets, return_counts=True)
+    return once // WORD_BUCKETS, (once % WORD_BUCKETS).astype(np.int32), times, np.bincount(run_row, minlength=len(column))
 
 
 class NaiveBayes:
@@ -96,6 +104,8 @@ class NaiveBayes:
         tokens, docs = both[:, :buckets] + smoothing, both[:, buckets]
         self.log_prob = np.log(tokens / tokens.sum(1, keepdims=True)).astype(np.float32)
         self.log_prior = np.log(np.maximum(docs, 1e-9) / max(docs.sum(), 1e-9))
+        #: What an n-gram of a text of the class tells about it, on average over the class's own texts.
+        self.usual = (tokens / tokens.sum(1, keepdims=True) * self.log_prob).sum(1)
 
     def log_joint(self, row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
         return np.stack([np.bincount(row, lp[bucket], rows) for lp in self.log_prob], axis=1) + self.log_prior
@@ -112,14 +122,15 @@ def train(rows: DataFrame, features, buckets: int = BUCKETS, smoothing: float =
 
 
 def feature_counts(rows: DataFrame, features, buckets: int) -> dict[str, np.ndarray]:
-    """From (label string, text): by label the counts of its buckets, then of its rows."""
+    """From (label string, text): by label the counts of its buckets, then of its rows. features gives (row, bucket, ...) of
+    an Arrow string array."""
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in steps(batch, "text"):
                 names, label = np.unique(np.array(part.column("label").to_pylist(), dtype=str), return_inverse=True)
-                row, bucket, _ = features(part.column("text"))
+                row, bucket, *_ = features(part.column("text"))
                 for k, name in enumerate(names.tolist()):
                     own = counts.setdefault(name, np.zeros(buckets + 1, np.int64))
                     own[:buckets] += np.bincount(bucket[label[row] == k], minlength=buckets)
@@ -128,38 +139,54 @@ def feature_counts(rows: DataFrame, features, buckets: int) -> dict[str, np.ndar
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
 
-    added = rows.where("label is not null").select("label", "text").mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    packed = added.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).collect()
-    counts = {}
-    for r in packed:
-        own = counts.setdefault(r.label, np.zeros(buckets + 1))
-        own[[x.bucket for x in r["all"]]] = [x.n for x in r["all"]]
+    parts = rows.where("label is not null").select("label", "text").mapInArrow(run, "label string, bucket int, n long")
+    added = parts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a number for each label and bucket
+    names, label = np.unique(np.array(added.column("label").to_pylist(), dtype=str), return_inverse=True)
+    bucket, n = (np.asarray(added.column(c)) for c in ("bucket", "n"))
+    counts = {name: np.zeros(buckets + 1) for name in names.tolist()}
+    for k, own in enumerate(counts.values()):
+        own[bucket[label == k]] = n[label == k]
     return counts
 
 
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> NaiveBayes:
+    """The model of all rows with text and language whose crc32(id as text) mod 3 is not 1."""
+    with tidy(docs.sparkSession):
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
+        return train(rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out("id", 3, 1)), character_features)
+
+
+def language_verdict(docs: DataFrame, model: NaiveBayes, text_col: str = "text"):
+    """struct(lang_pred, score, surprise) of the texts of docs. surprise: by how much the mean log probability of the text's
+    n-grams falls short of what is usual in the predicted language; a text of a language or an alphabet that was not learnt
+    has a large one, whatever the posterior says."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> list:
+        model = shared.value
+        names = np.array([*model.names, "und"], dtype=object)
+        row, bucket, has = character_features(texts)
+        best, score, surprise = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.zeros(len(texts))
+        if len(names) > 1:
+            log = model.log_joint(row, bucket, len(texts))
+            p = posteriors(log)
+            best, score = np.where(has, p.argmax(1), best), np.where(has, p.max(1), 0.0)
+            top = log.argmax(1)
+            mean = (log - model.log_prior)[np.arange(len(texts)), top] / np.maximum(np.bincount(row, minlength=len(texts)), 1)
+            surprise = np.where(has, model.usual[top] - mean, 0.0)
+        return [pa.array(names[best], pa.string()), score, surprise]
+
+    return text_function(run, "lang_pred string, score double, surprise double")(F.col(text_col).cast("string"))
+
+
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id_col, held_out, lang_pred, score) for every row of docs; score is the posterior of the prediction.
 
     Learns from all rows with text and language whose crc32(id as text) mod 3 is not 1; only the text gives inputs of a
     prediction. Null texts and texts without a letter get `und` with score 0, as does every row where nothing could be
-    learnt. Rows with a null id are learnt from and scored. Repeated rows count and are scored each. Ties go to the first
-    language by name. Other columns are ignored; an empty table gives none. Whole texts are read.
+    learnt. Rows with a null id are learnt from and scored; ids may have any type. Repeated rows count and are scored each.
+    Ties go to the first language by name. Other columns are ignored, whatever their names; an empty table gives none. Whole
+    texts are read, a long one by itself.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
-    with tidy_shuffles(docs.sparkSession):
-        model = train(rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out("id", 3, 1)), character_features)
-    names = np.array([*model.names, "und"], dtype=object)
-
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                row, bucket, has = character_features(part.column("text"))
-                best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
-                if len(names) > 1:
-                    p = posteriors(model.log_joint(row, bucket, part.num_rows))
-                    best, score = np.where(has, p.argmax(1), best), np.where(has, p.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names[best], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
-
-    with tidy_shuffles(docs.sparkSession):
-        out = cut(rows.select("id", "text").mapInArrow(run, "id long, lang_pred string, score double"), "languages")
-    return out.select(F.col("id").alias(id_col), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score")
+    told = docs.select(F.col(id_col), language_verdict(docs, fit_languages(docs, id_col, text_col, lang_col), text_col).alias("told"))
+    return told.select(id_col, held_out(id_col, 3, 1).alias("held_out"), "told.lang_pred", "told.score")

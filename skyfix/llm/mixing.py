@@ -1,52 +1,59 @@
 """Mixing sources to target weights with soft memberships.
 
 A classifier learnt from the labelled rows predicts, for each document, how much of it belongs to each domain. Nonnegative
-document rates are fitted so that expected domain token totals meet the targets: projected-gradient least squares, whose
-gradient of a document depends only on its posteriors and on the domains' current errors. So each step is one distributed
-sum over the documents, a few numbers reach the driver, and rates are column expressions, never gathered.
+document rates are fitted so that expected domain token totals meet the targets: projected-gradient least squares. The
+gradient of a document's rate is its posteriors times the domains' errors, so the sum of all steps is one number a domain,
+and a rate is max(0, 1 - that sum times the posteriors): a column expression, never gathered. Each round is one distributed
+sum over the documents, of the totals and of their curvature (domains x domains numbers), which scales the next step.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bayes import WORD_BUCKETS, feature_counts, posteriors, word_features
-from .quality_model import STATISTICS, Discriminant, _statistics, class_sums
-from .shared import cut, maybe_broadcast, steps, tidy_shuffles
+from .quality_model import SAMPLE, STATISTICS, Discriminant, _statistics, class_sums, labelled_texts
+from .shared import cut, lookup, spare_name, steps, text_function, tidy, without
 
 #: Domain of (quality, toxic) labels, and the share of the mixed tokens that each is to have.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
-#: Steps of the fit, those between two written tables of rates, the step size and the pull towards a rate of 1.
-ROUNDS, WRITTEN, SIZE, PULL = 24, 8, 0.8, 0.002
+#: The fit ends when each domain's share of the expected tokens is this near to its target, or after so many rounds; each
+#: round tries these parts of its step at once.
+TOLERANCE, ROUNDS, PARTS = 0.0005, 40, (1.0, 0.5, 0.2, 0.05)
+#: Draws that are tried for the whole copies; the one with the best totals is used.
+DRAWS = 16
 #: Of the classifier: points and steps of the fit of words' shares, and the shrinkage of covariances.
 GRID, FIT, SHRINK, RIDGE = 40, 60, 0.05, 1e-3
 
 
-def domain(quality: str = "quality", toxic: str = "toxic"):
+def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 0, "low").when(F.col(quality) == 1, "clean")
 
 
-def word_weights(counts: dict[str, np.ndarray]) -> np.ndarray:
+def word_weights(counts: dict[str, np.ndarray], names: tuple[str, ...] = DOMAINS) -> np.ndarray:
     """(3, domains, buckets): log-odds that each word adds to its text being of the domain. Those of the largest domain are 0.
 
     A word's share of texts of the domain is shrunk to the distribution of these shares over all words, fitted by EM on a grid:
     a word without texts weighs nothing, one with few weighs as much as such words have proved to. The second and third
     form leave one text out, of the domain and of another one, so that a labelled text can be weighed without itself.
     """
-    rows = np.array([counts.get(d, np.zeros(WORD_BUCKETS + 1)) for d in DOMAINS], np.float64)
+    rows = np.array([counts.get(d, np.zeros(WORD_BUCKETS + 1)) for d in names], np.float64)
     seen, texts = rows[:, :WORD_BUCKETS], rows[:, WORD_BUCKETS]
-    out = np.zeros((3, len(DOMAINS), WORD_BUCKETS), np.float32)
-    for j in range(len(DOMAINS)):
+    out = np.zeros((3, len(names), WORD_BUCKETS), np.float32)
+    for j in range(len(names)):
         if j == int(texts.argmax()):
             continue
         kinds, at, number = np.unique(seen[j] + 1j * seen.sum(0), return_inverse=True, return_counts=True)
         own, times = kinds.real, kinds.imag
         number = np.where(times > 0, number, 0)
-        share = (texts[j] + 0.5) / (texts.sum() + 0.5 * len(DOMAINS))
+        share = (texts[j] + 0.5) / (texts.sum() + 0.5 * len(names))
         chance = np.log(share / (1 - share))
         grid = np.sort(np.append(np.linspace(chance - 3, max(chance, 0) + 6, GRID), chance))
         odds = 1 / (1 + np.exp(-grid))
@@ -68,93 +75,224 @@ def word_weights(counts: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def evidence(weights: np.ndarray, row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, 2 * domains): what the words of each text say for each domain, then what they say against it.
+def evidence(weights: np.ndarray, row: np.ndarray, bucket: np.ndarray, times: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """(rows, 3 * domains): what the words of each text say for each domain, what they say against it, and how much of the text
+    says so for it.
 
     Squares of weights are added up, so that many faint ones do not drown a strong one, and put on a logarithmic scale.
     """
     told = weights[:, bucket].astype(np.float64)
-    found = [np.bincount(row, w**2, rows) for side in (np.maximum(told, 0), np.minimum(told, 0)) for w in side]
-    return np.log1p(np.sqrt(np.stack(found, axis=1)) / 4)
+    above, below = np.maximum(told, 0), np.minimum(told, 0)
+    once = [np.bincount(row, w**2, len(tokens)) for side in (above, below) for w in side]
+    often = [np.bincount(row, w**2 * times, len(tokens)) / np.maximum(tokens, 1) for w in above]
+    return np.hstack((np.log1p(np.sqrt(np.stack(once, axis=1)) / 4), np.sqrt(np.stack(often, axis=1))))
 
 
-def memberships(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens, p): words of each row and its posteriors over DOMAINS.
+@dataclass
+class Memberships:
+    """The fitted classifier: weights of the words (domains x buckets) and Gaussians over statistics and evidence."""
 
-    The posteriors are of Gaussians over the quality statistics and the evidence of the words. The Gaussians are fitted to
-    evidence that leaves the labelled text itself out.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("label_id"), domain().alias("label")).where("label is not null and label_id is not null")
-    known = maybe_broadcast(known, known.count(), 48)
-    weights = word_weights(feature_counts(rows.where("text is not null").join(known, F.col("id") == F.col("label_id")).select("label", "text"), word_features, WORD_BUCKETS))
+    names: tuple[str, ...]
+    weights: np.ndarray
+    gaussians: Discriminant
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(words, posteriors over the domains) of each text; without anything learnt all is of the first domain."""
+        row, bucket, times, tokens = word_features(texts)
+        p = np.zeros((len(texts), len(self.names)))
+        known = sorted(self.gaussians.classes)
+        if known:
+            x = np.hstack((_statistics(texts), evidence(self.weights, row, bucket, times, tokens)))
+            p[:, known] = posteriors(np.stack([self.gaussians.log_joint(x, k) for k in known], axis=1))
+        else:
+            p[:, 0] = 1
+        return tokens.astype(np.int64), p
+
+
+def fit_memberships(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], id_col: str, text_col: str, most: int = SAMPLE) -> Memberships:
+    """From labels (label_id, label). The Gaussians are fitted to evidence that leaves the labelled text itself out."""
+    learnt = labelled_texts(docs, labels, id_col, text_col, most)
+    weights = word_weights(feature_counts(learnt.where("text is not null"), word_features, WORD_BUCKETS), names)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def measure(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                row, bucket, tokens = word_features(part.column("text"))
-                x = np.hstack((_statistics(part.column("text")), *(evidence(w, row, bucket, part.num_rows) for w in weights)))
-                offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["id", "tokens", "x"])
-
-    x = cut(rows.mapInArrow(measure, "id long, tokens long, x array<double>"), "domain-statistics")
-    place = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("label")) - 1
-    n, d = len(STATISTICS), 2 * len(DOMAINS)
-    without = [F.when(place == j % len(DOMAINS), F.col("x")[n + d + j]).otherwise(F.col("x")[n + 2 * d + j]) for j in range(d)]
-    learnt = x.join(known, F.col("id") == F.col("label_id")).select(place.alias("label"), F.concat(F.slice("x", 1, n), F.array(*without)).alias("x"))
-    model = Discriminant(class_sums(learnt), SHRINK, RIDGE)
-
-    def judge(batches):
-        for batch in batches:
-            if batch.num_rows:
-                found = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)[:, : n + d]
-                p = np.zeros((batch.num_rows, len(DOMAINS)))
-                if model.classes:
-                    p[:, sorted(model.classes)] = posteriors(np.stack([model.log_joint(found, k) for k in sorted(model.classes)], axis=1))
-                else:
-                    p[:, 0] = 1
-                offs = np.arange(batch.num_rows + 1, dtype=np.int32) * len(DOMAINS)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens"), pa.ListArray.from_arrays(pa.array(offs), pa.array(p.ravel()))], ["id", "tokens", "p"])
-
-    return x.mapInArrow(judge, "id long, tokens long, p array<double>")
-
-
-def fit_rates(rows: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """rows (id, tokens, p) plus `rate`. The domain with the largest target keeps its tokens; the others are fitted to it."""
-    dims = range(len(DOMAINS))
-    sums = lambda df: df.agg(*(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[j]), F.lit(0.0)).alias(f"s{j}") for j in dims)).first()
-    rows = rows.withColumn("rate", F.lit(1.0))
-    start = sums(rows)
-    weights = [targets[d] for d in DOMAINS]
-    anchor = max(dims, key=lambda j: weights[j])
-    total = start[anchor] / weights[anchor] if weights[anchor] else 0.0
-    if total <= 0:
-        return rows
-    goal = [total * w for w in weights]
-    for step in range(1, rounds + 1):
-        now = sums(rows)
-        errors = [(now[j] - goal[j]) / start[j] if start[j] > 0 else 0.0 for j in dims]
-        gradient = sum((F.col("p")[j] * F.lit(errors[j]) for j in dims), F.lit(0.0)) + (F.col("rate") - 1) * PULL
-        rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - gradient * SIZE))
-        if step % WRITTEN == 0 or step == rounds:
-            rows = cut(rows, "rates")
-    return rows
-
-
-def copies(rate):
-    """Whole copies: a rate within 0.05 of a whole number is that number, else it is rounded up as often as it says."""
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    return F.when(F.abs(rate - F.round(rate)) <= 0.05, F.round(rate)).otherwise(F.floor(rate + draw)).cast("long")
-
-
-def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, p_clean, p_low, p_toxic, rate, copies) for every row of docs.
-
-    Learns from label rows whose document is there: toxic 1 is the domain `toxic`, else quality 0 `low` and 1 `clean`; other
-    labels are left out. Null and empty texts have no tokens, and posteriors as texts without words. Without usable labels all
-    is `clean`. Repeated rows count and are rated each; a null id is rated and never learnt from. Where the domain with the
-    largest target has no tokens, every rate is 1. Other columns are ignored; an empty table gives none.
+        for part in (part for batch in batches for part in steps(batch, "text")):
+            row, bucket, times, tokens = word_features(part.column("text"))
+            label = np.array([names.index(x) for x in part.column("label").to_pylist()])
+            _, own, other = (evidence(w, row, bucket, times, tokens) for w in shared.value)
+            mine = label[:, None] == np.arange(own.shape[1])[None, :] % len(names)
+            x = np.hstack((_statistics(part.column("text")), np.where(mine, own, other)))
+            offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["label", "x"])
+
+    sums = class_sums(learnt.mapInArrow(measure, "label int, x array<double>"))
+    return Memberships(names, weights[0], Discriminant(sums, SHRINK, RIDGE))
+
+
+def verdicts(docs: DataFrame, model: Memberships, text_col: str) -> Column:
+    """struct(tokens, p) of the texts of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> list:
+        tokens, p = shared.value.of(texts)
+        return [tokens, pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))]
+
+    return text_function(run, "tokens bigint, p array<double>")(F.col(text_col).cast("string"))
+
+
+def rate_of(p: Column, steps_: np.ndarray) -> Column:
+    """Rate of a document with these posteriors after steps that sum to so much for each domain."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, (p[j] * F.lit(float(s)) for j, s in enumerate(steps_))))
+
+
+def copies_of(rate: Column, key: Column, draw: int) -> Column:
+    """Whole copies: the rate rounded up as often as its fraction says, so that copies are the rate on average."""
+    u = F.pmod(F.xxhash64(key, F.lit(draw)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(rate + u).cast("long")
+
+
+def _column_sums(rows: DataFrame, values: list[Column]) -> np.ndarray:
+    return np.array(rows.agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s{i}") for i, v in enumerate(values))).first(), np.float64)
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
+    """The sum of the steps for each domain, from rows (tokens, p, banned); see rate_of. Banned rows have rate 0.
+
+    The domain with the largest target keeps its tokens and the others are fitted to it. Where it has none, all stay at 1.
+    """
+    weights = np.array(list(targets.values()), np.float64)
+    d = len(weights)
+    anchor = int(weights.argmax())
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    free = rows.where("not banned and tokens > 0")
+
+    def measured(tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(totals, curvature) at each of the tried sums of steps, in one pass."""
+        values = []
+        for at in tries:
+            rate, t, p = rate_of(F.col("p"), at), F.col("tokens"), F.col("p")
+            values += [rate * t * p[j] for j in range(d)] + [F.when(rate > 0, t * p[i] * p[j]).otherwise(0.0) for i, j in pairs]
+        out = []
+        for found in np.split(_column_sums(free, values), len(tries)):
+            curve = np.zeros((d, d))
+            for (i, j), value in zip(pairs, found[d:], strict=True):
+                curve[i, j] = curve[j, i] = value
+            out.append((found[:d], curve))
+        return out
+
+    at = np.zeros(d)
+    [(totals, curve)] = measured([at])
+    if totals[anchor] <= 0 or weights[anchor] <= 0:
+        return at
+    goal = totals[anchor] * weights / weights[anchor]
+    off = lambda totals: np.abs(totals / max(totals.sum(), 1e-9) - weights / weights.sum()).max()
+    for _ in range(rounds):
+        if off(totals) <= tolerance:
+            break
+        step = np.linalg.lstsq(curve + 1e-9 * np.trace(curve) * np.eye(d), totals - goal, rcond=None)[0]
+        tries = [at + part * step for part in PARTS]
+        found = measured(tries)
+        best = min(range(len(tries)), key=lambda k: np.square(found[k][0] - goal).sum())
+        if np.square(found[best][0] - goal).sum() >= np.square(totals - goal).sum():
+            break
+        at, (totals, curve) = tries[best], found[best]
+    return at
+
+
+def best_draw(rows: DataFrame, targets: dict[str, float], at: np.ndarray, draws: int = DRAWS) -> int:
+    """Of some draws of whole copies the one whose totals are nearest to the expected ones."""
+    d = len(targets)
+    rate, t, p = rate_of(F.col("p"), at), F.col("tokens"), F.col("p")
+    values = [rate * t * p[j] for j in range(d)]
+    for draw in range(draws):
+        values += [copies_of(rate, F.col("key"), draw) * t * p[j] for j in range(d)]
+    wanted, *found = np.split(_column_sums(rows.where("not banned and tokens > 0"), values), draws + 1)
+    return int(np.argmin([np.square(f - wanted).sum() for f in found]))
+
+
+@dataclass
+class Mix:
+    """A fitted mix: the classifier, the sums of the steps and the draw."""
+
+    targets: dict[str, float]
+    model: Memberships
+    steps: np.ndarray
+    draw: int
+
+
+def _banned(labels: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """(id) that labels (label_id, label) place in a domain of which nothing is wanted."""
+    unwanted = [d for d, w in targets.items() if w <= 0]
+    return labels.where(F.col("label").isin(*unwanted)).select(F.col("label_id").alias("id")).distinct()
+
+
+def _labelled(labels: DataFrame, targets: dict[str, float], id_col: str, of: Column | None) -> DataFrame:
+    known = labels.select(F.col(id_col).alias("label_id"), (domain() if of is None else of).alias("label"))
+    return known.where(F.col("label").isin(*targets) & F.col("label_id").isNotNull())
+
+
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str, text_col: str, most: int) -> tuple[Mix, DataFrame]:
+    """The fitted mix and the written table (id, key, tokens, p, banned) of all rows."""
+    model = fit_memberships(docs, labels, tuple(targets), id_col, text_col, most)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), verdicts(docs, model, text_col).alias("v"))
+    rows = cut(rows.select("id", "key", "v.*"), "memberships")
+    barred = cut(_banned(labels, targets).withColumn("banned", F.lit(True)), "barred")
+    rows = cut(lookup(rows, barred, "id").select("id", "key", "tokens", "p", F.coalesce("banned", F.lit(False)).alias("banned")), "rated", keep=True)
+    at = fit_rates(rows, targets)
+    return Mix(targets, model, at, best_draw(rows, targets, at)), rows
+
+
+def mix_to_targets(
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    of: Column | None = None,
+    most: int = SAMPLE,
+) -> DataFrame:
+    """(id_col, n_tokens, p_<domain> for each domain, rate, copies) for every row of docs.
+
+    targets: the share of the mixed tokens that each domain is to have; of: the domain of a label row (null: none), by
+    default toxic 1 is `toxic`, else quality 0 `low` and 1 `clean`. Learns from about `most` label rows at most (a sample by
+    the hash of the id) whose document is there. A document that labels place in a domain of target 0 has rate 0, whatever
+    the classifier says. Null and empty texts have no tokens, and posteriors as texts without words. Without usable labels
+    all is of the first domain. Repeated rows count and are rated each; a null id is rated and never learnt from; ids may
+    have any type. Where the domain with the largest target has no tokens, every other rate is 1. Other columns are ignored,
+    whatever their names; an empty table gives none.
+    """
+    targets = targets or TARGETS
+    with tidy(docs.sparkSession):
+        mix, rows = _fit(docs, _labelled(labels, targets, id_col, of), targets, id_col, text_col, most)
+    rate = F.when(F.col("banned"), F.lit(0.0)).otherwise(rate_of(F.col("p"), mix.steps))
+    shares = [F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(targets)]
+    copies = F.when(F.col("banned"), F.lit(0).cast("long")).otherwise(copies_of(rate_of(F.col("p"), mix.steps), F.col("key"), mix.draw))
+    return rows.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *shares, rate.alias("rate"), copies.alias("copies"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    of: Column | None = None,
+    most: int = SAMPLE,
+) -> DataFrame:
+    """The rows of docs that have a copy or more in the mix of mix_to_targets, whole, with `rate` and `copies`.
+
+    Columns of docs with these names are replaced. Rates are made again from the texts, so nothing brings them to the rows.
     """
-    with tidy_shuffles(docs.sparkSession):
-        rated = fit_rates(cut(memberships(docs, labels, id_col, text_col), "memberships"), targets or TARGETS)
-    return rated.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(DOMAINS)), "rate", copies(F.col("rate")).alias("copies"))
+    targets = targets or TARGETS
+    known = _labelled(labels, targets, id_col, of)
+    with tidy(docs.sparkSession):
+        mix, _ = _fit(docs, known, targets, id_col, text_col, most)
+    docs = without(docs, cut(_banned(known, targets), "barred", keep=True).withColumnRenamed("id", id_col), [id_col])
+    name = spare_name(docs, "mix_verdict")
+    text = F.col(text_col).cast("string")
+    rated = docs.select("*", verdicts(docs, mix.model, text_col).alias(name))
+    rate = rate_of(F.col(name)["p"], mix.steps)
+    own = [c for c in docs.columns if c.lower() not in ("rate", "copies")]
+    copies = copies_of(rate, F.xxhash64(F.col(id_col), text), mix.draw)
+    return rated.select(*own, rate.alias("rate"), copies.alias("copies")).where("copies > 0")

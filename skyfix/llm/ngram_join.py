@@ -4,14 +4,18 @@ The n-grams of all texts have one global order; it is cut into fragments. Each f
 (how many texts have an n-gram, how much of a text or of a pair of texts overlaps), and the partial counts are summed
 per text or per pair.
 
-1. `sets`: the distinct n-grams of each text as 64-bit hashes, and a signature of the set. Texts of equal sets form a
+1. `sets`: the distinct n-grams of each text as 64-bit hashes, and two signatures of the set. Texts of equal sets form a
    class; from here on one row stands for a class, so a third of all rows being copies costs nothing.
 2. First pass, in hash order: two sets with Jaccard t share their first k n-grams within the first n - ceil(t n) + k of
    each, so a class with fewer than k n-grams there that others have too is linked with nothing and leaves.
 3. Second pass over the classes left, whole sets, rare n-grams first: a class needs ceil(t n) n-grams that others have,
    and each link has an n-gram of both prefixes. Common passages come last in this order and so give no candidates.
-4. Candidates meet in groups around the smallest class of each prefix n-gram; a large group is cut into blocks, and each
-   pair of blocks is a task of its own. Overlaps are counted exactly, fragment by fragment, and summed per pair.
+4. Candidates meet in groups around the smallest class of each prefix n-gram. Their n-grams are cut into fragments again:
+   each fragment of a group counts the overlaps of its pairs in its own part of the order, as one packed array, and the
+   arrays are summed per pair. A large group is cut into blocks, and each pair of blocks is compared by itself.
+5. Where only components are wanted, a large group first meets some of its own members (pivots), which mostly joins it
+   into one component; then only pairs of members that are not joined yet are compared. Nothing is lost by that: a pair
+   inside one component adds nothing to it.
 
 Hot fragments are cut into slices; counts are summed in the mappers first. Nothing but the slice count of hot fragments
 (at most one entry for SLICE n-grams of input) reaches the driver.
@@ -26,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import U, Texts, cut, maybe_broadcast, mix, rolled, steps, tidy_shuffles
+from .shared import Rolling, Texts, U, cut, lookup, maybe_broadcast, mix, perhaps_among, row_keys, text_function, tidy
 
 #: N-grams in a fragment on average, in a slice of a hot fragment at most, and held back by a mapper before it sends.
 FRAGMENT, SLICE, HELD = 500_000, 2_000_000, 500_000
-#: Classes and n-grams in a block of candidates.
-BLOCK_ROWS, BLOCK_GRAMS = 400, 200_000
+#: Classes in a block of candidates, n-grams in a fragment of a pair of blocks or in a task of small groups, fragments that a
+#: pair is counted in at least, and members that a large group meets first, about.
+BLOCK_ROWS, BLOCK_GRAMS, LEAST_FRAGMENTS, PIVOTS = 400, 200_000, 2, 16
 #: N-grams whose overlaps are counted at once for a pair of blocks.
 PIECE = 4096
 
@@ -41,26 +46,25 @@ def _need(n, percent):
     return -(-n * percent // 100)
 
 
-def _sets_of(batch: pa.RecordBatch, id_col: str, text_col: str, words: int):
-    """(row, sorted distinct n-gram hashes) of each row."""
-    for part in steps(batch, text_col):
-        texts = Texts(part.column(text_col), lower=True)
-        start, end, row = texts.words()
-        whole = texts.hashes(start, end)
-        grams = rolled(whole, words) if len(whole) >= words else np.zeros(0, U)
-        first = np.searchsorted(row, np.arange(part.num_rows + 1))
-        yield part, [_distinct(whole[a:b], grams[a : b - words + 1] if b - a >= words else None) for a, b in zip(first[:-1], first[1:], strict=True)]
+def _sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text."""
+    found = Texts(texts, lower=True)
+    start, end, row = found.words()
+    rolling = Rolling(found.hashes(start, end))
+    grams = rolling.of(words)
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a < words:
+            out.append(rolling.of(b - a)[a : a + 1] if b > a else np.zeros(0, U))
+        else:
+            own = np.sort(grams[a : b - words + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+    return out
 
 
-def _distinct(words: np.ndarray, grams: np.ndarray | None) -> np.ndarray:
-    if grams is None:
-        return rolled(words, len(words)) if len(words) else words
-    grams = np.sort(grams)
-    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
-
-
-def _signature(grams: np.ndarray) -> int:
-    return int(mix(grams + U(1)).sum(dtype=U).astype(np.int64))
+def _signature(grams: np.ndarray, salt: int) -> int:
+    return int(mix(grams + U(salt)).sum(dtype=U).astype(np.int64))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -70,19 +74,33 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, prefix: bool) -> DataFrame:
-    """(id, n, class_id, grams): the set's size, its signature, and the n-grams in hash order:
-    the first n - ceil(t n) + max(1, n / 10), or all. Null and empty texts have n = 0."""
+    """(id, key_a, key_b, n, class_id, check, grams): the set's size, its signatures (null for none), and the n-grams in hash
+    order: the first n - ceil(t n) + max(1, n / 10), or all. Null and empty texts have n = 0."""
 
-    def run(batches):
-        for batch in batches:
-            for part, found in _sets_of(batch, "id", "text", words):
-                sign = [_signature(x) for x in found]
-                n = [len(x) for x in found]
-                if prefix:
-                    found = [x[: len(x) - _need(len(x), percent) + max(1, len(x) // 10)] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), _lists(found)], ["id", "n", "class_id", "grams"])
+    def run(texts: pa.Array) -> list:
+        found = _sets_of(texts, words)
+        n = [len(x) for x in found]
+        signs = [pa.array([_signature(x, salt) if len(x) else None for x in found], pa.int64()) for salt in (1, 2**40 + 1)]
+        if prefix:
+            found = [x[: len(x) - _need(len(x), percent) + max(1, len(x) // 10)] for x in found]
+        return [pa.array(n, pa.int64()), *signs, _lists(found)]
+
+    told = text_function(run, "n bigint, class_id bigint, check bigint, grams array<bigint>")(F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), told.alias("told")).select("id", "key_a", "key_b", "told.*")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, class_id long, grams array<long>")
+
+def _clashes(rows: DataFrame) -> DataFrame:
+    """(class_id) of the first signatures that different sets share, by the second: 128 bits tell sets apart."""
+    signs = rows.where("n > 0").groupBy("class_id").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    return cut(signs.where("low <> high").select("class_id"), "clashes")
+
+
+def _told_apart(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """Rows of sets, with another class_id where the first signature does not tell."""
+    if clashes.isEmpty():
+        return rows
+    other = rows.join(F.broadcast(clashes), "class_id", "left_semi").withColumn("class_id", F.xxhash64("class_id", "check"))
+    return rows.join(F.broadcast(clashes), "class_id", "left_anti").unionByName(other)
 
 
 def _by_fragment(frag: np.ndarray, count: int):
@@ -217,65 +235,139 @@ def _shared_grams(rows: DataFrame, name: str, percent: int, count_only: bool) ->
     return parts.groupBy("bucket").applyInArrow(add, "class_id long, n long, shared long" if count_only else "class_id long, n long, grams array<long>")
 
 
-def _linked(members: list[tuple[int, int, np.ndarray]], split: int, percent: int) -> np.ndarray:
-    """Flags of the linked pairs among members (class, n, n-grams); split > 0: only between the first `split` and the rest.
-    The order is cut into pieces; overlaps are counted in each and summed."""
-    sizes = np.array([m[1] for m in members], np.float64)
-    flat = np.concatenate([m[2] for m in members])
-    row = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+def _overlaps(members: list[np.ndarray], split: int) -> np.ndarray:
+    """How many n-grams each two members share; split > 0: only between the first `split` and the rest. The order is cut into
+    pieces; overlaps are counted in each and summed."""
+    flat = np.concatenate(members)
+    row = np.repeat(np.arange(len(members)), [len(m) for m in members])
     _, gram, times = np.unique(flat, return_inverse=True, return_counts=True)
     again = times >= 2
     gram, row = (np.cumsum(again) - 1)[gram[again[gram]]], row[again[gram]]
     order = np.argsort(gram, kind="stable")
     gram, row = gram[order], row[order]
-    common = np.zeros((split or len(members), len(members) - split if split else len(members)), np.float64)
+    common = np.zeros((split or len(members), len(members) - split if split else len(members)), np.int32)
     for low in range(0, int(again.sum()), PIECE):
         a, b = np.searchsorted(gram, (low, low + PIECE))
         has = np.zeros((len(members), int(min(PIECE, again.sum() - low))), np.float32)
         has[row[a:b], gram[a:b] - low] = 1
-        common += has[:split] @ has[split:].T if split else has @ has.T
-    one, two = (sizes[:split], sizes[split:]) if split else (sizes, sizes)
-    return 100 * common >= percent * (one[:, None] + two[None, :] - common)
+        common += (has[:split] @ has[split:].T if split else has @ has.T).astype(np.int32)
+    return common
 
 
-def _links(ordered: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(a, b): links between classes; every: all of them, else as many as join what is joined."""
-    prefix = ordered.select("class_id", "n", F.size("grams").alias("grams_n"), F.explode(F.expr(f"slice(grams, 1, cast(size(grams) - ceil(n * {percent} / 100) + 1 as int))")).alias("gram"))
-    leaders = prefix.groupBy("gram").agg(F.min("class_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    groups = cut(prefix.join(leaders.hint("shuffle_hash"), "gram").select("leader", "class_id", "grams_n").distinct(), "groups")
-    sizes = groups.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("grams_n").alias("grams"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int"))
-    buckets = max(1, -(-(groups.agg(F.sum("grams_n")).first()[0] or 0) // BLOCK_GRAMS))
-    mine = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    placed = groups.join(sizes.select("leader", "blocks"), "leader").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("class_id", "leader", "mine", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("leader"), F.lit(buckets))).otherwise(F.xxhash64("leader", F.least("mine", "other"), F.greatest("mine", "other"))).alias("task"))
-    rows = placed.join(ordered, "class_id")
+_UNIT = ["leader", "bi", "bj"]
+
+
+def _units(table: pa.Table, columns: list[str]):
+    """(unit, rows) of each pair of blocks in a task, rows being tuples of the named columns."""
+    found: dict = {}
+    for unit, row in zip(zip(*(table.column(c).to_pylist() for c in _UNIT), strict=True), zip(*(table.column(c).to_pylist() for c in columns), strict=True), strict=True):
+        found.setdefault(unit, []).append(row)
+    return found.items()
+
+
+def _compare(placed: DataFrame, ordered: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b): links between the members of each unit of placed (class_id, leader, mine, bi, bj, task, fragments): between its
+    two blocks, or within its one. every: all links, else as many as join what is joined."""
 
-    def check(key, table):
-        groups: dict = {}
+    def cut_up(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("grams")
+            size = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+            count = np.asarray(batch.column("fragments"), dtype=np.int64)
+            flat = np.asarray(lists.flatten()).view(U)
+            row = np.repeat(np.arange(len(size)), size)
+            first = np.concatenate(([0], np.cumsum(count)))
+            cell = first[row] + (flat % count[row].astype(U)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            offs = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=int(first[-1]))))).astype(np.int32)
+            out = np.repeat(np.arange(len(size)), count)
+            fragment = np.arange(int(first[-1])) - first[out]
+            kept = batch.select(["task", *_UNIT, "mine", "class_id", "n"]).take(pa.array(out))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(fragment), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[order].view(np.int64)))], [*kept.schema.names, "fragment", "grams"])
+
+    def count(key, table):
         lists = table.column("grams").combine_chunks()
         offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-        for i, (c, n, leader, bi, bj, mine) in enumerate(zip(*(table.column(x).to_pylist() for x in ("class_id", "n", "leader", "bi", "bj", "mine")), strict=True)):
-            groups.setdefault((leader, bi, bj), []).append((mine != bi, c, n, flat[offs[i] : offs[i + 1]]))
-        a, b = [], []
-        for (_, bi, bj), rows in groups.items():
-            rows.sort(key=lambda r: r[:2])
-            members = [r[1:] for r in rows]
-            split = sum(not r[0] for r in rows) if bi != bj else 0
-            if len(members) < 2 or (bi != bj and split in (0, len(members))):
+        table = table.append_column("at", pa.array(np.arange(table.num_rows)))
+        out = []
+        for unit, rows in _units(table, ["mine", "class_id", "n", "at"]):
+            rows.sort(key=lambda r, bi=unit[1]: (r[0] != bi, r[1]))
+            split = sum(r[0] == unit[1] for r in rows) if unit[1] != unit[2] else 0
+            if len(rows) < 2 or (unit[1] != unit[2] and split in (0, len(rows))):
                 continue
-            left, right = np.nonzero(_linked(members, split, percent))
+            common = _overlaps([flat[offs[r[3]] : offs[r[3] + 1]] for r in rows], split)
+            out.append((key[0].as_py(), *unit, split, _blob(np.array([r[1] for r in rows])), _blob(np.array([r[2] for r in rows])), _blob(common)))
+        return pa.table({f: pa.array([r[i] for r in out], t) for i, (f, t) in enumerate(zip(counted, kinds, strict=True))})
+
+    def add_up(key, table):
+        a, b = [], []
+        for (_, bi, bj), rows in _units(table, ["split", "ids", "ns", "common"]):
+            split = rows[0][0]
+            ids, n = np.frombuffer(rows[0][1], np.int64), np.frombuffer(rows[0][2], np.int64)
+            one, two = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+            common = sum(np.frombuffer(r[3], np.int32).astype(np.int64) for r in rows).reshape(len(ids[one]), len(ids[two]))
+            left, right = np.nonzero(100 * common >= percent * (n[one][:, None] + n[two][None, :] - common))
             right = right + split
-            left, right = left[left < right], right[left < right]
-            for x, y in zip(left, right, strict=True) if every else _forest(left, right, len(members)):
-                a.append(members[x][0])
-                b.append(members[y][0])
+            some = (left < right) & (ids[left] != ids[right])
+            left, right = left[some], right[some]
+            for x, y in zip(left, right, strict=True) if every else _forest(left, right, len(ids)):
+                a.append(ids[x])
+                b.append(ids[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.groupBy("task").applyInArrow(check, "a long, b long")
+    counted = ["task", *_UNIT, "split", "ids", "ns", "common"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    pieces = placed.join(ordered, "class_id").mapInArrow(cut_up, "task long, leader long, bi int, bj int, mine int, class_id long, n long, fragment long, grams array<long>")
+    parts = pieces.groupBy("task", "fragment").applyInArrow(count, "task long, leader long, bi int, bj int, split int, ids binary, ns binary, common binary")
+    found = parts.groupBy("task").applyInArrow(add_up, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _links(ordered: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b): links between classes; every: all of them, else as many as join what is joined. A written table."""
+    prefix = ordered.select("class_id", F.size("grams").alias("grams_n"), F.explode(F.expr(f"slice(grams, 1, cast(size(grams) - ceil(n * {percent} / 100) + 1 as int))")).alias("gram"))
+    leaders = prefix.groupBy("gram").agg(F.min("class_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    groups = cut(prefix.join(leaders.hint("shuffle_hash"), "gram").select("leader", "class_id", "grams_n").distinct(), "groups")
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("grams_n").alias("grams"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+    sizes = sizes.withColumn("fragments", F.greatest(F.lit(LEAST_FRAGMENTS), F.ceil(2 * F.col("grams") / F.col("blocks") / BLOCK_GRAMS)).cast("long"))
+    groups = cut(lookup(groups, cut(sizes, "sizes"), "leader"), "sized-groups")
+    small, large = groups.where("blocks = 1"), groups.where("blocks > 1")
+    tasks = max(1, -(-(small.agg(F.sum("grams_n")).first()[0] or 0) // BLOCK_GRAMS))
+    none = F.lit(0)
+    alone = small.select("class_id", "leader", none.alias("mine"), none.alias("bi"), none.alias("bj"), F.pmod(F.xxhash64("leader"), F.lit(tasks)).alias("task"), "fragments")
+    mine = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    if every:
+        pairs = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
+        return cut(_compare(alone.unionByName(_paired(pairs)), ordered, percent, every), "links")
+
+    pivot = (F.col("class_id") == F.col("leader")) | (F.pmod(F.xxhash64("class_id", "leader"), F.lit(1 << 30)) < F.lit(PIVOTS * (1 << 30)) / F.col("rows"))
+    members = large.withColumn("mine", mine).withColumn("other", F.lit(-1))
+    pivots = large.where(pivot).withColumn("mine", F.lit(-1)).withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
+    first = cut(_compare(alone.unionByName(_paired(members.unionByName(pivots))), ordered, percent, every), "links")
+    if large.isEmpty():
+        return first
+    labels = cut(components(first), "labels")
+    told = lookup(cut(large.withColumnRenamed("class_id", "node"), "large"), labels, "node").select(F.col("node").alias("class_id"), "leader", "fragments", F.coalesce("label", "node").alias("label"))
+    told = cut(told, "labelled-groups")
+    counts = told.groupBy("leader", "label").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("pure"), F.sum("c").alias("rows"))
+    counts = counts.where("rows > pure").withColumn("mixed", F.ceil((F.col("rows") - F.col("pure")) / BLOCK_ROWS).cast("int")).withColumn("blocks", F.col("mixed") + F.ceil(F.col("pure") / BLOCK_ROWS).cast("int"))
+    rest = lookup(told, cut(counts, "mixed-groups"), "leader").where("main is not null")
+    is_mixed, place = F.col("label") != F.col("main"), F.xxhash64("class_id")
+    mine = F.when(is_mixed, F.pmod(place, F.col("mixed"))).otherwise(F.col("mixed") + F.pmod(place, F.col("blocks") - F.col("mixed"))).cast("int")
+    other = F.explode(F.sequence(none, F.when(is_mixed, F.col("blocks")).otherwise(F.col("mixed")) - 1))
+    second = _compare(_paired(rest.withColumn("mine", mine).withColumn("other", other)), ordered, percent, every)
+    return cut(first.unionByName(second), "links")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Members with the pair of blocks that they meet in, `mine` and `other`."""
+    bi, bj = F.least("mine", "other"), F.greatest("mine", "other")
+    return rows.select("class_id", "leader", "mine", bi.alias("bi"), bj.alias("bj"), F.xxhash64("leader", bi, bj).alias("task"), "fragments")
+
+
 def _forest(left: np.ndarray, right: np.ndarray, count: int):
     """Links that join what all links join, one fewer than the rows of each part."""
     up = list(range(count))
@@ -295,26 +387,29 @@ def _forest(left: np.ndarray, right: np.ndarray, count: int):
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
     """The sets of all rows, the classes, and the ordered n-grams of the classes that may have links."""
-    spark = docs.sparkSession
     rows = cut(sets(docs, id_col, text_col, words, percent, prefix=True), "sets")
-    classes = cut(rows.where("n > 0 and id is not null").groupBy("class_id").agg(F.min("id").alias("id")), "classes")
+    clashes = _clashes(rows)
+    rows = _told_apart(rows, clashes)
+    classes = cut(rows.where("n > 0 and id is not null").groupBy("class_id").agg(F.min(F.struct("id", "key_a", "key_b")).alias("one")), "classes")
+    classes = classes.select("class_id", "one.id", "one.key_a", "one.key_b")
     first = _shared_grams(_one_each(rows, classes), "first", percent, count_only=True)
-    some = cut(first.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))).join(classes, "class_id").select("id", "class_id"), "some")
-    left = docs.join(maybe_broadcast(some.select(F.col("id").alias(id_col)).distinct(), some.count(), 24), id_col, "left_semi")
-    whole = cut(_one_each(sets(left, id_col, text_col, words, percent, prefix=False), some), "whole")
-    return rows, classes, cut(_shared_grams(whole, "second", percent, count_only=False), "ordered")
+    some = first.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10)))
+    some = cut(some.join(classes, "class_id").select("class_id", "id", "key_a", "key_b"), "some")
+    left = perhaps_among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col)), some, ["key_a", "key_b"])
+    whole = _told_apart(cut(sets(left, "id", "text", words, percent, prefix=False), "whole-sets"), clashes)
+    return rows, classes, cut(_shared_grams(_one_each(whole, some), "second", percent, count_only=False), "ordered")
 
 
 def _one_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The row of each class that has its smallest id; repeated rows count once."""
-    known = maybe_broadcast(classes.select("class_id", "id"), classes.count(), 32)
-    kept = rows.select("id", "n", "class_id", "grams").join(known, ["class_id", "id"], "left_semi")
+    """One row of each class: the one with its row keys; repeated rows count once."""
+    known = maybe_broadcast(classes.select("class_id", "key_a", "key_b"), classes.count(), 40)
+    kept = rows.select("key_a", "key_b", "n", "class_id", "grams").join(known, ["class_id", "key_a", "key_b"], "left_semi")
     return kept.dropDuplicates(["class_id"]) if _repeats(rows) else kept
 
 
 def _repeats(rows: DataFrame) -> bool:
-    """Whether some id occurs twice with the same set."""
-    return bool(rows.where("n > 0").groupBy("id", "class_id").count().where("count > 1").limit(1).count())
+    """Whether some row occurs twice."""
+    return bool(rows.where("n > 0").groupBy("key_a", "key_b").count().where("count > 1").limit(1).count())
 
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -323,9 +418,27 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns (links, members): links (a, b) between class ids, a < b, for every two different sets with
     100 * intersection >= percent * union; members (id, n, class_id), one row for each row of docs with words and an id.
     """
-    with tidy_shuffles(docs.sparkSession):
+    with tidy(docs.sparkSession):
         rows, _, ordered = _candidates(docs, id_col, text_col, words, percent)
-        return cut(_links(ordered, percent, every=True), "links"), rows.where("n > 0 and id is not null").select("id", "n", "class_id")
+        links = cut(_links(ordered, percent, every=True), "all-links", keep=True)
+        return links, cut(rows.where("n > 0 and id is not null").select("id", "n", "class_id"), "members", keep=True)
+
+
+def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """(id, key_a, key_b, n, component, is_first) for every row of docs, a written table; key_a and key_b are its row keys.
+    is_first: whether the row, or one equal to it, stands for its component; null without an id or words. See
+    ngram_components."""
+    with tidy(docs.sparkSession):
+        rows, classes, ordered = _candidates(docs, id_col, text_col, words, percent)
+        labels = cut(components(_links(ordered, percent, every=False)), "labels")
+        named = classes.join(labels, classes.class_id == labels.node, "left").select("class_id", F.struct("id", "key_a", "key_b").alias("one"), F.coalesce("label", "class_id").alias("label"))
+        named = cut(named, "named")
+        roots = cut(named.groupBy("label").agg(F.min("one").alias("root")), "roots")
+        known = cut(lookup(named, roots, "label").select("class_id", "root"), "known")
+        out = lookup(rows.select("id", "key_a", "key_b", "n", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")), known, "class_id")
+        component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("root.id"))
+        is_first = (F.col("root.key_a") == F.col("key_a")) & (F.col("root.key_b") == F.col("key_b"))
+        return cut(out.select("id", "key_a", "key_b", "n", component.alias("component"), is_first.alias("is_first")), "component-rows", keep=True)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -333,16 +446,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A text's set: distinct `words`-word n-grams of its words (runs of anything but ASCII white space, A-Z lower-cased);
     with fewer words the whole sequence as one. Two texts link at 100 * intersection >= percent * union;
-    component_id is the smallest id reachable by links. Null, empty and blank texts have no n-grams and link with nothing.
-    A row without id keeps its n_shingles and gets no component. Rows that repeat an id are returned as often; ids are
-    taken as unique where texts differ. Other columns of docs are ignored, whatever their names. An empty table gives an
-    empty result. Hashes have 64 bits: a false overlap needs a collision.
+    component_id is the smallest id reachable by links; ids may have any type that Spark orders. Null, empty and blank texts
+    have no n-grams and link with nothing. A row without id keeps its n_shingles and gets no component. Rows that repeat an
+    id are returned as often, each by its own text. Other columns of docs are ignored, whatever their names. An empty table
+    gives an empty result. Hashes have 64 bits (a false overlap needs a collision), those of whole sets 128.
     """
-    with tidy_shuffles(docs.sparkSession):
-        rows, classes, ordered = _candidates(docs, id_col, text_col, words, percent)
-        labels = components(cut(_links(ordered, percent, every=False), "links"))
-        roots = labels.join(classes, labels.node == classes.class_id).groupBy("label").agg(F.min("id").alias("root"))
-        known = classes.join(labels.join(roots, "label").select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("class_id", F.coalesce("root", "id").alias("component"))
-        known = cut(known, "roots")
-        out = rows.select("id", "n", "class_id").join(maybe_broadcast(known, known.count(), 32), "class_id", "left")
-        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+    rows = component_rows(docs, id_col, text_col, words, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -1,8 +1,9 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
-The statistics are made once for each text, by numpy on Arrow batches, and written. The class sums that means and
-covariances need are added up by Spark; only (1 + d + d * d) numbers a class reach the driver. Scores are differences of
-two Gaussian log densities, whose Mahalanobis terms use Cholesky factors made once and sent with the tasks (d * d numbers).
+The statistics of the labelled texts are made by numpy on Arrow batches; the class sums that means and covariances need are
+added up by Spark, and only (1 + d) * (1 + d) numbers a class reach the driver. Scores are differences of two Gaussian log
+densities, whose Mahalanobis terms use Cholesky factors made once and broadcast (d * d numbers). A score is a function of
+the row's text alone, so it is a column beside the others: no join brings scores to texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repetition import SYMBOLS, Measures, _per_row
-from .shared import U, cut, mix, steps, tidy_shuffles
+from .shared import U, cut, maybe_broadcast, mix, text_function, tidy
 
 _BYTES = np.arange(256)
 UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -53,17 +54,34 @@ def _statistics(column: pa.Array) -> np.ndarray:
     )
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x): the statistics of each row's whole text; null counts as empty."""
+def statistics(text):
+    """The statistics of a text column; null counts as empty."""
 
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                x = _statistics(part.column("text"))
-                offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["id", "x"])
+    def run(texts: pa.Array) -> list:
+        x = _statistics(texts)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))]
+
+    return text_function(run, "x array<double>")(text.cast("string"))["x"]
+
+
+#: Labelled rows that a model is fitted on at most, about: beyond it a sample by the hash of their ids.
+SAMPLE = 200_000
+
+
+def sampled(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Rows of (label_id, ...): all, or where they are more than `most`, about 95 % of that many ids by their hash."""
+    n = labels.count()
+    if n <= most:
+        return labels
+    return labels.where(F.pmod(F.xxhash64("label_id", F.lit(29)), F.lit(1 << 30)) < int((1 << 30) * 0.95 * most / n))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, x array<double>")
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = SAMPLE) -> DataFrame:
+    """(label, text) of the rows of docs that labels (label_id, label) name. Texts do not move: the labels, a bounded sample,
+    are broadcast. A label row counts once for each row of docs with its id."""
+    known = cut(sampled(labels, most), "sampled-labels")
+    known = maybe_broadcast(known, known.count(), 64)
+    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(known, "label_id").select("label", "text")
 
 
 def class_sums(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -123,24 +141,54 @@ def held_out(id_col: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrink: float = 0.1, ridge: float = 1e-3) -> DataFrame:
+def fit_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    shrink: float = 0.1,
+    ridge: float = 1e-3,
+    most: int = SAMPLE,
+) -> Discriminant:
+    """The fitted discriminant; see quality_scores for what it learns from."""
+    known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
+    known = known.where("label in (0, 1) and label_id is not null").where(~held_out("label_id", 4, 2))
+    with tidy(docs.sparkSession):
+        learnt = labelled_texts(docs, known, id_col, text_col, most)
+        return Discriminant(class_sums(learnt.select("label", statistics(F.col("text")).alias("x"))), shrink, ridge)
+
+
+def quality_verdict(docs: DataFrame, model: Discriminant, text_col: str, threshold: float = 0.7):
+    """struct(score, predicted) of the texts of docs by a fitted discriminant."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> list:
+        score = shared.value.score(_statistics(texts))
+        return [score, (score >= threshold).astype(np.int32)]
+
+    return text_function(run, "score double, predicted int")(F.col(text_col).cast("string"))
+
+
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    threshold: float = 0.7,
+    shrink: float = 0.1,
+    ridge: float = 1e-3,
+    most: int = SAMPLE,
+) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs: score in 0 to 1, higher where label 1 is likelier.
 
-    Learns from rows of labels with label 0 or 1 whose crc32(id as text) mod 4 is not 2 and whose document is there; only
-    the text gives inputs. Null and empty texts are scored as texts without words. Where one class or both lack rows, every
-    score is the share of label 1 (0.5 without rows). Rows with null ids are scored and never learnt from; repeated rows
-    are scored each, and repeated label rows count each. Other columns are ignored; an empty table gives none.
+    Learns from rows of labels with label 0 or 1 whose crc32(id as text) mod 4 is not 2 and whose document is there, from
+    about `most` of them at most (a sample by the hash of the id); only the text gives inputs. Null and empty texts are
+    scored as texts without words. Where one class or both lack rows, every score is the share of label 1 (0.5 without
+    rows). Rows with null ids are scored and never learnt from; ids may have any type; repeated rows are scored each, and
+    repeated label rows count each. Other columns are ignored, whatever their names; an empty table gives none.
     """
-    with tidy_shuffles(docs.sparkSession):
-        x = cut(statistics(docs, id_col, text_col), "statistics")
-        known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").where(~held_out("id", 4, 2))
-        model = Discriminant(class_sums(known.join(x.where("id is not null"), "id")), shrink, ridge)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                score = model.score(np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
-
-    out = x.mapInArrow(run, "id long, score double, predicted int")
-    return out.select(F.col("id").alias(id_col), held_out("id", 4, 2).alias("held_out"), "score", "predicted")
+    model = fit_quality(docs, labels, id_col, text_col, label_col, shrink, ridge, most)
+    out = docs.select(F.col(id_col), quality_verdict(docs, model, text_col, threshold).alias("verdict"))
+    return out.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "verdict.*")

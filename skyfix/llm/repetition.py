@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U, Texts, mix, rolled, steps
+from .shared import Rolling, Texts, U, mix, text_function
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Share of a text's word characters that repeated n-grams of each length may cover, and repeated lines.
@@ -38,13 +38,13 @@ def _later(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_words(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+def repeated_words(rolling: Rolling, row: np.ndarray, n: int) -> np.ndarray:
     """Flags of the words inside n-word windows that their row has twice or more, the first included."""
-    if len(words) < n:
-        return np.zeros(len(words), bool)
+    if len(row) < n:
+        return np.zeros(len(row), bool)
     inside = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
-    again = inside[_twice(mix(rolled(words, n)[inside] + mix(row[inside].astype(U))))]
-    cover = np.zeros(len(words) + 1, np.int64)
+    again = inside[_twice(mix(rolling.of(n)[inside] + mix(row[inside].astype(U))))]
+    cover = np.zeros(len(row) + 1, np.int64)
     np.add.at(cover, again, 1)
     np.add.at(cover, again + n, -1)
     return np.cumsum(cover[:-1]) > 0
@@ -60,6 +60,7 @@ class Measures:
         self.points = np.concatenate(([0], np.cumsum((texts.bytes & 0xC0) != 0x80)))
         self.size = self.points[self.end] - self.points[self.start]
         self.words = texts.hashes(self.start, self.end)
+        self.rolling = Rolling(self.words)
         self.n_words = np.bincount(self.row, minlength=rows).astype(np.int64)
         self.word_chars = _per_row(self.size, self.row, rows)
 
@@ -85,34 +86,41 @@ class Measures:
 
     def covered(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(words, word characters) of each row inside repeated n-word windows."""
-        flags = repeated_words(self.words, self.row, n)
+        flags = repeated_words(self.rolling, self.row, n)
         return np.bincount(self.row[flags], minlength=self.rows).astype(np.int64), _per_row(self.size[flags], self.row[flags], self.rows)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ngram_limits: dict[int, float] | None = None,
+    line_limit: float = LINE_LIMIT,
+) -> DataFrame:
     """One row for each row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     the shares of word characters inside repeated n-grams (dup_<n>) and repeated lines (dup_lines).
 
     Words are runs of anything but ASCII white space. base_failed: fewer than 50 words, or over half of them in 3-word
     windows that the text repeats. kept: not base_failed, and no share above its limit. Null and empty texts have no words
-    and so fail. Repeated rows are judged each; ids may be null; other columns are ignored; an empty table gives none.
-    Whole texts are read, a long one by itself. N-grams and lines are compared by 64-bit hashes within a text.
+    and so fail. Repeated rows are judged each; ids may be null and of any type; other columns are ignored, whatever their
+    names; an empty table gives none. Whole texts are read, a long one by itself. N-grams and lines are compared by 64-bit
+    hashes within a text.
     """
     limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
 
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, "text"):
-                m = Measures(part.column("text"))
-                line_row, line_chars, again, _ = m.lines()
-                chars = np.maximum(m.word_chars, 1)
-                repeat, _ = m.covered(3)
-                shares = {f"dup_{n}": m.covered(n)[1] / chars for n in limits}
-                shares["dup_lines"] = _per_row(line_chars[again], line_row[again], m.rows) / chars
-                failed = (m.n_words < 50) | (100 * repeat > 50 * m.n_words)
-                over = np.any([shares[f"dup_{n}"] > limits[n] for n in limits] + [shares["dup_lines"] > line_limit], axis=0)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_words": m.n_words, "word_chars": m.word_chars, "n_symbols": m.count(SYMBOLS).astype(np.int64), "n_dup_lines": np.bincount(line_row[again], minlength=m.rows).astype(np.int64), "n_repeat_words": repeat, "base_failed": failed, "kept": ~failed & ~over, **shares})
-
-    shape = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, " + ", ".join(f"dup_{n} double" for n in [*limits, "lines"])
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, shape)
-    return found.withColumnRenamed("id", id_col)
+    def run(texts: pa.Array) -> list:
+        m = Measures(texts)
+        line_row, line_chars, again, _ = m.lines()
+        chars = np.maximum(m.word_chars, 1)
+        repeat, _ = m.covered(3)
+        shares = [m.covered(n)[1] / chars for n in limits]
+        shares.append(_per_row(line_chars[again], line_row[again], m.rows) / chars)
+        failed = (m.n_words < 50) | (100 * repeat > 50 * m.n_words)
+        over = np.any([share > limit for share, limit in zip(shares, [*limits.values(), line_limit], strict=True)], axis=0)
+        dup_lines = np.bincount(line_row[again], minlength=m.rows).astype(np.int64)
+        return [m.n_words, m.word_chars, m.count(SYMBOLS).astype(np.int64), dup_lines, repeat, failed, ~failed & ~over, *shares]
+
+    shape = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    shape += "base_failed boolean, kept boolean, " + ", ".join(f"dup_{n} double" for n in [*limits, "lines"])
+    measured = text_function(run, shape)(F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col), measured.alias("measured")).select(id_col, "measured.*")

@@ -1,57 +1,89 @@
-"""Helpers that several operators use: cutting lineage in the shared folder, and vectorised text handling."""
+"""Helpers that several operators use: tables in the shared folder, joins with hot keys, and vectorised text handling."""
 
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 U = np.uint64
 #: Bytes of text that one numpy step takes at a time; a longer single text is a step of its own.
 STEP_BYTES = 1 << 18
 #: Rows times bytes up to which a table may be broadcast; beyond it the same join is shuffled.
 BROADCAST_BYTES = 48 << 20
+#: A key is hot with so many rows at least, and with one in so many of all rows: so hot keys are at most HOT_SHARE.
+HOT_ROWS, HOT_SHARE = 64, 100_000
+
+_written: contextvars.ContextVar[list | None] = contextvars.ContextVar("written", default=None)
+_lock, _cleaning = threading.Lock(), {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Only a local session may lack it and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor loses nothing. Inside `tidy` the
+    table goes when the block ends, but for those that the block's result reads (keep)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    paths = _written.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows in an Arrow batch: whole texts are long, and each batch is held by Spark and by Python at once.
-BATCH_ROWS = 1000
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextlib.contextmanager
-def tidy_shuffles(spark: SparkSession):
-    """While it lasts, Spark removes the shuffle files of each finished query and sends texts in small Arrow batches."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
-    old = {key: spark.conf.get(key) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
+def tidy(spark: SparkSession):
+    """While it lasts, Spark removes the shuffle files of each finished query; after it, the tables cut inside it are gone.
+
+    The session's setting comes back when the last block that runs in the session ends, so blocks may overlap in threads.
+    """
+    key = id(spark._jsparkSession)
+    with _lock:
+        users, old = _cleaning.get(key, (0, spark.conf.get(_CLEANUP)))
+        _cleaning[key] = (users + 1, old)
+        spark.conf.set(_CLEANUP, "true")
+    paths: list[str] = []
+    token = _written.set(paths)
     try:
         yield
     finally:
-        for key, value in old.items():
-            spark.conf.set(key, value)
+        _written.reset(token)
+        with _lock:
+            users, old = _cleaning.pop(key)
+            if users > 1:
+                _cleaning[key] = (users - 1, old)
+            else:
+                spark.conf.set(_CLEANUP, old)
+        for path in paths:
+            delete(spark, path)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -59,6 +91,119 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right, which has one row for each key at most (left join; null keys match nothing).
+
+    Rows of hot keys meet their row of right by a broadcast: hot keys are few, whatever the size of left. Rows without key
+    stay where they are. The rest is shuffled. left is read several times, so it should be a written table.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_times"))
+    hot = cut(counts.where(F.col("_times") >= max(HOT_ROWS, -(-left.count() // HOT_SHARE))).select(key), "hot-keys", keep=True)
+    few = F.broadcast(hot)
+    some = cut(right.join(few, key, "left_semi"), "hot-rows", keep=True)
+    parts = [left.where(F.col(key).isNotNull()).join(few, key, "left_anti").join(right, key, "left")]
+    parts.append(left.join(few, key, "left_semi").join(F.broadcast(some), key, "left"))
+    parts.append(left.where(F.col(key).isNull()))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """key_a, key_b: two hashes of a row's id and text, which tell rows apart whatever their ids are."""
+    text = F.col(text_col).cast("string")
+    return [F.xxhash64(F.col(id_col), text).alias("key_a"), F.xxhash64(text, F.lit(7), F.col(id_col)).alias("key_b")]
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose row keys are not in keys (key_a, key_b), a written table; see without."""
+    names = [spare_name(docs, n) for n in ("key_a", "key_b")]
+    named = docs.select("*", *(k.alias(n) for k, n in zip(row_keys(id_col, text_col), names, strict=True)))
+    return without(named, keys.toDF(*names), names).select(docs.columns)
+
+
+#: Bits of a filter that tells most rows apart from a key table too large to send, its hash functions, and the tasks that make it.
+FILTER_BITS, FILTER_HASHES, FILTER_PARTS = 1 << 27, 4, 16
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose `on` columns are not in keys (a written table of these columns); nulls are in no table.
+
+    Few keys are broadcast. Of many, a bit filter of fixed size is: rows that it tells apart stay where they are, and only
+    those that may be in keys, texts and all, are shuffled to the exact test.
+    """
+    small = keys.select(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(on)))
+    same = [F.col(c) == F.col(f"_key_{i}") for i, c in enumerate(on)]
+    if keys.count() * 24 * len(on) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), same, "left_anti")
+    flag = spare_name(rows, "may_be_key")
+    flagged = rows.select("*", _may_be(keys, on)(F.xxhash64(*on)).alias(flag))
+    sure, unsure = flagged.where(~F.col(flag)).drop(flag), flagged.where(F.col(flag)).drop(flag)
+    return sure.unionByName(unsure.join(small, same, "left_anti"))
+
+
+def perhaps_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose `on` columns are in keys (a written table of these columns), and, where the keys are too many to send,
+    some others that the bit filter takes for them. No row moves."""
+    if keys.count() * 24 * len(on) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keys.select(on)), on, "left_semi")
+    return rows.where(_may_be(keys, on)(F.xxhash64(*on)))
+
+
+def _may_be(keys: DataFrame, on: list[str]):
+    """A function of key hashes: whether the bit filter of the keys has them."""
+    bits = keys.sparkSession.sparkContext.broadcast(_filter_of(keys, on))
+
+    def may(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for h in hashes:
+            places = _places(np.asarray(h).view(U))
+            yield pa.array(np.all((bits.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0))
+
+    return F.arrow_udf(may, "boolean").asNondeterministic()
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return np.stack([(mix(h + U(i)) % U(FILTER_BITS)).astype(np.int64) for i in range(FILTER_HASHES)])
+
+
+def _filter_of(keys: DataFrame, on: list[str]) -> np.ndarray:
+    """The bit filter of all keys: each task makes one of its keys, and the driver ors them, FILTER_PARTS of them."""
+
+    def make(batches):
+        bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+        for batch in batches:
+            places = _places(np.asarray(batch.column("h")).view(U)).ravel()
+            np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    made = keys.select(F.xxhash64(*on).alias("h")).coalesce(FILTER_PARTS).mapInArrow(make, "bits binary")
+    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for row in made.toLocalIterator():  # FILTER_PARTS arrays of FILTER_BITS, one at a time
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_function(run, shape: str):
+    """A function from a text column to a struct column of that shape, so that what it tells of a row stays with the row.
+
+    run: from an Arrow string array to the struct's Arrow arrays in order; it gets slices of about STEP_BYTES of text.
+    """
+    names, kind = [f.name for f in StructType.fromDDL(shape)], to_arrow_type(StructType.fromDDL(shape))
+
+    def apply(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            done = [pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in run(part)], names) for part in slices(array)]
+            yield pa.concat_arrays(done) if done else pa.array([], kind)
+
+    return F.arrow_udf(apply, shape).asNondeterministic()  # not to be run again for each place that the plan names it
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -117,20 +262,41 @@ class Texts:
         return mix(np.add.reduceat(value, first) + size.astype(U))
 
 
-def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES):
+def slices(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """Slices of a string array whose texts together have about `limit` bytes."""
+    for a, b in _bounds(texts, limit):
+        yield texts.slice(a, b - a)
+
+
+def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose texts together have about `limit` bytes."""
-    texts = batch.column(column)
+    for a, b in _bounds(batch.column(column), limit):
+        yield batch.slice(a, b - a)
+
+
+def _bounds(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-    step = np.cumsum(size) // limit
-    cuts = np.flatnonzero(np.diff(step)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(size)], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
-def rolled(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive word hashes, the order counting."""
-    out = mix(words[: len(words) - n + 1] + U(n))
-    for i in range(1, n):
-        out = mix(out * U(31) + words[i : len(words) - n + 1 + i])
-    return out
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+    return [(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True) if b > a]
+
+
+#: Of the rolling hash: its odd base and the inverse of that, modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Rolling:
+    """Hashes of all windows of any length over a row of word hashes: one pass of prefix sums, then a difference a window."""
+
+    def __init__(self, words: np.ndarray):
+        def powers(of: int) -> np.ndarray:
+            return np.multiply.accumulate(np.concatenate(([U(1)], np.full(len(words), of, U))))
+
+        self.sums = np.concatenate(([U(0)], np.cumsum(words * powers(BASE)[:-1], dtype=U)))
+        self.shift = powers(INVERSE)
+
+    def of(self, n: int) -> np.ndarray:
+        """Hash of each n consecutive words, the order counting."""
+        if n >= len(self.sums):
+            return np.zeros(0, U)
+        return mix((self.sums[n:] - self.sums[:-n]) * self.shift[: len(self.sums) - n] + U(n))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, shared_dir, tidy_shuffles
+from .shared import maybe_broadcast, shared_dir, tidy
 
 #: Fixed by the format: the version line, the two line ends after a record, the digits of base32.
 MAGIC, LINE, GAP = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
@@ -151,6 +151,6 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
-    with tidy_shuffles(spark):
+    with tidy(spark):
         write_warc(with_revisits(pages, id_col, url_col, html_col, least_bytes), path, records)
     return read_warc(spark, path).select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,7 +1,8 @@
 import numpy as np
 
 from skyfix.llm.bayes import WORD_BUCKETS
-from skyfix.llm.mixing import DOMAINS, mix_to_targets, word_weights
+from pyspark.sql import functions as F
+from skyfix.llm.mixing import DOMAINS, fit_rates, mix_to_targets, mixed_documents, word_weights
 
 SF = "/root/testdata/sf0.1"
 
@@ -26,3 +27,31 @@ def test_mixing_judges_labels_that_it_has_not_seen(spark):
     got = mix_to_targets(docs, labels.where("doc_id % 2 = 1")).join(labels.where("doc_id % 2 = 0"), "doc_id").toPandas()
     clean, toxic = got[(got.quality == 1) & (got.toxic == 0)], got[got.toxic == 1]
     assert (clean.copies >= 1).mean() > 0.985 and (toxic.copies == 0).mean() > 0.9
+
+
+def test_rates_are_the_nearest_to_one_that_meet_the_targets(spark):
+    """Against a dense projected gradient: the rates with the least token-weighted distance to 1 among those that fit."""
+    rnd = np.random.default_rng(5)
+    tokens, p = rnd.integers(1, 400, 300), rnd.dirichlet((0.3, 0.1, 0.05), 300)
+    targets = {"a": 0.8, "b": 0.15, "c": 0.05}
+    rows = spark.createDataFrame([(int(t), [float(v) for v in x], False) for t, x in zip(tokens, p)], "tokens long, p array<double>, banned boolean")
+    at = fit_rates(rows, targets, tolerance=1e-7)
+    rates = np.maximum(0, 1 - p @ at)
+    goal = (tokens @ p)[0] / 0.8 * np.array(list(targets.values()))
+    assert np.abs((tokens * rates) @ p / goal - 1).max() < 1e-5
+    dense, pull = np.ones(300), np.zeros(3)
+    for _ in range(200_000):
+        pull += ((tokens * dense) @ p - goal) * 2e-5
+        dense = np.maximum(0, 1 - p @ pull)
+    assert np.abs(dense - rates).max() < 1e-3
+
+
+def test_other_domains_and_null_columns(spark):
+    docs = spark.createDataFrame([(str(i), f"word{i % 7} more words here {i}", "x", i) for i in range(60)] + [(None, None, None, None), ("x", "", None, None)], "doc_id string, text string, rate string, copies int")
+    labels = spark.createDataFrame([(str(i), "old" if i % 2 else "new") for i in range(0, 60, 3)], "doc_id string, kind string")
+    got = mix_to_targets(docs, labels, {"new": 1.0, "old": 0.0}, of=F.col("kind")).toPandas()
+    assert len(got) == 62 and {"p_new", "p_old"} <= set(got.columns)
+    assert (got[got.doc_id.isin([str(i) for i in range(3, 60, 6)])].rate == 0).all()
+    kept = mixed_documents(docs, labels, {"new": 1.0, "old": 0.0}, of=F.col("kind"))
+    assert kept.columns == ["doc_id", "text", "rate", "copies"] and dict(kept.dtypes)["rate"] == "double"
+    assert kept.where("copies < 1").count() == 0 and kept.count() == int((got.copies > 0).sum())
