@@ -1,56 +1,81 @@
-"""The corpus pipeline: five stages over the documents, each written and read again."""
+"""The corpus pipeline: five stages over the documents, each written and read again.
+
+What a stage decides of a row is told from the row's own text by a fitted model, as a column beside the others, or is a list of
+rows to drop. Texts stay where they are: see drop_rows for lists that are too long to send.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm.bayes import language_ids
-from skyfix.llm.decontamination import decontaminate
-from skyfix.llm.mixing import mix_to_targets
-from skyfix.llm.ngram_join import ngram_components
-from skyfix.llm.quality_model import quality_scores
-from skyfix.llm.shared import cut, documents, maybe_broadcast
-
-#: A document whose language is predicted with less posterior than this is rejected, as is one without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
+from skyfix.llm.bayes import fit_languages, language_verdict
+from skyfix.llm.decontamination import contaminated_rows
+from skyfix.llm.mixing import mixed_documents
+from skyfix.llm.ngram_join import component_rows
+from skyfix.llm.quality_model import fit_quality, quality_verdict
+from skyfix.llm.shared import cut, documents, drop_rows, perhaps_among, row_keys, spare_name
 
-
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in chosen (doc_id). Texts are not shuffled while the ids are few enough to send."""
-    ids = cut(chosen.select("doc_id").distinct(), "kept")
-    return docs.join(maybe_broadcast(ids, ids.count(), 24), "doc_id", "left_semi").select(docs.columns)
+#: A document whose language is predicted with less posterior than this is rejected, as is one without a letter, and one whose
+#: letters are less usual in the predicted language than this, in mean log probability of its n-grams.
+LEAST_LANGUAGE_SCORE, MOST_SURPRISE = 0.5, 3.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject. A null doc_id is not kept."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, scores.where("predicted = 1"))
+    """Documents that the quality classifier does not reject.
+
+    Each row is judged by its own text: null and empty texts as texts without words, null and repeated ids like any others.
+    Columns stay as they are, whatever their names; an empty table gives none.
+    """
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_verdict(docs, model, "text")["predicted"] == 1)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told."""
-    return _keep(docs, language_ids(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    """Documents whose language is told, and whose letters are usual in it.
+
+    Each row is judged by its own text; null, empty and letterless texts go. Null and repeated ids are like any others.
+    Columns stay as they are, whatever their names; an empty table gives none.
+    """
+    name = spare_name(docs, "language_verdict")
+    told = docs.select("*", language_verdict(docs, fit_languages(docs)).alias(name))
+    kept = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= LEAST_LANGUAGE_SCORE) & (F.col(name)["surprise"] <= MOST_SURPRISE)
+    return told.where(kept).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; rows that repeat it stay once."""
-    chosen = cut(ngram_components(docs).where("component_id = doc_id").select("doc_id"), "chosen")
-    kept = _keep(docs, chosen)
-    repeats = chosen.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """The document with the smallest doc_id of each group of near duplicates; rows that repeat it whole stay once.
+
+    Null and empty texts are like nothing and stay; so do rows without doc_id, which can stand for no group. Rows that share a
+    doc_id are judged each by its own text. Columns stay as they are, whatever their names; an empty table gives none.
+    """
+    rows = component_rows(docs)
+    kept = drop_rows(docs, cut(rows.where("not is_first").select("key_a", "key_b").distinct(), "dropped"))
+    again = cut(rows.where("id is not null").groupBy("key_a", "key_b").count().where("count > 1").select("key_a", "key_b"), "repeated")
+    if again.isEmpty():
+        return kept
+    names = [spare_name(docs, n) for n in ("key_a", "key_b")]
+    named = kept.select("*", *(k.alias(n) for k, n in zip(row_keys("doc_id", "text"), names, strict=True)))
+    few = perhaps_among(named, again.toDF(*names), names).join(again.toDF(*names), names, "left_semi").dropDuplicates(names).select(docs.columns)
+    return drop_rows(kept, again).unionByName(few)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return _keep(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")))
+    """Documents without a passage of the benchmark.
+
+    Each row is judged by its own text, and null and empty ones stay; null and repeated ids are like any others. Columns stay
+    as they are, whatever their names; an empty table gives none.
+    """
+    return drop_rows(docs, contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a copy or more in the mix, and their rate and copies; rows that repeat a doc_id get the largest."""
-    rated = mix_to_targets(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0")
-    rated = cut(rated.groupBy("doc_id").agg(F.max("rate").alias("rate"), F.max("copies").alias("copies")), "rated")
-    return docs.join(maybe_broadcast(rated, rated.count(), 48), "doc_id").select(*docs.columns, "rate", "copies")
+    """Documents with a copy or more in the mix, and their rate and copies (columns of these names are replaced).
+
+    Each row is rated by its own text, null and empty ones as texts without words; a row without doc_id has no label. Other
+    columns stay as they are, whatever their names; an empty table gives none.
+    """
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 STAGES = [
