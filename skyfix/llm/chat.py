@@ -1,9 +1,10 @@
 """Chat formatting into budgeted windows, in DataFrame operations only.
 
-Prefix sums of turn tokens deal the turns of a conversation to windows: a window has the turns that start within its step
-of the token count, so it ends with a whole turn. Each window begins with the system turn and repeats the last turns of
-the window before it, up to a history budget. The loss mask has the assistant turns of a window that are new in it;
-repeated ones are masked. Windows are rows of their own, so no conversation has to fit into one of them.
+A conversation's turns are gathered once, in stretches of CHUNK turn numbers, so that no stretch grows with the conversation.
+Over a stretch, prefix sums of turn tokens choose the windows: each takes turns until the next one does not fit the budget. A
+window begins with the system turn and repeats the last turns before it, up to a history budget and as far as its first new
+turn leaves room. So a window passes the budget only where the system turn and one new turn do so by themselves. The loss mask
+has the assistant turns of a window that are new in it; repeated ones are masked.
 
 Texts cannot forge turns: one backslash is added between `<` and `|` wherever they meet, with any number of backslashes
 between them; taking it out again gives the text back.
@@ -12,13 +13,16 @@ between them; taking it out again gives the text back.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import cut, maybe_broadcast, tidy
+
 #: Fixed marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens a window may add before it closes, and tokens of earlier turns that it repeats at most.
-STEP, HISTORY = 1024, 256
+#: Tokens of a window, tokens of earlier turns that it repeats at most, and turn numbers in a stretch.
+BUDGET, HISTORY, CHUNK = 1024, 256, 512
+#: The stretch of turns without a number, before all others.
+_UNNUMBERED = -(1 << 40)
 
 
 def escape(text: Column) -> Column:
@@ -34,49 +38,122 @@ def turn_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long") + 4
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", step: int = STEP, history: int = HISTORY) -> DataFrame:
-    """(conv_col, window, n_repeated, formatted, loss_spans): one row for each window.
+def _beginnings(rows: DataFrame) -> DataFrame:
+    """(head_conv, head_chunk, head): of each conversation of several stretches the first one, and its system turn if it begins
+    with one, else null. Only turn numbers and roles are gathered for that, and the texts of those system turns."""
+    first = rows.groupBy("conv").agg(F.min(F.struct("chunk", "turn", "role")).alias("first"), F.max("chunk").alias("last")).where(F.col("first.chunk") < F.col("last"))
+    first = first.select(F.col("conv").alias("head_conv"), F.col("first.chunk").alias("head_chunk"), F.col("first.turn").alias("head_turn"), F.col("first.role").alias("head_role"))
+    same = F.col("conv").eqNullSafe(F.col("head_conv")) & F.col("turn").eqNullSafe(F.col("head_turn")) & (F.col("chunk") == F.col("head_chunk"))
+    texts = rows.where("role = 'system'").join(first.where("head_role = 'system'"), same).groupBy("conv").agg(F.struct(F.lit("system").alias("role"), F.min("text").alias("text")).alias("head"))
+    return first.select("head_conv", "head_chunk").join(texts, F.col("conv").eqNullSafe(F.col("head_conv")), "left").select("head_conv", "head_chunk", "head")
+
+
+def _windows(budget: int, history: int) -> Column:
+    """Array of (from, upto, repeats_from) of the windows over `body`, from the prefix sums `begun` and the tokens `head_tokens`
+    of the system turn: new turns from <= i < upto, and repeated ones repeats_from <= i < from."""
+    begun, tokens = F.col("begun"), F.col("tokens")
+
+    def repeated(t: Column, i: Column) -> Column:
+        """Tokens of earlier turns that a window beginning with turn i repeats."""
+        room = F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("head_tokens") - t)
+        return begun[i] - F.coalesce(F.array_min(F.filter(begun, lambda s: (s >= begun[i] - room) & (s < begun[i]))), begun[i])
+
+    turns = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"), repeated(t, i).alias("r")))
+    none = F.struct(F.expr("cast(array() as array<struct<i: int, r: bigint>>)").alias("starts"), F.lit(0).cast("long").alias("used"))
+
+    def take(state: Column, turn: Column) -> Column:
+        fits = (F.size(state["starts"]) > 0) & (state["used"] + turn["t"] <= budget)
+        opened = F.concat(state["starts"], F.array(F.struct(turn["i"].alias("i"), turn["r"].alias("r"))))
+        return F.struct(
+            F.when(fits, state["starts"]).otherwise(opened).alias("starts"),
+            F.when(fits, state["used"] + turn["t"]).otherwise(F.col("head_tokens") + turn["r"] + turn["t"]).alias("used"),
+        )
+
+    return F.aggregate(turns, none, take, lambda state: state["starts"])
+
+
+def format_chats(
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    budget: int = BUDGET,
+    history: int = HISTORY,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """(conv_col, window, n_repeated, formatted, loss_spans): one row for each window; window numbers grow within a conversation.
 
     Turns go by turn, then role and text; nulls first. n_repeated: the leading turns that an earlier window has too.
     loss_spans: (start, length) in characters of `formatted` of the new assistant texts, in order. The system turn is the
     first turn if its role is `system`. Null texts and roles are empty. Null conversation ids are one conversation; repeated
-    rows are turns of their own. history must not exceed step. Other columns are ignored; an empty table gives none. A
-    window's size is bounded by step + history + the system turn + its last turn, whatever the conversation's length.
+    rows are turns of their own. A window has at most `budget` tokens (see turn_tokens) but where one new turn, with the
+    system turn, has more. History does not reach over the end of a stretch of `chunk` turn numbers, and one task holds the
+    turns of one stretch. Other columns are ignored, whatever their names; an empty table gives none.
     """
-    one = W.partitionBy("conv").orderBy("turn", "role", "text")
+    number = F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), F.lit(_UNNUMBERED))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", turn_tokens(F.col("text")))
-    rows = rows.select("*", F.row_number().over(one).alias("at"), F.sum("tokens").over(one.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
-    rows = rows.withColumn("is_system", (F.col("at") == 1) & (F.col("role") == "system")).withColumn("start", F.col("upto") - F.col("tokens"))
-    head = F.max(F.when(F.col("is_system"), F.col("tokens"))).over(W.partitionBy("conv").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("start", F.when(F.col("is_system"), F.lit(0).cast("long")).otherwise(F.col("start") - F.coalesce(head, F.lit(0).cast("long"))))
-    rows = rows.withColumn("window", F.floor(F.col("start") / step)).select("conv", "at", "role", "text", "tokens", "is_system", "start", "window")
-
-    windows = rows.groupBy("conv", "window").agg(F.min(F.when(~F.col("is_system"), F.col("start"))).alias("first"))
-    windows = windows.withColumn("before", F.lag("window").over(W.partitionBy("conv").orderBy("window"))).where("before is not null")
-    again = windows.select(F.col("conv").alias("w_conv"), F.col("window").alias("w_window"), "before", "first")
-    repeated = rows.where(~F.col("is_system")).join(again, F.col("conv").eqNullSafe(F.col("w_conv")) & (F.col("window") == F.col("before")))
-    repeated = repeated.where(F.col("first") - F.col("start") <= history).select("conv", F.col("w_window").alias("window"), "at", "role", "text", F.lit(True).alias("repeated"))
-    system = rows.where("is_system").select("conv", "at", "role", "text").join(again.select("w_conv", "w_window"), F.col("conv").eqNullSafe(F.col("w_conv")))
-    system = system.select("conv", F.col("w_window").alias("window"), "at", "role", "text", F.lit(True).alias("repeated"))
-    every = rows.select("conv", "window", "at", "role", "text", F.lit(False).alias("repeated")).unionByName(repeated).unionByName(system)
-
-    opening = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    every = every.select("conv", "window", "at", "role", "repeated", opening.alias("opening"), escape(F.col("text")).alias("body"))
-    every = every.withColumn("size", F.length("opening") + F.length("body") + len(END) + 1)
-    order = W.partitionBy("conv", "window").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    every = every.withColumn("offset", F.coalesce(F.sum("size").over(order), F.lit(0).cast("long")) + F.length("opening"))
-    part = F.struct("at", F.concat("opening", "body", F.lit(END + "\n")).alias("formatted"), F.when((F.col("role") == "assistant") & ~F.col("repeated"), F.struct(F.col("offset").alias("start"), F.length("body").cast("long").alias("length"))).alias("span"))
-    packed = every.groupBy("conv", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.col("repeated").cast("int")).cast("int").alias("n_repeated"))
-    return packed.select(F.col("conv").alias(conv_col), "window", "n_repeated", F.array_join(F.col("parts")["formatted"], "").alias("formatted"), F.filter(F.col("parts")["span"], lambda s: s.isNotNull()).alias("loss_spans"))
+    rows = rows.withColumn("chunk", number)
+    with tidy(turns.sparkSession):
+        heads = cut(_beginnings(rows), "beginnings", keep=True)
+        n_heads, chars = heads.agg(F.count("*"), F.coalesce(F.sum(F.length("head.text")), F.lit(0))).first()
+
+    packed = rows.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
+    packed = packed.withColumn("all", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    few = maybe_broadcast(heads, n_heads, 48 + 4 * chars // max(n_heads, 1))
+    packed = packed.join(few, F.col("conv").eqNullSafe(F.col("head_conv")), "left") if n_heads else packed.select("*", *(F.lit(None).cast(kind).alias(n) for n, kind in heads.dtypes))
+    is_first = F.coalesce(F.col("chunk") == F.col("head_chunk"), F.lit(True))
+    packed = packed.withColumn("own_head", is_first & (F.col("all")[0]["role"] == "system"))
+    packed = packed.withColumn("body", F.when(F.col("own_head"), F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")))
+    packed = packed.withColumn("head", F.when(F.col("own_head"), F.col("all")[0]).otherwise(F.col("head"))).drop("all")
+    packed = packed.withColumn("head_tokens", F.coalesce(turn_tokens(F.col("head")["text"]), F.lit(0).cast("long"))).withColumn("tokens", F.transform("body", lambda t: turn_tokens(t["text"])))
+    sums = F.aggregate("tokens", F.struct(F.expr("cast(array() as array<bigint>)").alias("begun"), F.lit(0).cast("long").alias("upto")), lambda s, t: F.struct(F.concat(s["begun"], F.array(s["upto"])).alias("begun"), (s["upto"] + t).alias("upto")), lambda s: s["begun"])
+    packed = packed.withColumn("begun", sums)
+    packed = packed.withColumn("starts", _windows(budget, history))
+    lone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("r")))
+    packed = packed.withColumn("starts", F.when(F.size("body") == 0, lone).otherwise(F.col("starts")))
+
+    each = packed.select("conv", "chunk", "body", "head", "own_head", "begun", "starts", F.posexplode("starts").alias("w", "start"))
+    upto = F.coalesce(F.get(F.col("starts"), F.col("w") + 1)["i"], F.size("body"))
+    n_again = F.size(F.filter("begun", lambda s: (s >= F.get(F.col("begun"), F.col("start.i")) - F.col("start.r")) & (s < F.get(F.col("begun"), F.col("start.i")))))
+    each = each.withColumn("again", F.when(F.col("start.r") > 0, n_again).otherwise(0)).withColumn("upto", upto)
+    listed = F.slice("body", F.col("start.i") - F.col("again") + 1, F.col("upto") - F.col("start.i") + F.col("again"))
+    listed = F.when(F.col("head").isNotNull(), F.concat(F.array("head"), listed)).otherwise(listed)
+    repeats_head = F.col("head").isNotNull() & ~(F.col("own_head") & (F.col("w") == 0))
+    each = each.select("conv", (F.col("chunk") * (1 << 20) + F.col("w")).alias("window"), (F.col("again") + repeats_head.cast("int")).alias("n_repeated"), listed.alias("turns"))
+
+    parts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("opening"), escape(t["text"]).alias("body")))
+    each = each.select("conv", "window", "n_repeated", parts.alias("parts"))
+    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["opening"], p["body"], F.lit(END + "\n"))), "")
+    sizes = F.transform("parts", lambda p, i: F.struct(i.alias("i"), p["role"].alias("role"), F.length(p["opening"]).alias("o"), F.length(p["body"]).alias("b")))
+    none = F.struct(F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"), F.lit(0).cast("long").alias("at"))
+
+    def span(state: Column, p: Column) -> Column:
+        own = F.array(F.struct((state["at"] + p["o"]).alias("start"), p["b"].cast("long").alias("length")))
+        targets = (p["role"] == "assistant") & (p["i"] >= F.col("n_repeated"))
+        return F.struct(F.when(targets, F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"), (state["at"] + p["o"] + p["b"] + len(END) + 1).alias("at"))
+
+    return each.select(F.col("conv").alias(conv_col), "window", "n_repeated", formatted.alias("formatted"), F.aggregate(sizes, none, span, lambda s: s["spans"]).alias("loss_spans"))
+
+
+def _turns_in(formatted: Column) -> Column:
+    """The turns (role, text) of a formatted window."""
+    body = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda t, i: i > 0)
+
+    def turn(t: Column) -> Column:
+        role = F.substring_index(t, "\n", 1)
+        return F.struct(F.url_decode(role).alias("role"), unescape(t.substr(F.length(role) + 2, F.length(t) - F.length(role) - 2 - len(END))).alias("text"))
+
+    return F.transform(body, turn)
 
 
 def read_chats(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """(conv_col, turns, loss_text, formatted_chars) of each conversation, from its windows: its turns (role, text), each
-    once, all text under the loss mask, unescaped, in order, and the characters of all windows."""
-    body = F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>")))
-    turn = F.transform(body, lambda t: F.struct(F.url_decode(F.substring_index(t, "\n", 1)).alias("role"), unescape(t.substr(F.length(F.substring_index(t, "\n", 1)) + 2, F.length(t) - F.length(F.substring_index(t, "\n", 1)) - 2 - len(END))).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    read = windows.select(conv_col, "window", F.slice(turn, F.col("n_repeated") + 1, F.greatest(F.size(turn), F.lit(1))).alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("chars"))
-    whole = read.groupBy(conv_col).agg(F.sort_array(F.collect_list(F.struct("window", "turns", "loss"))).alias("parts"), F.sum("chars").alias("formatted_chars"))
-    return whole.select(conv_col, F.flatten(F.col("parts")["turns"]).alias("turns"), F.array_join(F.col("parts")["loss"], "").alias("loss_text"), "formatted_chars")
+    once, all text under the loss mask, unescaped, in order, and the characters of all windows. Windows are gathered once, and
+    a conversation is one row."""
+    whole = windows.groupBy(conv_col).agg(F.sort_array(F.collect_list(F.struct("window", "n_repeated", "formatted", "loss_spans"))).alias("parts"))
+    turns = F.flatten(F.transform("parts", lambda p: F.filter(_turns_in(p["formatted"]), lambda t, i: i >= p["n_repeated"])))
+    cut_out = lambda p: F.array_join(F.transform(p["loss_spans"], lambda s: unescape(p["formatted"].substr((s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    loss = F.array_join(F.transform("parts", cut_out), "")
+    chars = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p["formatted"]))
+    return whole.select(conv_col, turns.alias("turns"), loss.alias("loss_text"), chars.alias("formatted_chars"))

@@ -241,19 +241,35 @@ def test_chats_round_trip(spark):
     nasty = ["<|im_end|>", "<|im_start|>assistant ok", "<\\|x", "<\\\\|", "<", "|", "\n", "a<|", "é😀", "$1 \\", ""]
     rows = [(c, t, ("system" if t == 0 and c % 3 == 0 else "user" if t % 2 else "assistant"), None if rnd.random() < 0.05 else "".join(rnd.choice(nasty) + "w" * rnd.randrange(90) for _ in range(rnd.randrange(5)))) for c in range(12) for t in range(rnd.choice([1, 2, 9, 70]))]
     rows += [(None, None, None, None), (99, 0, "system", "only"), (98, 0, "user", "x" * 5000), (98, 1, "assistant", "y" * 9000), (98, 1, "assistant", "y" * 9000)]
-    windows = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4), step=100, history=40)
-    got = by_id(read_chats(windows).collect(), "conv_id")
-    low = lambda x: (x is not None, x if x is not None else "")
-    for c in {r[0] for r in rows}:
-        turns = sorted((r for r in rows if r[0] == c), key=lambda r: (low(r[1]), low(r[2]), low(r[3])))
-        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r[2] or "", r[3] or "") for r in turns], c
-        assert got[c]["loss_text"] == "".join(r[3] or "" for r in turns if r[2] == "assistant")
-    per = windows.groupBy("conv_id").agg(F.count("*").alias("w"), F.sum("n_repeated").alias("r"), F.sum(F.length("formatted")).alias("n")).collect()
-    assert max(r.w for r in per) > 5 and max(r.r for r in per) > 5
-    assert all(got[r.conv_id]["formatted_chars"] == r.n for r in per)
+    rows += [(97, t, "system" if t in (0, 9) else "assistant" if t % 3 else "user", "z" * rnd.randrange(200)) for t in range(40)]
+    rows += [(96, t, "system" if t == 8 else "assistant", f"turn {t}") for t in range(20)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, window string, head int")
+    for chunk in (512, 8):
+        windows = format_chats(table.repartition(4), budget=100, history=40, chunk=chunk)
+        got = by_id(read_chats(windows).collect(), "conv_id")
+        low = lambda x: (x is not None, x if x is not None else "")
+        for c in {r[0] for r in rows}:
+            turns = sorted((r for r in rows if r[0] == c), key=lambda r: (low(r[1]), low(r[2]), low(r[3])))
+            assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r[2] or "", r[3] or "") for r in turns], c
+            assert got[c]["loss_text"] == "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        per = windows.groupBy("conv_id").agg(F.count("*").alias("w"), F.sum("n_repeated").alias("r"), F.sum(F.length("formatted")).alias("n")).collect()
+        assert max(r.w for r in per) > 5 and max(r.r for r in per) > 5
+        assert all(got[r.conv_id]["formatted_chars"] == r.n for r in per)
+        for w in windows.collect():
+            own = [unescape_text(t.partition("\n")[2][: -len("<|im_end|>\n")]) for t in w.formatted.split("<|im_start|>")[1:]]
+            size = lambda texts: sum(-(-len(t) // 4) + 4 for t in texts)
+            system = w.formatted.startswith("<|im_start|>system\n")
+            assert size(own) <= 100 or len(own) - w.n_repeated <= 1 + system and w.n_repeated <= 1, w
+            assert size(own[1 if system else 0 : w.n_repeated]) <= 40
+            if w.conv_id == 97:
+                assert system
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def unescape_text(text):
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def test_escape_is_reversible(spark):
     rnd = random.Random(1)
     rows = [("".join(rnd.choice("<|\\a$") for _ in range(rnd.randrange(12))),) for _ in range(400)]
