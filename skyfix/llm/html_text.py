@@ -1,36 +1,40 @@
 """Main-text extraction by minimum cut.
 
-A page becomes text blocks. A linear classifier over a block's own signs (words, link share, the containers around it)
-gives each block a cost of being content and of being boilerplate: the capacities to the two terminals. Neighbouring blocks
-and blocks of one container are tied by smoothness edges. The minimum cut separates content from boilerplate.
+A page becomes text blocks. A classifier gives each block a cost of being content and of being boilerplate, the capacities to
+the two terminals: a discriminant over signs of its text (words, link share, marks, place in the page, element), fitted to blocks
+whose own page marks them by article, main, nav, footer and the like, and fixed weights for the containers around it.
+Neighbouring blocks and blocks of one container are tied by smoothness edges. The minimum cut separates content from boilerplate.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import steps
+from .quality_model import Discriminant, class_sums
+from .shared import steps, text_function, tidy
 
 #: HTML's fixed names: text inside these never shows, and these start and end blocks.
-HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "select", "textarea", "button", "object", "canvas", "math", "datalist"}
+HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "select", "textarea", "datalist"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A start tag of the first kind closes an open element of the second, up to the nearest of the third.
 CLOSES = {"p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-#: Containers that say what a block is, by element and by the parts of class, id and role.
+#: Containers that say what a block is, by element and by the words of the names in class, id and role.
 AWAY_TAGS = {"nav": 6.0, "header": 3.5, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0}
 AWAY_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "widget", "related", "share", "social", "comment", "comments", "reply", "respond", "disqus", "footer", "header", "masthead", "copyright", "legal", "pagination", "pager", "toolbar", "skip", "toc", "rail", "gdpr", "disclaimer"}
-HOME_TAGS = {"article": 4.0, "main": 3.0}
+HOME_TAGS = {"article": 1.5, "main": 1.2}
 HOME_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
-#: Strength of the ties between neighbours, in one container and across.
-NEAR, ACROSS = 0.6, 0.15
+#: A name that begins with one of these tells of a state or of other parts of the page, not of what is inside.
+STATES = {"has", "no", "not", "with", "without", "is", "are", "hide", "show", "hides", "shows", "non", "js", "supports", "wp"}
+#: Strength of the ties between neighbours, in one container and across; the text's say at most, and its scale.
+NEAR, ACROSS, TEXT_LIMIT, TEXT_SCALE = 1.5, 0.15, 2.0, 0.4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -46,15 +50,14 @@ class _Element:
         self.away = AWAY_TAGS.get(name, 0.0)
         self.home = HOME_TAGS.get(name, 0.0)
         self.hidden = name in HIDDEN
+        inside = parent is not None and parent.home >= HOME_TAGS["main"]
+        if name == "header" and inside:  # the article's own header
+            self.away = 0.0
         if attributes and not attributes.isspace():
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values).lower()
                 if key in ("class", "id", "role"):
-                    words = set(_PARTS.findall(value))
-                    if words & AWAY_WORDS and name not in ("body", "html", "article", "main"):
-                        self.away = max(self.away, 6.0)
-                    elif words & HOME_WORDS:
-                        self.home = max(self.home, 1.5)
+                    self._named(name, value.split(), inside)
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     self.hidden = True
         if parent is not None:
@@ -62,6 +65,19 @@ class _Element:
             self.home = max(self.home, parent.home)
             self.hidden = self.hidden or parent.hidden
 
+    def _named(self, tag: str, names: list[str], inside: bool) -> None:
+        for words in map(_PARTS.findall, names):
+            if not words or words[0] in STATES:
+                continue
+            home = not HOME_WORDS.isdisjoint(words)
+            away = AWAY_WORDS.intersection(words)
+            if (home or inside) and away == {"header"}:
+                away = set()
+            if away and tag not in ("body", "html", "article", "main"):
+                self.away = max(self.away, 6.0)
+            elif home:
+                self.home = max(self.home, 1.0)
+
 
 def blocks(page: str) -> list[tuple[str, float, _Element]]:
     """(text, share of its characters in links, container) of each block with text, in page order."""
@@ -145,91 +161,179 @@ def _open_p(box: _Element) -> bool:
     return box is not None and box.name == "p"
 
 
-def costs(text: str, linked: float, box: _Element) -> tuple[float, float]:
-    """(capacity of being content, of being boilerplate), from a block's own signs."""
-    words = text.count(" ") + 1
-    score = box.home - box.away + min(words, 30) * 0.04 - 2.5 * linked
-    if box.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "td", "figcaption", "dd"):
-        score += 0.5
-    if text[-1] in ".!?\"'":
-        score += 0.2
-    if text.startswith("©") or "all rights reserved" in text.lower():
-        score -= 2.0
-    return max(score, 0.0) + 0.01, max(-score, 0.0)
+_KINDS = [{"p", "blockquote", "pre", "figcaption"}, {"li", "dd", "dt", "td", "th"}, {"h1", "h2", "h3", "h4", "h5", "h6"}]
+
+
+def signs(found: list[tuple[str, float, _Element]]) -> np.ndarray:
+    """(blocks, d): signs of the blocks of a page that need no name of a container."""
+    out = np.empty((len(found), 9))
+    for i, (text, linked, box) in enumerate(found):
+        words = text.count(" ") + 1
+        marks = sum(map(text.count, ",.;"))
+        out[i] = (np.log1p(words), linked, text[-1] in ".!?\"'", marks / words, len(text) / words < 3, i / len(found), *(box.name in kind for kind in _KINDS))
+    return out
+
+
+def label_of(box: _Element) -> int | None:
+    """What a page itself says of a block: 1 inside article or main, 0 inside nav, footer and the like, else nothing."""
+    names = set()
+    while box is not None:
+        names.add(box.name)
+        box = box.parent
+    away, home = not names.isdisjoint(AWAY_TAGS), not names.isdisjoint(HOME_TAGS)
+    return int(home) if away != home else None
+
+
+def costs(found: list[tuple[str, float, _Element]], model: Discriminant | None) -> list[tuple[float, float]]:
+    """(capacity of being content, of being boilerplate) of each block."""
+    if model is not None and {0, 1} <= set(model.classes):
+        x = signs(found)
+        told = np.clip(TEXT_SCALE * (model.log_joint(x, 1) - model.log_joint(x, 0)), -TEXT_LIMIT, TEXT_LIMIT)
+    else:  # nothing was learnt: long blocks without links are content
+        told = np.array([min(min(t.count(" ") + 1, 30) * 0.07 - 0.4 - 2.5 * linked, TEXT_LIMIT) for t, linked, _ in found])
+    out = []
+    for (text, _, box), t in zip(found, told.tolist(), strict=True):
+        score = t + box.home - box.away
+        if text.startswith("©") or "all rights reserved" in text.lower():
+            score -= 2.0
+        out.append((max(score, 0.0) + 0.01, max(-score, 0.0)))
+    return out
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each node, whether the minimum cut leaves it with the source. Shortest augmenting paths."""
+    """For each node, whether the minimum cut leaves it with the source. Blocking flows over levels: each round fills all
+    shortest paths at once, so rounds are as few as path lengths differ."""
     n = len(source)
-    direct = [min(s, t) for s, t in zip(source, sink, strict=True)]
-    excess = [s - d for s, d in zip(source, direct, strict=True)]
-    room = [t - d for t, d in zip(sink, direct, strict=True)]
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    excess = [s - min(s, t) for s, t in zip(source, sink, strict=True)]
+    room = [t - min(s, t) for s, t in zip(source, sink, strict=True)]
+    ends: list[int] = []
+    free: list[float] = []
+    near: list[list[int]] = [[] for _ in range(n)]
     for a, b, c in edges:
-        near[a][b] = near[a].get(b, 0.0) + c
-        near[b][a] = near[b].get(a, 0.0) + c
+        near[a].append(len(ends))
+        near[b].append(len(ends) + 1)
+        ends += [b, a]
+        free += [c, c]
     while True:
-        came = [-2] * n
-        queue = deque(i for i in range(n) if excess[i] > 1e-9)
-        for i in queue:
-            came[i] = -1
-        goal = -1
-        while queue and goal < 0:
-            x = queue.popleft()
+        level = [-1] * n
+        layer = [i for i in range(n) if excess[i] > 1e-9]
+        starts = layer
+        for i in layer:
+            level[i] = 0
+        depth, met = 0, False
+        while layer and not met:
+            depth += 1
+            after = []
+            for x in layer:
+                for e in near[x]:
+                    y = ends[e]
+                    if level[y] < 0 and free[e] > 1e-9:
+                        level[y] = depth
+                        after.append(y)
+                        met = met or room[y] > 1e-9
+            layer = after
+        if not met:
+            return [x >= 0 for x in level]
+        _fill(starts, level, near, ends, free, excess, room)
+
+
+def _fill(starts, level, near, ends, free, excess, room) -> None:
+    """Push flow along all paths that go down one level each step, until none is left."""
+    at = [0] * len(near)
+    for start in starts:
+        path: list[int] = []
+        x = start
+        while excess[start] > 1e-9:
             if room[x] > 1e-9:
-                goal = x
+                flow = min([excess[start], room[x], *(free[e] for e in path)])
+                excess[start] -= flow
+                room[x] -= flow
+                for e in path:
+                    free[e] -= flow
+                    free[e ^ 1] += flow
+                keep = next((k for k, e in enumerate(path) if free[e] <= 1e-9), len(path))
+                path = path[:keep]
+                x = ends[path[-1]] if path else start
+                continue
+            while at[x] < len(near[x]):
+                e = near[x][at[x]]
+                if free[e] > 1e-9 and level[ends[e]] == level[x] + 1:
+                    break
+                at[x] += 1
+            if at[x] < len(near[x]):
+                path.append(near[x][at[x]])
+                x = ends[path[-1]]
+            elif path:
+                x = ends[path.pop() ^ 1]
+                at[x] += 1
+            else:
                 break
-            for y, c in near[x].items():
-                if c > 1e-9 and came[y] == -2:
-                    came[y] = x
-                    queue.append(y)
-        if goal < 0:
-            return [c != -2 for c in came]
-        flow, x = room[goal], goal
-        while came[x] >= 0:
-            flow = min(flow, near[came[x]][x])
-            x = came[x]
-        flow = min(flow, excess[x])
-        excess[x] -= flow
-        room[goal] -= flow
-        x = goal
-        while came[x] >= 0:
-            near[came[x]][x] -= flow
-            near[x][came[x]] += flow
-            x = came[x]
-
-
-def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    pairs = [costs(*b) for b in found]
+
+
+def ties(found: list[tuple[str, float, _Element]]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours, and between each block and the one before it in its container; weak ones where the containers
+    say different things of the two."""
     edges = []
     last: dict[int, int] = {}
     for i, (_, _, box) in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEAR if found[i - 1][2].parent is box.parent else ACROSS))
         before = last.get(id(box.parent))
-        if before is not None and before != i - 1:
-            edges.append((before, i, NEAR))
+        for other in {i - 1, before} - {-1, None}:
+            there = found[other][2]
+            edges.append((other, i, NEAR if there.parent is box.parent and there.away == box.away else ACROSS))
         last[id(box.parent)] = i
-    keep = minimum_cut([p[0] for p in pairs], [p[1] for p in pairs], edges)
+    return edges
+
+
+def main_text(page: str | None, model: Discriminant | None = None) -> str:
+    found = blocks(page) if page else []
+    if not found:
+        return ""
+    pairs = costs(found, model)
+    keep = minimum_cut([p[0] for p in pairs], [p[1] for p in pairs], ties(found))
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+#: Pages that the classifier of blocks is fitted on at most, about: beyond it a sample by the hash of the html.
+SAMPLE = 10_000
+
+
+def fit_blocks(pages: DataFrame, html_col: str = "html", most: int = SAMPLE) -> Discriminant:
+    """The classifier of blocks, from the blocks of pages that say themselves what they are; see label_of."""
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null")
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * most / n))
+
+    def measure(batches):
+        for part in (part for batch in batches for part in steps(batch, "html")):
+            label, x = [], [np.zeros((0, 9))]
+            for found in map(blocks, part.column("html").to_pylist()):
+                own = [label_of(box) for _, _, box in found]
+                some = [i for i, k in enumerate(own) if k is not None]
+                label += [own[i] for i in some]
+                x.append(signs(found)[some])
+            x = np.vstack(x)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), lists], ["label", "x"])
+
+    with tidy(pages.sparkSession):
+        return Discriminant(class_sums(rows.mapInArrow(measure, "label int, x array<double>")), shrink=0.9, ridge=1e-2)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = SAMPLE) -> DataFrame:
     """(id_col, url_col, text, n_chars) for every row of pages.
 
     Blocks are in page order, white space in a block is one space, character references are decoded, blocks are joined by
-    one newline. Null, empty and markup-only pages give an empty text. Tables, lists and long pages are read whole. Repeated
-    rows are extracted each; null ids and urls are returned as they are; other columns are ignored; an empty table gives none.
+    one newline. Null, empty and markup-only pages give an empty text. Tables, lists and long pages are read whole. The
+    classifier of blocks is fitted on about `most` pages at most (a sample by the hash of the html); where no page marks its
+    parts, long blocks without links are content. Repeated rows are extracted each; null ids and urls are returned as they
+    are, of any type; other columns are ignored, whatever their names; an empty table gives none.
     """
+    shared = pages.sparkSession.sparkContext.broadcast(fit_blocks(pages, html_col, most))
 
-    def run(batches):
-        for part in (part for batch in batches for part in steps(batch, "html")):
-            text = [main_text(page) for page in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["id", "url", "text", "n_chars"])
+    def run(pages: pa.Array) -> list:
+        text = [main_text(page, shared.value) for page in pages.to_pylist()]
+        return [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = rows.mapInArrow(run, "id long, url string, text string, n_chars long")
-    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    found = text_function(run, "text string, n_chars bigint")(F.col(html_col).cast("string"))
+    return pages.select(F.col(id_col), F.col(url_col), found.alias("found")).select(id_col, url_col, "found.*")

@@ -20,7 +20,7 @@ from skyfix.llm.mixing import TARGETS, mix_to_targets
 from skyfix.llm.quality_model import quality_scores
 from skyfix.llm.repetition import quality_rules
 from skyfix.llm.url_filter import RULES, judge_urls
-from skyfix.llm.warc import archive_round_trip, candidates, reachable
+from skyfix.llm.warc import archive_round_trip, broken_chains, read_warc, reachable, with_revisits, write_warc
 
 SF = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -162,6 +162,34 @@ def test_main_text_of_a_page():
     assert lines[3:] == ["item one", "item two"]
 
 
+def test_class_names_are_taken_whole():
+    text = "Some words of an article, long enough to be one."
+    for page in ('<div class="site has-sidebar"><article><p>{}</p></article></div>', '<div class="post no-comments"><p>{}</p></div>', '<body class="with-ads"><main><header class="entry-header"><p>{}</p></header></main></body>'):
+        assert main_text(page.format(text)) == text
+    for page in ('<article><p>Kept words are these here, in a sentence that stands by itself.</p><div class="post-comments"><p>{}</p></div></article>', '<p>Kept words are these here, in a sentence that stands by itself.</p><div id="cookie-notice"><p>{}</p></div>', '<p>Kept words are these here, in a sentence that stands by itself.</p><div class="ad-slot">{}</div>'):
+        assert main_text(page.format(text)) == "Kept words are these here, in a sentence that stands by itself."
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be <object>a</object> <button>number</button>.</p></article>") == "Let x be a number."
+
+
+def test_the_cut_overrules_single_blocks():
+    """A short line between long ones stays, a long line among links goes, though each by itself would be judged otherwise."""
+    long = "A sentence that goes on for quite some words so that it is text by itself."
+    assert main_text(f"<div><p>{long}</p><p>Yes.</p><p>{long}</p></div>") == f"{long}\nYes.\n{long}"
+    assert main_text("<div><p>Yes.</p></div>") == ""
+    links = "".join(f"<p><a href=x>Link number {i}</a></p>" for i in range(3))
+    assert main_text(f"<div>{links}<p>These are a few plain words in it.</p>{links}</div>") == ""
+    assert main_text("<div><p>These are a few plain words in it.</p></div>") != ""
+
+
+def test_a_page_of_very_many_blocks():
+    import time
+
+    page = "".join(f"<div><p>Text number {i}, which goes on for some words more.</p></div><div class=ad>Buy {i}</div>" for i in range(10_000))
+    began = time.process_time()
+    assert main_text(page).count("\n") == 9_999
+    assert time.process_time() - began < 15
+
+
 def article(html):
     """The planted article of the made-up pages, by their one layout."""
     inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
@@ -223,13 +251,55 @@ def test_archives_round_trip(spark):
     assert {r.record_type for r in least if r.payload_bytes == 4} == {"response"}
 
 
-def test_chain_leaves_out_what_it_does_not_reach():
+def test_archives_in_small_splits(spark):
+    """Payloads full of records, read in splits that cut them anywhere; ids are strings."""
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 2\r\n\r\nxx\r\n\r\n"
+    rnd = random.Random(2)
+    rows = [(f"p {i}/é", f"http://h/WARC/1.1\r\n{i}", "".join(rnd.choice([fake, "WARC/1.", "WARC/1.0\r\nx", "é text ", "\r\n\r\n"]) for _ in range(rnd.randrange(12)))) for i in range(60)]
+    pages = spark.createDataFrame([(*r, 1, "y") for r in rows], "page_id string, url string, html string, digest int, bytes string")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "1000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = by_id(archive_round_trip(pages.coalesce(2), least_bytes=1).collect(), "page_id")
+            assert len(got) == len(rows)
+            for i, _, h in rows:
+                assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()), (size, i)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_broken_archives(spark, tmp_path):
+    record = lambda i, text: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(text)}\r\n\r\n{text}"
+    gap = "\r\n\r\n"
+    files = {
+        "whole": record(1, "ab") + gap + record(2, "") + gap,
+        "cut": record(3, "abc") + gap + record(4, "abcdef")[:-3],
+        "junk": record(5, "abc") + gap + "junk" + record(6, "abc") + gap,
+        "badly_closed": record(7, "abc") + gap + record(8, "abc") + "\r\nX\n" + record(9, "abc") + gap,
+        "no_start": "x" + record(10, "abc") + gap,
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    assert sorted(int(r.id) for r in read_warc(spark, str(tmp_path)).collect()) == [1, 2, 3, 5, 7]
+    broken = {r.path.split("/")[-1]: r.records for r in broken_chains(spark, str(tmp_path)).collect()}
+    assert broken == {"cut.txt": 1, "junk.txt": 1, "badly_closed.txt": 1, "no_start.txt": 0}
+
+
+def test_archives_have_the_fields_of_the_format(spark, tmp_path):
+    rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_warc(with_revisits(pages, "page_id", "url", "html", 0), str(tmp_path / "a"))
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "a").glob("*.txt")))
+    assert text.count("WARC-Date: ") == 3 and text.count("WARC-Profile: http://netpreserve.org/") == 1 == text.count("WARC-Refers-To: <urn:page:1>")
+
+
+def test_chain_by_pointer_jumping():
     import numpy as np
 
-    body = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    found = candidates(body * 5 + b"junk" + body)
-    kept = reachable(np.array([f[0] for f in found]), np.array([f[1] for f in found]), len(body) * 6 + 4)
-    assert kept.tolist() == [True] * 5 + [False]
+    assert reachable(np.array([0, 10, 14, 25]), np.array([10, 25, 20, 40]), 40).tolist() == [True, True, False, True]
+    assert reachable(np.array([0, 10]), np.array([10, 41]), 40).tolist() == [True, False]
+    assert reachable(np.array([3, 10]), np.array([10, 20]), 20).tolist() == [False, False]
     assert reachable(np.zeros(0, int), np.zeros(0, int), 0).tolist() == []
 
 
