@@ -51,7 +51,7 @@ _FITS = " ".join(f"WHEN (host='{h}' OR ends_with(host,'.{h}')) AND starts_with(p
 _SORTED = sorted(RULES, key=lambda r: -len(r[0]))
 _TERM = "regexp_matches(u, '(^|[^\\p{L}\\p{N}])' || t || '($|[^\\p{L}\\p{N}])')"
 _LIST = lambda terms: "[" + ", ".join(f"'{t}'" for t in terms) + "]"
-_OP5 = f"""WITH p AS (SELECT page_id, lower(coalesce(url,'')) AS u, {_LOWER.format("regexp_extract(coalesce(url,''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(coalesce(url,''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+_OP5 = f"""WITH p AS (SELECT page_id, lower(coalesce(TRY(url_decode(url)), url, '')) AS u, {_LOWER.format("regexp_extract(coalesce(url,''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(coalesce(url,''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (SELECT *, CASE {_FITS.format(*(r for r, _ in _SORTED))} END AS rule, CASE {_FITS.format(*(v for _, v in _SORTED))} END AS ruled, len(list_filter({_LIST(STRICT)}, lambda t: {_TERM}))>0 OR len(list_filter({_LIST(SOFT)}, lambda t: {_TERM}))>={SEVERAL} AS hit FROM p)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN hit THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
 

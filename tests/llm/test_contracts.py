@@ -431,3 +431,12 @@ def test_columns_of_nulls(spark, lost):
     docs = spark.createDataFrame(rows, schema)
     assert quality_rules(docs).count() == language_ids(docs).count() == 5
     assert decontaminate(docs, spark.createDataFrame([(1, "some words")], "item_id long, text string")).count() == 5
+
+
+def test_urls_are_decoded_and_read_whole(spark):
+    long = "http://a.com/" + "x" * 200_000
+    urls = ["http://a.com/x%20casino", "http://a.com/c%61sino", "http://a.com/casino%C3%A9", long, long + "/casino", "http://a.com/gratis/sex", None, None]
+    pages = spark.createDataFrame([(str(i), u, "h", "r") for i, u in enumerate(urls)], "page_id string, url string, host string, rule string")
+    got = by_id(judge_urls(pages).collect(), "page_id")
+    assert [got[str(i)]["verdict"] for i in range(len(urls))] == ["block", "block", "allow", "allow", "block", "block", "allow", "allow"]
+    assert judge_urls(pages.limit(0)).collect() == []
