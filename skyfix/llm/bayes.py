@@ -85,10 +85,10 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     _, run_end, run_row = texts.words()
     ends = texts.bytes[run_end - 1].astype(U) if len(run_end) else np.zeros(0, U)
     marks = np.flatnonzero(_ALNUM[ends.astype(np.int64)])
-    found, rows = [texts.hashes(start, end), mix(ends[marks] + U(1 << 40))], [row, run_row[marks]]
-    for size in STEMS:
-        some = np.flatnonzero(end - start > size)
-        found.append(mix(texts.hashes(start[some], start[some] + size) + U(size)))
+    whole, *stems = texts.stems(start, end, STEMS)
+    found, rows = [whole, mix(ends[marks] + U(1 << 40))], [row, run_row[marks]]
+    for size, (hashes, some) in zip(STEMS, stems, strict=True):
+        found.append(mix(hashes + U(size << 32)))
         rows.append(row[some])
     buckets = (np.concatenate(found) % U(WORD_BUCKETS)).astype(np.int64)
     once, times = np.unique(np.concatenate(rows) * WORD_BUCKETS + buckets, return_counts=True)

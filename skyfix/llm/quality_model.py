@@ -65,7 +65,7 @@ def statistics(text):
 
 
 #: Labelled rows that a model is fitted on at most, about: beyond it a sample by the hash of their ids.
-SAMPLE = 200_000
+SAMPLE = 50_000
 
 
 def sampled(labels: DataFrame, most: int = SAMPLE) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Texts, U, mix, text_function
+from .shared import Rolling, Texts, U, mix, small_batches, text_function
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Share of a text's word characters that repeated n-grams of each length may cover, and repeated lines.
@@ -107,6 +107,7 @@ def quality_rules(
     hashes within a text.
     """
     limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
+    small_batches(docs.sparkSession)
 
     def run(texts: pa.Array) -> list:
         m = Measures(texts)

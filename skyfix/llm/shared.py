@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 U = np.uint64
 #: Bytes of text that one numpy step takes at a time; a longer single text is a step of its own.
 STEP_BYTES = 1 << 18
+#: Rows and bytes of an Arrow batch at most: whole texts are long, and each batch is held by Spark and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Rows times bytes up to which a table may be broadcast; beyond it the same join is shuffled.
 BROADCAST_BYTES = 48 << 20
 #: A key is hot with so many rows at least, and with one in so many of all rows: so hot keys are at most HOT_SHARE.
@@ -65,6 +67,7 @@ def tidy(spark: SparkSession):
 
     The session's setting comes back when the last block that runs in the session ends, so blocks may overlap in threads.
     """
+    small_batches(spark)
     key = id(spark._jsparkSession)
     with _lock:
         users, old = _cleaning.get(key, (0, spark.conf.get(_CLEANUP)))
@@ -86,6 +89,15 @@ def tidy(spark: SparkSession):
             delete(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python in small Arrow batches, if it does not do so yet."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint only for a table of a known size; else Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -252,14 +264,22 @@ class Texts:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each span [start, end); spans are in order and do not overlap."""
+        return self.stems(start, end, ())[0]
+
+    def stems(self, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """The hashes of the spans, then for each size those of the first bytes of the spans that are longer, and which spans."""
         if not len(start):
-            return np.zeros(0, U)
+            return [np.zeros(0, U), *((np.zeros(0, U), np.zeros(0, np.int64)) for _ in sizes)]
         size = end - start
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         at = np.arange(int(size.sum())) - np.repeat(first, size)
         weight = mix(np.arange(1, int(size.max()) + 1).astype(U)) | U(1)
-        value = (self.bytes[at + np.repeat(start, size)].astype(U) + U(1)) * weight[at]
-        return mix(np.add.reduceat(value, first) + size.astype(U))
+        sums = np.concatenate(([U(0)], np.cumsum((self.bytes[at + np.repeat(start, size)].astype(U) + U(1)) * weight[at], dtype=U)))
+        out = [mix(sums[first + size] - sums[first] + size.astype(U))]
+        for k in sizes:
+            some = np.flatnonzero(size > k)
+            out.append((mix(sums[first[some] + k] - sums[first[some]] + U(k)), some))
+        return out
 
 
 def slices(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[pa.Array]:
