@@ -34,10 +34,10 @@ def latency_report(log: DataFrame, latency: str, by: list[str] | None = None) ->
     return log.groupBy(*(by or [])).agg(F.avg(latency).alias("mean_latency"), F.percentile(latency, 0.95).alias("p95_latency"))
 
 
-def counter_power(samples: DataFrame, ts: str, counter: str, most: float, by: list[str] | None = None) -> DataFrame:
+def counter_power(samples: DataFrame, ts: str, counter: str, most: float, by: list[str]) -> DataFrame:
     """samples with power_w: the counter's step (micro-joules) over the time step (seconds, 1e-6 at least). A counter that
     fell has wrapped at `most`. Null at the first sample and next to an unreadable one. Ties in ts go by counter."""
-    w = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(ts, counter)
+    w = W.partitionBy(*by).orderBy(ts, counter)
     step = F.col(counter) - F.lag(counter).over(w)
     step = F.when(step < 0, step + most).otherwise(step)
     return samples.withColumn("power_w", step / 1e6 / F.greatest(F.col(ts) - F.lag(ts).over(w), F.lit(1e-6)))

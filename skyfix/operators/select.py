@@ -14,6 +14,27 @@ def seeded(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
 
 
+#: Rows that share a bucket of a seeded order, about, and the most hex digits that tell buckets apart.
+BUCKET_ROWS, BUCKET_DIGITS = 50_000, 4
+
+
+def seeded_places(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """df with the place (from 0) of each row in the seeded order of key, in all or in each group. key is unique.
+
+    The first digits of the order deal rows to buckets; places count within a bucket and start where the buckets before it
+    end. So no task sorts more than a bucket, and what is summed up in order is one number a bucket (65,536 at most a group).
+    """
+    by, digits, n = by or [], 0, df.count()
+    while digits < BUCKET_DIGITS and n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    rows = df.withColumn("_o", seeded(F.col(key), seed)).withColumn("_b", F.substring("_o", 1, digits) if digits else F.lit(""))
+    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    starts = sizes.select(*by, "_b", before.alias("_start"))
+    inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_o", key)) - 1
+    return rows.withColumn("_at", inside).join(starts, [*by, "_b"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_o", "_b", "_at", "_start")
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
@@ -68,6 +89,15 @@ def pooled(sources: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
+def merged_results(sources: list[DataFrame], key: str, fields: str) -> DataFrame:
+    """(key, fields): the result maps of several files merged key by key; a name in several maps has the value of the last.
+    Null where any file lacks the key."""
+    every = reduce(DataFrame.unionByName, [s.select(key, F.col(fields).alias("_map"), F.lit(i).alias("_source")) for i, s in enumerate(sources)])
+    own = [F.first(F.when(F.col("_source") == i, F.col("_map")), True) for i in range(len(sources))]
+    later = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    return every.groupBy(key).agg(*(m.alias(f"_{i}") for i, m in enumerate(own))).select(key, reduce(later, (F.col(f"_{i}") for i in range(len(own)))).alias(fields))
+
+
 def capped_counts(df: DataFrame, group: str, cap: int) -> DataFrame:
     """(group, total, chosen): rows, and those that a cap leaves."""
     return df.groupBy(group).agg(F.count("*").alias("total")).withColumn("chosen", F.least(F.col("total"), F.lit(cap).cast("long")))
@@ -78,9 +108,10 @@ def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_anti")
 
 
-def progress(log: DataFrame, time: str, total: int, by: str | None = None, tie: str | None = None) -> DataFrame:
-    """A work log with done, rate (a second) and eta_s at each entry; `time` is in seconds, ties go by `tie`."""
-    w = (W.partitionBy(by) if by else W.partitionBy()).orderBy(time, *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, 0)
+def progress(log: DataFrame, time: str, total: int, by: str, tie: str | None = None) -> DataFrame:
+    """A work log with done, rate (a second) and eta_s at each entry of each worker or run (`by`); `time` is in seconds, ties go
+    by `tie`."""
+    w = W.partitionBy(by).orderBy(time, *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, 0)
     out = log.withColumn("done", F.count("*").over(w)).withColumn("elapsed", F.col(time) - F.min(time).over(w))
     some = F.col("elapsed") > 0
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.functions.geo import bbox, haversine_km, iou
+from skyfix.sources.shared import cut
 
 #: Kilometres in a degree of latitude, rounded down: bands made with it are never too narrow.
 KM_PER_DEGREE = 111.0
 #: Registry rows up to which it is broadcast.
 SMALL_ROWS = 10_000
+#: Cells that one point looks into at most, one by one.
+MOST_CELLS = 2000
+#: Queries in a grid cell beyond which it is cut into slices.
+CROWDED = 128
 
 
 def cell_size(*boxes: DataFrame) -> float:
@@ -32,24 +37,31 @@ def overlapping(queries: DataFrame, tiles: DataFrame, cell: float | None = None)
     """Pairs (query columns, tile columns) whose bounding boxes overlap, bounds included.
 
     Both sides have `corners`; other names must differ. Boxes are dealt to grid cells and meet by an equi-join on the cell;
-    a pair is kept in the one cell that has the low corner of its overlap, so there is nothing to make distinct.
+    a pair is kept in the one cell that has the low corner of its overlap, so there is nothing to make distinct. A cell with
+    more than CROWDED queries is cut into slices, each of which meets the cell's tiles by itself.
     """
     q = queries.withColumn("box", bbox(F.col("corners"))).withColumnRenamed("corners", "query_corners")
     t = tiles.withColumn("box", bbox(F.col("corners"))).withColumnRenamed("corners", "tile_corners")
     cell = cell or cell_size(q, t)
     q = _cells(q, cell).withColumnRenamed("box", "query_box")
     t = _cells(t, cell).withColumnRenamed("box", "tile_box")
-    both = q.join(t, ["cell_y", "cell_x"])
+    crowded = q.groupBy("cell_y", "cell_x").agg(F.ceil(F.count("*") / CROWDED).cast("int").alias("slices")).where("slices > 1")
+    q = q.join(crowded, ["cell_y", "cell_x"], "left").withColumn("slice", F.pmod(F.xxhash64("query_corners"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    t = t.join(crowded, ["cell_y", "cell_x"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    # Dealt by hand, so that a small table's pairs, which are many, are not all put into the few tasks that its bytes ask for.
+    parts, on = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["cell_y", "cell_x", "slice"]
+    both = q.repartition(parts, *on).join(t.repartition(parts, *on), on)
     a, b = F.col("query_box"), F.col("tile_box")
     meet = (a["lat_min"] <= b["lat_max"]) & (b["lat_min"] <= a["lat_max"]) & (a["lon_min"] <= b["lon_max"]) & (b["lon_min"] <= a["lon_max"])
     low = lambda k: F.floor(F.greatest(a[k], b[k]) / cell)
-    return both.where(meet & (F.col("cell_y") == low("lat_min")) & (F.col("cell_x") == low("lon_min"))).drop("cell_y", "cell_x", "query_box", "tile_box")
+    return both.where(meet & (F.col("cell_y") == low("lat_min")) & (F.col("cell_x") == low("lon_min"))).drop(*on, "query_box", "tile_box")
 
 
 def positives(queries: DataFrame, tiles: DataFrame, least_iou: float = 0.2, cell: float | None = None) -> DataFrame:
-    """Overlapping pairs whose footprints have that IoU or more, with `iou`."""
-    pairs = overlapping(queries, tiles, cell).withColumn("iou", iou(F.col("query_corners"), F.col("tile_corners")))
-    return pairs.where(F.col("iou") >= least_iou)
+    """Overlapping pairs whose footprints have that IoU or more, with `iou`. Only pairs whose boxes overlap by enough area for
+    it are clipped, each once."""
+    pairs = overlapping(queries, tiles, cell)
+    return pairs.withColumn("iou", iou(F.col("query_corners"), F.col("tile_corners"), least_iou)).where(F.col("iou") >= least_iou)
 
 
 def best_positive(pairs: DataFrame, query: str, tile: str, order: str) -> DataFrame:
@@ -63,11 +75,6 @@ def positive_pairs(queries: DataFrame, tiles: DataFrame, query: str, tile: str,
     return best_positive(positives(queries, tiles, least_iou), query, tile, order)
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than that many rows, else as it is."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
-
-
 def _near(lat: Column, lon: Column, radius_km: float) -> Column:
     """Strictly nearer to a registry centre than the radius; the latitude band comes first, for scans and for cheapness."""
     band = radius_km / KM_PER_DEGREE * 1.01
@@ -80,9 +87,37 @@ def within(df: DataFrame, lat: str, lon: str, center: tuple[float, float], radiu
     return df.where(F.col(lat).between(center[0] - band, center[0] + band) & (haversine_km(F.lit(center[0]), F.lit(center[1]), F.col(lat), F.col(lon)) < radius_km))
 
 
+def _is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    return len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows
+
+
+def _region_cells(regions: DataFrame, radius_km: float, cell: float) -> DataFrame:
+    """regions, once for each grid cell that their circle may reach, with r_y and r_x."""
+    band = radius_km / KM_PER_DEGREE * 1.01
+    lat, lon = F.col("center_lat"), F.col("center_lon")
+    top = F.abs(lat) + band
+    wide = F.when(top >= 89, F.lit(360.0)).otherwise(F.least(F.lit(360.0), F.lit(band) / F.cos(F.radians(F.least(top, F.lit(89.0))))))
+    cells = lambda low, high: F.sequence(F.floor(low / cell), F.floor(high / cell))
+    # A circle that passes 180 degrees goes on at the other side.
+    spans = F.array(*(F.struct(F.greatest(lon - wide + s, F.lit(-180.0)).alias("low"), F.least(lon + wide + s, F.lit(180.0)).alias("high")) for s in (-360.0, 0.0, 360.0)))
+    xs = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["low"] <= s["high"]), lambda s: cells(s["low"] + 180, s["high"] + 180))))
+    return regions.withColumn("r_y", F.explode(cells(lat - band, lat + band))).withColumn("r_x", F.explode(xs))
+
+
+def _region_join(df: DataFrame, regions: DataFrame, lat: str, lon: str, radius_km: float, how: str) -> DataFrame:
+    """df joined with the regions that a row lies in. A small registry is broadcast; a larger one meets rows by grid cells."""
+    near = _near(F.col(lat), F.col(lon), radius_km)
+    if _is_small(regions):
+        return df.join(F.broadcast(regions), near, how)
+    cell = max(radius_km / KM_PER_DEGREE, 0.1)
+    placed = df.withColumn("_y", F.floor(F.col(lat) / cell)).withColumn("_x", F.floor((F.col(lon) + 180) / cell))
+    on = (F.col("_y") == F.col("r_y")) & (F.col("_x") == F.col("r_x")) & near
+    return placed.join(_region_cells(regions, radius_km, cell), on, how).drop("_y", "_x", "r_y", "r_x")
+
+
 def in_regions(df: DataFrame, regions: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
     """One row for each region that a row lies in (rows may be in several), with region, ord and its centre."""
-    return df.join(small(regions), _near(F.col(lat), F.col(lon), radius_km))
+    return _region_join(df, regions, lat, lon, radius_km, "inner")
 
 
 def first_region(df: DataFrame, regions: DataFrame, key: str, lat: str, lon: str, radius_km: float) -> DataFrame:
@@ -92,36 +127,54 @@ def first_region(df: DataFrame, regions: DataFrame, key: str, lat: str, lon: str
 
 
 def in_any_region(df: DataFrame, regions: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
-    return df.join(small(regions), _near(F.col(lat), F.col(lon), radius_km), "left_semi")
+    return _region_join(df, regions, lat, lon, radius_km, "left_semi")
 
 
 def outside_regions(df: DataFrame, regions: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
     """Rows in none of the held-out regions."""
-    return df.join(small(regions), _near(F.col(lat), F.col(lon), radius_km), "left_anti")
+    return _region_join(df, regions, lat, lon, radius_km, "left_anti")
+
+
+#: Tiles that a grid cell of the nearest-tile search is to have, about, and the bounds of its side in degrees.
+CELL_TILES, CELL_SIDES = 4, (0.05, 5.0)
 
 
-def nearest_tile(points: DataFrame, tiles: DataFrame, point: str, tile: str, order: str, cell: float = 5.0) -> DataFrame:
+def nearest_tile(points: DataFrame, tiles: DataFrame, point: str, tile: str, order: str, cell: float | None = None) -> DataFrame:
     """(point, tile, km): the nearest tile by great-circle distance, the first by `order` on ties.
 
     points have lat and lon, tiles tile_lat and tile_lon. Rings of grid cells around a point are searched: a row is done
     when its best distance is no more than what the searched ring surely covers, else the ring doubles. Nothing is crossed
-    with everything; the last round covers the globe for rows far from any tile.
+    with everything; the last round covers the globe for rows far from any tile. The cells' side follows from how densely the
+    tiles fill one-degree cells; what a ring leaves open is written before the next.
     """
-    spots = tiles.select(tile, order, "tile_lat", "tile_lon", F.floor(F.col("tile_lat") / cell).alias("cell_y"), F.floor(F.col("tile_lon") / cell).alias("cell_x"))
-    wide = int(360 / cell)
+    spots = tiles.select(tile, order, "tile_lat", "tile_lon")
+    if cell is None:
+        dense = spots.groupBy(F.floor("tile_lat"), F.floor("tile_lon")).agg(F.count("*").alias("n")).agg(F.percentile_approx("n", 0.9)).first()[0] or 1
+        cell = min(max((CELL_TILES / dense) ** 0.5, CELL_SIDES[0]), CELL_SIDES[1])
+
+    cell = 360 / max(1, round(360 / cell))
+    spots = spots.withColumn("cell_y", F.floor(F.col("tile_lat") / cell)).withColumn("cell_x", F.pmod(F.floor((F.col("tile_lon") + 180) / cell), F.lit(round(360 / cell))))
+    wide = round(360 / cell)
     left, done, ring = points.select(point, "lat", "lon"), None, 1
     while True:
         last = ring * cell >= 180
         ys = F.sequence(F.floor(F.col("lat") / cell) - ring, F.floor(F.col("lat") / cell) + ring)
         polar = F.abs(F.col("lat")) + (ring + 1) * cell >= 89
-        reach = F.when(polar | F.lit(last), F.lit(wide)).otherwise(F.ceil(F.lit(float(ring)) / F.cos(F.radians(F.abs(F.col("lat")) + (ring + 1) * cell))))
-        xs = F.transform(F.sequence(F.lit(0).cast("long"), F.least(reach.cast("long") * 2, F.lit(wide - 1).cast("long"))), lambda i: F.pmod(F.floor(F.col("lon") / cell) - reach.cast("long") + i + int(180 / cell), F.lit(wide)) - int(180 / cell))
-        searched = left.withColumn("cell_y", F.explode(ys)).withColumn("cell_x", F.explode(xs))
-        best = searched.join(spots, ["cell_y", "cell_x"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("tile_lat"), F.col("tile_lon")))
-        best = best.groupBy(point).agg(F.min_by(tile, F.struct("km", order)).alias(tile), F.min("km").alias("km"))
+        reach = F.when(polar | F.lit(last), F.lit(wide)).otherwise(F.ceil(F.lit(float(ring)) / F.cos(F.radians(F.abs(F.col("lat")) + (ring + 1) * cell)))).cast("long")
+        steps = F.sequence(F.lit(0).cast("long"), F.least(reach * 2, F.lit(wide - 1).cast("long")))
+        xs = F.transform(steps, lambda i: F.pmod(F.floor((F.col("lon") + 180) / cell) - reach + i, F.lit(wide)))
+        # Rings that take in most of the globe meet whole rows of cells instead of each cell.
+        coarse = (2 * ring + 1) ** 2 > MOST_CELLS
+        searched = left.withColumn("cell_y", F.explode(ys))
+        if coarse:
+            best = searched.join(spots.drop("cell_x"), "cell_y")
+        else:
+            best = searched.withColumn("cell_x", F.explode(xs)).join(spots, ["cell_y", "cell_x"])
+        best = best.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("tile_lat"), F.col("tile_lon")))
+        best = cut(best.groupBy(point).agg(F.min_by(tile, F.struct("km", order)).alias(tile), F.min("km").alias("km")), "nearest")
         sure = best if last else best.where(F.col("km") <= ring * cell * KM_PER_DEGREE)
         done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select(point), point, "left_anti")
+        left = cut(left.join(sure.select(point), point, "left_anti"), "open-points")
         if last or left.isEmpty():
             return done
         ring *= 4

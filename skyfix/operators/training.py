@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyfix.functions.vectors import dot
 
-from .select import seeded
+from skyfix.sources.shared import cut
+
+from .select import seeded_places
 
 #: Of the multi-similarity loss: weights of positives and negatives, base similarity, mining margin.
 ALPHA, BETA, BASE, MARGIN = 2.0, 50.0, 0.5, 0.1
@@ -37,31 +39,41 @@ def training_table(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return pairs.join(clusters, "tile_id")
 
 
+def _number(*parts) -> Column:
+    """48 bits of the md5 of parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def batch_plan(pairs: DataFrame, batch_size: int, seed: int) -> DataFrame:
     """(batch, part, slot, pair_idx): floor(n / batch_size) batches over pairs (pair_idx, cluster_id).
 
     Half of a batch (`random`) is uniform without replacement in the epoch: the pairs in seeded order, cut into runs. The
-    rest (`cluster`) comes from clusters drawn in proportion to their size until it is full: each draw takes a seeded point
-    on the running sum of sizes, clusters go by their first draw, and their pairs follow in the batch's seeded order, those
-    already in the batch left out. Draws are md5 orders, alike on every run and partitioning.
+    rest (`cluster`) comes from clusters drawn in proportion to their size, again and again until the batch is full. The order
+    in which such draws first meet the clusters is that of clocks, -log(u) / size for each cluster, so nothing is drawn in vain
+    and no number of draws is too few. A batch takes a run of a cluster's pairs, in seeded order from a seeded start, those
+    already in the batch left out. All numbers are md5 sums, alike on every run and partitioning. Clusters are few (each batch
+    looks at each); pairs meet batches by their places in clusters, so no cluster is sent whole.
     """
-    n = pairs.count()
-    batches, half = n // batch_size, batch_size // 2
+    batches, half = pairs.count() // batch_size, batch_size // 2
     rest = batch_size - half
-    at = F.row_number().over(W.orderBy("o", "pair_idx")) - 1
-    spread = pairs.select("pair_idx", seeded(F.col("pair_idx"), seed).alias("o")).orderBy("o", "pair_idx").limit(batches * half)
-    uniform = spread.withColumn("at", at).select(F.floor(F.col("at") / F.lit(max(half, 1))).alias("batch"), F.lit("random").alias("part"), (F.col("at") % max(half, 1)).cast("int").alias("slot"), "pair_idx")
-    sizes = pairs.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    upto = sizes.select("cluster_id", "size", F.sum("size").over(W.orderBy("cluster_id").rowsBetween(W.unboundedPreceding, 0)).alias("high"))
-    upto = upto.withColumn("low", F.col("high") - F.col("size"))
-    draws = pairs.sparkSession.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(4 * rest))).alias("draw"))
-    point = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), "batch", "draw").cast("binary")), 1, 12), 16, 10).cast("long") % F.lit(max(n, 1))
-    drawn = draws.withColumn("point", point).join(F.broadcast(upto), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).groupBy("batch", "cluster_id").agg(F.min("draw").alias("draw"), F.first("size").alias("size"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy("batch").orderBy("draw").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    needed = drawn.withColumn("before", before).where(F.col("before") < batch_size).select("batch", "cluster_id", "draw")
-    inside = needed.join(pairs.select("pair_idx", "cluster_id"), "cluster_id").join(uniform.select("batch", "pair_idx"), ["batch", "pair_idx"], "left_anti")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "batch", "pair_idx").cast("binary"))
-    slot = F.row_number().over(W.partitionBy("batch").orderBy("draw", order, "pair_idx")) - 1
+    uniform = seeded_places(pairs.select("pair_idx"), "pair_idx", seed, name="at").where(F.col("at") < batches * half)
+    uniform = uniform.select(F.floor(F.col("at") / F.lit(max(half, 1))).alias("batch"), F.lit("random").alias("part"), (F.col("at") % max(half, 1)).cast("int").alias("slot"), "pair_idx")
+
+    sizes = pairs.groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("c", F.row_number().over(W.orderBy("cluster_id")))
+    sizes = cut(sizes, "clusters")
+    k = sizes.count()
+    drawn = pairs.sparkSession.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(1), F.lit(max(k, 1)))).alias("c")).join(sizes, "c")
+    u = (_number(F.lit(f"{seed}|clock"), "batch", "cluster_id") + 1) / F.lit(float(1 << 48))
+    start = _number(F.lit(f"{seed}|start"), "batch", "cluster_id") % F.col("size")
+    drawn = drawn.select("batch", "cluster_id", "size", (-F.log(u) / F.col("size")).alias("clock"), start.alias("start"))
+    order = W.partitionBy("batch").orderBy("clock", "cluster_id")
+    before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    drawn = drawn.withColumn("draw", F.row_number().over(order)).withColumn("before", before).where(F.col("before") < batch_size)
+    taken = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("size", F.lit(batch_size) - F.col("before")) - 1)))
+    taken = taken.select("batch", "cluster_id", "draw", "j", ((F.col("start") + F.col("j")) % F.col("size")).alias("pos"))
+    placed = seeded_places(pairs.select("pair_idx", "cluster_id"), "pair_idx", seed, ["cluster_id"], "pos")
+    inside = taken.join(placed, ["cluster_id", "pos"]).join(uniform.select("batch", "pair_idx"), ["batch", "pair_idx"], "left_anti")
+    slot = F.row_number().over(W.partitionBy("batch").orderBy("draw", "j")) - 1
     chosen = inside.withColumn("slot", slot.cast("int")).where(F.col("slot") < rest).select("batch", F.lit("cluster").alias("part"), "slot", "pair_idx")
     return uniform.unionByName(chosen)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyfix.functions import frames as fr
 from skyfix.functions import geo, ids, vectors
 from skyfix.operators import evaluate, localize, measure, retrieval, select, spatial, training
+from skyfix.sources import sinks, tables
 from skyfix.sources.shared import shared_dir
 from skyfix.sources.tables import manifest_numbers, scoped
 from skyfix.streaming import jobs
@@ -95,7 +96,9 @@ def _meet_sql(a: int, b: int, c: int, d: int) -> str:
 
 
 _TWICE = f"({_SIDE(0, 1, 2)}+{_SIDE(0, 2, 3)})"
-_OK = f"({_TWICE}<>0 AND NOT {_meet_sql(0, 1, 2, 3)} AND NOT {_meet_sql(1, 2, 3, 0)})"
+_TRIANGLE = "(" + " OR ".join(f"(x{i}=x{(i + 1) % 4} AND y{i}=y{(i + 1) % 4})" for i in range(4)) + ")"
+_EXTENT = "((greatest(x0,x1,x2,x3)-least(x0,x1,x2,x3))*(greatest(y0,y1,y2,y3)-least(y0,y1,y2,y3)))"
+_OK = f"(CASE WHEN {_TRIANGLE} THEN abs({_TWICE})>1e-9*{_EXTENT} ELSE {_TWICE}<>0 AND NOT {_meet_sql(0, 1, 2, 3)} AND NOT {_meet_sql(1, 2, 3, 0)} END)"
 
 
 @query(sql(f"SELECT tile_id, round(least(y0,y1,y2,y3),6) AS lat_min, round(greatest(y0,y1,y2,y3),6) AS lat_max, round(least(x0,x1,x2,x3),6) AS lon_min, round(greatest(x0,x1,x2,x3),6) AS lon_max, round((y0+y1+y2+y3)/4,6) AS center_lat, round((x0+x1+x2+x3)/4,6) AS center_lon, round(abs({_TWICE})/2,6) AS area, {_OK} AS valid, round({haversine('y0', 'x0', 'y1', 'x1')},4) AS width_km, round({haversine('y0', 'x0', 'y3', 'x3')},4) AS height_km FROM tiles", "tiles"))
@@ -195,12 +198,10 @@ def nearest_tile(spark: SparkSession, d: str) -> DataFrame:
 
 # -- pixels, frames, times --------------------------------------------------------------------------------------------
 
-@query(sql("SELECT query_id, i, round(qu,6) AS u, round(qv,6) AS v, round(g_lat,6) AS lat, round(g_lon,6) AS lon FROM ground", "ground"))
+@query(sql("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, round(qu,6) AS u, round(qv,6) AS v, round(g_lat,6) AS lat, round(g_lon,6) AS lon FROM ground", "ground"))
 def tie_points(spark: SparkSession, d: str) -> DataFrame:
     best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).where("status = 'fix'").join(S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "corners"), "matched_tile_id")
-    ties = best.select("query_id", "corners", "tile_h", "tile_w", F.posexplode("correspondences").alias("i", "c")).where("c.inlier")
-    spot = geo.pixel_to_latlon(F.col("corners"), F.col("c.tu"), F.col("c.tv"), F.col("tile_h"), F.col("tile_w"))
-    return ties.select("query_id", F.col("i").cast("long").alias("i"), F.col("c.qu").alias("u"), F.col("c.qv").alias("v"), spot.alias("p")).select("query_id", "i", "u", "v", *(F.round(f"p.{k}", 6).alias(k) for k in ("lat", "lon")))
+    return localize.tie_points(best, ["query_id"]).select("query_id", F.col("idx").cast("long").alias("idx"), "u", "v", *r6("lat", "lon"))
 
 
 _PX = "(VALUES (0e0,0e0,0),(639e0,0e0,1),(639e0,479e0,2),(0e0,479e0,3)) c(cu,cv,ci)"
@@ -545,13 +546,36 @@ def cluster_weights(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(F.broadcast(total)).select("cluster_id", "size", F.round(F.col("size") / F.col("total"), 6).alias("weight"))
 
 
-@query()
+_PLAN = """p AS (SELECT vec_id AS pair_idx, label AS cluster_id, md5('5|'||vec_id) AS o FROM embeddings), n AS (SELECT count(*) AS n FROM p),
+u AS (SELECT at_//16 AS batch, at_%16 AS slot, pair_idx FROM (SELECT pair_idx, row_number() OVER (ORDER BY o, pair_idx)-1 AS at_ FROM p) WHERE at_ < (SELECT n FROM n)//32*16),
+cl AS (SELECT cluster_id, count(*) AS size FROM p GROUP BY 1), bs AS (SELECT unnest(range((SELECT n FROM n)//32)) AS batch),
+dr AS (SELECT batch, cluster_id, size, -ln((('0x'||substr(md5('5|clock|'||batch||'|'||cluster_id),1,12))::BIGINT+1)/281474976710656e0)/size AS clock, ('0x'||substr(md5('5|start|'||batch||'|'||cluster_id),1,12))::BIGINT % size AS start FROM bs, cl),
+od AS (SELECT *, row_number() OVER w AS draw, (sum(size) OVER w - size)::BIGINT AS before FROM dr WINDOW w AS (PARTITION BY batch ORDER BY clock, cluster_id ROWS UNBOUNDED PRECEDING)),
+tk AS (SELECT batch, cluster_id, size, draw, start, unnest(range(least(size, 32-before))) AS j FROM od WHERE before<32),
+ps AS (SELECT cluster_id, pair_idx, row_number() OVER (PARTITION BY cluster_id ORDER BY o, pair_idx)-1 AS pos FROM p),
+ck AS (SELECT tk.batch, ps.pair_idx, row_number() OVER (PARTITION BY tk.batch ORDER BY draw, j)-1 AS slot FROM tk JOIN ps ON ps.cluster_id=tk.cluster_id AND ps.pos=(start+j)%size ANTI JOIN u ON u.batch=tk.batch AND u.pair_idx=ps.pair_idx),
+plan AS (SELECT batch, 'random' AS part, slot, pair_idx FROM u UNION ALL SELECT batch, 'cluster', slot, pair_idx FROM ck WHERE slot<16)"""
+
+
+@query(f"WITH {_PLAN} SELECT batch, part, slot, pair_idx FROM plan")
 def batch_plan(spark: SparkSession, d: str) -> DataFrame:
     pairs = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("pair_idx"), F.col("label").alias("cluster_id"))
     return training.batch_plan(pairs, 32, 5)
 
 
-@query()
+_TOTAL = _PLAN + """, it AS (SELECT batch, 'q'||pair_idx AS item, pair_idx AS l1, label AS l2, embedding::DOUBLE[] AS e FROM plan JOIN embeddings ON vec_id=pair_idx
+UNION ALL SELECT batch, 't'||pair_idx, pair_idx, e.label, t.embedding::DOUBLE[] FROM plan JOIN embeddings e ON e.vec_id=pair_idx JOIN embeddings t ON t.vec_id=(pair_idx+1)%(SELECT n FROM n)),
+prl1 AS (SELECT a.batch, a.item AS anchor, a.l1=o.l1 AS pos, list_dot_product(a.e,o.e) AS s FROM it a JOIN it o ON a.batch=o.batch AND a.item<>o.item),
+hdl1 AS (SELECT *, min(s) FILTER (WHERE pos) OVER (PARTITION BY batch, anchor) AS hp, max(s) FILTER (WHERE NOT pos) OVER (PARTITION BY batch, anchor) AS hn FROM prl1),
+eal1 AS (SELECT batch, anchor, sum(exp(-2*(s-0.5))) FILTER (WHERE pos) AS p, sum(exp(50*(s-0.5))) FILTER (WHERE NOT pos) AS n FROM hdl1 WHERE (pos AND s-0.1<hn) OR (NOT pos AND s+0.1>hp) GROUP BY 1,2),
+pw AS (SELECT batch, avg(ln(1+p)/2+ln(1+n)/50) FILTER (WHERE p IS NOT NULL AND n IS NOT NULL) AS loss FROM eal1 GROUP BY 1),
+prl2 AS (SELECT a.batch, a.item AS anchor, a.l2=o.l2 AS pos, list_dot_product(a.e,o.e) AS s FROM it a JOIN it o ON a.batch=o.batch AND a.item<>o.item),
+hdl2 AS (SELECT *, min(s) FILTER (WHERE pos) OVER (PARTITION BY batch, anchor) AS hp, max(s) FILTER (WHERE NOT pos) OVER (PARTITION BY batch, anchor) AS hn FROM prl2),
+eal2 AS (SELECT batch, anchor, sum(exp(-2*(s-0.5))) FILTER (WHERE pos) AS p, sum(exp(50*(s-0.5))) FILTER (WHERE NOT pos) AS n FROM hdl2 WHERE (pos AND s-0.1<hn) OR (NOT pos AND s+0.1>hp) GROUP BY 1,2),
+cw AS (SELECT batch, avg(ln(1+p)/2+ln(1+n)/50) FILTER (WHERE p IS NOT NULL AND n IS NOT NULL) AS loss FROM eal2 GROUP BY 1)"""
+
+
+@query("WITH " + _TOTAL + " SELECT b.batch, round(coalesce(pw.loss,0),6) AS pairwise_loss, round(coalesce(cw.loss,0),6) AS cluster_loss, round(coalesce(pw.loss,0)+coalesce(cw.loss,0),6) AS total_loss FROM (SELECT DISTINCT batch FROM plan) b LEFT JOIN pw ON pw.batch=b.batch LEFT JOIN cw ON cw.batch=b.batch")
 def total_loss(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "embeddings")
     pairs = e.select(F.col("vec_id").alias("pair_idx"), F.col("label").alias("cluster_id"))
@@ -579,10 +603,12 @@ def global_top_k(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, 25).orderBy(F.desc("similarity"), "query_id", "tile_id").limit(25).select("query_id", "tile_id", *r6("similarity"))
 
 
-@query(sql("SELECT query_id, tile_id, rank, CASE WHEN n<4 THEN 0 ELSE num_inliers END AS usable, round(sqrt(pow(t.tile_lat-q.lat,2)+pow(t.tile_lon-q.lon,2))*111,4) AS snap_km FROM (SELECT c.*, line%7 AS n FROM candidates c) c JOIN tiles0 t USING(tile_id) JOIN (SELECT query_id AS cust, lat, lon FROM queries0) q ON q.cust=c.query_id%100", "candidates", "tiles0", "queries0"))
+@query(sql("SELECT query_id, tile_id, rank, CASE WHEN n<4 THEN 0 ELSE num_inliers END AS usable, round(sqrt(pow(t.tile_lat-q.lat,2)+pow(t.tile_lon-q.lon,2))*111,4) AS snap_km FROM (SELECT c.*, line%7 AS n FROM candidates c) c JOIN tiles0 t USING(tile_id) JOIN orders o ON o.o_orderkey=c.query_id JOIN (SELECT query_id AS cust, lat, lon FROM queries0) q ON q.cust=o.o_custkey", "candidates", "tiles0", "queries0"))
 def gated_inliers(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).withColumn("n", F.col("line") % 7)
-    c = c.join(S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon"), "tile_id").join(S.queries(spark, d).select(F.col("query_id").alias("cust"), "lat", "lon"), F.col("query_id") % 100 == F.col("cust"))
+    owner = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("cust"))
+    owner = owner.join(S.queries(spark, d).select(F.col("query_id").alias("cust"), "lat", "lon"), "cust")
+    c = c.join(S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon"), "tile_id").join(owner, "query_id")
     return c.select("query_id", "tile_id", F.col("rank").cast("long").alias("rank"), localize.usable_inliers(F.col("n"), F.col("num_inliers")).alias("usable"), F.round(geo.rough_km(F.col("tile_lat"), F.col("tile_lon"), F.col("lat"), F.col("lon")), 4).alias("snap_km"))
 
 
@@ -608,12 +634,15 @@ def available_models(spark: SparkSession, d: str) -> DataFrame:
     return p.join(p.where("p_size = 50").select("p_brand"), "p_brand", "left_semi").groupBy(F.col("p_brand").alias("model")).agg(F.count("*").alias("tiles"))
 
 
-@query(sql("SELECT p.run_id, l.n, round(l.mean,6) AS mean_latency, round(l.p95,6) AS p95_latency, round(p.peak,4) AS peak_rss_mb, round(p.watts,4) AS mean_power_w FROM (SELECT run_id, max(rss_mb) AS peak, avg(power_w) AS watts FROM power GROUP BY 1) p JOIN (SELECT user_id%10 AS run_id, count(*) AS n, avg(value) AS mean, quantile_cont(value,0.95) AS p95 FROM events GROUP BY 1) l ON l.run_id=p.run_id", "samples", more=_POWER))
+@query(sql("SELECT p.run_id, l.n, round(l.mean,6) AS mean_latency, round(l.p95,6) AS p95_latency, round(p.peak,4) AS peak_rss_mb, round(p.watts,4) AS mean_power_w, a.recall_1, a.recall_5, a.num_evaluated FROM (SELECT run_id, max(rss_mb) AS peak, avg(power_w) AS watts FROM power GROUP BY 1) p JOIN (SELECT user_id%10 AS run_id, count(*) AS n, avg(value) AS mean, quantile_cont(value,0.95) AS p95 FROM events GROUP BY 1) l ON l.run_id=p.run_id LEFT JOIN (SELECT (v.query_id//25)%10 AS run_id, round(100.0*avg((coalesce(first_rank,99)<=1)::INT),6) AS recall_1, round(100.0*avg((coalesce(first_rank,99)<=5)::INT),6) AS recall_5, count(*) AS num_evaluated FROM (SELECT DISTINCT query_id FROM relevant) v LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM ranked JOIN relevant USING (query_id, tile_id) GROUP BY 1) h USING (query_id) GROUP BY 1) a ON a.run_id=p.run_id", "samples", "ranked", "relevant", more=_POWER))
 def profile_report(spark: SparkSession, d: str) -> DataFrame:
     events = S.table(spark, d, "events").withColumn("run_id", F.col("user_id") % 10)
     latency = evaluate.latency_report(events, "value", ["run_id"]).join(events.groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
     power = evaluate.resource_report(evaluate.counter_power(S.samples(spark, d), "ts", "counter", 262144000.0, ["run_id"]), ["run_id"])
-    return latency.join(power, "run_id").select("run_id", "n", *r6("mean_latency", "p95_latency"), *r6("peak_rss_mb", "mean_power_w", places=4))
+    hits = evaluate.first_hits(_ranked(spark, d, 5), S.relevant(spark, d)).withColumn("run_id", F.floor(F.col("query_id") / 25) % 10)
+    accuracy = evaluate.recall(hits, (1, 5), ["run_id"])
+    out = latency.join(power, "run_id").join(accuracy, "run_id", "left")
+    return out.select("run_id", "n", *r6("mean_latency", "p95_latency"), *r6("peak_rss_mb", "mean_power_w", places=4), *r6("recall_1", "recall_5"), "num_evaluated")
 
 
 @query(sql("SELECT f.query_id, f.region_name AS region, f.timestamp FROM frames f WHERE f.query_id IN (SELECT query_id FROM labelled WHERE outcome='verified')", "frames", "candidates", more=_OUT))
@@ -634,11 +663,20 @@ def fix_centres(spark: SparkSession, d: str) -> DataFrame:
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 
-def _drained(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
-    """All that a stream has, by one run over what is there now, written to the shared folder."""
+def _closed(rows: DataFrame, ts: str, job) -> DataFrame:
+    """What a windowed stream gives in append mode over all rows: a run over them, then one over a row of a later day, whose
+    watermark closes all their windows. Each run goes on from the state of the one before."""
+    spark = rows.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}" if mode == "append" else f"{path}/out")
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows.write.parquet(f"{path}/in")
+    latest = rows.agg((F.max(ts) + F.expr("INTERVAL 1 DAY")).alias(ts)).where(F.col(ts).isNotNull())
+    latest = latest.select(*(F.col(c) if c == ts else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes))
+    for more in (None, latest):
+        if more is not None:
+            more.write.mode("append").parquet(f"{path}/in")
+        stream = job(spark.readStream.schema(rows.schema).parquet(f"{path}/in")).writeStream.outputMode("append")
+        stream = stream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        stream.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
@@ -648,21 +686,93 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, max(value) AS peak, round(avg(value),6) AS mean, count(*) AS n FROM events GROUP BY 1")
 def stream_resource_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("rss_mb"))
-    return _drained(jobs.resource_windows(rows), spark, "complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean"), "n")
+    rows = S.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("rss_mb"))
+    return _closed(rows, "ts", jobs.resource_windows).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean"), "n")
 
 
-@query("SELECT user_id%3 AS camera, time_bucket(INTERVAL '15 minutes', ts) AS arc_start, count(*) AS n_rows FROM events GROUP BY 1,2")
+@query("SELECT user_id%3 AS camera, time_bucket(INTERVAL '15 minutes', ts) AS arc_start, count(*) AS n_rows, count(DISTINCT user_id) AS n_frames FROM events GROUP BY 1,2")
 def stream_measurement_arcs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).alias("camera"), F.col("event_id").alias("frame_id"))
-    return _drained(jobs.measurement_arcs(rows), spark, "complete").select("camera", F.col("arc_start").cast("timestamp_ntz").alias("arc_start"), "n_rows")
+    rows = S.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).alias("camera"), F.col("user_id").alias("frame_id"))
+    return _closed(rows, "ts", jobs.measurement_arcs).select("camera", F.col("arc_start").cast("timestamp_ntz").alias("arc_start"), "n_rows", "n_frames")
+
 
+_SEEN = "seen AS (SELECT r.query_id, r.tile_id, r.rank, (r.query_id*7+r.tile_id*13)%60 AS num_inliers FROM ranked r JOIN tiles0 t USING(tile_id) WHERE r.rank<=5)"
 
-@query(sql("SELECT query_id, status, confidence, tile_id AS matched_tile_id FROM fixes WHERE query_id IN (SELECT o_orderkey FROM orders)", "fixes"))
+
+@query(sql("SELECT q.query_id, CASE WHEN num_inliers>=30 THEN 'fix' ELSE 'no_fix' END AS status, coalesce(num_inliers,0)::DOUBLE AS confidence, tile_id AS matched_tile_id, coalesce(n,0) AS n_candidates, CASE WHEN num_inliers>=30 THEN 4 ELSE 0 END AS n_ties FROM qd q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY num_inliers DESC, rank) AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM seen) b ON b.query_id=q.query_id AND nth=1", "qd", "ranked", "tiles0", more=_SEEN))
 def stream_localization(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of frames with descriptors: each micro-batch searches the reference table, is matched and localized."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    known = S.candidates(spark, d).select("query_id", "tile_id", "rank", "num_inliers")
-    frames = _stream(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"))
-    job = lambda batch: localize.decide(batch, known).select("query_id", "status", "confidence", "matched_tile_id")
+    tiles = S.tiles(spark, d).select("tile_id", "corners", F.lit(320).alias("tile_h"), F.lit(384).alias("tile_w"))
+    at = lambda x: F.lit(float(x))
+    dot_ = lambda i: F.struct(at(i * 90).alias("qu"), at(i * 70).alias("qv"), at(i * 40).alias("tu"), at(i * 30).alias("tv"), F.lit(i != 2).alias("inlier"))
+
+    def matcher(pairs: DataFrame) -> DataFrame:
+        n = ((F.col("query_id") * 7 + F.col("tile_id") * 13) % 60).cast("int")
+        return pairs.withColumn("num_inliers", n).withColumn("correspondences", F.array(*map(dot_, range(5)))).withColumn("homography", F.lit(None).cast("array<double>"))
+
+    job = jobs.localization_job(S.descriptors(spark, d).select("tile_id", "descriptor"), matcher, tiles, S.DIM, 5)
+    v = F.col("vec_id")
+    frames = _stream(spark, d, "embeddings").where(v % 25 == 0).select(v.alias("query_id"), F.floor(v / 4).alias("own_tile"), F.col("embedding").alias("descriptor"), F.lit(480).alias("query_h"), F.lit(640).alias("query_w"))
     jobs.localize_stream(frames, job, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("query_id", "status", "confidence", "matched_tile_id")
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("query_id", "status", "confidence", "matched_tile_id", F.size("candidates").cast("long").alias("n_candidates"), F.size("tie_points").cast("long").alias("n_ties"))
+
+
+# -- files written and read again -------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql("SELECT tile_id, zoom, year, round(tile_lat,6) AS tile_lat FROM tiles0 WHERE year=2021", "tiles0"))
+def saved_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles saved by year and zoom, and those of a year read back."""
+    path = _folder(spark, "tiles")
+    sinks.save_tiles(S.tiles(spark, d), path)
+    return tables.scoped(spark.read.parquet(path), 2021).select("tile_id", F.col("zoom").cast("long").alias("zoom"), F.col("year").cast("long").alias("year"), *r6("tile_lat"))
+
+
+@query("SELECT n_name AS region, count(*) AS tiles, sum(c_custkey) AS ids FROM customer JOIN nation ON n_nationkey=c_nationkey GROUP BY 1")
+def saved_reference_db(spark: SparkSession, d: str) -> DataFrame:
+    """A reference database saved by region and read back region by region; a second save leaves it as it is."""
+    path = _folder(spark, "reference-db")
+    c = S.table(spark, d, "customer").join(F.broadcast(S.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("region"), "c_custkey")
+    sinks.save_reference_db(c, c.select("region", (-F.col("c_custkey")).alias("c_custkey")), path)
+    sinks.save_reference_db(c.limit(0), c.limit(0), path)
+    return tables.reference_db(spark, path)[0].groupBy("region").agg(F.count("*").alias("tiles"), F.sum("c_custkey").alias("ids"))
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY best_inliers DESC, query_id::VARCHAR) AS place, query_id::VARCHAR AS tile_id, best_inliers FROM labelled WHERE outcome='verified'", "frames", "candidates", more=_OUT))
+def saved_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Verified queries saved with their places, and read back."""
+    path, found = _folder(spark, "verified"), _outcomes(spark, d)
+    rows = found.where("outcome = 'verified'").select(F.col("query_id").cast("string").alias("tile_id"), F.col("best_inliers").cast("int").alias("best_inliers"))
+    sinks.save_verified(rows, evaluate.outcome_counts(found), path)
+    return tables.verified_cache(spark, path).select("place", "tile_id", F.col("best_inliers").cast("long").alias("best_inliers"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS frame, round(o_totalprice,4) AS nadir_lat FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus<>'P') WHERE nth=1")
+def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest written as JSON lines and read back: of each roll the first valid line by file and place in it wins."""
+    path = _folder(spark, "manifest")
+    o = S.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("roll"), F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "P", "bad").otherwise(F.col("o_totalprice").cast("string")).alias("nadir_lat"))
+    lines = o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("roll", F.col("o_orderkey").cast("string").alias("frame"), "nadir_lat")
+    lines.write.json(path)
+    read = tables.manifest(spark, path).withColumn("lat", F.col("nadir_lat").try_cast("double"))
+    return select.first_valid(read, ["roll"], F.col("lat").isNotNull(), ["line"]).select("frame", F.round("lat", 4).alias("nadir_lat"))
+
+
+@query("WITH a AS (SELECT n_name AS region, count(*) AS customers, round(sum(c_acctbal),2) AS balance FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE c_mktsegment='BUILDING' GROUP BY 1), b AS (SELECT n_name AS region, count(*) AS suppliers, round(sum(s_acctbal),2) AS balance FROM supplier JOIN nation ON n_nationkey=s_nationkey GROUP BY 1) SELECT coalesce(a.region,b.region) AS region, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN a.customers::DOUBLE END AS customers, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN b.suppliers::DOUBLE END AS suppliers, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN b.balance::DOUBLE END AS balance FROM a FULL JOIN b ON a.region=b.region")
+def merged_result_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Two files of results by region, merged map by map: the later file wins, and a region that one lacks is null."""
+    nations = F.broadcast(S.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("region")))
+
+    def file(rows: DataFrame, key: str, count: str, balance: str) -> DataFrame:
+        sums = rows.join(nations, rows[key] == F.col("k")).groupBy("region").agg(F.count("*").cast("double").alias("n"), F.round(F.sum(balance), 2).cast("double").alias("b"))
+        return sums.select("region", F.create_map(F.lit(count), "n", F.lit("balance"), "b").alias("fields"))
+
+    c, s = S.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), S.table(spark, d, "supplier")
+    both = select.merged_results([file(c, "c_nationkey", "customers", "c_acctbal"), file(s, "s_nationkey", "suppliers", "s_acctbal")], "region", "fields")
+    return both.select("region", *(F.col("fields")[k].alias(k) for k in ("customers", "suppliers", "balance")))

@@ -1,16 +1,26 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written to it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the cluster sets it. Only a local session may lack it and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,9 +31,14 @@ def save_document(document: DataFrame, path: str) -> None:
 
 
 def save_verified(verified: DataFrame, counts: DataFrame, path: str) -> None:
-    """Write verified queries, best first, and the outcome counts as one JSON document."""
-    listed = verified.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("best_inliers")).alias("o"), "tile_id", "best_inliers"))), lambda v: F.struct(v["tile_id"].alias("tile_id"), v["best_inliers"].alias("best_inliers"))).alias("verified"))
-    listed.join(F.broadcast(counts.select(F.struct("*").alias("stats")))).write.mode("overwrite").json(path)
+    """Write verified queries as JSON lines with their place (most inliers first, then by tile_id), and the outcome counts beside
+    them. Places count within groups of equal inliers, which are added up in order."""
+    groups = verified.groupBy("best_inliers").agg(F.count("*").alias("n"))
+    before = groups.select("best_inliers", (F.sum("n").over(W.orderBy(F.desc("best_inliers"))) - F.col("n")).alias("before"))  # a row for each number of inliers
+    place = F.col("before") + F.row_number().over(W.partitionBy("best_inliers").orderBy("tile_id"))
+    rows = verified.select("tile_id", "best_inliers").join(before, "best_inliers").select(place.alias("place"), "tile_id", "best_inliers")
+    rows.write.mode("overwrite").json(f"{path}/verified")
+    counts.write.mode("overwrite").json(f"{path}/stats")
 
 
 def save_table(df: DataFrame, path: str) -> None:

@@ -43,8 +43,10 @@ def frames(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest lines with nulls for missing fields, and line order within a file."""
-    return spark.read.schema(MANIFEST).json(path)
+    """Manifest lines with nulls for missing fields and for lines that are not JSON, and `line`, which orders them: by file, by
+    place in the file. Files are read in splits; a split's rows are numbered as they come."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return text.select(F.from_json("value", MANIFEST).alias("m"), F.struct("file", "start", "at").alias("line")).select("m.*", "line")
 
 
 def manifest_numbers(rows: DataFrame) -> DataFrame:
@@ -69,7 +71,12 @@ def results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verified_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(tile_id, best_inliers) of a verified-query document."""
+    """(place, tile_id, best_inliers) of saved verified queries."""
+    return spark.read.schema("place long, tile_id string, best_inliers int").json(f"{path}/verified")
+
+
+def verified_document(spark: SparkSession, path: str) -> DataFrame:
+    """(tile_id, best_inliers) of a verified-query document that holds them in one list."""
     shape = "verified array<struct<tile_id: string, best_inliers: int>>, stats struct<n_sampled: bigint, n_retrieval_miss: bigint, n_matcher_shortfall: bigint, n_verified: bigint>"
     return spark.read.schema(shape).json(path, multiLine=True).select(F.inline("verified"))
 

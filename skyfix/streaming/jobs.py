@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyfix.operators.localize import MIN_INLIERS, localize
+from skyfix.operators.retrieval import search_tiles
+
 
 def localize_stream(frames: DataFrame, batch_job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger):
     """Start a query that runs the batch localization on each micro-batch of frames and appends its result, once for each
@@ -18,10 +21,28 @@ def localize_stream(frames: DataFrame, batch_job: Callable[[DataFrame], DataFram
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def localization_job(descriptors: DataFrame, matcher: Callable[[DataFrame], DataFrame], tiles: DataFrame, dim: int, k: int, least: int = MIN_INLIERS) -> Callable[[DataFrame], DataFrame]:
+    """A batch job for localize_stream: searches the reference descriptors for each frame (query_id, descriptor, query_h,
+    query_w), matches the k best tiles and localizes.
+
+    matcher: from (query_id, tile_id, rank, similarity) to the same with num_inliers, correspondences and homography. tiles:
+    tile_id, corners, tile_h, tile_w. A frame that names its own_tile does not find that one.
+    """
+
+    def job(batch: DataFrame) -> DataFrame:
+        own = [c for c in ("own_tile",) if c in batch.columns]
+        found = search_tiles(batch.select("query_id", "descriptor", *own), descriptors, dim, k, exclude_own=bool(own))
+        candidates = matcher(found).join(tiles, "tile_id")
+        return localize(batch.select("query_id", "query_h", "query_w"), candidates, least)
+
+    return job
+
+
 def measurement_arcs(ties: DataFrame, length: str = "15 minutes", late: str = "10 minutes", ts: str = "ts", camera: str = "camera") -> DataFrame:
-    """(camera, arc_start, arc_end, n_rows, n_frames) of tumbling windows; works on streams and tables alike."""
+    """(camera, arc_start, arc_end, n_rows, n_frames) of tumbling windows; works on streams and tables alike. Frames are counted
+    exactly: the state of an open window holds their ids."""
     rows = ties.withWatermark(ts, late) if ties.isStreaming else ties
-    return rows.groupBy(F.window(ts, length).alias("w"), camera).agg(F.count("*").alias("n_rows"), F.approx_count_distinct("frame_id", 0.01).alias("n_frames")).select(camera, F.col("w.start").alias("arc_start"), F.col("w.end").alias("arc_end"), "n_rows", "n_frames")
+    return rows.groupBy(F.window(ts, length).alias("w"), camera).agg(F.count("*").alias("n_rows"), F.size(F.collect_set("frame_id")).cast("long").alias("n_frames")).select(camera, F.col("w.start").alias("arc_start"), F.col("w.end").alias("arc_end"), "n_rows", "n_frames")
 
 
 def resource_windows(samples: DataFrame, length: str = "1 hour", late: str = "10 minutes", ts: str = "ts", value: str = "rss_mb") -> DataFrame:

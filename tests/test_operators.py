@@ -119,7 +119,7 @@ def test_recall_without_queries_is_zero(spark):
 
 def test_power_wraps_and_skips(spark):
     s = spark.createDataFrame([(0.0, 90.0), (1.0, 95.0), (2.0, 5.0), (3.0, None), (3.0, 7.0), (4.0, 9.0)], "ts double, c double").withColumn("rss_mb", F.lit(1.0))
-    got = [r.power_w for r in evaluate.counter_power(s, "ts", "c", 100.0).orderBy("ts", "c").collect()]
+    got = [r.power_w for r in evaluate.counter_power(s.withColumn("run", F.lit(1)), "ts", "c", 100.0, ["run"]).orderBy("ts", "c").collect()]
     assert got[:3] == [None, 5e-6, 1e-5] and got[3:5] == [None, None] and got[5] == 2e-6
 
 
@@ -213,6 +213,7 @@ def test_manifest(spark, tmp_path):
     lines = [full, full | {"nadir_lat": "bad"}, {k: v for k, v in full.items() if k != "nadir_lon"}]
     (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, lines)))
     raw = tables.manifest(spark, str(tmp_path / "m.jsonl"))
+    assert [r.nadir_lat for r in raw.orderBy("line").collect()] == ["1", "bad", "1"]
     assert raw.count() == 3 and tables.manifest_numbers(raw).select("nadir_lat").collect() == [(1.0,)]
 
 
@@ -232,7 +233,8 @@ def test_result_files_and_databases(spark, tmp_path):
     verified = spark.createDataFrame([("a", 31), ("b", 77)], "tile_id string, best_inliers int")
     counts = spark.createDataFrame([(5, 1, 2, 2)], "n_sampled long, n_retrieval_miss long, n_matcher_shortfall long, n_verified long")
     sinks.save_verified(verified, counts, str(tmp_path / "v"))
-    assert [r.tile_id for r in tables.verified_cache(spark, str(tmp_path / "v")).collect()] == ["b", "a"]
+    assert [r.tile_id for r in tables.verified_cache(spark, str(tmp_path / "v")).orderBy("place").collect()] == ["b", "a"]
+    assert spark.read.json(str(tmp_path / "v" / "stats")).first().n_sampled == 5
     report = spark.createDataFrame([("Alps", 1.0), ("Gobi", None)], "region string, err double")
     sinks.save_document(evaluate.result_document(report, ["err"]), str(tmp_path / "doc"))
     assert json.loads(spark.read.text(str(tmp_path / "doc")).first()[0])["Alps"] == {"err": 1.0}
