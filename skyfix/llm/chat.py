@@ -48,28 +48,31 @@ def _beginnings(rows: DataFrame) -> DataFrame:
     return first.select("head_conv", "head_chunk").join(texts, F.col("conv").eqNullSafe(F.col("head_conv")), "left").select("head_conv", "head_chunk", "head")
 
 
-def _windows(budget: int, history: int) -> Column:
-    """Array of (from, upto, repeats_from) of the windows over `body`, from the prefix sums `begun` and the tokens `head_tokens`
-    of the system turn: new turns from <= i < upto, and repeated ones repeats_from <= i < from."""
-    begun, tokens = F.col("begun"), F.col("tokens")
-
-    def repeated(t: Column, i: Column) -> Column:
-        """Tokens of earlier turns that a window beginning with turn i repeats."""
-        room = F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("head_tokens") - t)
-        return begun[i] - F.coalesce(F.array_min(F.filter(begun, lambda s: (s >= begun[i] - room) & (s < begun[i]))), begun[i])
-
-    turns = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"), repeated(t, i).alias("r")))
-    none = F.struct(F.expr("cast(array() as array<struct<i: int, r: bigint>>)").alias("starts"), F.lit(0).cast("long").alias("used"))
-
-    def take(state: Column, turn: Column) -> Column:
-        fits = (F.size(state["starts"]) > 0) & (state["used"] + turn["t"] <= budget)
-        opened = F.concat(state["starts"], F.array(F.struct(turn["i"].alias("i"), turn["r"].alias("r"))))
+def _windows(tokens: Column, head_tokens: Column, budget: int, history: int) -> Column:
+    """Array of (i, again) of the windows over turns of so many tokens: a window's new turns begin with turn i, and it repeats
+    the `again` turns before that.
+
+    One pass over the turns keeps the prefix sum, the tokens used in the window, and the prefix sums of the last turns, as far
+    back as the history budget reaches (a turn has four tokens or more).
+    """
+    state = "struct<i: int, upto: bigint, used: bigint, recent: array<bigint>, starts: array<struct<i: int, again: int>>>"
+    none = F.from_json(F.lit('{"i": 0, "upto": 0, "used": 0, "recent": [], "starts": []}'), state)
+
+    def take(s: Column, t: Column) -> Column:
+        fits = (s["i"] > 0) & (s["used"] + t <= budget)
+        low = s["upto"] - F.least(F.lit(history).cast("long"), F.lit(budget) - head_tokens - t)
+        again = F.filter(s["recent"], lambda b: b >= low)
+        opened = F.concat(s["starts"], F.array(F.struct(s["i"].alias("i"), F.size(again).alias("again"))))
+        recent = F.concat(F.filter(s["recent"], lambda b: b >= s["upto"] + t - history), F.array(s["upto"]))
         return F.struct(
-            F.when(fits, state["starts"]).otherwise(opened).alias("starts"),
-            F.when(fits, state["used"] + turn["t"]).otherwise(F.col("head_tokens") + turn["r"] + turn["t"]).alias("used"),
+            (s["i"] + 1).alias("i"),
+            (s["upto"] + t).alias("upto"),
+            F.when(fits, s["used"] + t).otherwise(head_tokens + s["upto"] - F.coalesce(F.array_min(again), s["upto"]) + t).alias("used"),
+            recent.alias("recent"),
+            F.when(fits, s["starts"]).otherwise(opened).alias("starts"),
         )
 
-    return F.aggregate(turns, none, take, lambda state: state["starts"])
+    return F.aggregate(tokens, none, take, lambda s: s["starts"])
 
 
 def format_chats(
@@ -106,17 +109,15 @@ def format_chats(
     packed = packed.withColumn("own_head", is_first & (F.col("all")[0]["role"] == "system"))
     packed = packed.withColumn("body", F.when(F.col("own_head"), F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")))
     packed = packed.withColumn("head", F.when(F.col("own_head"), F.col("all")[0]).otherwise(F.col("head"))).drop("all")
-    packed = packed.withColumn("head_tokens", F.coalesce(turn_tokens(F.col("head")["text"]), F.lit(0).cast("long"))).withColumn("tokens", F.transform("body", lambda t: turn_tokens(t["text"])))
-    sums = F.aggregate("tokens", F.struct(F.expr("cast(array() as array<bigint>)").alias("begun"), F.lit(0).cast("long").alias("upto")), lambda s, t: F.struct(F.concat(s["begun"], F.array(s["upto"])).alias("begun"), (s["upto"] + t).alias("upto")), lambda s: s["begun"])
-    packed = packed.withColumn("begun", sums)
-    packed = packed.withColumn("starts", _windows(budget, history))
-    lone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("r")))
+    packed = packed.withColumn("head_tokens", F.coalesce(turn_tokens(F.col("head")["text"]), F.lit(0).cast("long")))
+    packed = packed.withColumn("tokens", F.transform("body", lambda t: turn_tokens(t["text"])))
+    packed = packed.withColumn("starts", _windows(F.col("tokens"), F.col("head_tokens"), budget, history))
+    lone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("again")))
     packed = packed.withColumn("starts", F.when(F.size("body") == 0, lone).otherwise(F.col("starts")))
 
-    each = packed.select("conv", "chunk", "body", "head", "own_head", "begun", "starts", F.posexplode("starts").alias("w", "start"))
-    upto = F.coalesce(F.get(F.col("starts"), F.col("w") + 1)["i"], F.size("body"))
-    n_again = F.size(F.filter("begun", lambda s: (s >= F.get(F.col("begun"), F.col("start.i")) - F.col("start.r")) & (s < F.get(F.col("begun"), F.col("start.i")))))
-    each = each.withColumn("again", F.when(F.col("start.r") > 0, n_again).otherwise(0)).withColumn("upto", upto)
+    # posexplode_outer, not posexplode: its filter for empty arrays would choose all windows twice.
+    each = packed.select("conv", "chunk", "body", "head", "own_head", "starts", F.posexplode_outer("starts").alias("w", "start"))
+    each = each.withColumn("again", F.col("start.again")).withColumn("upto", F.coalesce(F.get(F.col("starts"), F.col("w") + 1)["i"], F.size("body")))
     listed = F.slice("body", F.col("start.i") - F.col("again") + 1, F.col("upto") - F.col("start.i") + F.col("again"))
     listed = F.when(F.col("head").isNotNull(), F.concat(F.array("head"), listed)).otherwise(listed)
     repeats_head = F.col("head").isNotNull() & ~(F.col("own_head") & (F.col("w") == 0))
