@@ -22,7 +22,10 @@ STEMS = (5, 6, 7)
 ORDERS = (1, 2, 3, 4)
 #: Code points below this are folded by table: lower case, and everything but letters to one space.
 FOLDED = 0x590
-_FOLD = np.array([ord(chr(c).lower()) if chr(c).isalpha() and len(chr(c).lower()) == 1 else (c if chr(c).isalpha() else 32) for c in range(FOLDED)], np.uint32)
+_FOLD = np.array(
+    [ord(chr(c).lower()) if chr(c).isalpha() and len(chr(c).lower()) == 1 else (c if chr(c).isalpha() else 32) for c in range(FOLDED)],
+    np.uint32,
+)
 
 
 def code_points(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +140,9 @@ def feature_counts(rows: DataFrame, features, buckets: int) -> dict[str, np.ndar
                     own[buckets] += int((label == k).sum())
         for name, own in counts.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"],
+            )
 
     parts = rows.where("label is not null").select("label", "text").mapInArrow(run, "label string, bucket int, n long")
     added = parts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a number for each label and bucket
@@ -152,7 +157,9 @@ def feature_counts(rows: DataFrame, features, buckets: int) -> dict[str, np.ndar
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> NaiveBayes:
     """The model of all rows with text and language whose crc32(id as text) mod 3 is not 1."""
     with tidy(docs.sparkSession):
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
+        rows = docs.select(
+            F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"),
+        )
         return train(rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out("id", 3, 1)), character_features)
 
 

@@ -41,11 +41,18 @@ def turn_tokens(text: Column) -> Column:
 def _beginnings(rows: DataFrame) -> DataFrame:
     """(head_conv, head_chunk, head): of each conversation of several stretches the first one, and its system turn if it begins
     with one, else null. Only turn numbers and roles are gathered for that, and the texts of those system turns."""
-    first = rows.groupBy("conv").agg(F.min(F.struct("chunk", "turn", "role")).alias("first"), F.max("chunk").alias("last")).where(F.col("first.chunk") < F.col("last"))
-    first = first.select(F.col("conv").alias("head_conv"), F.col("first.chunk").alias("head_chunk"), F.col("first.turn").alias("head_turn"), F.col("first.role").alias("head_role"))
+    first = rows.groupBy("conv").agg(
+        F.min(F.struct("chunk", "turn", "role")).alias("first"), F.max("chunk").alias("last"),
+    ).where(F.col("first.chunk") < F.col("last"))
+    first = first.select(
+        F.col("conv").alias("head_conv"), F.col("first.chunk").alias("head_chunk"), F.col("first.turn").alias("head_turn"),
+        F.col("first.role").alias("head_role"),
+    )
     same = F.col("conv").eqNullSafe(F.col("head_conv")) & F.col("turn").eqNullSafe(F.col("head_turn")) & (F.col("chunk") == F.col("head_chunk"))
     texts = rows.where("role = 'system'").join(first.where("head_role = 'system'"), same).groupBy("conv").agg(F.struct(F.lit("system").alias("role"), F.min("text").alias("text")).alias("head"))
-    return first.select("head_conv", "head_chunk").join(texts, F.col("conv").eqNullSafe(F.col("head_conv")), "left").select("head_conv", "head_chunk", "head")
+    return first.select("head_conv", "head_chunk").join(
+        texts, F.col("conv").eqNullSafe(F.col("head_conv")), "left",
+    ).select("head_conv", "head_chunk", "head")
 
 
 def _windows(tokens: Column, head_tokens: Column, budget: int, history: int) -> Column:
@@ -95,7 +102,10 @@ def format_chats(
     turns of one stretch. Other columns are ignored, whatever their names; an empty table gives none.
     """
     number = F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), F.lit(_UNNUMBERED))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = turns.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
     rows = rows.withColumn("chunk", number)
     with tidy(turns.sparkSession):
         heads = cut(_beginnings(rows), "beginnings", keep=True)
@@ -104,10 +114,14 @@ def format_chats(
     packed = rows.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
     packed = packed.withColumn("all", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     few = maybe_broadcast(heads, n_heads, 48 + 4 * chars // max(n_heads, 1))
-    packed = packed.join(few, F.col("conv").eqNullSafe(F.col("head_conv")), "left") if n_heads else packed.select("*", *(F.lit(None).cast(kind).alias(n) for n, kind in heads.dtypes))
+    packed = packed.join(few, F.col("conv").eqNullSafe(F.col("head_conv")), "left") if n_heads else packed.select(
+        "*", *(F.lit(None).cast(kind).alias(n) for n, kind in heads.dtypes),
+    )
     is_first = F.coalesce(F.col("chunk") == F.col("head_chunk"), F.lit(True))
     packed = packed.withColumn("own_head", is_first & (F.col("all")[0]["role"] == "system"))
-    packed = packed.withColumn("body", F.when(F.col("own_head"), F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")))
+    packed = packed.withColumn(
+        "body", F.when(F.col("own_head"), F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")),
+    )
     packed = packed.withColumn("head", F.when(F.col("own_head"), F.col("all")[0]).otherwise(F.col("head"))).drop("all")
     packed = packed.withColumn("head_tokens", F.coalesce(turn_tokens(F.col("head")["text"]), F.lit(0).cast("long")))
     packed = packed.withColumn("tokens", F.transform("body", lambda t: turn_tokens(t["text"])))
@@ -117,24 +131,46 @@ def format_chats(
 
     # posexplode_outer, not posexplode: its filter for empty arrays would choose all windows twice.
     each = packed.select("conv", "chunk", "body", "head", "own_head", "starts", F.posexplode_outer("starts").alias("w", "start"))
-    each = each.withColumn("again", F.col("start.again")).withColumn("upto", F.coalesce(F.get(F.col("starts"), F.col("w") + 1)["i"], F.size("body")))
+    each = each.withColumn("again", F.col("start.again")).withColumn(
+        "upto", F.coalesce(F.get(F.col("starts"), F.col("w") + 1)["i"], F.size("body")),
+    )
     listed = F.slice("body", F.col("start.i") - F.col("again") + 1, F.col("upto") - F.col("start.i") + F.col("again"))
     listed = F.when(F.col("head").isNotNull(), F.concat(F.array("head"), listed)).otherwise(listed)
     repeats_head = F.col("head").isNotNull() & ~(F.col("own_head") & (F.col("w") == 0))
-    each = each.select("conv", (F.col("chunk") * (1 << 20) + F.col("w")).alias("window"), (F.col("again") + repeats_head.cast("int")).alias("n_repeated"), listed.alias("turns"))
-
-    parts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("opening"), escape(t["text"]).alias("body")))
+    each = each.select(
+        "conv", (F.col("chunk") * (1 << 20) + F.col("w")).alias("window"), (F.col("again") + repeats_head.cast("int")).alias("n_repeated"),
+        listed.alias("turns"),
+    )
+
+    parts = F.transform(
+        "turns",
+        lambda t: F.struct(
+            t["role"].alias("role"), F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("opening"),
+            escape(t["text"]).alias("body"),
+        ),
+    )
     each = each.select("conv", "window", "n_repeated", parts.alias("parts"))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["opening"], p["body"], F.lit(END + "\n"))), "")
-    sizes = F.transform("parts", lambda p, i: F.struct(i.alias("i"), p["role"].alias("role"), F.length(p["opening"]).alias("o"), F.length(p["body"]).alias("b")))
-    none = F.struct(F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"), F.lit(0).cast("long").alias("at"))
+    sizes = F.transform(
+        "parts",
+        lambda p, i: F.struct(i.alias("i"), p["role"].alias("role"), F.length(p["opening"]).alias("o"), F.length(p["body"]).alias("b")),
+    )
+    none = F.struct(
+        F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"), F.lit(0).cast("long").alias("at"),
+    )
 
     def span(state: Column, p: Column) -> Column:
         own = F.array(F.struct((state["at"] + p["o"]).alias("start"), p["b"].cast("long").alias("length")))
         targets = (p["role"] == "assistant") & (p["i"] >= F.col("n_repeated"))
-        return F.struct(F.when(targets, F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"), (state["at"] + p["o"] + p["b"] + len(END) + 1).alias("at"))
+        return F.struct(
+            F.when(targets, F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"),
+            (state["at"] + p["o"] + p["b"] + len(END) + 1).alias("at"),
+        )
 
-    return each.select(F.col("conv").alias(conv_col), "window", "n_repeated", formatted.alias("formatted"), F.aggregate(sizes, none, span, lambda s: s["spans"]).alias("loss_spans"))
+    return each.select(
+        F.col("conv").alias(conv_col), "window", "n_repeated", formatted.alias("formatted"),
+        F.aggregate(sizes, none, span, lambda s: s["spans"]).alias("loss_spans"),
+    )
 
 
 def _turns_in(formatted: Column) -> Column:
@@ -143,7 +179,10 @@ def _turns_in(formatted: Column) -> Column:
 
     def turn(t: Column) -> Column:
         role = F.substring_index(t, "\n", 1)
-        return F.struct(F.url_decode(role).alias("role"), unescape(t.substr(F.length(role) + 2, F.length(t) - F.length(role) - 2 - len(END))).alias("text"))
+        return F.struct(
+            F.url_decode(role).alias("role"),
+            unescape(t.substr(F.length(role) + 2, F.length(t) - F.length(role) - 2 - len(END))).alias("text"),
+        )
 
     return F.transform(body, turn)
 

@@ -49,7 +49,9 @@ def fingerprints(rows: DataFrame, k: int, window: int) -> DataFrame:
     least = ", ".join(f"coalesce(get(g, i + {j}), {2**63 - 1}L)" for j in range(window))
     most = ", ".join(f"coalesce(get(m, p - {j}), {-(2**63) + 1}L)" for j in range(window))
     rows = rows.select("*", gram_hashes(k).alias("g"))
-    rows = rows.select("*", F.expr(f"if(size(g) = 0, {_NONE}, transform(sequence(0, greatest(size(g) - {window}, 0)), i -> least({least})))").alias("m"))
+    rows = rows.select(
+        "*", F.expr(f"if(size(g) = 0, {_NONE}, transform(sequence(0, greatest(size(g) - {window}, 0)), i -> least({least})))").alias("m"),
+    )
     chosen = f"filter(sequence(0, greatest(size(g) - 1, 0)), p -> get(g, p) = greatest({most}))"
     return rows.select("*", F.expr(f"transform({chosen}, p -> struct(p as at, get(g, p) as print))").alias("prints")).drop("m")
 
@@ -74,7 +76,9 @@ def _anchors(items: DataFrame, lengths: list[int], span: int, k: int, window: in
     return reduce(DataFrame.unionByName, parts).where("print is not null").distinct()
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, span: int, k: int) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, span: int, k: int,
+) -> DataFrame:
     """(key_a, key_b, n_hit, items): for each row of docs with a hit, by its row keys. A written table."""
     window = span - k + 1
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(item_text).cast("string")).alias("h"))
@@ -109,13 +113,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
         found = found.where(F.col("at") >= F.col("low")).select("key_a", "key_b", "n", "base", "h", F.explode_outer(starts).alias("start"))
         found = found.where(F.col("start") - F.col("base") + F.col("n") <= F.size("h"))
         sizes = [n for n in lengths if (n == span if way == "print" else k <= n < span if way == "all" else n == length)]
-        key = reduce(lambda rest, n: F.when(F.col("n") == n, F.expr(gram_hash(n, "start - base"))).otherwise(rest), sizes, F.lit(None).cast("long"))
+        key = reduce(
+            lambda rest, n: F.when(F.col("n") == n, F.expr(gram_hash(n, "start - base"))).otherwise(rest), sizes, F.lit(None).cast("long"),
+        )
         found = found.select("key_a", "key_b", "n", "start", key.alias("key"))
         hits.append(found.join(maybe_broadcast(spans, n_spans, 200), ["n", "key"]).select("key_a", "key_b", "start", "n", "item"))
     if not hits:
-        return cut(rows.limit(0).select("key_a", "key_b", F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items")), "hits", keep=True)
+        return cut(
+            rows.limit(0).select(
+                "key_a", "key_b", F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"),
+            ),
+            "hits", keep=True,
+        )
     hits = reduce(DataFrame.unionByName, hits).distinct()
-    packed = hits.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("start", "n")).alias("places"), F.sort_array(F.collect_set("item")).alias("items"))
+    packed = hits.groupBy("key_a", "key_b").agg(
+        F.collect_set(F.struct("start", "n")).alias("places"), F.sort_array(F.collect_set("item")).alias("items"),
+    )
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1))))
     return cut(packed.select("key_a", "key_b", F.size(covered).cast("long").alias("n_hit"), "items"), "hits", keep=True)
 
@@ -142,12 +155,17 @@ def decontaminate(
     """
     with tidy(docs.sparkSession):
         hits = benchmark_hits(docs, benchmark, id_col, text_col, item_col, item_text, span, k)
-    rows = docs.select(F.col(id_col), *row_keys(id_col, text_col), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
+    rows = docs.select(
+        F.col(id_col), *row_keys(id_col, text_col), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"),
+    )
     known = maybe_broadcast(hits.withColumnsRenamed({"key_a": "hit_a", "key_b": "hit_b"}), *_size(hits))
     out = rows.join(known, (F.col("key_a") == F.col("hit_a")) & (F.col("key_b") == F.col("hit_b")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     listed = F.coalesce("items", F.expr("cast(array() as array<string>)"))
-    return out.select(F.col(id_col), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select(
+        F.col(id_col), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"),
+        (n_hit > 0).alias("contaminated"),
+    )
 
 
 def _size(hits: DataFrame) -> tuple[int, int]:

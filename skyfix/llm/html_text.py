@@ -22,13 +22,27 @@ from .shared import steps, text_function, tidy
 #: HTML's fixed names: text inside these never shows, and these start and end blocks.
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "select", "textarea", "datalist"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
+BLOCK = {
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li",
+    "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
+    "title", "tr", "ul",
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A start tag of the first kind closes an open element of the second, up to the nearest of the third.
-CLOSES = {"p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+CLOSES = {
+    "p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+}
 #: Containers that say what a block is, by element and by the words of the names in class, id and role.
 AWAY_TAGS = {"nav": 6.0, "header": 3.5, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0}
-AWAY_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "widget", "related", "share", "social", "comment", "comments", "reply", "respond", "disqus", "footer", "header", "masthead", "copyright", "legal", "pagination", "pager", "toolbar", "skip", "toc", "rail", "gdpr", "disclaimer"}
+AWAY_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice",
+    "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "nav", "navbar", "navigation", "menu", "breadcrumb",
+    "breadcrumbs", "sidebar", "side", "widget", "related", "share", "social", "comment", "comments", "reply", "respond", "disqus",
+    "footer", "header", "masthead", "copyright", "legal", "pagination", "pager", "toolbar", "skip", "toc", "rail", "gdpr", "disclaimer",
+}
 HOME_TAGS = {"article": 1.5, "main": 1.2}
 HOME_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 #: A name that begins with one of these tells of a state or of other parts of the page, not of what is inside.
@@ -36,7 +50,10 @@ STATES = {"has", "no", "not", "with", "without", "is", "are", "hide", "show", "h
 #: Strength of the ties between neighbours, in one container and across; the text's say at most, and its scale.
 NEAR, ACROSS, TEXT_LIMIT, TEXT_SCALE = 1.5, 0.15, 2.0, 0.4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
@@ -170,7 +187,10 @@ def signs(found: list[tuple[str, float, _Element]]) -> np.ndarray:
     for i, (text, linked, box) in enumerate(found):
         words = text.count(" ") + 1
         marks = sum(map(text.count, ",.;"))
-        out[i] = (np.log1p(words), linked, text[-1] in ".!?\"'", marks / words, len(text) / words < 3, i / len(found), *(box.name in kind for kind in _KINDS))
+        out[i] = (
+            np.log1p(words), linked, text[-1] in ".!?\"'", marks / words, len(text) / words < 3, i / len(found),
+            *(box.name in kind for kind in _KINDS),
+        )
     return out
 
 

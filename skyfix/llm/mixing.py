@@ -109,7 +109,9 @@ class Memberships:
         return tokens.astype(np.int64), p
 
 
-def fit_memberships(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], id_col: str, text_col: str, most: int = SAMPLE) -> Memberships:
+def fit_memberships(
+    docs: DataFrame, labels: DataFrame, names: tuple[str, ...], id_col: str, text_col: str, most: int = SAMPLE,
+) -> Memberships:
     """From labels (label_id, label). The Gaussians are fitted to evidence that leaves the labelled text itself out."""
     learnt = labelled_texts(docs, labels, id_col, text_col, most)
     weights = word_weights(feature_counts(learnt.where("text is not null"), word_features, WORD_BUCKETS), names)
@@ -123,7 +125,9 @@ def fit_memberships(docs: DataFrame, labels: DataFrame, names: tuple[str, ...],
             mine = label[:, None] == np.arange(own.shape[1])[None, :] % len(names)
             x = np.hstack((_statistics(part.column("text")), np.where(mine, own, other)))
             offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(label.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["label", "x"],
+            )
 
     sums = class_sums(learnt.mapInArrow(measure, "label int, x array<double>"))
     return Memberships(names, weights[0], Discriminant(sums, SHRINK, RIDGE))
@@ -238,7 +242,10 @@ def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), verdicts(docs, model, text_col).alias("v"))
     rows = cut(rows.select("id", "key", "v.*"), "memberships")
     barred = cut(_banned(labels, targets).withColumn("banned", F.lit(True)), "barred")
-    rows = cut(lookup(rows, barred, "id").select("id", "key", "tokens", "p", F.coalesce("banned", F.lit(False)).alias("banned")), "rated", keep=True)
+    rows = cut(
+        lookup(rows, barred, "id").select("id", "key", "tokens", "p", F.coalesce("banned", F.lit(False)).alias("banned")), "rated",
+        keep=True,
+    )
     at = fit_rates(rows, targets)
     return Mix(targets, model, at, best_draw(rows, targets, at)), rows
 

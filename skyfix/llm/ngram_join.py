@@ -152,7 +152,13 @@ def _frequencies(rows: DataFrame, fragments: int) -> DataFrame:
         for table in _held(batches, HELD):
             h, n = np.unique(_grams(table)[0], return_counts=True)
             got = [(f, _blob(h[at]), _blob(n[at].astype(np.int64))) for f, at in _by_fragment((h % U(fragments)).astype(np.int64), fragments)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], ["frag", "grams", "dfs"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()),
+                    pa.array([g[2] for g in got], pa.binary()),
+                ],
+                ["frag", "grams", "dfs"],
+            )
 
     def merge(key, table):
         h = np.concatenate([np.frombuffer(x, U) for x in table.column("grams").to_pylist()])
@@ -162,7 +168,12 @@ def _frequencies(rows: DataFrame, fragments: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         h, n = h[first], np.add.reduceat(n, first)
         some = n >= 2
-        return pa.table({"frag": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "grams": pa.array([_blob(h[some])], pa.binary()), "dfs": pa.array([_blob(n[some])], pa.binary())})
+        return pa.table(
+            {
+                "frag": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()),
+                "grams": pa.array([_blob(h[some])], pa.binary()), "dfs": pa.array([_blob(n[some])], pa.binary()),
+            }
+        )
 
     packed = rows.select("grams").mapInArrow(pack, "frag long, grams binary, dfs binary")
     return packed.groupBy("frag").applyInArrow(merge, "frag long, total long, grams binary, dfs binary")
@@ -177,7 +188,9 @@ def _shared_grams(rows: DataFrame, name: str, percent: int, count_only: bool) ->
     known = cut(_frequencies(rows, fragments), f"{name}-frequencies")
     slices = F.ceil(F.col("total") / SLICE).cast("long")
     hot = {r.frag: r.s for r in known.where(F.col("total") > SLICE).select("frag", slices.alias("s")).collect()}
-    known = known.select("frag", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(slices, F.lit(1).cast("long")) - 1)).alias("slice"), "grams", "dfs")
+    known = known.select(
+        "frag", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(slices, F.lit(1).cast("long")) - 1)).alias("slice"), "grams", "dfs",
+    )
 
     def pack(batches):
         turn = 0
@@ -191,7 +204,13 @@ def _shared_grams(rows: DataFrame, name: str, percent: int, count_only: bool) ->
                 runs = np.diff(np.concatenate((first, [len(who)])))
                 got.append((f, turn % hot.get(f, 1), _blob(ids[who[first]]), _blob(ns[who[first]]), _blob(runs.astype(np.int32)), _blob(h[at])))
                 turn += f in hot
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[i] for g in got], pa.binary()) for i in range(2, 6))], ["frag", "slice", "ids", "ns", "runs", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()),
+                    *(pa.array([g[i] for g in got], pa.binary()) for i in range(2, 6)),
+                ],
+                ["frag", "slice", "ids", "ns", "runs", "grams"],
+            )
 
     def meet(key, left, right):
         known_h = np.concatenate([np.frombuffer(x, U) for x in right.column("grams").to_pylist()] or [np.zeros(0, U)])
@@ -226,13 +245,22 @@ def _shared_grams(rows: DataFrame, name: str, percent: int, count_only: bool) ->
         h, df = col("grams", U)[enough[who]], col("dfs", np.int64)[enough[who]]
         order = np.lexsort((h, df, who[enough[who]]))
         offs = np.concatenate(([0], np.cumsum(total[enough]))).astype(np.int32)
-        return pa.table({"class_id": classes[enough], "n": n[enough], "grams": pa.ListArray.from_arrays(pa.array(offs), pa.array(h[order].view(np.int64)))})
-
-    packed = rows.select("class_id", "n", "grams").mapInArrow(pack, "frag long, slice long, ids binary, ns binary, runs binary, grams binary")
+        return pa.table(
+            {
+                "class_id": classes[enough], "n": n[enough],
+                "grams": pa.ListArray.from_arrays(pa.array(offs), pa.array(h[order].view(np.int64))),
+            }
+        )
+
+    packed = rows.select("class_id", "n", "grams").mapInArrow(
+        pack, "frag long, slice long, ids binary, ns binary, runs binary, grams binary",
+    )
     both = packed.groupBy("frag", "slice").cogroup(known.groupBy("frag", "slice"))
     fields = ["bucket", "ids", "ns", "per"] + ([] if count_only else ["grams", "dfs"])
     parts = both.applyInArrow(meet, ", ".join(f"{x} {'long' if x == 'bucket' else 'binary'}" for x in fields))
-    return parts.groupBy("bucket").applyInArrow(add, "class_id long, n long, shared long" if count_only else "class_id long, n long, grams array<long>")
+    return parts.groupBy("bucket").applyInArrow(
+        add, "class_id long, n long, shared long" if count_only else "class_id long, n long, grams array<long>",
+    )
 
 
 def _overlaps(members: list[np.ndarray], split: int) -> np.ndarray:
@@ -285,7 +313,10 @@ def _compare(placed: DataFrame, ordered: DataFrame, percent: int, every: bool) -
             out = np.repeat(np.arange(len(size)), count)
             fragment = np.arange(int(first[-1])) - first[out]
             kept = batch.select(["task", *_UNIT, "mine", "class_id", "n"]).take(pa.array(out))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(fragment), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[order].view(np.int64)))], [*kept.schema.names, "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(fragment), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[order].view(np.int64)))],
+                [*kept.schema.names, "fragment", "grams"],
+            )
 
     def count(key, table):
         lists = table.column("grams").combine_chunks()
@@ -319,25 +350,37 @@ def _compare(placed: DataFrame, ordered: DataFrame, percent: int, every: bool) -
 
     counted = ["task", *_UNIT, "split", "ids", "ns", "common"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    pieces = placed.join(ordered, "class_id").mapInArrow(cut_up, "task long, leader long, bi int, bj int, mine int, class_id long, n long, fragment long, grams array<long>")
-    parts = pieces.groupBy("task", "fragment").applyInArrow(count, "task long, leader long, bi int, bj int, split int, ids binary, ns binary, common binary")
+    pieces = placed.join(ordered, "class_id").mapInArrow(
+        cut_up, "task long, leader long, bi int, bj int, mine int, class_id long, n long, fragment long, grams array<long>",
+    )
+    parts = pieces.groupBy("task", "fragment").applyInArrow(
+        count, "task long, leader long, bi int, bj int, split int, ids binary, ns binary, common binary",
+    )
     found = parts.groupBy("task").applyInArrow(add_up, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _links(ordered: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b): links between classes; every: all of them, else as many as join what is joined. A written table."""
-    prefix = ordered.select("class_id", F.size("grams").alias("grams_n"), F.explode(F.expr(f"slice(grams, 1, cast(size(grams) - ceil(n * {percent} / 100) + 1 as int))")).alias("gram"))
+    prefix = ordered.select(
+        "class_id", F.size("grams").alias("grams_n"),
+        F.explode(F.expr(f"slice(grams, 1, cast(size(grams) - ceil(n * {percent} / 100) + 1 as int))")).alias("gram"),
+    )
     leaders = prefix.groupBy("gram").agg(F.min("class_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     groups = cut(prefix.join(leaders.hint("shuffle_hash"), "gram").select("leader", "class_id", "grams_n").distinct(), "groups")
     sizes = groups.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("grams_n").alias("grams"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
-    sizes = sizes.withColumn("fragments", F.greatest(F.lit(LEAST_FRAGMENTS), F.ceil(2 * F.col("grams") / F.col("blocks") / BLOCK_GRAMS)).cast("long"))
+    sizes = sizes.withColumn(
+        "fragments", F.greatest(F.lit(LEAST_FRAGMENTS), F.ceil(2 * F.col("grams") / F.col("blocks") / BLOCK_GRAMS)).cast("long"),
+    )
     groups = cut(lookup(groups, cut(sizes, "sizes"), "leader"), "sized-groups")
     small, large = groups.where("blocks = 1"), groups.where("blocks > 1")
     tasks = max(1, -(-(small.agg(F.sum("grams_n")).first()[0] or 0) // BLOCK_GRAMS))
     none = F.lit(0)
-    alone = small.select("class_id", "leader", none.alias("mine"), none.alias("bi"), none.alias("bj"), F.pmod(F.xxhash64("leader"), F.lit(tasks)).alias("task"), "fragments")
+    alone = small.select(
+        "class_id", "leader", none.alias("mine"), none.alias("bi"), none.alias("bj"),
+        F.pmod(F.xxhash64("leader"), F.lit(tasks)).alias("task"), "fragments",
+    )
     mine = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     if every:
         pairs = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
@@ -350,10 +393,16 @@ def _links(ordered: DataFrame, percent: int, every: bool) -> DataFrame:
     if large.isEmpty():
         return first
     labels = cut(components(first), "labels")
-    told = lookup(cut(large.withColumnRenamed("class_id", "node"), "large"), labels, "node").select(F.col("node").alias("class_id"), "leader", "fragments", F.coalesce("label", "node").alias("label"))
+    told = lookup(cut(large.withColumnRenamed("class_id", "node"), "large"), labels, "node").select(
+        F.col("node").alias("class_id"), "leader", "fragments", F.coalesce("label", "node").alias("label"),
+    )
     told = cut(told, "labelled-groups")
-    counts = told.groupBy("leader", "label").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("pure"), F.sum("c").alias("rows"))
-    counts = counts.where("rows > pure").withColumn("mixed", F.ceil((F.col("rows") - F.col("pure")) / BLOCK_ROWS).cast("int")).withColumn("blocks", F.col("mixed") + F.ceil(F.col("pure") / BLOCK_ROWS).cast("int"))
+    counts = told.groupBy("leader", "label").agg(F.count("*").alias("c")).groupBy("leader").agg(
+        F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("pure"), F.sum("c").alias("rows"),
+    )
+    counts = counts.where("rows > pure").withColumn(
+        "mixed", F.ceil((F.col("rows") - F.col("pure")) / BLOCK_ROWS).cast("int"),
+    ).withColumn("blocks", F.col("mixed") + F.ceil(F.col("pure") / BLOCK_ROWS).cast("int"))
     rest = lookup(told, cut(counts, "mixed-groups"), "leader").where("main is not null")
     is_mixed, place = F.col("label") != F.col("main"), F.xxhash64("class_id")
     mine = F.when(is_mixed, F.pmod(place, F.col("mixed"))).otherwise(F.col("mixed") + F.pmod(place, F.col("blocks") - F.col("mixed"))).cast("int")
@@ -365,7 +414,9 @@ def _links(ordered: DataFrame, percent: int, every: bool) -> DataFrame:
 def _paired(rows: DataFrame) -> DataFrame:
     """Members with the pair of blocks that they meet in, `mine` and `other`."""
     bi, bj = F.least("mine", "other"), F.greatest("mine", "other")
-    return rows.select("class_id", "leader", "mine", bi.alias("bi"), bj.alias("bj"), F.xxhash64("leader", bi, bj).alias("task"), "fragments")
+    return rows.select(
+        "class_id", "leader", "mine", bi.alias("bi"), bj.alias("bj"), F.xxhash64("leader", bi, bj).alias("task"), "fragments",
+    )
 
 
 def _forest(left: np.ndarray, right: np.ndarray, count: int):
@@ -390,12 +441,16 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     rows = cut(sets(docs, id_col, text_col, words, percent, prefix=True), "sets")
     clashes = _clashes(rows)
     rows = _told_apart(rows, clashes)
-    classes = cut(rows.where("n > 0 and id is not null").groupBy("class_id").agg(F.min(F.struct("id", "key_a", "key_b")).alias("one")), "classes")
+    classes = cut(
+        rows.where("n > 0 and id is not null").groupBy("class_id").agg(F.min(F.struct("id", "key_a", "key_b")).alias("one")), "classes",
+    )
     classes = classes.select("class_id", "one.id", "one.key_a", "one.key_b")
     first = _shared_grams(_one_each(rows, classes), "first", percent, count_only=True)
     some = first.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10)))
     some = cut(some.join(classes, "class_id").select("class_id", "id", "key_a", "key_b"), "some")
-    left = perhaps_among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col)), some, ["key_a", "key_b"])
+    left = perhaps_among(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col)), some, ["key_a", "key_b"],
+    )
     whole = _told_apart(cut(sets(left, "id", "text", words, percent, prefix=False), "whole-sets"), clashes)
     return rows, classes, cut(_shared_grams(_one_each(whole, some), "second", percent, count_only=False), "ordered")
 
@@ -412,7 +467,9 @@ def _repeats(rows: DataFrame) -> bool:
     return bool(rows.where("n > 0").groupBy("key_a", "key_b").count().where("count > 1").limit(1).count())
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def ngram_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
+) -> tuple[DataFrame, DataFrame]:
     """All links between different texts, and what stands for which.
 
     Returns (links, members): links (a, b) between class ids, a < b, for every two different sets with
@@ -431,14 +488,21 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with tidy(docs.sparkSession):
         rows, classes, ordered = _candidates(docs, id_col, text_col, words, percent)
         labels = cut(components(_links(ordered, percent, every=False)), "labels")
-        named = classes.join(labels, classes.class_id == labels.node, "left").select("class_id", F.struct("id", "key_a", "key_b").alias("one"), F.coalesce("label", "class_id").alias("label"))
+        named = classes.join(labels, classes.class_id == labels.node, "left").select(
+            "class_id", F.struct("id", "key_a", "key_b").alias("one"), F.coalesce("label", "class_id").alias("label"),
+        )
         named = cut(named, "named")
         roots = cut(named.groupBy("label").agg(F.min("one").alias("root")), "roots")
         known = cut(lookup(named, roots, "label").select("class_id", "root"), "known")
-        out = lookup(rows.select("id", "key_a", "key_b", "n", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")), known, "class_id")
+        out = lookup(
+            rows.select("id", "key_a", "key_b", "n", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")), known,
+            "class_id",
+        )
         component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("root.id"))
         is_first = (F.col("root.key_a") == F.col("key_a")) & (F.col("root.key_b") == F.col("key_b"))
-        return cut(out.select("id", "key_a", "key_b", "n", component.alias("component"), is_first.alias("is_first")), "component-rows", keep=True)
+        return cut(
+            out.select("id", "key_a", "key_b", "n", component.alias("component"), is_first.alias("is_first")), "component-rows", keep=True,
+        )
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:

@@ -23,7 +23,10 @@ DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 HIGH = _BYTES >= 0x80
 COMMON = np.isin(_BYTES, np.frombuffer(b".,;:'\"-()?", np.uint8))
 SHOUT = _BYTES == 0x21
-STATISTICS = ["symbols", "upper", "digits", "common_marks", "shouts", "other", "word_chars", "word_spread", "distinct", "repeat_3", "dup_lines", "marked_words", "top_word", "one_char_words"]
+STATISTICS = [
+    "symbols", "upper", "digits", "common_marks", "shouts", "other", "word_chars", "word_spread", "distinct", "repeat_3", "dup_lines",
+    "marked_words", "top_word", "one_char_words",
+]
 
 
 def _statistics(column: pa.Array) -> np.ndarray:
@@ -31,7 +34,9 @@ def _statistics(column: pa.Array) -> np.ndarray:
     m = Measures(column)
     chars, words = np.maximum(m.word_chars, 1), np.maximum(m.n_words, 1)
     counts = {k: m.count(t) for k, t in (("symbols", SYMBOLS), ("upper", UPPER), ("lower", LOWER), ("digits", DIGIT), ("high", HIGH), ("common_marks", COMMON), ("shouts", SHOUT))}
-    other = np.maximum(chars - sum(counts[k] for k in ("symbols", "upper", "lower", "digits", "common_marks", "shouts")) - counts["high"] // 2, 0)
+    other = np.maximum(
+        chars - sum(counts[k] for k in ("symbols", "upper", "lower", "digits", "common_marks", "shouts")) - counts["high"] // 2, 0,
+    )
     mean = m.word_chars / words
     square = np.bincount(m.row, m.size.astype(float) ** 2, m.rows) / words
     key = mix(m.words + mix(m.row.astype(U)))
@@ -81,7 +86,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     are broadcast. A label row counts once for each row of docs with its id."""
     known = cut(sampled(labels, most), "sampled-labels")
     known = maybe_broadcast(known, known.count(), 64)
-    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(known, "label_id").select("label", "text")
+    return docs.select(
+        F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text"),
+    ).join(known, "label_id").select("label", "text")
 
 
 def class_sums(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -99,7 +106,10 @@ def class_sums(rows: DataFrame) -> dict[int, np.ndarray]:
                     sums[int(k)] = sums.get(int(k), 0) + own.T @ own
         for k, s in sums.items():
             s = s.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], ["label", "at", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(s), k, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)],
+                ["label", "at", "value"],
+            )
 
     added = rows.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(run, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
     d = round(max((r["at"] + 1 for r in added), default=1) ** 0.5)

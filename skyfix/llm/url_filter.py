@@ -95,10 +95,15 @@ def judge_urls(
     judged each, ids may be null and of any type, other columns are ignored, whatever their names, an empty table gives none.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
+    rows = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
+    ).select("id", "url", host.alias("host"), path.alias("path"))
     ordered = sorted(rules, key=lambda r: -len(r[0]))
     none = F.lit(None).cast("string")
     pick = lambda value: reduce(lambda rest, r: F.when(_fits(F.col("host"), F.col("path"), r[0]), F.lit(value(r))).otherwise(rest), reversed(ordered), none)
-    rows = rows.select("*", pick(lambda r: r[0]).alias("rule"), pick(lambda r: r[1]).alias("ruled"), vocabulary_hits(tuple(strict), tuple(soft), several)(F.col("url")).alias("hit"))
+    rows = rows.select(
+        "*", pick(lambda r: r[0]).alias("rule"), pick(lambda r: r[1]).alias("ruled"),
+        vocabulary_hits(tuple(strict), tuple(soft), several)(F.col("url")).alias("hit"),
+    )
     verdict = F.coalesce("ruled", F.when(F.col("hit"), "block").otherwise("allow"))
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))

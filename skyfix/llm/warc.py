@@ -51,7 +51,9 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, le
     revisit has no payload. Payloads stay where they are: what is joined are their digests, and of one payload with very many
     rows they stay spread."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), *row_keys(id_col, html_col))
+    rows = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), *row_keys(id_col, html_col),
+    )
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     keyed = cut(rows.drop("payload").withColumn("same", F.concat_ws("/", "digest", "bytes")), "payloads")
     firsts = keyed.where((F.col("bytes") >= least_bytes) & F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("refers"))
@@ -123,7 +125,10 @@ def pieces(files: DataFrame, raw: bool) -> DataFrame:
             for value, path, block in zip(*(batch.column(c).to_pylist() for c in ("value", "path", "block")), strict=True):
                 if (path, block) != here:
                     here, seq, local = (path, block), 0, 0
-                row = {"path": path, "block": block, "seq": seq, "size": len(value) + len(MARK), "local": local, "length": len(value), "raw": value if raw else None}
+                row = {
+                    "path": path, "block": block, "seq": seq, "size": len(value) + len(MARK), "local": local, "length": len(value),
+                    "raw": value if raw else None,
+                }
                 rows.append(row | (parsed(value) or {}))
                 seq, local = seq + 1, local + row["size"]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in kinds], [n for n, _ in kinds])
@@ -156,9 +161,16 @@ def _chains(found: DataFrame) -> DataFrame:
     """The candidates among pieces with `at`, `next`, and `reached`: whether the chain of their file reaches them."""
     blocks = found.groupBy("path", "block").agg(F.sum("size").alias("bytes"))
     upto = F.sum("bytes").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, 0))
-    blocks = blocks.select(F.col("path").alias("b_path"), F.col("block").alias("b_block"), (upto - F.col("bytes")).alias("base"), (F.sum("bytes").over(W.partitionBy("path")) - len(MARK)).alias("end"))
-    placed = found.where("content is not null").join(blocks, (F.col("path") == F.col("b_path")) & (F.col("block") == F.col("b_block"))).drop("b_path", "b_block")
-    placed = placed.withColumn("at", F.col("base") + F.col("local") - len(MARK)).withColumn("next", F.col("at") + len(MARK) + F.col("head") + F.col("content") + len(GAP)).drop("base", "raw")
+    blocks = blocks.select(
+        F.col("path").alias("b_path"), F.col("block").alias("b_block"), (upto - F.col("bytes")).alias("base"),
+        (F.sum("bytes").over(W.partitionBy("path")) - len(MARK)).alias("end"),
+    )
+    placed = found.where("content is not null").join(
+        blocks, (F.col("path") == F.col("b_path")) & (F.col("block") == F.col("b_block")),
+    ).drop("b_path", "b_block")
+    placed = placed.withColumn("at", F.col("base") + F.col("local") - len(MARK)).withColumn(
+        "next", F.col("at") + len(MARK) + F.col("head") + F.col("content") + len(GAP),
+    ).drop("base", "raw")
 
     def jump(key, table):
         order = np.argsort(np.asarray(table.column("at")), kind="stable")
@@ -173,7 +185,10 @@ def _chains(found: DataFrame) -> DataFrame:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", MARK).option("pathGlobFilter", "*.txt").text(path)
-    return text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return text.select(
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
 
 
 def _spanning(spark: SparkSession, path: str, found: DataFrame, records: DataFrame) -> DataFrame:
@@ -181,13 +196,21 @@ def _spanning(spark: SparkSession, path: str, found: DataFrame, records: DataFra
     some = records.select("path", "block", "seq", "at", "next", "head", "content")
     blocks = found.groupBy("path", "block").agg(F.sum("size").alias("bytes"))
     base = F.sum("bytes").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("bytes")
-    placed = found.select("path", "block", "seq", "local").join(blocks.select("path", "block", base.alias("base")), ["path", "block"]).withColumn("place", F.col("base") + F.col("local") - len(MARK))
+    placed = found.select("path", "block", "seq", "local").join(
+        blocks.select("path", "block", base.alias("base")), ["path", "block"],
+    ).withColumn("place", F.col("base") + F.col("local") - len(MARK))
     # The pieces of a file that lie inside a record are those between it and the next: each meets the last record before it.
     marks = placed.select("path", "block", "seq", "place", F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("until"))
-    starts = some.select("path", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("seq"), F.col("at").alias("place"), F.col("at").alias("own"), F.col("next").alias("until"))
+    starts = some.select(
+        "path", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("seq"), F.col("at").alias("place"),
+        F.col("at").alias("own"), F.col("next").alias("until"),
+    )
     before = W.partitionBy("path").orderBy("place", F.col("block").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     both = marks.unionByName(starts).withColumn("record", F.last("own", True).over(before)).withColumn("until", F.last("until", True).over(before))
-    inside = cut(both.where("block is not null and record is not null and place < until").select("path", "block", "seq", "record", "place"), "inside-pieces")
+    inside = cut(
+        both.where("block is not null and record is not null and place < until").select("path", "block", "seq", "record", "place"),
+        "inside-pieces",
+    )
     again = pieces(_files(spark, path), True).select("path", "block", "seq", "raw").join(inside, ["path", "block", "seq"])
     mark = F.lit(MARK.encode())
     whole = again.groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("place", "raw"))).alias("parts"))
@@ -223,19 +246,29 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     open_ = records.where("not closed")
     if not open_.isEmpty():
         spans = cut(_spanning(spark, path, found, open_), "spanning").withColumnsRenamed({"digest": "span_digest", "closed": "span_closed"})
-        records = records.join(spans, ["path", "at"], "left").withColumn("digest", F.coalesce("digest", "span_digest")).withColumn("closed", F.col("closed") | F.coalesce("span_closed", F.lit(False)))
+        records = records.join(spans, ["path", "at"], "left").withColumn("digest", F.coalesce("digest", "span_digest")).withColumn(
+            "closed", F.col("closed") | F.coalesce("span_closed", F.lit(False)),
+        )
     # What comes after a record that is not closed is not known to be one.
     bad = records.where("not closed").groupBy("path").agg(F.min("at").alias("bad"))
     records = records.join(bad, "path", "left").where("bad is null or at < bad")
     ends = found.groupBy("path").agg((F.sum("size") - len(MARK)).alias("bytes"))
     broken = ends.join(records.groupBy("path").agg(F.count("*").alias("records"), F.max("next").alias("upto")), "path", "left")
-    broken = broken.select("path", F.coalesce("records", F.lit(0)).alias("records"), (F.col("bytes") - F.coalesce("upto", F.lit(0))).alias("lost_bytes")).where("lost_bytes > 0")
+    broken = broken.select(
+        "path", F.coalesce("records", F.lit(0)).alias("records"), (F.col("bytes") - F.coalesce("upto", F.lit(0))).alias("lost_bytes"),
+    ).where("lost_bytes > 0")
     revisit = F.col("kind") == "revisit"
-    told = records.select("id", "url", F.col("kind").alias("record_type"), F.when(revisit, F.col("said_bytes")).otherwise(F.col("content")).alias("payload_bytes"), F.when(revisit, F.col("said_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("refers").alias("refers_to"))
+    told = records.select(
+        "id", "url", F.col("kind").alias("record_type"),
+        F.when(revisit, F.col("said_bytes")).otherwise(F.col("content")).alias("payload_bytes"),
+        F.when(revisit, F.col("said_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("refers").alias("refers_to"),
+    )
     return cut(told, "records", keep=True), cut(broken, "broken-chains", keep=True)
 
 
-def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records: int = RECORDS) -> DataFrame:
+def archive_round_trip(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records: int = RECORDS,
+) -> DataFrame:
     """(id_col, payload_bytes, payload_digest, record_type, refers_to) of every row of pages, written to archives in the
     shared folder and read back.
 
@@ -251,4 +284,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
         write_warc(with_revisits(pages, id_col, url_col, html_col, least_bytes), path, records)
     kind = pages.schema[id_col].dataType
     read = read_warc(spark, path)
-    return read.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return read.select(
+        F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )

@@ -26,7 +26,10 @@ from skyfix.llm.warc import archive_round_trip
 
 SF = "/root/testdata/sf0.001"
 #: Names that operators use inside, as columns of the input.
-CLASHES = ["id", "key_a", "key_b", "n", "told", "found", "verdict", "measured", "score", "predicted", "held_out", "tokens", "p", "banned", "rate", "copies", "h", "g", "prints", "class_id", "grams", "text_", "may_be_key", "mix_verdict", "language_verdict"]
+CLASHES = [
+    "id", "key_a", "key_b", "n", "told", "found", "verdict", "measured", "score", "predicted", "held_out", "tokens", "p", "banned", "rate",
+    "copies", "h", "g", "prints", "class_id", "grams", "text_", "may_be_key", "mix_verdict", "language_verdict",
+]
 
 
 def with_clashes(df):
@@ -35,19 +38,42 @@ def with_clashes(df):
 
 def string_docs(spark):
     long = " ".join(f"word{i % 977}" for i in range(150_000))
-    rows = [("a", "one two three four five six seven eight", "en"), ("a", "one two three four five six seven eight", "en"), ("b", None, None), (None, "one two three four five six seven eight", "fr"), ("c", "", "en"), ("d", long, "en"), ("e", long + " end", "en"), ("a", "another text under a known name", "fr"), (None, None, None)]
+    rows = [
+        ("a", "one two three four five six seven eight", "en"), ("a", "one two three four five six seven eight", "en"), ("b", None, None),
+        (None, "one two three four five six seven eight", "fr"), ("c", "", "en"), ("d", long, "en"), ("e", long + " end", "en"),
+        ("a", "another text under a known name", "fr"), (None, None, None),
+    ]
     return rows, with_clashes(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
 
 
 def test_operators_on_documents(spark):
     rows, docs = string_docs(spark)
     labels = with_clashes(spark.createDataFrame([("a", 1, 0), ("c", 0, 0), ("d", 1, 1), ("zz", 0, 0), (None, 1, 1)], "doc_id string, quality int, toxic int"))
-    items = with_clashes(spark.createDataFrame([("i1", "two three four"), ("i2", "two three four"), (None, "six seven"), ("i3", None), ("i4", " ".join(f"word{i}" for i in range(500, 520)))], "item_id string, text string"))
+    items = with_clashes(
+        spark.createDataFrame(
+            [
+                ("i1", "two three four"), ("i2", "two three four"), (None, "six seven"), ("i3", None),
+                ("i4", " ".join(f"word{i}" for i in range(500, 520))),
+            ],
+            "item_id string, text string",
+        )
+    )
     got = sorted(map(tuple, ngram_components(docs).collect()), key=str)
-    assert got == sorted([("a", 4, "a"), ("a", 4, "a"), ("b", 0, "b"), (None, 4, None), ("c", 0, "c"), ("d", 977, "d"), ("e", 978, "d"), ("a", 2, "a"), (None, 0, None)], key=str)
+    assert got == sorted(
+        [
+            ("a", 4, "a"), ("a", 4, "a"), ("b", 0, "b"), (None, 4, None), ("c", 0, "c"), ("d", 977, "d"), ("e", 978, "d"), ("a", 2, "a"),
+            (None, 0, None),
+        ],
+        key=str,
+    )
     hits = sorted(((r.doc_id or "", r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate(docs, items).collect()))
     long_hit = sum(500 <= i % 977 < 520 for i in range(150_000))
-    assert hits == sorted([("a", 8, 5, "i1,i2")] * 2 + [("b", 0, 0, ""), ("", 8, 5, "i1,i2"), ("c", 0, 0, ""), ("d", 150_000, long_hit, "i4"), ("e", 150_001, long_hit, "i4"), ("a", 6, 0, ""), ("", 0, 0, "")])
+    assert hits == sorted(
+        [("a", 8, 5, "i1,i2")] * 2 + [
+            ("b", 0, 0, ""), ("", 8, 5, "i1,i2"), ("c", 0, 0, ""), ("d", 150_000, long_hit, "i4"), ("e", 150_001, long_hit, "i4"),
+            ("a", 6, 0, ""), ("", 0, 0, ""),
+        ]
+    )
     assert Counter(r.doc_id for r in quality_rules(docs).collect()) == Counter(r[0] for r in rows)
     for out in (language_ids(docs), quality_scores(docs, labels), mix_to_targets(docs, labels)):
         assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows)
@@ -57,13 +83,21 @@ def test_operators_on_documents(spark):
 
 def test_operators_on_pages(spark):
     page = "<article><p>" + "Some words that go on and on, as pages do. " * 40_000 + "</p></article>"
-    rows = [("p1", "http://casino.com/x", page), ("p1", "http://casino.com/x", page), ("p2", None, None), (None, "u", page), ("p3", "http://a.net/", "")]
+    rows = [
+        ("p1", "http://casino.com/x", page), ("p1", "http://casino.com/x", page), ("p2", None, None), (None, "u", page),
+        ("p3", "http://a.net/", ""),
+    ]
     pages = spark.createDataFrame(rows, "page_id string, url string, html string")
-    pages = pages.select("*", *(F.lit("x").alias(c) for c in ("id", "found", "host", "path", "rule", "hit", "payload", "digest", "bytes", "refers", "key_a", "value", "same")))
+    pages = pages.select(
+        "*",
+        *(F.lit("x").alias(c) for c in ("id", "found", "host", "path", "rule", "hit", "payload", "digest", "bytes", "refers", "key_a", "value", "same")),
+    )
     got = sorted((r.page_id or "", r.n_chars) for r in extract(pages).collect())
     n = len("Some words that go on and on, as pages do. " * 40_000) - 1
     assert got == [("", n), ("p1", n), ("p1", n), ("p2", 0), ("p3", 0)]
-    assert sorted((r.page_id or "", r.verdict) for r in judge_urls(pages).collect()) == [("", "allow"), ("p1", "block"), ("p1", "block"), ("p2", "allow"), ("p3", "block")]
+    assert sorted((r.page_id or "", r.verdict) for r in judge_urls(pages).collect()) == [
+        ("", "allow"), ("p1", "block"), ("p1", "block"), ("p2", "allow"), ("p3", "block"),
+    ]
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     kinds = {"p1": ("response", None), "p2": ("response", None), "": ("response", None), "p3": ("revisit", "p2")}
     assert sorted((r.page_id or "", r.payload_digest, r.record_type, str(r.refers_to)) for r in archive_round_trip(pages).collect()) == sorted((i or "", digest(h), kinds[i or ""][0], str(kinds[i or ""][1])) for i, _, h in rows)
@@ -72,7 +106,10 @@ def test_operators_on_pages(spark):
 def test_chats_with_names_as_ids(spark):
     rows = [("c", 1, "user", "a"), ("c", 1, "user", "a"), ("c", 2, "assistant", "z" * 60_000), (None, None, None, None)]
     turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
-    turns = turns.select("*", *(F.lit(1).alias(c) for c in ("conv", "chunk", "window", "head", "body", "tokens", "starts", "all", "w", "again", "upto", "parts")))
+    turns = turns.select(
+        "*",
+        *(F.lit(1).alias(c) for c in ("conv", "chunk", "window", "head", "body", "tokens", "starts", "all", "w", "again", "upto", "parts")),
+    )
     got = {r.conv_id: r for r in read_chats(format_chats(turns)).collect()}
     assert [t.text for t in got["c"].turns] == ["a", "a", "z" * 60_000] and len(got["c"].loss_text) == 60_000 and [tuple(t) for t in got[None].turns] == [("", "")]
 
@@ -91,7 +128,10 @@ def mixed(x):
 
 
 def grams_of(text):
-    text = re.sub(r" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 and ord(c) < 0x590 else c if c.isalpha() else " " for c in text or ""))
+    text = re.sub(
+        r" +", " ",
+        "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 and ord(c) < 0x590 else c if c.isalpha() else " " for c in text or ""),
+    )
     text, out = text.removeprefix(" "), []
     for n in ORDERS:
         for i in range(len(text) - n + 1):
@@ -171,7 +211,10 @@ def test_quality_against_plain_densities(spark):
 def test_long_key_tables_and_hot_keys(spark, monkeypatch):
     import skyfix.llm.shared as shared
 
-    rows = spark.range(3000).select("id", F.when(F.col("id") < 1000, 7).when(F.col("id") < 1100, None).otherwise(F.col("id")).alias("k"), F.lit("t").alias("may_be_key"))
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") < 1000, 7).when(F.col("id") < 1100, None).otherwise(F.col("id")).alias("k"),
+        F.lit("t").alias("may_be_key"),
+    )
     keys = spark.range(3000).where("id % 3 = 0").select(F.col("id").alias("k"))
     expect = sorted(r.id for r in rows.collect() if r.k is None or r.k % 3)
     for limit in (48 << 20, 0):
@@ -185,14 +228,22 @@ def test_long_key_tables_and_hot_keys(spark, monkeypatch):
     assert found == {r.id: None if r.k is None else 2 * r.k for r in rows.collect()}
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+SCHEMA = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
+    ]
+)
 
 
 @pytest.mark.parametrize("stage", [name for name, _ in P.STAGES])
 def test_stages_on_odd_rows(spark, stage):
     some = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     clean = some.where("doc_id is not null").limit(1).first()
-    rows = [(None, clean.text, "en", "s", 1), (10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (clean.doc_id, clean.text, clean.lang, clean.source, clean.n_chars), (10**6 + 2, "x " * 60_000, "en", "s", 1)]
+    rows = [
+        (None, clean.text, "en", "s", 1), (10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0),
+        (clean.doc_id, clean.text, clean.lang, clean.source, clean.n_chars), (10**6 + 2, "x " * 60_000, "en", "s", 1),
+    ]
     docs = with_clashes(some.unionByName(spark.createDataFrame(rows, SCHEMA)))
     out = dict(P.STAGES)[stage](spark, docs, SF)
     want = [c for c in docs.columns if c not in ("rate", "copies")] + ["rate", "copies"] if stage == "source_mixing" else docs.columns

@@ -34,7 +34,9 @@ def test_rates_are_the_nearest_to_one_that_meet_the_targets(spark):
     rnd = np.random.default_rng(5)
     tokens, p = rnd.integers(1, 400, 300), rnd.dirichlet((0.3, 0.1, 0.05), 300)
     targets = {"a": 0.8, "b": 0.15, "c": 0.05}
-    rows = spark.createDataFrame([(int(t), [float(v) for v in x], False) for t, x in zip(tokens, p)], "tokens long, p array<double>, banned boolean")
+    rows = spark.createDataFrame(
+        [(int(t), [float(v) for v in x], False) for t, x in zip(tokens, p)], "tokens long, p array<double>, banned boolean",
+    )
     at = fit_rates(rows, targets, tolerance=1e-7)
     rates = np.maximum(0, 1 - p @ at)
     goal = (tokens @ p)[0] / 0.8 * np.array(list(targets.values()))
@@ -47,7 +49,10 @@ def test_rates_are_the_nearest_to_one_that_meet_the_targets(spark):
 
 
 def test_other_domains_and_null_columns(spark):
-    docs = spark.createDataFrame([(str(i), f"word{i % 7} more words here {i}", "x", i) for i in range(60)] + [(None, None, None, None), ("x", "", None, None)], "doc_id string, text string, rate string, copies int")
+    docs = spark.createDataFrame(
+        [(str(i), f"word{i % 7} more words here {i}", "x", i) for i in range(60)] + [(None, None, None, None), ("x", "", None, None)],
+        "doc_id string, text string, rate string, copies int",
+    )
     labels = spark.createDataFrame([(str(i), "old" if i % 2 else "new") for i in range(0, 60, 3)], "doc_id string, kind string")
     got = mix_to_targets(docs, labels, {"new": 1.0, "old": 0.0}, of=F.col("kind")).toPandas()
     assert len(got) == 62 and {"p_new", "p_old"} <= set(got.columns)
