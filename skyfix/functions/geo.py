@@ -35,7 +35,10 @@ def _all(corners: Column, key: str) -> list[Column]:
 def bbox(corners: Column) -> Column:
     """struct(lat_min, lat_max, lon_min, lon_max)"""
     lat, lon = _all(corners, "lat"), _all(corners, "lon")
-    return F.struct(F.least(*lat).alias("lat_min"), F.greatest(*lat).alias("lat_max"), F.least(*lon).alias("lon_min"), F.greatest(*lon).alias("lon_max"))
+    return F.struct(
+        F.least(*lat).alias("lat_min"), F.greatest(*lat).alias("lat_max"), F.least(*lon).alias("lon_min"),
+        F.greatest(*lon).alias("lon_max"),
+    )
 
 
 def centroid(corners: Column) -> Column:
@@ -46,7 +49,9 @@ def centroid(corners: Column) -> Column:
 
 def _twice_area(corners: Column) -> Column:
     x, y = _all(corners, "lon"), _all(corners, "lat")
-    return reduce(lambda a, b: a + b, ((x[i] - x[0]) * (y[(i + 1) % 4] - y[0]) - (x[(i + 1) % 4] - x[0]) * (y[i] - y[0]) for i in range(1, 3)))
+    return reduce(
+        lambda a, b: a + b, ((x[i] - x[0]) * (y[(i + 1) % 4] - y[0]) - (x[(i + 1) % 4] - x[0]) * (y[i] - y[0]) for i in range(1, 3)),
+    )
 
 
 def area(corners: Column) -> Column:

@@ -49,10 +49,15 @@ def tile_id(image_id: Column, timestamp: Column) -> Column:
     return F.concat_ws("@", image_id, timestamp)
 
 
-def footprint_name(corners: Column, image_id: Column, timestamp: Column, nadir_lat: Column, nadir_lon: Column, area: Column, orientation: Column) -> Column:
+def footprint_name(
+    corners: Column, image_id: Column, timestamp: Column, nadir_lat: Column, nadir_lon: Column, area: Column, orientation: Column,
+) -> Column:
     """The file name that parse_footprint reads: coordinates with six decimals, the orientation with one."""
     spots = [corners[i][k] for i in range(4) for k in ("lat", "lon")]
-    return F.format_string("@" + "%.6f@" * 8 + "%s@%s@%.6f@%.6f@%d@%.1f@.jpg", *spots, image_id, timestamp, nadir_lat, nadir_lon, area.cast("long"), orientation)
+    return F.format_string(
+        "@" + "%.6f@" * 8 + "%s@%s@%.6f@%.6f@%d@%.1f@.jpg", *spots, image_id, timestamp, nadir_lat, nadir_lon, area.cast("long"),
+        orientation,
+    )
 
 
 def add_rotation(tile: Column, degrees: Column) -> Column:

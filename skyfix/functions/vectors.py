@@ -26,7 +26,12 @@ def normalized(a: Column) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(
+        F.aggregate(
+            F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0),
+            lambda s, x: s + x,
+        )
+    )
 
 
 def checked(a: Column, dim: int) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 def first_hits(ranked: DataFrame, positives: DataFrame) -> DataFrame:
     """(query_id, first_rank) for each query with a positive: the rank of its first relevant tile, null if none was found."""
-    hits = ranked.join(positives.select("query_id", "tile_id").distinct(), ["query_id", "tile_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    hits = ranked.join(
+        positives.select("query_id", "tile_id").distinct(), ["query_id", "tile_id"],
+    ).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return positives.select("query_id").distinct().join(hits, "query_id", "left")
 
 
@@ -22,12 +24,20 @@ def recall(hits: DataFrame, ks: tuple[int, ...], by: list[str] | None = None) ->
 def matching_report(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """n, mean_inliers over all frames, fix_rate in percent, and the exact median of error_km over fixes (null without)."""
     fix = F.col("status") == "fix"
-    return results.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_inliers"), (F.coalesce(F.avg(F.when(fix, 100.0).otherwise(0.0)), F.lit(0.0))).alias("fix_rate"), F.median(F.when(fix, F.col("error_km"))).alias("median_error_km"))
+    return results.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"), F.avg("confidence").alias("mean_inliers"),
+        (F.coalesce(F.avg(F.when(fix, 100.0).otherwise(0.0)), F.lit(0.0))).alias("fix_rate"),
+        F.median(F.when(fix, F.col("error_km"))).alias("median_error_km"),
+    )
 
 
 def coordinate_report(top1: DataFrame, by: list[str] | None = None) -> DataFrame:
     """num_scored, top1_correct_tile_rate, median and mean coordinate error, from (correct, error_km) of the best tiles."""
-    return top1.groupBy(*(by or [])).agg(F.count("*").alias("num_scored"), F.coalesce(F.avg(F.when(F.col("correct"), 100.0).otherwise(0.0)), F.lit(0.0)).alias("top1_correct_tile_rate"), F.median("error_km").alias("median_coord_error_km"), F.avg("error_km").alias("mean_coord_error_km"))
+    return top1.groupBy(*(by or [])).agg(
+        F.count("*").alias("num_scored"),
+        F.coalesce(F.avg(F.when(F.col("correct"), 100.0).otherwise(0.0)), F.lit(0.0)).alias("top1_correct_tile_rate"),
+        F.median("error_km").alias("median_coord_error_km"), F.avg("error_km").alias("mean_coord_error_km"),
+    )
 
 
 def latency_report(log: DataFrame, latency: str, by: list[str] | None = None) -> DataFrame:
@@ -45,12 +55,19 @@ def counter_power(samples: DataFrame, ts: str, counter: str, most: float, by: li
 
 def resource_report(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Peaks and means of rss_mb and power_w (nulls are skipped), and whether any power was read."""
-    return samples.groupBy(*(by or [])).agg(F.max("rss_mb").alias("peak_rss_mb"), F.avg("rss_mb").alias("mean_rss_mb"), F.max("power_w").alias("peak_power_w"), F.avg("power_w").alias("mean_power_w"), (F.count("power_w") > 0).alias("power_available"))
+    return samples.groupBy(*(by or [])).agg(
+        F.max("rss_mb").alias("peak_rss_mb"), F.avg("rss_mb").alias("mean_rss_mb"), F.max("power_w").alias("peak_power_w"),
+        F.avg("power_w").alias("mean_power_w"), (F.count("power_w") > 0).alias("power_available"),
+    )
 
 
 def first_clearing(candidates: DataFrame, least: int) -> DataFrame:
     """(query_id, clearing_inliers): inliers of the first candidate by rank that has enough, null if none has."""
-    return candidates.groupBy("query_id").agg(F.min_by(F.when(F.col("num_inliers") >= least, F.col("num_inliers")), F.when(F.col("num_inliers") >= least, F.col("rank"))).alias("clearing_inliers"))
+    return candidates.groupBy("query_id").agg(
+        F.min_by(
+            F.when(F.col("num_inliers") >= least, F.col("num_inliers")), F.when(F.col("num_inliers") >= least, F.col("rank")),
+        ).alias("clearing_inliers")
+    )
 
 
 def outcomes(queries: DataFrame, positives: DataFrame, candidates: DataFrame, least: int) -> DataFrame:
@@ -61,12 +78,17 @@ def outcomes(queries: DataFrame, positives: DataFrame, candidates: DataFrame, le
     hit = candidates.join(positive, ["query_id", "tile_id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(True))
     out = queries.join(scoreable, "query_id", "left").join(hit, "query_id", "left").join(first_clearing(candidates, least), "query_id", "left")
     label = F.when(F.col("scoreable").isNull(), "unscoreable").when(F.col("hit").isNull(), "retrieval_miss").when(F.col("clearing_inliers").isNull(), "matcher_shortfall").otherwise("verified")
-    return out.withColumn("outcome", label).withColumn("best_inliers", F.when(F.col("outcome") == "verified", F.col("clearing_inliers"))).drop("scoreable", "hit", "clearing_inliers")
+    return out.withColumn("outcome", label).withColumn(
+        "best_inliers", F.when(F.col("outcome") == "verified", F.col("clearing_inliers")),
+    ).drop("scoreable", "hit", "clearing_inliers")
 
 
 def outcome_counts(labelled: DataFrame) -> DataFrame:
     count = lambda name: F.count_if(F.col("outcome") == name)
-    return labelled.agg(F.count("*").alias("n_sampled"), count("retrieval_miss").alias("n_retrieval_miss"), count("matcher_shortfall").alias("n_matcher_shortfall"), count("verified").alias("n_verified"))
+    return labelled.agg(
+        F.count("*").alias("n_sampled"), count("retrieval_miss").alias("n_retrieval_miss"),
+        count("matcher_shortfall").alias("n_matcher_shortfall"), count("verified").alias("n_verified"),
+    )
 
 
 def macro_average(rows: DataFrame, values: list[str], by: str = "model") -> DataFrame:
@@ -76,7 +98,9 @@ def macro_average(rows: DataFrame, values: list[str], by: str = "model") -> Data
 
 def strict_macro_average(rows: DataFrame, values: list[str], by: str = "model") -> DataFrame:
     """As macro_average, but null where a region has none."""
-    return rows.groupBy(by).agg(*(F.when(F.count(v) == F.count("*"), F.avg(v)).alias(f"avg_{v}") for v in values), F.count("*").alias("n_regions"))
+    return rows.groupBy(by).agg(
+        *(F.when(F.count(v) == F.count("*"), F.avg(v)).alias(f"avg_{v}") for v in values), F.count("*").alias("n_regions"),
+    )
 
 
 def leaderboard(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -95,9 +119,14 @@ def metric_rows(rows: DataFrame, keys: list[str], values: list[str]) -> DataFram
 
 
 def export_summary(results: DataFrame) -> DataFrame:
-    return results.agg(F.count("*").alias("num_frames"), F.coalesce(F.avg(F.when(F.col("status") == "fix", 100.0).otherwise(0.0)), F.lit(0.0)).alias("fix_rate_percent"))
+    return results.agg(
+        F.count("*").alias("num_frames"),
+        F.coalesce(F.avg(F.when(F.col("status") == "fix", 100.0).otherwise(0.0)), F.lit(0.0)).alias("fix_rate_percent"),
+    )
 
 
 def residuals(rows: DataFrame, angle: Column, by: str) -> DataFrame:
     """(by, rms, worst, n) of an angle of each row."""
-    return rows.withColumn("_a", angle).groupBy(by).agg(F.sqrt(F.avg(F.col("_a") * F.col("_a"))).alias("rms"), F.max("_a").alias("worst"), F.count("*").alias("n"))
+    return rows.withColumn("_a", angle).groupBy(by).agg(
+        F.sqrt(F.avg(F.col("_a") * F.col("_a"))).alias("rms"), F.max("_a").alias("worst"), F.count("*").alias("n"),
+    )

@@ -56,12 +56,18 @@ def tie_points(results: DataFrame, keys: list[str]) -> DataFrame:
 
     results: correspondences, corners, tile_h, tile_w of the matched tile.
     """
-    rows = results.select(*keys, "corners", "tile_h", "tile_w", F.posexplode(F.filter("correspondences", lambda c: c["inlier"])).alias("idx", "c"))
+    rows = results.select(
+        *keys, "corners", "tile_h", "tile_w", F.posexplode(F.filter("correspondences", lambda c: c["inlier"])).alias("idx", "c"),
+    )
     spot = pixel_to_latlon(F.col("corners"), F.col("c.tu"), F.col("c.tv"), F.col("tile_h"), F.col("tile_w"))
-    return rows.select(*keys, "idx", F.col("c.qu").alias("u"), F.col("c.qv").alias("v"), spot.alias("p")).select(*keys, "idx", "u", "v", "p.lat", "p.lon")
+    return rows.select(
+        *keys, "idx", F.col("c.qu").alias("u"), F.col("c.qv").alias("v"), spot.alias("p"),
+    ).select(*keys, "idx", "u", "v", "p.lat", "p.lon")
 
 
-def query_footprint(homography: Column, inliers: Column, corners: Column, query_h: Column, query_w: Column, tile_h: Column, tile_w: Column) -> Column:
+def query_footprint(
+    homography: Column, inliers: Column, corners: Column, query_h: Column, query_w: Column, tile_h: Column, tile_w: Column,
+) -> Column:
     """Corners of the frame on the ground, in the order of corner_pixels; null with fewer than four inliers or no homography."""
 
     def ground(p: Column) -> Column:
@@ -83,7 +89,14 @@ def localize(frames: DataFrame, candidates: DataFrame, least: int = MIN_INLIERS)
     frames: query_id, query_h, query_w. candidates: query_id, tile_id, rank, similarity, num_inliers, correspondences,
     homography, corners, tile_h, tile_w. A no_fix has no tie points and a null footprint.
     """
-    listed = candidates.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "tile_id", "similarity", "num_inliers"))), lambda c: F.struct(c["tile_id"].alias("tile_id"), c["similarity"].alias("retrieval_similarity"), c["num_inliers"].alias("num_inliers"))).alias("candidates"))
+    listed = candidates.groupBy("query_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("rank", "tile_id", "similarity", "num_inliers"))),
+            lambda c: F.struct(
+                c["tile_id"].alias("tile_id"), c["similarity"].alias("retrieval_similarity"), c["num_inliers"].alias("num_inliers"),
+            ),
+        ).alias("candidates")
+    )
     best = decide(frames, candidates, least)
     fix = F.col("status") == "fix"
 
@@ -92,6 +105,15 @@ def localize(frames: DataFrame, candidates: DataFrame, least: int = MIN_INLIERS)
         return F.struct(c["qu"].alias("u"), c["qv"].alias("v"), p["lat"].alias("lat"), p["lon"].alias("lon"))
 
     ties = F.when(fix, F.transform(F.filter("correspondences", lambda c: c["inlier"]), tie)).otherwise(F.expr("cast(array() as array<struct<u: double, v: double, lat: double, lon: double>>)"))
-    print_ = F.when(fix, query_footprint(F.col("homography"), F.col("num_inliers"), F.col("corners"), F.col("query_h"), F.col("query_w"), F.col("tile_h"), F.col("tile_w")))
+    print_ = F.when(
+        fix,
+        query_footprint(
+            F.col("homography"), F.col("num_inliers"), F.col("corners"), F.col("query_h"), F.col("query_w"), F.col("tile_h"),
+            F.col("tile_w"),
+        ),
+    )
     best = best.select("query_id", "status", "confidence", "matched_tile_id", ties.alias("tie_points"), print_.alias("query_footprint"))
-    return best.join(listed, "query_id", "left").withColumn("candidates", F.coalesce("candidates", F.expr("cast(array() as array<struct<tile_id: bigint, retrieval_similarity: double, num_inliers: int>>)")))
+    return best.join(listed, "query_id", "left").withColumn(
+        "candidates",
+        F.coalesce("candidates", F.expr("cast(array() as array<struct<tile_id: bigint, retrieval_similarity: double, num_inliers: int>>)")),
+    )

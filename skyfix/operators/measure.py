@@ -16,7 +16,13 @@ def measurements(ties: DataFrame) -> DataFrame:
     """
     pixel = rescale_pixel(F.col("u"), F.col("v"), F.col("frame_h"), F.col("frame_w"))
     rows = ties.select("frame_id", "idx", "lat", "lon", pixel.alias("px"), epoch_jd(F.col("timestamp")).alias("timestamp_jd"))
-    rows = rows.select("frame_id", "idx", "timestamp_jd", pixel_bearing(F.col("px.u"), F.col("px.v")).alias("b"), latlon_to_ecef(F.col("lat"), F.col("lon")).alias("e"))
+    rows = rows.select(
+        "frame_id", "idx", "timestamp_jd", pixel_bearing(F.col("px.u"), F.col("px.v")).alias("b"),
+        latlon_to_ecef(F.col("lat"), F.col("lon")).alias("e"),
+    )
     rows = rows.withColumn("i", ecef_to_eci(F.col("e"), F.col("timestamp_jd")))
     first = F.row_number().over(W.partitionBy("frame_id").orderBy("idx")) == 1
-    return rows.select("frame_id", "idx", "timestamp_jd", *(F.col(f"b.{k}").alias(f"bearing_{k}") for k in "xyz"), *(F.col(f"i.{k}").alias(f"eci_{k}") for k in "xyz"), first.alias("group_start"))
+    return rows.select(
+        "frame_id", "idx", "timestamp_jd", *(F.col(f"b.{k}").alias(f"bearing_{k}") for k in "xyz"),
+        *(F.col(f"i.{k}").alias(f"eci_{k}") for k in "xyz"), first.alias("group_start"),
+    )

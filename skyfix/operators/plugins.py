@@ -29,7 +29,9 @@ def match(pairs: DataFrame, matcher_factory: Callable, partitions: int) -> DataF
         matcher = matcher_factory()
         for pdf in batches:
             found = [matcher(q, t, i) for q, t, i in zip(pdf.query_image, pdf.tile_image, pdf.tile_id, strict=True)]
-            yield pdf[["query_id", "tile_id"]].assign(num_matches=[f[0] for f in found], num_inliers=[f[1] for f in found], homography=[f[2] for f in found])
+            yield pdf[["query_id", "tile_id"]].assign(
+                num_matches=[f[0] for f in found], num_inliers=[f[1] for f in found], homography=[f[2] for f in found],
+            )
 
     dealt = pairs.repartition(partitions, "tile_id").sortWithinPartitions("tile_id")
     return dealt.mapInPandas(run, f"{ids}, num_matches int, num_inliers int, homography array<double>")

@@ -19,7 +19,9 @@ QUERY_BLOCK, TILE_BLOCK, SCORES = 1024, 32_768, 4096
 
 def expand_rotations(tiles: DataFrame, tile: str = "tile_id", degrees: tuple[int, ...] = ROTATIONS) -> DataFrame:
     """One row for each tile and rotation, with rotation and variant_id."""
-    return tiles.withColumn("rotation", F.explode(F.array(*(F.lit(d) for d in degrees)))).withColumn("variant_id", add_rotation(F.col(tile).cast("string"), F.col("rotation")))
+    return tiles.withColumn("rotation", F.explode(F.array(*(F.lit(d) for d in degrees)))).withColumn(
+        "variant_id", add_rotation(F.col(tile).cast("string"), F.col("rotation")),
+    )
 
 
 def _blocks(rows: int, size: int, least: int = 1) -> int:
@@ -48,12 +50,16 @@ def _packed(rows: DataFrame, ids: list[str], block: str) -> DataFrame:
         order = np.argsort(np.asarray(table.column(ids[-1])), kind="stable")
         vectors = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)[order]
         arrays = [np.asarray(table.column(c), dtype=np.int64)[order].tobytes() for c in ids] + [vectors.tobytes()]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([a], pa.binary()) for a in arrays)], names=[block, *ids, "vectors"])
+        return pa.table(
+            [pa.array([key[0].as_py()], pa.int32()), *(pa.array([a], pa.binary()) for a in arrays)], names=[block, *ids, "vectors"],
+        )
 
     return rows.groupBy(block).applyInArrow(pack, f"{block} int, " + ", ".join(f"{c} binary" for c in [*ids, "vectors"]))
 
 
-def _best_of_block(matrix: np.ndarray, own: np.ndarray | None, tile: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best_of_block(
+    matrix: np.ndarray, own: np.ndarray | None, tile: np.ndarray, vectors: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """(scores, tiles), the k best tiles of each query in a block of descriptors ordered by tile; ties go to the smaller tile."""
     best_s, best_t = np.full((len(matrix), 0), -np.inf), np.zeros((len(matrix), 0), np.int64)
     first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
@@ -74,13 +80,20 @@ def _best_of_block(matrix: np.ndarray, own: np.ndarray | None, tile: np.ndarray,
 def _by_blocks(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exclude: bool) -> DataFrame:
     """(query_id, tile_id, similarity): k a query and block of descriptors. Blocks of queries visit all blocks of descriptors by
     an equi-join; all rows of a tile are in one block. Neither side passes the driver or is held whole by a task."""
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), (F.col("own_tile") if exclude else F.lit(-1)).cast("long").alias("own"), checked(F.col("descriptor"), dim).alias("v"))
+    q = queries.select(
+        F.col("query_id").cast("long").alias("query_id"), (F.col("own_tile") if exclude else F.lit(-1)).cast("long").alias("own"),
+        checked(F.col("descriptor"), dim).alias("v"),
+    )
     q_blocks = _blocks(queries.count(), QUERY_BLOCK)
     d_blocks = _blocks(descriptors.count(), TILE_BLOCK, int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     q = _packed(q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")), ["own", "query_id"], "q_block")
     d = descriptors.select(F.col("tile_id").cast("long").alias("tile_id"), checked(F.col("descriptor"), dim).alias("v"))
-    d = _packed(d.withColumn("d_block", F.pmod(F.xxhash64("tile_id"), F.lit(d_blocks)).cast("int")), ["tile_id"], "d_block").withColumnRenamed("vectors", "tile_vectors")
-    met = q.withColumn("d_block", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1)))).join(d, "d_block").select("query_id", "own", "vectors", "tile_id", "tile_vectors")
+    d = _packed(
+        d.withColumn("d_block", F.pmod(F.xxhash64("tile_id"), F.lit(d_blocks)).cast("int")), ["tile_id"], "d_block",
+    ).withColumnRenamed("vectors", "tile_vectors")
+    met = q.withColumn(
+        "d_block", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))),
+    ).join(d, "d_block").select("query_id", "own", "vectors", "tile_id", "tile_vectors")
 
     def run(batches):
         for batch in batches:
@@ -89,12 +102,16 @@ def _by_blocks(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exc
                 matrix, vectors = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("vectors", len(ids)), ("tile_vectors", len(tile))))
                 score, tiles = _best_of_block(matrix, own if exclude else None, tile, vectors, k)
                 at, place = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tiles[at, place]), pa.array(score[at, place])], ["query_id", "tile_id", "similarity"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(tiles[at, place]), pa.array(score[at, place])], ["query_id", "tile_id", "similarity"],
+                )
 
     return met.mapInArrow(run, "query_id long, tile_id long, similarity double")
 
 
-def search_tiles(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, method: str = "gemm", exclude_own: bool = False) -> DataFrame:
+def search_tiles(
+    queries: DataFrame, descriptors: DataFrame, dim: int, k: int, method: str = "gemm", exclude_own: bool = False,
+) -> DataFrame:
     """(query_id, tile_id, similarity, rank): the k tiles of each query with the largest similarity over their rotation
     variants, best first, ties by tile. k is capped by the number of tiles.
 
@@ -124,4 +141,6 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str) -> DataFra
     n = centroids.count()
     met = rows.join(F.broadcast(centroids)) if n <= SMALL_ROWS else in_blocks(rows, centroids, _blocks(n, SMALL_ROWS), F.col("cluster_id"))
     far = met.withColumn("d", distance(F.col("descriptor"), F.col("centroid")))
-    return far.groupBy(key).agg(F.min_by("cluster_id", F.struct("d", "cluster_id")).alias("cluster_id"), F.min("d").alias("centroid_distance"))
+    return far.groupBy(key).agg(
+        F.min_by("cluster_id", F.struct("d", "cluster_id")).alias("cluster_id"), F.min("d").alias("centroid_distance"),
+    )

@@ -92,10 +92,14 @@ def pooled(sources: list[DataFrame]) -> DataFrame:
 def merged_results(sources: list[DataFrame], key: str, fields: str) -> DataFrame:
     """(key, fields): the result maps of several files merged key by key; a name in several maps has the value of the last.
     Null where any file lacks the key."""
-    every = reduce(DataFrame.unionByName, [s.select(key, F.col(fields).alias("_map"), F.lit(i).alias("_source")) for i, s in enumerate(sources)])
+    every = reduce(
+        DataFrame.unionByName, [s.select(key, F.col(fields).alias("_map"), F.lit(i).alias("_source")) for i, s in enumerate(sources)],
+    )
     own = [F.first(F.when(F.col("_source") == i, F.col("_map")), True) for i in range(len(sources))]
     later = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
-    return every.groupBy(key).agg(*(m.alias(f"_{i}") for i, m in enumerate(own))).select(key, reduce(later, (F.col(f"_{i}") for i in range(len(own)))).alias(fields))
+    return every.groupBy(key).agg(*(m.alias(f"_{i}") for i, m in enumerate(own))).select(
+        key, reduce(later, (F.col(f"_{i}") for i in range(len(own)))).alias(fields),
+    )
 
 
 def capped_counts(df: DataFrame, group: str, cap: int) -> DataFrame:
@@ -115,4 +119,6 @@ def progress(log: DataFrame, time: str, total: int, by: str, tie: str | None = N
     out = log.withColumn("done", F.count("*").over(w)).withColumn("elapsed", F.col(time) - F.min(time).over(w))
     some = F.col("elapsed") > 0
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
-    return out.withColumn("rate", F.when(some, F.col("done") / F.col("elapsed"))).withColumn("eta_s", F.when(some, left * F.col("elapsed") / F.col("done")))
+    return out.withColumn("rate", F.when(some, F.col("done") / F.col("elapsed"))).withColumn(
+        "eta_s", F.when(some, left * F.col("elapsed") / F.col("done")),
+    )

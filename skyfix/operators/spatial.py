@@ -46,8 +46,12 @@ def overlapping(queries: DataFrame, tiles: DataFrame, cell: float | None = None)
     q = _cells(q, cell).withColumnRenamed("box", "query_box")
     t = _cells(t, cell).withColumnRenamed("box", "tile_box")
     crowded = q.groupBy("cell_y", "cell_x").agg(F.ceil(F.count("*") / CROWDED).cast("int").alias("slices")).where("slices > 1")
-    q = q.join(crowded, ["cell_y", "cell_x"], "left").withColumn("slice", F.pmod(F.xxhash64("query_corners"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-    t = t.join(crowded, ["cell_y", "cell_x"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    q = q.join(crowded, ["cell_y", "cell_x"], "left").withColumn(
+        "slice", F.pmod(F.xxhash64("query_corners"), F.coalesce("slices", F.lit(1))).cast("int"),
+    ).drop("slices")
+    t = t.join(crowded, ["cell_y", "cell_x"], "left").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)),
+    ).drop("slices")
     # Dealt by hand, so that a small table's pairs, which are many, are not all put into the few tasks that its bytes ask for.
     parts, on = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["cell_y", "cell_x", "slice"]
     both = q.repartition(parts, *on).join(t.repartition(parts, *on), on)
@@ -153,7 +157,9 @@ def nearest_tile(points: DataFrame, tiles: DataFrame, point: str, tile: str, ord
         cell = min(max((CELL_TILES / dense) ** 0.5, CELL_SIDES[0]), CELL_SIDES[1])
 
     cell = 360 / max(1, round(360 / cell))
-    spots = spots.withColumn("cell_y", F.floor(F.col("tile_lat") / cell)).withColumn("cell_x", F.pmod(F.floor((F.col("tile_lon") + 180) / cell), F.lit(round(360 / cell))))
+    spots = spots.withColumn("cell_y", F.floor(F.col("tile_lat") / cell)).withColumn(
+        "cell_x", F.pmod(F.floor((F.col("tile_lon") + 180) / cell), F.lit(round(360 / cell))),
+    )
     wide = round(360 / cell)
     left, done, ring = points.select(point, "lat", "lon"), None, 1
     while True:

@@ -57,12 +57,17 @@ def batch_plan(pairs: DataFrame, batch_size: int, seed: int) -> DataFrame:
     batches, half = pairs.count() // batch_size, batch_size // 2
     rest = batch_size - half
     uniform = seeded_places(pairs.select("pair_idx"), "pair_idx", seed, name="at").where(F.col("at") < batches * half)
-    uniform = uniform.select(F.floor(F.col("at") / F.lit(max(half, 1))).alias("batch"), F.lit("random").alias("part"), (F.col("at") % max(half, 1)).cast("int").alias("slot"), "pair_idx")
+    uniform = uniform.select(
+        F.floor(F.col("at") / F.lit(max(half, 1))).alias("batch"), F.lit("random").alias("part"),
+        (F.col("at") % max(half, 1)).cast("int").alias("slot"), "pair_idx",
+    )
 
     sizes = pairs.groupBy("cluster_id").agg(F.count("*").alias("size")).withColumn("c", F.row_number().over(W.orderBy("cluster_id")))
     sizes = cut(sizes, "clusters")
     k = sizes.count()
-    drawn = pairs.sparkSession.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(1), F.lit(max(k, 1)))).alias("c")).join(sizes, "c")
+    drawn = pairs.sparkSession.range(batches).select(
+        F.col("id").alias("batch"), F.explode(F.sequence(F.lit(1), F.lit(max(k, 1)))).alias("c"),
+    ).join(sizes, "c")
     u = (_number(F.lit(f"{seed}|clock"), "batch", "cluster_id") + 1) / F.lit(float(1 << 48))
     start = _number(F.lit(f"{seed}|start"), "batch", "cluster_id") % F.col("size")
     drawn = drawn.select("batch", "cluster_id", "size", (-F.log(u) / F.col("size")).alias("clock"), start.alias("start"))
@@ -74,7 +79,9 @@ def batch_plan(pairs: DataFrame, batch_size: int, seed: int) -> DataFrame:
     placed = seeded_places(pairs.select("pair_idx", "cluster_id"), "pair_idx", seed, ["cluster_id"], "pos")
     inside = taken.join(placed, ["cluster_id", "pos"]).join(uniform.select("batch", "pair_idx"), ["batch", "pair_idx"], "left_anti")
     slot = F.row_number().over(W.partitionBy("batch").orderBy("draw", "j")) - 1
-    chosen = inside.withColumn("slot", slot.cast("int")).where(F.col("slot") < rest).select("batch", F.lit("cluster").alias("part"), "slot", "pair_idx")
+    chosen = inside.withColumn("slot", slot.cast("int")).where(F.col("slot") < rest).select(
+        "batch", F.lit("cluster").alias("part"), "slot", "pair_idx",
+    )
     return uniform.unionByName(chosen)
 
 
@@ -85,14 +92,21 @@ def mined_pairs(rows: DataFrame, dim: int | None = None, margin: float = MARGIN)
     the hardest positive less the margin; an anchor that lacks either kind keeps none.
     """
     b = rows.select("batch", F.col("item").alias("other"), F.col("label").alias("other_label"), F.col("embedding").alias("other_embedding"))
-    pairs = rows.join(b, "batch").where("item <> other").select("batch", F.col("item").alias("anchor"), "other", (F.col("label") == F.col("other_label")).alias("positive"), dot(F.col("embedding"), F.col("other_embedding"), dim).alias("similarity"))
+    pairs = rows.join(b, "batch").where("item <> other").select(
+        "batch", F.col("item").alias("anchor"), "other", (F.col("label") == F.col("other_label")).alias("positive"),
+        dot(F.col("embedding"), F.col("other_embedding"), dim).alias("similarity"),
+    )
     w = W.partitionBy("batch", "anchor")
-    hard = pairs.withColumn("hardest_positive", F.min(F.when(F.col("positive"), F.col("similarity"))).over(w)).withColumn("hardest_negative", F.max(F.when(~F.col("positive"), F.col("similarity"))).over(w))
+    hard = pairs.withColumn("hardest_positive", F.min(F.when(F.col("positive"), F.col("similarity"))).over(w)).withColumn(
+        "hardest_negative", F.max(F.when(~F.col("positive"), F.col("similarity"))).over(w),
+    )
     keep = (F.col("positive") & (F.col("similarity") - margin < F.col("hardest_negative"))) | (~F.col("positive") & (F.col("similarity") + margin > F.col("hardest_positive")))
     return hard.where(keep).select("batch", "anchor", "other", "positive", "similarity")
 
 
-def multi_similarity_loss(rows: DataFrame, dim: int | None = None, alpha: float = ALPHA, beta: float = BETA, base: float = BASE, margin: float = MARGIN) -> DataFrame:
+def multi_similarity_loss(
+    rows: DataFrame, dim: int | None = None, alpha: float = ALPHA, beta: float = BETA, base: float = BASE, margin: float = MARGIN,
+) -> DataFrame:
     """(batch, loss, valid_anchors): mean over anchors with a mined positive and a mined negative; 0.0 without any."""
     mined = mined_pairs(rows, dim, margin)
     away = F.col("similarity") - base
@@ -103,13 +117,19 @@ def multi_similarity_loss(rows: DataFrame, dim: int | None = None, alpha: float
     each = sums.where("p is not null and n is not null").withColumn("loss", F.log1p("p") / alpha + F.log1p("n") / beta)
     found = each.groupBy("batch").agg(F.avg("loss").alias("loss"), F.count("*").alias("valid_anchors"))
     every = rows.select("batch").distinct().join(found, "batch", "left")
-    return every.select("batch", F.coalesce("loss", F.lit(0.0)).alias("loss"), F.coalesce("valid_anchors", F.lit(0).cast("long")).alias("valid_anchors"))
+    return every.select(
+        "batch", F.coalesce("loss", F.lit(0.0)).alias("loss"), F.coalesce("valid_anchors", F.lit(0).cast("long")).alias("valid_anchors"),
+    )
 
 
 def paired_rows(batch: DataFrame, embeddings_q: DataFrame, embeddings_t: DataFrame, label: str) -> DataFrame:
     """(batch, item, label, embedding) of both sides of a batch of pairs: label is a column of `batch`, alike for both."""
-    q = batch.join(embeddings_q, "query_id").select("batch", F.concat(F.lit("q"), F.col("pair_idx")).alias("item"), F.col(label).alias("label"), "embedding")
-    t = batch.join(embeddings_t, "tile_id").select("batch", F.concat(F.lit("t"), F.col("pair_idx")).alias("item"), F.col(label).alias("label"), "embedding")
+    q = batch.join(embeddings_q, "query_id").select(
+        "batch", F.concat(F.lit("q"), F.col("pair_idx")).alias("item"), F.col(label).alias("label"), "embedding",
+    )
+    t = batch.join(embeddings_t, "tile_id").select(
+        "batch", F.concat(F.lit("t"), F.col("pair_idx")).alias("item"), F.col(label).alias("label"), "embedding",
+    )
     return q.unionByName(t)
 
 

@@ -23,7 +23,10 @@ VIEWS = {
     "ground": "ground AS (SELECT *, (y1*(1-fx)+y2*fx)*(1-fy)+(y0*(1-fx)+y3*fx)*fy AS g_lat, (x1*(1-fx)+x2*fx)*(1-fy)+(x0*(1-fx)+x3*fx)*fy AS g_lon FROM (SELECT *, (qu*0.4+10)/383e0 AS fx, (qv*0.45+5)/319e0 AS fy FROM matches))",
     "samples": "samples AS (SELECT user_id%10 AS run_id, event_id, epoch_us(ts)/1e6 AS ts, CASE WHEN event_id%17<>0 THEN ((event_id*7919000+floor(value*100)::BIGINT)%262144000)::DOUBLE END AS counter, floor(value*100)/1e1 AS rss_mb FROM events)",
 }
-NEEDS = {"tiles": ["tiles0"], "queries": ["queries0"], "relevant": ["qd", "descriptors"], "ranked": ["qd", "descriptors"], "best": ["candidates"], "fixes": ["frames", "best"], "matches": ["fixes", "tiles"], "ground": ["matches"]}
+NEEDS = {
+    "tiles": ["tiles0"], "queries": ["queries0"], "relevant": ["qd", "descriptors"], "ranked": ["qd", "descriptors"],
+    "best": ["candidates"], "fixes": ["frames", "best"], "matches": ["fixes", "tiles"], "ground": ["matches"],
+}
 
 
 def haversine(a: str, b: str, c: str, d: str) -> str:

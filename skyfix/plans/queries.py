@@ -42,27 +42,55 @@ CORNERS = [(i, k) for i in range(4) for k in ("lat", "lon")]
 
 def names_of(tiles: DataFrame) -> DataFrame:
     image, stamp = F.concat(F.lit("img"), F.col("tile_id") % 500), F.concat(F.col("year"), F.lit("0724"))
-    name = ids.footprint_name(F.col("corners"), image, stamp, F.col("tile_lat"), F.col("tile_lon"), F.col("tile_id") * 3, (F.col("tile_id") % 360) / F.lit(10.0))
-    return tiles.select(F.col("tile_id").alias("part"), F.concat(F.lit("/db/"), F.col("year"), F.lit("_"), F.format_string("%02d", F.col("zoom")), F.lit("/x/"), name).alias("path"))
+    name = ids.footprint_name(
+        F.col("corners"), image, stamp, F.col("tile_lat"), F.col("tile_lon"), F.col("tile_id") * 3, (F.col("tile_id") % 360) / F.lit(10.0),
+    )
+    return tiles.select(
+        F.col("tile_id").alias("part"),
+        F.concat(F.lit("/db/"), F.col("year"), F.lit("_"), F.format_string("%02d", F.col("zoom")), F.lit("/x/"), name).alias("path"),
+    )
 
 
 # -- names, ids, scans ------------------------------------------------------------------------------------------------
 
 
-@query(sql("SELECT tile_id AS part, printf('/db/%d_%02d/x/@%.6f@%.6f@%.6f@%.6f@%.6f@%.6f@%.6f@%.6f@img%d@%d0724@%.6f@%.6f@%d@%.1f@.jpg', year, zoom, y0,x0,y1,x1,y2,x2,y3,x3, tile_id%500, year, tile_lat, tile_lon, tile_id*3, (tile_id%360)/1e1) AS path FROM tiles", "tiles"))
+@query(
+    sql(
+        "SELECT tile_id AS part, printf('/db/%d_%02d/x/@%.6f@%.6f@%.6f@%.6f@%.6f@%.6f@%.6f@%.6f@img%d@%d0724@%.6f@%.6f@%d@%.1f@.jpg', "
+        "year, zoom, y0,x0,y1,x1,y2,x2,y3,x3, tile_id%500, year, tile_lat, tile_lon, tile_id*3, (tile_id%360)/1e1) AS path FROM tiles",
+        "tiles",
+    )
+)
 def footprint_names(spark: SparkSession, d: str) -> DataFrame:
     return names_of(S.tiles(spark, d))
 
 
-@query(sql("SELECT tile_id AS part, 'img'||(tile_id%500)||'@'||year||'0724' AS tile, round(y0,4) AS lat0, round(x0,4) AS lon0, round(y1,4) AS lat1, round(x1,4) AS lon1, round(y2,4) AS lat2, round(x2,4) AS lon2, round(y3,4) AS lat3, round(x3,4) AS lon3, year||'0724' AS stamp, round(tile_lat,4) AS nadir_lat, round(tile_lon,4) AS nadir_lon, (tile_id*3)::DOUBLE AS area, year AS year, zoom AS zoom FROM tiles WHERE year=2019 AND zoom IN (9,10)", "tiles"))
+@query(
+    sql(
+        "SELECT tile_id AS part, 'img'||(tile_id%500)||'@'||year||'0724' AS tile, round(y0,4) AS lat0, round(x0,4) AS lon0, round(y1,4) "
+        "AS lat1, round(x1,4) AS lon1, round(y2,4) AS lat2, round(x2,4) AS lon2, round(y3,4) AS lat3, round(x3,4) AS lon3, year||'0724' "
+        "AS stamp, round(tile_lat,4) AS nadir_lat, round(tile_lon,4) AS nadir_lon, (tile_id*3)::DOUBLE AS area, year AS year, zoom AS "
+        "zoom FROM tiles WHERE year=2019 AND zoom IN (9,10)",
+        "tiles",
+    )
+)
 def parsed_footprints(spark: SparkSession, d: str) -> DataFrame:
     rows = names_of(S.tiles(spark, d)).withColumn("p", ids.parse_footprint(F.col("path")))
-    rows = rows.withColumn("year", F.regexp_extract("path", r"/(\d{4})_(\d{2})/", 1).cast("long")).withColumn("zoom", F.regexp_extract("path", r"/(\d{4})_(\d{2})/", 2).cast("long"))
+    rows = rows.withColumn(
+        "year", F.regexp_extract("path", r"/(\d{4})_(\d{2})/", 1).cast("long"),
+    ).withColumn("zoom", F.regexp_extract("path", r"/(\d{4})_(\d{2})/", 2).cast("long"))
     rows = scoped(rows, 2019, (9, 10))
-    return rows.select("part", F.col("p.tile_id").alias("tile"), *(F.round(F.col("p.corners")[i][k], 4).alias(f"{k}{i}") for i, k in CORNERS), F.col("p.timestamp").alias("stamp"), F.round("p.nadir_lat", 4).alias("nadir_lat"), F.round("p.nadir_lon", 4).alias("nadir_lon"), F.col("p.sq_km_area").alias("area"), "year", "zoom")
+    return rows.select(
+        "part", F.col("p.tile_id").alias("tile"), *(F.round(F.col("p.corners")[i][k], 4).alias(f"{k}{i}") for i, k in CORNERS),
+        F.col("p.timestamp").alias("stamp"), F.round("p.nadir_lat", 4).alias("nadir_lat"), F.round("p.nadir_lon", 4).alias("nadir_lon"),
+        F.col("p.sq_km_area").alias("area"), "year", "zoom",
+    )
 
 
-@query("SELECT p_partkey AS part, CASE WHEN p_partkey%3=0 THEN 'expected 14 fields, got 13' WHEN p_partkey%3=1 THEN 'a number is malformed' END AS error, CASE WHEN p_partkey%3=2 THEN 'i'||p_partkey||'@20210101' END AS tile FROM part")
+@query(
+    "SELECT p_partkey AS part, CASE WHEN p_partkey%3=0 THEN 'expected 14 fields, got 13' WHEN p_partkey%3=1 THEN 'a number is malformed' "
+    "END AS error, CASE WHEN p_partkey%3=2 THEN 'i'||p_partkey||'@20210101' END AS tile FROM part"
+)
 def malformed_names(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     first = F.when(k % 3 == 0, "").when(k % 3 == 1, "4x.0@").otherwise("44.0@")
@@ -71,16 +99,36 @@ def malformed_names(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "part").select(k.alias("part"), p["error"].alias("error"), p["tile_id"].alias("tile"))
 
 
-@query(sql("SELECT tile_id||'::rot'||r AS variant_id, tile_id::VARCHAR AS base, r AS rotation, tile_id::VARCHAR AS plain_base, 'East_of_'||(tile_id%7)||'_x' AS token, 'm'||(tile_id%3)||'-r'||(tile_id%5)||'-'||tile_id AS frame_key FROM tiles0, (VALUES (0),(90),(180),(270)) v(r)", "tiles0"))
+@query(
+    sql(
+        "SELECT tile_id||'::rot'||r AS variant_id, tile_id::VARCHAR AS base, r AS rotation, tile_id::VARCHAR AS plain_base, "
+        "'East_of_'||(tile_id%7)||'_x' AS token, 'm'||(tile_id%3)||'-r'||(tile_id%5)||'-'||tile_id AS frame_key FROM tiles0, (VALUES "
+        "(0),(90),(180),(270)) v(r)",
+        "tiles0",
+    )
+)
 def rotation_variants(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("tile_id")
     rows = retrieval.expand_rotations(S.tiles(spark, d).select("tile_id"))
-    return rows.select("variant_id", ids.base_tile(F.col("variant_id")).alias("base"), ids.rotation_of(F.col("variant_id")).alias("rotation"), ids.base_tile(t.cast("string")).alias("plain_base"), ids.path_token(F.concat(F.lit("East of "), t % 7, F.lit(" x"))).alias("token"), ids.frame_key(F.concat(F.lit("m"), t % 3), F.concat(F.lit("r"), t % 5), t.cast("string")).alias("frame_key"))
-
-
-@query(sql("SELECT zoom, year, count(*) AS total, count(*) FILTER (WHERE tile_lat>0) AS kept, count(*)*4*64*4 AS index_bytes FROM tiles0 GROUP BY ALL", "tiles0"))
+    return rows.select(
+        "variant_id", ids.base_tile(F.col("variant_id")).alias("base"), ids.rotation_of(F.col("variant_id")).alias("rotation"),
+        ids.base_tile(t.cast("string")).alias("plain_base"),
+        ids.path_token(F.concat(F.lit("East of "), t % 7, F.lit(" x"))).alias("token"),
+        ids.frame_key(F.concat(F.lit("m"), t % 3), F.concat(F.lit("r"), t % 5), t.cast("string")).alias("frame_key"),
+    )
+
+
+@query(
+    sql(
+        "SELECT zoom, year, count(*) AS total, count(*) FILTER (WHERE tile_lat>0) AS kept, count(*)*4*64*4 AS index_bytes FROM tiles0 "
+        "GROUP BY ALL",
+        "tiles0",
+    )
+)
 def zoom_counts(spark: SparkSession, d: str) -> DataFrame:
-    return S.tiles(spark, d).groupBy("zoom", "year").agg(F.count("*").alias("total"), F.count_if(F.col("tile_lat") > 0).alias("kept")).withColumn("index_bytes", vectors.index_bytes(F.col("total"), 4, S.DIM))
+    return S.tiles(spark, d).groupBy("zoom", "year").agg(
+        F.count("*").alias("total"), F.count_if(F.col("tile_lat") > 0).alias("kept"),
+    ).withColumn("index_bytes", vectors.index_bytes(F.col("total"), 4, S.DIM))
 
 
 # -- geometry ---------------------------------------------------------------------------------------------------------
@@ -101,12 +149,29 @@ _EXTENT = "((greatest(x0,x1,x2,x3)-least(x0,x1,x2,x3))*(greatest(y0,y1,y2,y3)-le
 _OK = f"(CASE WHEN {_TRIANGLE} THEN abs({_TWICE})>1e-9*{_EXTENT} ELSE {_TWICE}<>0 AND NOT {_meet_sql(0, 1, 2, 3)} AND NOT {_meet_sql(1, 2, 3, 0)} END)"
 
 
-@query(sql(f"SELECT tile_id, round(least(y0,y1,y2,y3),6) AS lat_min, round(greatest(y0,y1,y2,y3),6) AS lat_max, round(least(x0,x1,x2,x3),6) AS lon_min, round(greatest(x0,x1,x2,x3),6) AS lon_max, round((y0+y1+y2+y3)/4,6) AS center_lat, round((x0+x1+x2+x3)/4,6) AS center_lon, round(abs({_TWICE})/2,6) AS area, {_OK} AS valid, round({haversine('y0', 'x0', 'y1', 'x1')},4) AS width_km, round({haversine('y0', 'x0', 'y3', 'x3')},4) AS height_km FROM tiles", "tiles"))
+@query(
+    sql(
+        f"SELECT tile_id, round(least(y0,y1,y2,y3),6) AS lat_min, round(greatest(y0,y1,y2,y3),6) AS lat_max, round(least(x0,x1,x2,x3),6) "
+        f"AS lon_min, round(greatest(x0,x1,x2,x3),6) AS lon_max, round((y0+y1+y2+y3)/4,6) AS center_lat, round((x0+x1+x2+x3)/4,6) AS "
+        f"center_lon, round(abs({_TWICE})/2,6) AS area, {_OK} AS valid, round({haversine('y0', 'x0', 'y1', 'x1')},4) AS width_km, "
+        f"round({haversine('y0', 'x0', 'y3', 'x3')},4) AS height_km FROM tiles",
+        "tiles",
+    )
+)
 def footprint_measures(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("corners")
-    rows = S.tiles(spark, d).select("tile_id", geo.bbox(c).alias("b"), geo.centroid(c).alias("m"), geo.area(c).alias("area"), geo.valid(c).alias("valid"), geo.size_km(c).alias("s"))
-    flat = rows.select("tile_id", "b.*", F.col("m.lat").alias("center_lat"), F.col("m.lon").alias("center_lon"), "area", "valid", "s.width_km", "s.height_km")
-    return flat.select("tile_id", "valid", *r6("lat_min", "lat_max", "lon_min", "lon_max", "center_lat", "center_lon", "area"), *r6("width_km", "height_km", places=4))
+    rows = S.tiles(spark, d).select(
+        "tile_id", geo.bbox(c).alias("b"), geo.centroid(c).alias("m"), geo.area(c).alias("area"), geo.valid(c).alias("valid"),
+        geo.size_km(c).alias("s"),
+    )
+    flat = rows.select(
+        "tile_id", "b.*", F.col("m.lat").alias("center_lat"), F.col("m.lon").alias("center_lon"), "area", "valid", "s.width_km",
+        "s.height_km",
+    )
+    return flat.select(
+        "tile_id", "valid", *r6("lat_min", "lat_max", "lon_min", "lon_max", "center_lat", "center_lon", "area"),
+        *r6("width_km", "height_km", places=4),
+    )
 
 
 _BOX = "least({0}y0,{0}y1,{0}y2,{0}y3) AS {1}lat0, greatest({0}y0,{0}y1,{0}y2,{0}y3) AS {1}lat1, least({0}x0,{0}x1,{0}x2,{0}x3) AS {1}lon0, greatest({0}x0,{0}x1,{0}x2,{0}x3) AS {1}lon1"
@@ -138,9 +203,16 @@ def _scope_tiles(spark, d):
     return S.tiles(spark, d).select("tile_id", "corners")
 
 
-@query(sql("SELECT query_id, count(*) AS n_tiles, min(tile_id) AS first_tile, max(tile_id) AS last_tile FROM pairs GROUP BY ALL", "queries", "tiles", more=_PAIRS))
+@query(
+    sql(
+        "SELECT query_id, count(*) AS n_tiles, min(tile_id) AS first_tile, max(tile_id) AS last_tile FROM pairs GROUP BY ALL", "queries",
+        "tiles", more=_PAIRS,
+    )
+)
 def bbox_join(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.overlapping(_scope_queries(spark, d), _scope_tiles(spark, d)).groupBy("query_id").agg(F.count("*").alias("n_tiles"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile"))
+    return spatial.overlapping(_scope_queries(spark, d), _scope_tiles(spark, d)).groupBy("query_id").agg(
+        F.count("*").alias("n_tiles"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile"),
+    )
 
 
 @query(sql("SELECT query_id, tile_id, round(iou,6) AS iou FROM ious WHERE iou>=0.2", "queries", "tiles", more=_IOU))
@@ -148,18 +220,38 @@ def iou_join(spark: SparkSession, d: str) -> DataFrame:
     return spatial.positives(_scope_queries(spark, d), _scope_tiles(spark, d)).select("query_id", "tile_id", *r6("iou"))
 
 
-@query(sql("SELECT query_id, tile_id, round(iou,6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY iou DESC, tile_id) AS nth FROM ious WHERE iou>=0.1) WHERE nth=1", "queries", "tiles", more=_IOU))
+@query(
+    sql(
+        "SELECT query_id, tile_id, round(iou,6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY iou DESC, "
+        "tile_id) AS nth FROM ious WHERE iou>=0.1) WHERE nth=1",
+        "queries", "tiles", more=_IOU,
+    )
+)
 def positive_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.positive_pairs(_scope_queries(spark, d), _scope_tiles(spark, d), "query_id", "tile_id", "tile_id").select("query_id", "tile_id", *r6("iou"))
-
-
-@query(sql("SELECT count(*) AS queries, sum(CASE WHEN n>0 THEN 1 ELSE 0 END)::BIGINT AS with_positive, round(100.0*sum(CASE WHEN n>0 THEN 1 ELSE 0 END)/count(*),6) AS yield_percent, (SELECT count(DISTINCT tile_id) FROM ious WHERE iou>=0.2) AS tiles FROM (SELECT q.query_id, count(i.tile_id) AS n FROM queries q LEFT JOIN (SELECT * FROM ious WHERE iou>=0.2) i ON q.query_id=i.query_id GROUP BY 1)", "queries", "tiles", more=_IOU))
+    return spatial.positive_pairs(
+        _scope_queries(spark, d), _scope_tiles(spark, d), "query_id", "tile_id", "tile_id",
+    ).select("query_id", "tile_id", *r6("iou"))
+
+
+@query(
+    sql(
+        "SELECT count(*) AS queries, sum(CASE WHEN n>0 THEN 1 ELSE 0 END)::BIGINT AS with_positive, round(100.0*sum(CASE WHEN n>0 THEN 1 "
+        "ELSE 0 END)/count(*),6) AS yield_percent, (SELECT count(DISTINCT tile_id) FROM ious WHERE iou>=0.2) AS tiles FROM (SELECT "
+        "q.query_id, count(i.tile_id) AS n FROM queries q LEFT JOIN (SELECT * FROM ious WHERE iou>=0.2) i ON q.query_id=i.query_id GROUP "
+        "BY 1)",
+        "queries", "tiles", more=_IOU,
+    )
+)
 def pair_yield(spark: SparkSession, d: str) -> DataFrame:
     pairs = spatial.positives(_scope_queries(spark, d), _scope_tiles(spark, d)).select("query_id", "tile_id")
     tiles = pairs.select("tile_id").dropDuplicates(["tile_id"]).agg(F.count("*").alias("tiles"))
     found = pairs.groupBy("query_id").agg(F.count("*").alias("n"))
-    out = S.queries(spark, d).select("query_id").join(found, "query_id", "left").agg(F.count("*").alias("queries"), F.count("n").alias("with_positive"))
-    return out.join(F.broadcast(tiles)).select("queries", "with_positive", F.round(F.col("with_positive") * 100.0 / F.col("queries"), 6).alias("yield_percent"), "tiles")
+    out = S.queries(spark, d).select("query_id").join(found, "query_id", "left").agg(
+        F.count("*").alias("queries"), F.count("n").alias("with_positive"),
+    )
+    return out.join(F.broadcast(tiles)).select(
+        "queries", "with_positive", F.round(F.col("with_positive") * 100.0 / F.col("queries"), 6).alias("yield_percent"), "tiles",
+    )
 
 
 # -- regions ----------------------------------------------------------------------------------------------------------
@@ -167,19 +259,43 @@ def pair_yield(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = lambda lat, lon, km: f"{haversine(lat, lon, 'center_lat', 'center_lon')}<{km}"
 
 
-@query(sql(f"SELECT region_name AS region, year, count(*) AS total, least(count(*), 40) AS chosen, round(min({haversine('tile_lat', 'tile_lon', 'center_lat', 'center_lon')}),4) AS nearest_km FROM tiles0 JOIN regions ON {_NEAR('tile_lat', 'tile_lon', '5000')} WHERE role='eval' AND year=2021 AND zoom IN (9,10) GROUP BY ALL", "tiles0", "regions"))
+@query(
+    sql(
+        f"SELECT region_name AS region, year, count(*) AS total, least(count(*), 40) AS chosen, round(min({haversine('tile_lat', 'tile_lon', 'center_lat', 'center_lon')}),4) "
+        f"AS nearest_km FROM tiles0 JOIN regions ON {_NEAR('tile_lat', 'tile_lon', '5000')} WHERE role='eval' AND year=2021 AND zoom IN "
+        f"(9,10) GROUP BY ALL",
+        "tiles0", "regions",
+    )
+)
 def region_scopes(spark: SparkSession, d: str) -> DataFrame:
     rows = spatial.in_regions(scoped(S.tiles(spark, d), 2021, (9, 10)), S.regions(spark, "eval"), "tile_lat", "tile_lon", S.EVAL_TILES_KM)
     km = geo.haversine_km(F.col("tile_lat"), F.col("tile_lon"), F.col("center_lat"), F.col("center_lon"))
-    return rows.groupBy("region", "year").agg(F.count("*").alias("total"), F.least(F.count("*"), F.lit(40).cast("long")).alias("chosen"), F.round(F.min(km), 4).alias("nearest_km"))
-
-
-@query(sql(f"SELECT query_id, region_name AS region FROM (SELECT query_id, region_name, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS nth FROM queries0 JOIN regions ON {_NEAR('lat', 'lon', '2500')}) WHERE nth=1", "queries0", "regions"))
+    return rows.groupBy("region", "year").agg(
+        F.count("*").alias("total"), F.least(F.count("*"), F.lit(40).cast("long")).alias("chosen"),
+        F.round(F.min(km), 4).alias("nearest_km"),
+    )
+
+
+@query(
+    sql(
+        f"SELECT query_id, region_name AS region FROM (SELECT query_id, region_name, row_number() OVER (PARTITION BY query_id ORDER BY "
+        f"ord) AS nth FROM queries0 JOIN regions ON {_NEAR('lat', 'lon', '2500')}) WHERE nth=1",
+        "queries0", "regions",
+    )
+)
 def first_region(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.first_region(S.queries(spark, d), S.regions(spark), "query_id", "lat", "lon", S.EVAL_QUERIES_KM).select("query_id", "region")
+    return spatial.first_region(
+        S.queries(spark, d), S.regions(spark), "query_id", "lat", "lon", S.EVAL_QUERIES_KM,
+    ).select("query_id", "region")
 
 
-@query(sql(f"SELECT query_id, 'in' AS side FROM queries0 WHERE EXISTS (SELECT 1 FROM regions WHERE role='train' AND {_NEAR('lat', 'lon', '2000')}) UNION ALL SELECT query_id, 'out' FROM queries0 WHERE NOT EXISTS (SELECT 1 FROM regions WHERE role='eval' AND {_NEAR('lat', 'lon', '2500')})", "queries0", "regions"))
+@query(
+    sql(
+        f"SELECT query_id, 'in' AS side FROM queries0 WHERE EXISTS (SELECT 1 FROM regions WHERE role='train' AND {_NEAR('lat', 'lon', '2000')}) "
+        f"UNION ALL SELECT query_id, 'out' FROM queries0 WHERE NOT EXISTS (SELECT 1 FROM regions WHERE role='eval' AND {_NEAR('lat', 'lon', '2500')})",
+        "queries0", "regions",
+    )
+)
 def region_semi_and_anti(spark: SparkSession, d: str) -> DataFrame:
     q = S.queries(spark, d)
     inside = spatial.in_any_region(q, S.regions(spark, "train"), "lat", "lon", S.TRAIN_KM).select("query_id", F.lit("in").alias("side"))
@@ -191,16 +307,32 @@ def within_radius(spark: SparkSession, d: str) -> DataFrame:
     return spatial.within(S.queries(spark, d), "lat", "lon", (45.0, 10.0), 2500.0).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"SELECT query_id, arg_min(tile_id, (km, tile_id)) AS tile_id, round(min(km),4) AS km FROM (SELECT query_id, tile_id, {haversine('lat', 'lon', 'tile_lat', 'tile_lon')} AS km FROM queries0, tiles0) GROUP BY query_id", "queries0", "tiles0"))
+@query(
+    sql(
+        f"SELECT query_id, arg_min(tile_id, (km, tile_id)) AS tile_id, round(min(km),4) AS km FROM (SELECT query_id, tile_id, "
+        f"{haversine('lat', 'lon', 'tile_lat', 'tile_lon')} AS km FROM queries0, tiles0) GROUP BY query_id",
+        "queries0", "tiles0",
+    )
+)
 def nearest_tile(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.nearest_tile(S.queries(spark, d), S.tiles(spark, d).withColumn("ord", F.col("tile_id")), "query_id", "tile_id", "ord").select("query_id", "tile_id", *r6("km", places=4))
+    return spatial.nearest_tile(
+        S.queries(spark, d), S.tiles(spark, d).withColumn("ord", F.col("tile_id")), "query_id", "tile_id", "ord",
+    ).select("query_id", "tile_id", *r6("km", places=4))
 
 
 # -- pixels, frames, times --------------------------------------------------------------------------------------------
 
-@query(sql("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, round(qu,6) AS u, round(qv,6) AS v, round(g_lat,6) AS lat, round(g_lon,6) AS lon FROM ground", "ground"))
+@query(
+    sql(
+        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, round(qu,6) AS u, round(qv,6) AS v, "
+        "round(g_lat,6) AS lat, round(g_lon,6) AS lon FROM ground",
+        "ground",
+    )
+)
 def tie_points(spark: SparkSession, d: str) -> DataFrame:
-    best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).where("status = 'fix'").join(S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "corners"), "matched_tile_id")
+    best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).where("status = 'fix'").join(
+        S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "corners"), "matched_tile_id",
+    )
     return localize.tie_points(best, ["query_id"]).select("query_id", F.col("idx").cast("long").alias("idx"), "u", "v", *r6("lat", "lon"))
 
 
@@ -208,14 +340,27 @@ _PX = "(VALUES (0e0,0e0,0),(639e0,0e0,1),(639e0,479e0,2),(0e0,479e0,3)) c(cu,cv,
 _FOOT = f"foot AS (SELECT query_id, ci, (y1*(1-fx)+y2*fx)*(1-fy)+(y0*(1-fx)+y3*fx)*fy AS lat, (x1*(1-fx)+x2*fx)*(1-fy)+(x0*(1-fx)+x3*fx)*fy AS lon FROM (SELECT f.query_id, ci, t.*, (0.4*cu+10)/(line*1e-5*cu+1)/383 AS fx, (0.45*cv+5)/(line*1e-5*cu+1)/319 AS fy FROM fixes f JOIN tiles t USING(tile_id), {_PX} WHERE status='fix' AND f.tile_id%7<>0))"
 
 
-@query(sql("SELECT f.query_id, region_name AS region, status, confidence, tile_id AS matched_tile_id, coalesce(n,0) AS n_ties, round(mean_lat,6) AS mean_lat, round(mean_lon,6) AS mean_lon, round(a.lat,6) AS lat0, round(a.lon,6) AS lon0, round(b.lat,6) AS lat2, round(b.lon,6) AS lon2, coalesce(listed,0) AS n_candidates FROM fixes f LEFT JOIN (SELECT query_id, count(*) AS n, avg(g_lat) AS mean_lat, avg(g_lon) AS mean_lon FROM ground GROUP BY 1) g USING(query_id) LEFT JOIN foot a ON a.query_id=f.query_id AND a.ci=0 LEFT JOIN foot b ON b.query_id=f.query_id AND b.ci=2 LEFT JOIN (SELECT query_id, count(*) AS listed FROM candidates GROUP BY 1) c ON c.query_id=f.query_id", "ground", "fixes", more=_FOOT))
+@query(
+    sql(
+        "SELECT f.query_id, region_name AS region, status, confidence, tile_id AS matched_tile_id, coalesce(n,0) AS n_ties, "
+        "round(mean_lat,6) AS mean_lat, round(mean_lon,6) AS mean_lon, round(a.lat,6) AS lat0, round(a.lon,6) AS lon0, round(b.lat,6) AS "
+        "lat2, round(b.lon,6) AS lon2, coalesce(listed,0) AS n_candidates FROM fixes f LEFT JOIN (SELECT query_id, count(*) AS n, "
+        "avg(g_lat) AS mean_lat, avg(g_lon) AS mean_lon FROM ground GROUP BY 1) g USING(query_id) LEFT JOIN foot a ON "
+        "a.query_id=f.query_id AND a.ci=0 LEFT JOIN foot b ON b.query_id=f.query_id AND b.ci=2 LEFT JOIN (SELECT query_id, count(*) AS "
+        "listed FROM candidates GROUP BY 1) c ON c.query_id=f.query_id",
+        "ground", "fixes", more=_FOOT,
+    )
+)
 def localized_frames(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).join(S.tiles(spark, d).select("tile_id", "corners"), "tile_id")
     frames = S.frames(spark, d)
     out = localize.localize(frames.select("query_id", "query_h", "query_w"), c).join(frames.select("query_id", "region"), "query_id")
     mean = lambda k: F.round(F.aggregate("tie_points", F.lit(0.0), lambda s, t: s + t[k]) / F.when(F.size("tie_points") > 0, F.size("tie_points")), 6).alias(f"mean_{k}")
     at = lambda i, k: F.round(F.col("query_footprint")[i][k], 6).alias(f"{k}{i}")
-    return out.select("query_id", "region", "status", "confidence", "matched_tile_id", F.size("tie_points").cast("long").alias("n_ties"), mean("lat"), mean("lon"), at(0, "lat"), at(0, "lon"), at(2, "lat"), at(2, "lon"), F.size("candidates").cast("long").alias("n_candidates"))
+    return out.select(
+        "query_id", "region", "status", "confidence", "matched_tile_id", F.size("tie_points").cast("long").alias("n_ties"), mean("lat"),
+        mean("lon"), at(0, "lat"), at(0, "lon"), at(2, "lat"), at(2, "lon"), F.size("candidates").cast("long").alias("n_candidates"),
+    )
 
 
 _BEAR = "(SELECT *, (u*(4608e0/640)-2304e0)/(2304e0/tan(radians(66.1e0)/2)) AS bx, (v*(2592e0/480)-1296e0)/(2304e0/tan(radians(66.1e0)/2)) AS b_y FROM (SELECT *, qu AS u, qv AS v FROM ground))"
@@ -226,37 +371,81 @@ _MEAS = f"""meas AS (SELECT query_id, i, jd, bx/sqrt(bx*bx+b_y*b_y+1) AS bearing
 
 
 def _ties(spark, d):
-    best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).where("status = 'fix'").join(S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "corners"), "matched_tile_id")
+    best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).where("status = 'fix'").join(
+        S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "corners"), "matched_tile_id",
+    )
     ties = localize.tie_points(best, ["query_id", "timestamp", "query_h", "query_w"])
-    return ties.select(F.col("query_id").alias("frame_id"), "idx", "timestamp", "u", "v", F.col("query_h").alias("frame_h"), F.col("query_w").alias("frame_w"), "lat", "lon")
-
-
-@query(sql("SELECT query_id AS frame_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, jd AS timestamp_jd, round(bearing_x,6) AS bearing_x, round(bearing_y,6) AS bearing_y, round(bearing_z,6) AS bearing_z, round(eci_x,2) AS eci_x, round(eci_y,2) AS eci_y, round(eci_z,2) AS eci_z, row_number() OVER (PARTITION BY query_id ORDER BY i)=1 AS group_start FROM meas", "ground", more=_MEAS))
+    return ties.select(
+        F.col("query_id").alias("frame_id"), "idx", "timestamp", "u", "v", F.col("query_h").alias("frame_h"),
+        F.col("query_w").alias("frame_w"), "lat", "lon",
+    )
+
+
+@query(
+    sql(
+        "SELECT query_id AS frame_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, jd AS timestamp_jd, "
+        "round(bearing_x,6) AS bearing_x, round(bearing_y,6) AS bearing_y, round(bearing_z,6) AS bearing_z, round(eci_x,2) AS eci_x, "
+        "round(eci_y,2) AS eci_y, round(eci_z,2) AS eci_z, row_number() OVER (PARTITION BY query_id ORDER BY i)=1 AS group_start FROM "
+        "meas",
+        "ground", more=_MEAS,
+    )
+)
 def measurement_rows(spark: SparkSession, d: str) -> DataFrame:
     m = measure.measurements(_ties(spark, d))
-    return m.select("frame_id", F.col("idx").cast("long").alias("idx"), "timestamp_jd", *r6("bearing_x", "bearing_y", "bearing_z"), *r6("eci_x", "eci_y", "eci_z", places=2), "group_start")
+    return m.select(
+        "frame_id", F.col("idx").cast("long").alias("idx"), "timestamp_jd", *r6("bearing_x", "bearing_y", "bearing_z"),
+        *r6("eci_x", "eci_y", "eci_z", places=2), "group_start",
+    )
 
 
 _POSE = "(SELECT *, 7000000e0*cos(query_id%100/1e1) AS px, 7000000e0*sin(query_id%100/1e1) AS py, 1000e0*(query_id%50) AS pz FROM meas)"
 _LOS = f"los AS (SELECT *, (eci_x-px)/n AS lx, (eci_y-py)/n AS ly, (eci_z-pz)/n AS lz FROM (SELECT *, sqrt(pow(eci_x-px,2)+pow(eci_y-py,2)+pow(eci_z-pz,2)) AS n FROM {_POSE}))"
 
 
-@query(sql("SELECT query_id AS frame_id, round(sqrt(avg(a*a)),6) AS rms, round(max(a),6) AS worst, count(*) AS n, round(degrees(sqrt(avg(a*a))),4) AS rms_degrees, round(max(sqrt(px*px+py*py+pz*pz))-6378137e0,2) AS altitude_m, round(max(atan(3000/n)),6) AS noise FROM (SELECT *, acos(greatest(-1,least(1,1-(pow(lx-bearing_x,2)+pow(ly-bearing_y,2)+pow(lz-bearing_z,2))/2))) AS a FROM los) GROUP BY 1", "ground", more=_MEAS + ", " + _LOS))
+@query(
+    sql(
+        "SELECT query_id AS frame_id, round(sqrt(avg(a*a)),6) AS rms, round(max(a),6) AS worst, count(*) AS n, "
+        "round(degrees(sqrt(avg(a*a))),4) AS rms_degrees, round(max(sqrt(px*px+py*py+pz*pz))-6378137e0,2) AS altitude_m, "
+        "round(max(atan(3000/n)),6) AS noise FROM (SELECT *, "
+        "acos(greatest(-1,least(1,1-(pow(lx-bearing_x,2)+pow(ly-bearing_y,2)+pow(lz-bearing_z,2))/2))) AS a FROM los) GROUP BY 1",
+        "ground", more=_MEAS + ", " + _LOS,
+    )
+)
 def pose_residuals(spark: SparkSession, d: str) -> DataFrame:
     m = measure.measurements(_ties(spark, d))
     k = F.col("frame_id")
-    pose = F.struct((F.cos(k % 100 / 10) * 7000000.0).alias("x"), (F.sin(k % 100 / 10) * 7000000.0).alias("y"), ((k % 50) * F.lit(1000.0)).alias("z"))
-    rows = m.withColumn("pose", pose).withColumn("mark", F.struct(*(F.col(f"eci_{c}").alias(c) for c in "xyz"))).withColumn("b", F.struct(*(F.col(f"bearing_{c}").alias(c) for c in "xyz")))
+    pose = F.struct(
+        (F.cos(k % 100 / 10) * 7000000.0).alias("x"), (F.sin(k % 100 / 10) * 7000000.0).alias("y"), ((k % 50) * F.lit(1000.0)).alias("z"),
+    )
+    rows = m.withColumn("pose", pose).withColumn("mark", F.struct(*(F.col(f"eci_{c}").alias(c) for c in "xyz"))).withColumn(
+        "b", F.struct(*(F.col(f"bearing_{c}").alias(c) for c in "xyz")),
+    )
     d_xyz = [F.col("mark")[c] - F.col("pose")[c] for c in "xyz"]
-    rows = rows.withColumn("range", F.sqrt(d_xyz[0] * d_xyz[0] + d_xyz[1] * d_xyz[1] + d_xyz[2] * d_xyz[2])).withColumn("a", fr.angular_error(fr.line_of_sight(F.col("mark"), F.col("pose")), F.col("b")))
-    out = rows.groupBy("frame_id").agg(F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("rms"), F.max("a").alias("worst"), F.count("*").alias("n"), F.max(fr.altitude_m(F.col("pose"))).alias("altitude_m"), F.max(fr.angular_noise(F.lit(3000.0), F.col("range"))).alias("noise"))
-    return out.select("frame_id", *r6("rms", "worst", "noise"), "n", F.round(F.degrees("rms"), 4).alias("rms_degrees"), F.round("altitude_m", 2).alias("altitude_m"))
-
-
-@query(sql("SELECT query_id AS frame_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, round(g_lat,5) AS lat, round(CASE WHEN g_lon>180 THEN g_lon-360 WHEN g_lon<-180 THEN g_lon+360 ELSE g_lon END,5) AS lon FROM meas", "ground", more=_MEAS))
+    rows = rows.withColumn("range", F.sqrt(d_xyz[0] * d_xyz[0] + d_xyz[1] * d_xyz[1] + d_xyz[2] * d_xyz[2])).withColumn(
+        "a", fr.angular_error(fr.line_of_sight(F.col("mark"), F.col("pose")), F.col("b")),
+    )
+    out = rows.groupBy("frame_id").agg(
+        F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("rms"), F.max("a").alias("worst"), F.count("*").alias("n"),
+        F.max(fr.altitude_m(F.col("pose"))).alias("altitude_m"), F.max(fr.angular_noise(F.lit(3000.0), F.col("range"))).alias("noise"),
+    )
+    return out.select(
+        "frame_id", *r6("rms", "worst", "noise"), "n", F.round(F.degrees("rms"), 4).alias("rms_degrees"),
+        F.round("altitude_m", 2).alias("altitude_m"),
+    )
+
+
+@query(
+    sql(
+        "SELECT query_id AS frame_id, row_number() OVER (PARTITION BY query_id ORDER BY i)-1 AS idx, round(g_lat,5) AS lat, round(CASE "
+        "WHEN g_lon>180 THEN g_lon-360 WHEN g_lon<-180 THEN g_lon+360 ELSE g_lon END,5) AS lon FROM meas",
+        "ground", more=_MEAS,
+    )
+)
 def geodetic_round_trip(spark: SparkSession, d: str) -> DataFrame:
     t = _ties(spark, d).withColumn("jd", fr.epoch_jd(F.col("timestamp")))
-    t = t.withColumn("eci", fr.ecef_to_eci(fr.latlon_to_ecef(F.col("lat"), F.col("lon")), F.col("jd"))).withColumn("g", fr.ecef_to_geodetic(fr.eci_to_ecef(F.col("eci"), F.col("jd"))))
+    t = t.withColumn(
+        "eci", fr.ecef_to_eci(fr.latlon_to_ecef(F.col("lat"), F.col("lon")), F.col("jd")),
+    ).withColumn("g", fr.ecef_to_geodetic(fr.eci_to_ecef(F.col("eci"), F.col("jd"))))
     return t.select("frame_id", F.col("idx").cast("long").alias("idx"), F.round("g.lat", 5).alias("lat"), F.round("g.lon", 5).alias("lon"))
 
 
@@ -270,7 +459,15 @@ def nadir_points(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "jd", *(F.round(f"p.{k}", 2).alias(k) for k in "xyz"))
 
 
-@query(sql("SELECT query_id, tile_id, rank, count(*) AS n, count(*) FILTER (WHERE sqrt(pow((0.4*qu+10)/(line*1e-5*qu+1)-(qu*0.4+10),2)+pow((0.45*qv+5)/(line*1e-5*qu+1)-(qv*0.45+5),2))<=3) AS n_inliers FROM (SELECT *, (num_inliers*37+i*101)%640*1e0 AS qu, (tile_id*13+i*57)%480*1e0 AS qv FROM candidates, range(6) r(i) WHERE tile_id%7<>0) GROUP BY ALL", "candidates"))
+@query(
+    sql(
+        "SELECT query_id, tile_id, rank, count(*) AS n, count(*) FILTER (WHERE "
+        "sqrt(pow((0.4*qu+10)/(line*1e-5*qu+1)-(qu*0.4+10),2)+pow((0.45*qv+5)/(line*1e-5*qu+1)-(qv*0.45+5),2))<=3) AS n_inliers FROM "
+        "(SELECT *, (num_inliers*37+i*101)%640*1e0 AS qu, (tile_id*13+i*57)%480*1e0 AS qv FROM candidates, range(6) r(i) WHERE "
+        "tile_id%7<>0) GROUP BY ALL",
+        "candidates",
+    )
+)
 def reprojection_inliers(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).where("homography is not null")
     rows = c.select("query_id", "tile_id", "rank", "homography", F.explode("correspondences").alias("c"))
@@ -295,36 +492,85 @@ def top_k_tiles_native(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, 5, "native").select("query_id", "tile_id", *r6("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(sql("SELECT query_id, r.tile_id, rank, round(similarity,6) AS similarity, year, zoom, tile_lat FROM ranked r JOIN tiles0 t ON r.tile_id=t.tile_id WHERE rank<=5", "ranked", "tiles0"))
+@query(
+    sql(
+        "SELECT query_id, r.tile_id, rank, round(similarity,6) AS similarity, year, zoom, tile_lat FROM ranked r JOIN tiles0 t ON "
+        "r.tile_id=t.tile_id WHERE rank<=5",
+        "ranked", "tiles0",
+    )
+)
 def retrieved_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.with_tiles(_ranked(spark, d, 5), S.tiles(spark, d).select("tile_id", "year", "zoom", "tile_lat")).select("query_id", "tile_id", F.col("rank").cast("long").alias("rank"), *r6("similarity"), "year", "zoom", "tile_lat")
-
-
-@query(sql("SELECT round(100.0*avg((first_rank<=1)::INT),6) AS recall_1, round(100.0*avg((first_rank<=5)::INT),6) AS recall_5, round(100.0*avg((first_rank<=20)::INT),6) AS recall_20, count(*) AS num_evaluated FROM (SELECT r.query_id, coalesce(min(k.rank), 999999) AS first_rank FROM (SELECT DISTINCT query_id FROM relevant) r LEFT JOIN (SELECT k.query_id, k.rank FROM ranked k JOIN relevant v USING(query_id,tile_id) WHERE k.rank<=20) k ON k.query_id=r.query_id GROUP BY 1)", "ranked", "relevant"))
+    return retrieval.with_tiles(_ranked(spark, d, 5), S.tiles(spark, d).select("tile_id", "year", "zoom", "tile_lat")).select(
+        "query_id", "tile_id", F.col("rank").cast("long").alias("rank"), *r6("similarity"), "year", "zoom", "tile_lat",
+    )
+
+
+@query(
+    sql(
+        "SELECT round(100.0*avg((first_rank<=1)::INT),6) AS recall_1, round(100.0*avg((first_rank<=5)::INT),6) AS recall_5, "
+        "round(100.0*avg((first_rank<=20)::INT),6) AS recall_20, count(*) AS num_evaluated FROM (SELECT r.query_id, coalesce(min(k.rank), "
+        "999999) AS first_rank FROM (SELECT DISTINCT query_id FROM relevant) r LEFT JOIN (SELECT k.query_id, k.rank FROM ranked k JOIN "
+        "relevant v USING(query_id,tile_id) WHERE k.rank<=20) k ON k.query_id=r.query_id GROUP BY 1)",
+        "ranked", "relevant",
+    )
+)
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     out = evaluate.recall(evaluate.first_hits(_ranked(spark, d, 20), S.relevant(spark, d)), (1, 5, 20))
     return out.select(*r6("recall_1", "recall_5", "recall_20"), "num_evaluated")
 
 
-@query(sql(f"SELECT num_scored, round(rate,6) AS top1_correct_tile_rate, round(med,4) AS median_coord_error_km, round(mean,4) AS mean_coord_error_km FROM (SELECT count(*) AS num_scored, 100.0*avg(hit::INT) AS rate, median(km) AS med, avg(km) AS mean FROM (SELECT k.query_id, v.tile_id IS NOT NULL AS hit, {haversine('a.tile_lat', 'a.tile_lon', 'b.tile_lat', 'b.tile_lon')} AS km FROM ranked k JOIN qd q USING(query_id) JOIN tiles0 a ON a.tile_id=q.own_tile JOIN tiles0 b ON b.tile_id=k.tile_id LEFT JOIN relevant v ON v.query_id=k.query_id AND v.tile_id=k.tile_id WHERE k.rank=1))", "ranked", "relevant", "tiles0"))
+@query(
+    sql(
+        f"SELECT num_scored, round(rate,6) AS top1_correct_tile_rate, round(med,4) AS median_coord_error_km, round(mean,4) AS "
+        f"mean_coord_error_km FROM (SELECT count(*) AS num_scored, 100.0*avg(hit::INT) AS rate, median(km) AS med, avg(km) AS mean FROM "
+        f"(SELECT k.query_id, v.tile_id IS NOT NULL AS hit, {haversine('a.tile_lat', 'a.tile_lon', 'b.tile_lat', 'b.tile_lon')} AS km "
+        f"FROM ranked k JOIN qd q USING(query_id) JOIN tiles0 a ON a.tile_id=q.own_tile JOIN tiles0 b ON b.tile_id=k.tile_id LEFT JOIN "
+        f"relevant v ON v.query_id=k.query_id AND v.tile_id=k.tile_id WHERE k.rank=1))",
+        "ranked", "relevant", "tiles0",
+    )
+)
 def coordinate_errors(spark: SparkSession, d: str) -> DataFrame:
     top = _ranked(spark, d, 1).join(S.query_descriptors(spark, d).select("query_id", "own_tile"), "query_id")
     t = S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon")
-    top = top.join(t, "tile_id").join(t.select(F.col("tile_id").alias("own_tile"), F.col("tile_lat").alias("own_lat"), F.col("tile_lon").alias("own_lon")), "own_tile")
-    top = top.join(S.relevant(spark, d).withColumn("hit", F.lit(True)), ["query_id", "tile_id"], "left").select(F.col("hit").isNotNull().alias("correct"), geo.haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("tile_lat"), F.col("tile_lon")).alias("error_km"))
-    return evaluate.coordinate_report(top).select("num_scored", *r6("top1_correct_tile_rate"), *r6("median_coord_error_km", "mean_coord_error_km", places=4))
-
-
-@query(sql("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),5) AS length, round(embedding[1]::DOUBLE/sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),6) AS first, len(embedding) AS dim FROM embeddings"))
+    top = top.join(t, "tile_id").join(
+        t.select(F.col("tile_id").alias("own_tile"), F.col("tile_lat").alias("own_lat"), F.col("tile_lon").alias("own_lon")), "own_tile",
+    )
+    top = top.join(S.relevant(spark, d).withColumn("hit", F.lit(True)), ["query_id", "tile_id"], "left").select(
+        F.col("hit").isNotNull().alias("correct"),
+        geo.haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("tile_lat"), F.col("tile_lon")).alias("error_km"),
+    )
+    return evaluate.coordinate_report(top).select(
+        "num_scored", *r6("top1_correct_tile_rate"), *r6("median_coord_error_km", "mean_coord_error_km", places=4),
+    )
+
+
+@query(
+    sql(
+        "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),5) AS length, "
+        "round(embedding[1]::DOUBLE/sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),6) AS first, len(embedding) "
+        "AS dim FROM embeddings"
+    )
+)
 def normalized_descriptors(spark: SparkSession, d: str) -> DataFrame:
     e = vectors.checked(F.col("embedding"), S.DIM)
-    return S.table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(e), 5).alias("length"), F.round(vectors.normalized(e)[0], 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
+    return S.table(spark, d, "embeddings").select(
+        "vec_id", F.round(vectors.norm(e), 5).alias("length"), F.round(vectors.normalized(e)[0], 6).alias("first"),
+        F.size("embedding").cast("long").alias("dim"),
+    )
 
 
-@query("WITH c AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id<8) SELECT vec_id, arg_min(cid, (dist, cid)) AS cluster_id, round(min(dist),6) AS centroid_distance FROM (SELECT v.vec_id, cid, sqrt(list_sum(list_transform(list_zip(v.embedding, c.e), lambda p: pow(p[1]::DOUBLE-p[2],2)))) AS dist FROM embeddings v, c) GROUP BY 1")
+@query(
+    "WITH c AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id<8) SELECT vec_id, arg_min(cid, (dist, cid)) "
+    "AS cluster_id, round(min(dist),6) AS centroid_distance FROM (SELECT v.vec_id, cid, "
+    "sqrt(list_sum(list_transform(list_zip(v.embedding, c.e), lambda p: pow(p[1]::DOUBLE-p[2],2)))) AS dist FROM embeddings v, c) GROUP "
+    "BY 1"
+)
 def nearest_centroids(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "embeddings")
-    found = retrieval.nearest_centroid(e.select("vec_id", F.col("embedding").alias("descriptor")), e.where("vec_id < 8").select(F.col("vec_id").alias("cluster_id"), F.col("embedding").alias("descriptor")), "vec_id")
+    found = retrieval.nearest_centroid(
+        e.select("vec_id", F.col("embedding").alias("descriptor")),
+        e.where("vec_id < 8").select(F.col("vec_id").alias("cluster_id"), F.col("embedding").alias("descriptor")), "vec_id",
+    )
     return found.select("vec_id", "cluster_id", *r6("centroid_distance"))
 
 
@@ -333,24 +579,44 @@ def nearest_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT query_id, tile_id, num_inliers, rank FROM best", "best"))
 def best_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return localize.best_candidates(S.candidates(spark, d)).select("query_id", "tile_id", "num_inliers", F.col("rank").cast("long").alias("rank"))
+    return localize.best_candidates(S.candidates(spark, d)).select(
+        "query_id", "tile_id", "num_inliers", F.col("rank").cast("long").alias("rank"),
+    )
 
 
-@query(sql("SELECT query_id, tile_id, rank, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY num_inliers DESC, rank)=1 THEN 'BEST' WHEN num_inliers>=30 THEN 'ok' ELSE 'would fail' END AS tag FROM candidates", "candidates"))
+@query(
+    sql(
+        "SELECT query_id, tile_id, rank, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY num_inliers DESC, rank)=1 THEN "
+        "'BEST' WHEN num_inliers>=30 THEN 'ok' ELSE 'would fail' END AS tag FROM candidates",
+        "candidates",
+    )
+)
 def candidate_tags(spark: SparkSession, d: str) -> DataFrame:
     rows = localize.flag_best(S.candidates(spark, d))
-    return rows.select("query_id", "tile_id", F.col("rank").cast("long").alias("rank"), ids.candidate_tag(F.col("num_inliers"), F.col("is_best")).alias("tag"))
+    return rows.select(
+        "query_id", "tile_id", F.col("rank").cast("long").alias("rank"),
+        ids.candidate_tag(F.col("num_inliers"), F.col("is_best")).alias("tag"),
+    )
 
 
 _ERR = haversine("t.tile_lat", "t.tile_lon", "45e0", "10e0")
-_REPORT = sql(f"SELECT region_name AS region, count(*) AS n, round(avg(confidence),6) AS mean_inliers, round(100.0*avg((status='fix')::INT),6) AS fix_rate, round(median(km) FILTER (WHERE status='fix'),4) AS median_error_km FROM (SELECT f.*, {_ERR} AS km FROM fixes f LEFT JOIN tiles0 t ON f.tile_id=t.tile_id) GROUP BY 1", "fixes", "tiles0")
+_REPORT = sql(
+    f"SELECT region_name AS region, count(*) AS n, round(avg(confidence),6) AS mean_inliers, round(100.0*avg((status='fix')::INT),6) AS "
+    f"fix_rate, round(median(km) FILTER (WHERE status='fix'),4) AS median_error_km FROM (SELECT f.*, {_ERR} AS km FROM fixes f LEFT JOIN "
+    f"tiles0 t ON f.tile_id=t.tile_id) GROUP BY 1",
+    "fixes", "tiles0",
+)
 
 
 @query(_REPORT)
 def fix_rate_by_region(spark: SparkSession, d: str) -> DataFrame:
-    best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).join(S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "tile_lat", "tile_lon"), "matched_tile_id", "left")
+    best = localize.decide(S.frames(spark, d), S.candidates(spark, d)).join(
+        S.tiles(spark, d).select(F.col("tile_id").alias("matched_tile_id"), "tile_lat", "tile_lon"), "matched_tile_id", "left",
+    )
     best = best.withColumn("error_km", geo.haversine_km(F.col("tile_lat"), F.col("tile_lon"), F.lit(45.0), F.lit(10.0)))
-    return evaluate.matching_report(best, ["region"]).select("region", "n", *r6("mean_inliers", "fix_rate"), *r6("median_error_km", places=4))
+    return evaluate.matching_report(best, ["region"]).select(
+        "region", "n", *r6("mean_inliers", "fix_rate"), *r6("median_error_km", places=4),
+    )
 
 
 @query(sql("SELECT count(*) AS num_frames, round(100.0*avg((status='fix')::INT),6) AS fix_rate_percent FROM fixes", "fixes"))
@@ -363,7 +629,9 @@ _OUT = _POS + ", labelled AS (SELECT f.query_id, CASE WHEN p.query_id IS NULL TH
 
 
 def _outcomes(spark, d):
-    positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("tile_id"))
+    positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("tile_id"),
+    )
     return evaluate.outcomes(S.frames(spark, d).select("query_id"), positives, S.candidates(spark, d).where("rank <= 3"), 30)
 
 
@@ -372,7 +640,13 @@ def query_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return _outcomes(spark, d).select("query_id", "outcome", "best_inliers")
 
 
-@query(sql("SELECT count(*) AS n_sampled, count(*) FILTER (WHERE outcome='retrieval_miss') AS n_retrieval_miss, count(*) FILTER (WHERE outcome='matcher_shortfall') AS n_matcher_shortfall, count(*) FILTER (WHERE outcome='verified') AS n_verified FROM labelled", "frames", "candidates", more=_OUT))
+@query(
+    sql(
+        "SELECT count(*) AS n_sampled, count(*) FILTER (WHERE outcome='retrieval_miss') AS n_retrieval_miss, count(*) FILTER (WHERE "
+        "outcome='matcher_shortfall') AS n_matcher_shortfall, count(*) FILTER (WHERE outcome='verified') AS n_verified FROM labelled",
+        "frames", "candidates", more=_OUT,
+    )
+)
 def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.outcome_counts(_outcomes(spark, d))
 
@@ -380,10 +654,18 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
 _POWER = "power AS (SELECT *, CASE WHEN step<0 THEN step+262144000 ELSE step END/1e6/greatest(dt,1e-6) AS power_w FROM (SELECT *, counter-lag(counter) OVER w AS step, ts-lag(ts) OVER w AS dt FROM samples WINDOW w AS (PARTITION BY run_id ORDER BY ts, counter)))"
 
 
-@query(sql("SELECT run_id, round(max(rss_mb),4) AS peak_rss_mb, round(avg(rss_mb),4) AS mean_rss_mb, round(max(power_w),4) AS peak_power_w, round(avg(power_w),4) AS mean_power_w, count(power_w)>0 AS power_available FROM power GROUP BY 1", "samples", more=_POWER))
+@query(
+    sql(
+        "SELECT run_id, round(max(rss_mb),4) AS peak_rss_mb, round(avg(rss_mb),4) AS mean_rss_mb, round(max(power_w),4) AS peak_power_w, "
+        "round(avg(power_w),4) AS mean_power_w, count(power_w)>0 AS power_available FROM power GROUP BY 1",
+        "samples", more=_POWER,
+    )
+)
 def resource_report(spark: SparkSession, d: str) -> DataFrame:
     rows = evaluate.counter_power(S.samples(spark, d), "ts", "counter", 262144000.0, ["run_id"])
-    return evaluate.resource_report(rows, ["run_id"]).select("run_id", *r6("peak_rss_mb", "mean_rss_mb", "peak_power_w", "mean_power_w", places=4), "power_available")
+    return evaluate.resource_report(rows, ["run_id"]).select(
+        "run_id", *r6("peak_rss_mb", "mean_rss_mb", "peak_power_w", "mean_power_w", places=4), "power_available",
+    )
 
 
 @query("SELECT event_type, round(avg(value),6) AS mean_latency, round(quantile_cont(value,0.95),6) AS p95_latency FROM events GROUP BY 1")
@@ -391,10 +673,18 @@ def latency_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.latency_report(S.table(spark, d, "events"), "value", ["event_type"]).select("event_type", *r6("mean_latency", "p95_latency"))
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS done, round(CASE WHEN s>s0 THEN row_number() OVER (PARTITION BY user_id ORDER BY s, event_id)/(s-s0) END,6) AS rate, round(CASE WHEN s>s0 THEN greatest(500-row_number() OVER (PARTITION BY user_id ORDER BY s, event_id),0)*(s-s0)/row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) END,3) AS eta_s FROM (SELECT *, min(s) OVER (PARTITION BY user_id) AS s0 FROM (SELECT user_id, event_id, epoch_us(ts)/1e6 AS s FROM events))")
+@query(
+    "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS done, round(CASE WHEN s>s0 THEN "
+    "row_number() OVER (PARTITION BY user_id ORDER BY s, event_id)/(s-s0) END,6) AS rate, round(CASE WHEN s>s0 THEN "
+    "greatest(500-row_number() OVER (PARTITION BY user_id ORDER BY s, event_id),0)*(s-s0)/row_number() OVER (PARTITION BY user_id ORDER "
+    "BY s, event_id) END,3) AS eta_s FROM (SELECT *, min(s) OVER (PARTITION BY user_id) AS s0 FROM (SELECT user_id, event_id, "
+    "epoch_us(ts)/1e6 AS s FROM events))"
+)
 def work_progress(spark: SparkSession, d: str) -> DataFrame:
     log = S.table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("s"))
-    return select.progress(log, "s", 500, "user_id", tie="event_id").select("user_id", "event_id", "done", *r6("rate"), *r6("eta_s", places=3))
+    return select.progress(log, "s", 500, "user_id", tie="event_id").select(
+        "user_id", "event_id", "done", *r6("rate"), *r6("eta_s", places=3),
+    )
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
@@ -406,32 +696,66 @@ _BOARD = "board AS (SELECT p.p_brand AS model, f.region_name AS region, 100.0*av
 
 
 def _board(spark, d):
-    c = S.candidates(spark, d).where("rank <= 2").join(S.frames(spark, d).select("query_id", "region"), "query_id").join(S.table(spark, d, "part").select(F.col("p_partkey").alias("tile_id"), F.col("p_brand").alias("model")), "tile_id")
-    return c.groupBy("model", "region").agg(F.avg(F.when(F.col("num_inliers") >= 30, 100.0).otherwise(0.0)).alias("r1"), F.when(F.count("*") % 5 != 0, F.avg("num_inliers")).alias("err"))
-
-
-@query(sql("SELECT model, round(avg(r1),6) AS avg_r1, round(avg(err),6) AS avg_err, round(CASE WHEN count(err)=count(*) THEN avg(err) END,6) AS strict_err, count(*) AS n_regions FROM board GROUP BY 1", "candidates", "frames", more=_BOARD))
+    c = S.candidates(spark, d).where("rank <= 2").join(S.frames(spark, d).select("query_id", "region"), "query_id").join(
+        S.table(spark, d, "part").select(F.col("p_partkey").alias("tile_id"), F.col("p_brand").alias("model")), "tile_id",
+    )
+    return c.groupBy("model", "region").agg(
+        F.avg(F.when(F.col("num_inliers") >= 30, 100.0).otherwise(0.0)).alias("r1"),
+        F.when(F.count("*") % 5 != 0, F.avg("num_inliers")).alias("err"),
+    )
+
+
+@query(
+    sql(
+        "SELECT model, round(avg(r1),6) AS avg_r1, round(avg(err),6) AS avg_err, round(CASE WHEN count(err)=count(*) THEN avg(err) END,6) "
+        "AS strict_err, count(*) AS n_regions FROM board GROUP BY 1",
+        "candidates", "frames", more=_BOARD,
+    )
+)
 def macro_averages(spark: SparkSession, d: str) -> DataFrame:
     b = _board(spark, d)
     strict = evaluate.strict_macro_average(b, ["err"]).select("model", F.col("avg_err").alias("strict_err"))
-    return evaluate.macro_average(b, ["r1", "err"]).join(strict, "model").select("model", *r6("avg_r1", "avg_err", "strict_err"), "n_regions")
+    return evaluate.macro_average(b, ["r1", "err"]).join(strict, "model").select(
+        "model", *r6("avg_r1", "avg_err", "strict_err"), "n_regions",
+    )
 
 
-@query(sql("SELECT region, model, round(r1,1) AS r1 FROM (SELECT region, model, floor(r1*8)/8+0.01 AS r1 FROM board)", "candidates", "frames", more=_BOARD))
+@query(
+    sql(
+        "SELECT region, model, round(r1,1) AS r1 FROM (SELECT region, model, floor(r1*8)/8+0.01 AS r1 FROM board)", "candidates", "frames",
+        more=_BOARD,
+    )
+)
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.leaderboard(_board(spark, d).withColumn("r1", F.floor(F.col("r1") * 8) / 8 + 0.01), ["r1"])
 
 
-@query(sql("SELECT model, region, 'r1' AS metric, round(r1,6) AS value FROM board UNION ALL SELECT model, region, 'err', round(err,6) FROM board", "candidates", "frames", more=_BOARD))
+@query(
+    sql(
+        "SELECT model, region, 'r1' AS metric, round(r1,6) AS value FROM board UNION ALL SELECT model, region, 'err', round(err,6) FROM "
+        "board",
+        "candidates", "frames", more=_BOARD,
+    )
+)
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metric_rows(_board(spark, d), ["model", "region"], ["r1", "err"]).select("model", "region", "metric", *r6("value"))
 
 
-@query(sql("SELECT model, region, floor(r1)::BIGINT AS num_evaluated, floor(r1)::DOUBLE AS recall_1 FROM board", "candidates", "frames", more=_BOARD))
+@query(
+    sql(
+        "SELECT model, region, floor(r1)::BIGINT AS num_evaluated, floor(r1)::DOUBLE AS recall_1 FROM board", "candidates", "frames",
+        more=_BOARD,
+    )
+)
 def result_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = _board(spark, d).select("model", "region", F.create_map(F.lit("1"), F.floor("r1").cast("double")).alias("recalls"), F.floor("r1").alias("num_evaluated"))
+    rows = _board(spark, d).select(
+        "model", "region", F.create_map(F.lit("1"), F.floor("r1").cast("double")).alias("recalls"), F.floor("r1").alias("num_evaluated"),
+    )
     docs = rows.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("region", F.struct("recalls", "num_evaluated"))))).alias("document"))
-    back = docs.select("model", F.explode(F.from_json("document", "map<string, struct<recalls: map<string, double>, num_evaluated: bigint>>")).alias("region", "r"))
+    back = docs.select(
+        "model",
+        F.explode(F.from_json("document", "map<string, struct<recalls: map<string, double>, num_evaluated: bigint>>")).alias("region", "r"),
+    )
     return back.select("model", "region", "r.num_evaluated", F.coalesce(F.col("r.recalls")["1"], F.lit(0.0)).alias("recall_1"))
 
 
@@ -440,7 +764,10 @@ def result_documents(spark: SparkSession, d: str) -> DataFrame:
 _MD5 = lambda key, seed: f"md5('{seed}|'||{key})"
 
 
-@query(f"SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY {_MD5('c_custkey', 7)}, c_custkey) AS nth FROM customer) WHERE nth<=5")
+@query(
+    f"SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY {_MD5('c_custkey', 7)}, "
+    f"c_custkey) AS nth FROM customer) WHERE nth<=5"
+)
 def sample_per_region(spark: SparkSession, d: str) -> DataFrame:
     return select.sample_each(S.table(spark, d, "customer"), "c_nationkey", "c_custkey", 5, 7).select("c_nationkey", "c_custkey")
 
@@ -450,44 +777,85 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return select.sample(S.table(spark, d, "customer"), "c_custkey", 50, 3).select("c_custkey")
 
 
-@query(sql(f"SELECT query_id, confidence FROM (SELECT * FROM fixes ORDER BY {_MD5('query_id', 1)}, query_id LIMIT 15) WHERE status='fix' ORDER BY {_MD5('query_id', 1)}, query_id LIMIT 1", "fixes"))
+@query(
+    sql(
+        f"SELECT query_id, confidence FROM (SELECT * FROM fixes ORDER BY {_MD5('query_id', 1)}, query_id LIMIT 15) WHERE status='fix' "
+        f"ORDER BY {_MD5('query_id', 1)}, query_id LIMIT 1",
+        "fixes",
+    )
+)
 def first_success(spark: SparkSession, d: str) -> DataFrame:
-    return select.first_success(localize.decide(S.frames(spark, d), S.candidates(spark, d)), "query_id", F.col("status") == "fix", 15, 1).select("query_id", "confidence")
+    return select.first_success(
+        localize.decide(S.frames(spark, d), S.candidates(spark, d)), "query_id", F.col("status") == "fix", 15, 1,
+    ).select("query_id", "confidence")
 
 
-@query(sql("SELECT query_id FROM frames f WHERE EXISTS (SELECT 1 FROM pos WHERE pos.query_id=f.query_id) ORDER BY query_id LIMIT 100", "frames", more=_POS))
+@query(
+    sql(
+        "SELECT query_id FROM frames f WHERE EXISTS (SELECT 1 FROM pos WHERE pos.query_id=f.query_id) ORDER BY query_id LIMIT 100",
+        "frames", more=_POS,
+    )
+)
 def first_scoreable(spark: SparkSession, d: str) -> DataFrame:
     positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(F.col("l_orderkey").alias("query_id"))
     return select.first_n(S.frames(spark, d).select("query_id").join(positives, "query_id", "left_semi"), ["query_id"], 100)
 
 
-@query("SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS nth FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem)) WHERE nth=1")
+@query(
+    "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, "
+    "l_linenumber DESC) AS nth FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem)) WHERE nth=1"
+)
 def last_wins(spark: SparkSession, d: str) -> DataFrame:
-    return select.last_wins(S.table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+    return select.last_wins(
+        S.table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"],
+    )
 
 
-@query("SELECT id, src FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src DESC) AS nth FROM (SELECT c_custkey AS id, 0 AS src FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier)) WHERE nth=1")
+@query(
+    "SELECT id, src FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src DESC) AS nth FROM (SELECT c_custkey AS id, 0 AS src "
+    "FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier)) WHERE nth=1"
+)
 def merged_sources(spark: SparkSession, d: str) -> DataFrame:
     a = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).alias("src"))
     b = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1).alias("src"))
     return select.merged([a, b], ["id"], "src")
 
 
-@query(sql("SELECT zoom, count(*) AS n FROM (SELECT zoom FROM tiles0 WHERE zoom=9 UNION ALL SELECT zoom FROM tiles0 WHERE zoom=10) GROUP BY 1", "tiles0"))
+@query(
+    sql(
+        "SELECT zoom, count(*) AS n FROM (SELECT zoom FROM tiles0 WHERE zoom=9 UNION ALL SELECT zoom FROM tiles0 WHERE zoom=10) GROUP BY 1",
+        "tiles0",
+    )
+)
 def pooled_zooms(spark: SparkSession, d: str) -> DataFrame:
     t = S.tiles(spark, d)
     return select.pooled([scoped(t, zooms=(z,)) for z in (9, 10)]).groupBy("zoom").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"SELECT tile_id, count(*) AS n_regions FROM (SELECT tile_id, ord, row_number() OVER (PARTITION BY ord ORDER BY {_MD5('tile_id', 5)}, tile_id) AS nth FROM tiles0 JOIN regions ON {_NEAR('tile_lat', 'tile_lon', '2000')} WHERE role='train') WHERE nth<=20 GROUP BY 1", "tiles0", "regions"))
+@query(
+    sql(
+        f"SELECT tile_id, count(*) AS n_regions FROM (SELECT tile_id, ord, row_number() OVER (PARTITION BY ord ORDER BY {_MD5('tile_id', 5)}, "
+        f"tile_id) AS nth FROM tiles0 JOIN regions ON {_NEAR('tile_lat', 'tile_lon', '2000')} WHERE role='train') WHERE nth<=20 GROUP BY "
+        f"1",
+        "tiles0", "regions",
+    )
+)
 def training_tiles(spark: SparkSession, d: str) -> DataFrame:
     rows = spatial.in_regions(S.tiles(spark, d), S.regions(spark, "train"), "tile_lat", "tile_lon", S.TRAIN_KM)
     return select.sample_each(rows, "ord", "tile_id", 20, 5).groupBy("tile_id").agg(F.count("*").alias("n_regions"))
 
 
-@query(sql("SELECT query_id, count(*) AS both FROM (SELECT query_id, tile_id FROM candidates WHERE rank<=3 INTERSECT SELECT query_id, tile_id FROM pos) GROUP BY 1", "candidates", more=_POS))
+@query(
+    sql(
+        "SELECT query_id, count(*) AS both FROM (SELECT query_id, tile_id FROM candidates WHERE rank<=3 INTERSECT SELECT query_id, "
+        "tile_id FROM pos) GROUP BY 1",
+        "candidates", more=_POS,
+    )
+)
 def retrieved_positives(spark: SparkSession, d: str) -> DataFrame:
-    positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("tile_id"))
+    positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("tile_id"),
+    )
     return S.candidates(spark, d).where("rank <= 3").select("query_id", "tile_id").intersect(positives).groupBy("query_id").agg(F.count("*").alias("both"))
 
 
@@ -501,18 +869,35 @@ chosen AS (SELECT * FROM (SELECT *, mission||'-'||roll||'-'||frame AS key, row_n
 def download_worklist(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     lat, lon = ((c * 6151) % 12000) / F.lit(100.0) - 60, ((c * 92821) % 36000) / F.lit(100.0) - 180
-    line = F.to_json(F.struct(k.alias("line_no"), F.concat(F.lit("m"), c % 40).alias("mission"), F.concat(F.lit("r"), c % 7).alias("roll"), (c % 30).cast("string").alias("frame"), F.when(k % 9 != 0, lat.cast("string")).otherwise(F.when(k % 2 == 0, "bad")).alias("nadir_lat"), lon.cast("string").alias("nadir_lon")))
+    line = F.to_json(
+        F.struct(
+            k.alias("line_no"), F.concat(F.lit("m"), c % 40).alias("mission"), F.concat(F.lit("r"), c % 7).alias("roll"),
+            (c % 30).cast("string").alias("frame"),
+            F.when(k % 9 != 0, lat.cast("string")).otherwise(F.when(k % 2 == 0, "bad")).alias("nadir_lat"),
+            lon.cast("string").alias("nadir_lon"),
+        )
+    )
     rows = S.table(spark, d, "orders").select(F.from_json(line, "line_no bigint, mission string, roll string, frame string, nadir_lat string, nadir_lon string").alias("r")).select("r.*")
     placed = spatial.first_region(manifest_numbers(rows), S.regions(spark), "line_no", "nadir_lat", "nadir_lon", S.TRAIN_KM)
-    firsts = select.first_valid(placed, ["mission", "roll", "frame"], F.col("region").isNotNull(), ["line_no"]).withColumn("key", ids.frame_key(F.col("mission"), F.col("roll"), F.col("frame")))
+    firsts = select.first_valid(
+        placed, ["mission", "roll", "frame"], F.col("region").isNotNull(), ["line_no"],
+    ).withColumn("key", ids.frame_key(F.col("mission"), F.col("roll"), F.col("frame")))
     chosen = select.sample_each(firsts, "region", "key", 25, 11)
     return select.pending(chosen, chosen.where("line_no % 2 = 0"), "key").select("region", "key", "line_no")
 
 
-@query(sql("SELECT query_id, best_inliers, row_number() OVER (ORDER BY best_inliers DESC, query_id) AS place FROM labelled WHERE outcome='verified' ORDER BY best_inliers DESC, query_id LIMIT 200", "frames", "candidates", more=_OUT))
+@query(
+    sql(
+        "SELECT query_id, best_inliers, row_number() OVER (ORDER BY best_inliers DESC, query_id) AS place FROM labelled WHERE "
+        "outcome='verified' ORDER BY best_inliers DESC, query_id LIMIT 200",
+        "frames", "candidates", more=_OUT,
+    )
+)
 def verified_ranking(spark: SparkSession, d: str) -> DataFrame:
     top = _outcomes(spark, d).where("outcome = 'verified'").orderBy(F.desc("best_inliers"), "query_id").limit(200)
-    return top.select("query_id", "best_inliers", F.row_number().over(W.orderBy(F.desc("best_inliers"), "query_id")).cast("long").alias("place"))
+    return top.select(
+        "query_id", "best_inliers", F.row_number().over(W.orderBy(F.desc("best_inliers"), "query_id")).cast("long").alias("place"),
+    )
 
 
 # -- training ---------------------------------------------------------------------------------------------------------
@@ -525,7 +910,9 @@ _LOSS = _MINE + ", each AS (SELECT batch, anchor, sum(exp(-2*(s-0.5))) FILTER (W
 
 
 def _batches(spark, d):
-    return S.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).alias("batch"), F.col("vec_id").alias("item"), "label", "embedding")
+    return S.table(spark, d, "embeddings").select(
+        F.floor(F.col("vec_id") / 32).alias("batch"), F.col("vec_id").alias("item"), "label", "embedding",
+    )
 
 
 @query("WITH " + _LOSS + " SELECT b.batch, round(coalesce(avg(ln(1+p)/2+ln(1+n)/50) FILTER (WHERE p IS NOT NULL AND n IS NOT NULL),0),6) AS loss, count(*) FILTER (WHERE p IS NOT NULL AND n IS NOT NULL) AS valid_anchors FROM (SELECT DISTINCT batch FROM b) b LEFT JOIN each USING(batch) GROUP BY 1")
@@ -535,7 +922,9 @@ def multi_similarity_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _MINE + " SELECT batch, anchor, count(*) FILTER (WHERE pos) AS positives, count(*) FILTER (WHERE NOT pos) AS negatives FROM mined GROUP BY 1,2")
 def mined_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return training.mined_pairs(_batches(spark, d), S.DIM).groupBy("batch", "anchor").agg(F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives"))
+    return training.mined_pairs(_batches(spark, d), S.DIM).groupBy("batch", "anchor").agg(
+        F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives"),
+    )
 
 
 @query("SELECT label AS cluster_id, count(*) AS size, round(count(*)*1e0/sum(count(*)) OVER (),6) AS weight FROM embeddings GROUP BY 1")
@@ -579,7 +968,9 @@ cw AS (SELECT batch, avg(ln(1+p)/2+ln(1+n)/50) FILTER (WHERE p IS NOT NULL AND n
 def total_loss(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "embeddings")
     pairs = e.select(F.col("vec_id").alias("pair_idx"), F.col("label").alias("cluster_id"))
-    batch = training.batch_plan(pairs, 32, 5).join(pairs, "pair_idx").select("batch", "pair_idx", "cluster_id", F.col("pair_idx").alias("query_id"), ((F.col("pair_idx") + 1) % e.count()).alias("tile_id"))
+    batch = training.batch_plan(pairs, 32, 5).join(pairs, "pair_idx").select(
+        "batch", "pair_idx", "cluster_id", F.col("pair_idx").alias("query_id"), ((F.col("pair_idx") + 1) % e.count()).alias("tile_id"),
+    )
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     t = e.select(F.col("vec_id").alias("tile_id"), "embedding")
     return training.total_loss(batch, q, t, S.DIM).select("batch", *r6("pairwise_loss", "cluster_loss", "total_loss"))
@@ -591,50 +982,99 @@ def training_data(spark: SparkSession, d: str) -> DataFrame:
     e = S.descriptors(spark, d).where("rotation = 0").select("tile_id", "descriptor")
     q = S.query_descriptors(spark, d).select("query_id", "descriptor")
     tiles, _ = training.recluster(e, q, 10, 20, 0)
-    return training.training_table(pairs.withColumn("source_tile", F.col("tile_id")).withColumn("tile_id", F.col("tile_id") % e.count()), tiles).select("query_id", F.col("source_tile").alias("tile_id"), "iou", "cluster_id")
+    return training.training_table(
+        pairs.withColumn("source_tile", F.col("tile_id")).withColumn("tile_id", F.col("tile_id") % e.count()), tiles,
+    ).select("query_id", F.col("source_tile").alias("tile_id"), "iou", "cluster_id")
 
 
 # -- composites and reports -------------------------------------------------------------------------------------------
 
 
-@query(sql("SELECT query_id, tile_id, round(similarity,6) AS similarity FROM ranked ORDER BY similarity DESC, query_id, tile_id LIMIT 25", "ranked"))
+@query(
+    sql(
+        "SELECT query_id, tile_id, round(similarity,6) AS similarity FROM ranked ORDER BY similarity DESC, query_id, tile_id LIMIT 25",
+        "ranked",
+    )
+)
 def global_top_k(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: the 25 most similar pairs of all."""
     return _ranked(spark, d, 25).orderBy(F.desc("similarity"), "query_id", "tile_id").limit(25).select("query_id", "tile_id", *r6("similarity"))
 
 
-@query(sql("SELECT query_id, tile_id, rank, CASE WHEN n<4 THEN 0 ELSE num_inliers END AS usable, round(sqrt(pow(t.tile_lat-q.lat,2)+pow(t.tile_lon-q.lon,2))*111,4) AS snap_km FROM (SELECT c.*, line%7 AS n FROM candidates c) c JOIN tiles0 t USING(tile_id) JOIN orders o ON o.o_orderkey=c.query_id JOIN (SELECT query_id AS cust, lat, lon FROM queries0) q ON q.cust=o.o_custkey", "candidates", "tiles0", "queries0"))
+@query(
+    sql(
+        "SELECT query_id, tile_id, rank, CASE WHEN n<4 THEN 0 ELSE num_inliers END AS usable, "
+        "round(sqrt(pow(t.tile_lat-q.lat,2)+pow(t.tile_lon-q.lon,2))*111,4) AS snap_km FROM (SELECT c.*, line%7 AS n FROM candidates c) c "
+        "JOIN tiles0 t USING(tile_id) JOIN orders o ON o.o_orderkey=c.query_id JOIN (SELECT query_id AS cust, lat, lon FROM queries0) q "
+        "ON q.cust=o.o_custkey",
+        "candidates", "tiles0", "queries0",
+    )
+)
 def gated_inliers(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).withColumn("n", F.col("line") % 7)
     owner = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("cust"))
     owner = owner.join(S.queries(spark, d).select(F.col("query_id").alias("cust"), "lat", "lon"), "cust")
     c = c.join(S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon"), "tile_id").join(owner, "query_id")
-    return c.select("query_id", "tile_id", F.col("rank").cast("long").alias("rank"), localize.usable_inliers(F.col("n"), F.col("num_inliers")).alias("usable"), F.round(geo.rough_km(F.col("tile_lat"), F.col("tile_lon"), F.col("lat"), F.col("lon")), 4).alias("snap_km"))
+    return c.select(
+        "query_id", "tile_id", F.col("rank").cast("long").alias("rank"),
+        localize.usable_inliers(F.col("n"), F.col("num_inliers")).alias("usable"),
+        F.round(geo.rough_km(F.col("tile_lat"), F.col("tile_lon"), F.col("lat"), F.col("lon")), 4).alias("snap_km"),
+    )
 
 
 _BY_REGION = f"placed AS (SELECT q.query_id, region_name AS region, q.own_tile FROM qd q JOIN tiles0 t ON t.tile_id=q.own_tile JOIN regions ON {_NEAR('t.tile_lat', 't.tile_lon', '5000')})"
 
 
-@query(sql(f"SELECT p.region, count(DISTINCT p.query_id) AS num_queries, round(100.0*avg((coalesce(h.first_rank,99)<=5)::INT),6) AS recall_5, round(median({haversine('a.tile_lat', 'a.tile_lon', 'b.tile_lat', 'b.tile_lon')}),4) AS median_error_km FROM placed p JOIN (SELECT DISTINCT query_id FROM relevant) v ON v.query_id=p.query_id LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM ranked JOIN relevant USING(query_id,tile_id) WHERE rank<=5 GROUP BY 1) h ON h.query_id=p.query_id JOIN ranked k ON k.query_id=p.query_id AND k.rank=1 JOIN tiles0 a ON a.tile_id=p.own_tile JOIN tiles0 b ON b.tile_id=k.tile_id GROUP BY 1", "ranked", "relevant", "tiles0", "regions", more=_BY_REGION))
+@query(
+    sql(
+        f"SELECT p.region, count(DISTINCT p.query_id) AS num_queries, round(100.0*avg((coalesce(h.first_rank,99)<=5)::INT),6) AS "
+        f"recall_5, round(median({haversine('a.tile_lat', 'a.tile_lon', 'b.tile_lat', 'b.tile_lon')}),4) AS median_error_km FROM placed p "
+        f"JOIN (SELECT DISTINCT query_id FROM relevant) v ON v.query_id=p.query_id LEFT JOIN (SELECT query_id, min(rank) AS first_rank "
+        f"FROM ranked JOIN relevant USING(query_id,tile_id) WHERE rank<=5 GROUP BY 1) h ON h.query_id=p.query_id JOIN ranked k ON "
+        f"k.query_id=p.query_id AND k.rank=1 JOIN tiles0 a ON a.tile_id=p.own_tile JOIN tiles0 b ON b.tile_id=k.tile_id GROUP BY 1",
+        "ranked", "relevant", "tiles0", "regions", more=_BY_REGION,
+    )
+)
 def region_evaluation(spark: SparkSession, d: str) -> DataFrame:
     t = S.tiles(spark, d).select("tile_id", "tile_lat", "tile_lon")
     own = S.query_descriptors(spark, d).select("query_id", F.col("own_tile").alias("tile_id")).join(t, "tile_id")
-    placed = spatial.in_regions(own, S.regions(spark), "tile_lat", "tile_lon", S.EVAL_TILES_KM).select("query_id", "region", F.col("tile_lat").alias("own_lat"), F.col("tile_lon").alias("own_lon"))
+    placed = spatial.in_regions(own, S.regions(spark), "tile_lat", "tile_lon", S.EVAL_TILES_KM).select(
+        "query_id", "region", F.col("tile_lat").alias("own_lat"), F.col("tile_lon").alias("own_lon"),
+    )
     ranked = _ranked(spark, d, 5)
     hits = placed.join(evaluate.first_hits(ranked, S.relevant(spark, d)), "query_id")
     recall = evaluate.recall(hits, (5,), ["region"]).select("region", F.col("num_evaluated").alias("num_queries"), *r6("recall_5"))
     top = hits.join(ranked.where("rank = 1").select("query_id", "tile_id"), "query_id").join(t, "tile_id")
-    top = top.select("region", F.lit(True).alias("correct"), geo.haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("tile_lat"), F.col("tile_lon")).alias("error_km"))
-    return recall.join(evaluate.coordinate_report(top, ["region"]).select("region", F.round("median_coord_error_km", 4).alias("median_error_km")), "region")
+    top = top.select(
+        "region", F.lit(True).alias("correct"),
+        geo.haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("tile_lat"), F.col("tile_lon")).alias("error_km"),
+    )
+    return recall.join(
+        evaluate.coordinate_report(top, ["region"]).select("region", F.round("median_coord_error_km", 4).alias("median_error_km")),
+        "region",
+    )
 
 
 @query(sql("SELECT p_brand AS model, count(*) AS tiles FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size=50) GROUP BY 1"))
 def available_models(spark: SparkSession, d: str) -> DataFrame:
     p = S.table(spark, d, "part")
-    return p.join(p.where("p_size = 50").select("p_brand"), "p_brand", "left_semi").groupBy(F.col("p_brand").alias("model")).agg(F.count("*").alias("tiles"))
-
-
-@query(sql("SELECT p.run_id, l.n, round(l.mean,6) AS mean_latency, round(l.p95,6) AS p95_latency, round(p.peak,4) AS peak_rss_mb, round(p.watts,4) AS mean_power_w, a.recall_1, a.recall_5, a.num_evaluated FROM (SELECT run_id, max(rss_mb) AS peak, avg(power_w) AS watts FROM power GROUP BY 1) p JOIN (SELECT user_id%10 AS run_id, count(*) AS n, avg(value) AS mean, quantile_cont(value,0.95) AS p95 FROM events GROUP BY 1) l ON l.run_id=p.run_id LEFT JOIN (SELECT (v.query_id//25)%10 AS run_id, round(100.0*avg((coalesce(first_rank,99)<=1)::INT),6) AS recall_1, round(100.0*avg((coalesce(first_rank,99)<=5)::INT),6) AS recall_5, count(*) AS num_evaluated FROM (SELECT DISTINCT query_id FROM relevant) v LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM ranked JOIN relevant USING (query_id, tile_id) GROUP BY 1) h USING (query_id) GROUP BY 1) a ON a.run_id=p.run_id", "samples", "ranked", "relevant", more=_POWER))
+    return p.join(
+        p.where("p_size = 50").select("p_brand"), "p_brand", "left_semi",
+    ).groupBy(F.col("p_brand").alias("model")).agg(F.count("*").alias("tiles"))
+
+
+@query(
+    sql(
+        "SELECT p.run_id, l.n, round(l.mean,6) AS mean_latency, round(l.p95,6) AS p95_latency, round(p.peak,4) AS peak_rss_mb, "
+        "round(p.watts,4) AS mean_power_w, a.recall_1, a.recall_5, a.num_evaluated FROM (SELECT run_id, max(rss_mb) AS peak, avg(power_w) "
+        "AS watts FROM power GROUP BY 1) p JOIN (SELECT user_id%10 AS run_id, count(*) AS n, avg(value) AS mean, "
+        "quantile_cont(value,0.95) AS p95 FROM events GROUP BY 1) l ON l.run_id=p.run_id LEFT JOIN (SELECT (v.query_id//25)%10 AS run_id, "
+        "round(100.0*avg((coalesce(first_rank,99)<=1)::INT),6) AS recall_1, round(100.0*avg((coalesce(first_rank,99)<=5)::INT),6) AS "
+        "recall_5, count(*) AS num_evaluated FROM (SELECT DISTINCT query_id FROM relevant) v LEFT JOIN (SELECT query_id, min(rank) AS "
+        "first_rank FROM ranked JOIN relevant USING (query_id, tile_id) GROUP BY 1) h USING (query_id) GROUP BY 1) a ON a.run_id=p.run_id",
+        "samples", "ranked", "relevant", more=_POWER,
+    )
+)
 def profile_report(spark: SparkSession, d: str) -> DataFrame:
     events = S.table(spark, d, "events").withColumn("run_id", F.col("user_id") % 10)
     latency = evaluate.latency_report(events, "value", ["run_id"]).join(events.groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
@@ -642,22 +1082,40 @@ def profile_report(spark: SparkSession, d: str) -> DataFrame:
     hits = evaluate.first_hits(_ranked(spark, d, 5), S.relevant(spark, d)).withColumn("run_id", F.floor(F.col("query_id") / 25) % 10)
     accuracy = evaluate.recall(hits, (1, 5), ["run_id"])
     out = latency.join(power, "run_id").join(accuracy, "run_id", "left")
-    return out.select("run_id", "n", *r6("mean_latency", "p95_latency"), *r6("peak_rss_mb", "mean_power_w", places=4), *r6("recall_1", "recall_5"), "num_evaluated")
-
-
-@query(sql("SELECT f.query_id, f.region_name AS region, f.timestamp FROM frames f WHERE f.query_id IN (SELECT query_id FROM labelled WHERE outcome='verified')", "frames", "candidates", more=_OUT))
+    return out.select(
+        "run_id", "n", *r6("mean_latency", "p95_latency"), *r6("peak_rss_mb", "mean_power_w", places=4), *r6("recall_1", "recall_5"),
+        "num_evaluated",
+    )
+
+
+@query(
+    sql(
+        "SELECT f.query_id, f.region_name AS region, f.timestamp FROM frames f WHERE f.query_id IN (SELECT query_id FROM labelled WHERE "
+        "outcome='verified')",
+        "frames", "candidates", more=_OUT,
+    )
+)
 def verified_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames whose ids are among the verified ones; ids without a frame are dropped."""
     verified = _outcomes(spark, d).where("outcome = 'verified'").select("query_id")
     return S.frames(spark, d).join(verified, "query_id", "left_semi").select("query_id", "region", "timestamp")
 
 
-@query(sql("SELECT f.query_id, round(coalesce(c.lat, g.lat),6) AS lat, round(coalesce(c.lon, g.lon),6) AS lon FROM fixes f JOIN (SELECT query_id, avg(g_lat) AS lat, avg(g_lon) AS lon FROM ground GROUP BY 1) g ON g.query_id=f.query_id LEFT JOIN (SELECT query_id, avg(lat) AS lat, avg(lon) AS lon FROM foot GROUP BY 1) c ON c.query_id=f.query_id WHERE status='fix'", "ground", "fixes", more=_FOOT))
+@query(
+    sql(
+        "SELECT f.query_id, round(coalesce(c.lat, g.lat),6) AS lat, round(coalesce(c.lon, g.lon),6) AS lon FROM fixes f JOIN (SELECT "
+        "query_id, avg(g_lat) AS lat, avg(g_lon) AS lon FROM ground GROUP BY 1) g ON g.query_id=f.query_id LEFT JOIN (SELECT query_id, "
+        "avg(lat) AS lat, avg(lon) AS lon FROM foot GROUP BY 1) c ON c.query_id=f.query_id WHERE status='fix'",
+        "ground", "fixes", more=_FOOT,
+    )
+)
 def fix_centres(spark: SparkSession, d: str) -> DataFrame:
     c = S.candidates(spark, d).join(S.tiles(spark, d).select("tile_id", "corners"), "tile_id")
     out = localize.localize(S.frames(spark, d).select("query_id", "query_h", "query_w"), c).where("status = 'fix' and size(tie_points) > 0")
     mean = lambda k: F.aggregate("tie_points", F.lit(0.0), lambda s, t: s + t[k]) / F.size("tie_points")
-    return out.select("query_id", localize.center_of(F.col("query_footprint"), mean("lat"), mean("lon")).alias("m")).select("query_id", *(F.round(f"m.{k}", 6).alias(k) for k in ("lat", "lon")))
+    return out.select(
+        "query_id", localize.center_of(F.col("query_footprint"), mean("lat"), mean("lon")).alias("m"),
+    ).select("query_id", *(F.round(f"m.{k}", 6).alias(k) for k in ("lat", "lon")))
 
 
 # -- streams ----------------------------------------------------------------------------------------------------------
@@ -684,22 +1142,42 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(S.table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, max(value) AS peak, round(avg(value),6) AS mean, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, max(value) AS peak, round(avg(value),6) AS mean, count(*) AS n FROM "
+    "events GROUP BY 1"
+)
 def stream_resource_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = S.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("rss_mb"))
-    return _closed(rows, "ts", jobs.resource_windows).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean"), "n")
+    return _closed(rows, "ts", jobs.resource_windows).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean"), "n",
+    )
 
 
-@query("SELECT user_id%3 AS camera, time_bucket(INTERVAL '15 minutes', ts) AS arc_start, count(*) AS n_rows, count(DISTINCT user_id) AS n_frames FROM events GROUP BY 1,2")
+@query(
+    "SELECT user_id%3 AS camera, time_bucket(INTERVAL '15 minutes', ts) AS arc_start, count(*) AS n_rows, count(DISTINCT user_id) AS "
+    "n_frames FROM events GROUP BY 1,2"
+)
 def stream_measurement_arcs(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).alias("camera"), F.col("user_id").alias("frame_id"))
-    return _closed(rows, "ts", jobs.measurement_arcs).select("camera", F.col("arc_start").cast("timestamp_ntz").alias("arc_start"), "n_rows", "n_frames")
+    rows = S.table(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).alias("camera"), F.col("user_id").alias("frame_id"),
+    )
+    return _closed(rows, "ts", jobs.measurement_arcs).select(
+        "camera", F.col("arc_start").cast("timestamp_ntz").alias("arc_start"), "n_rows", "n_frames",
+    )
 
 
 _SEEN = "seen AS (SELECT r.query_id, r.tile_id, r.rank, (r.query_id*7+r.tile_id*13)%60 AS num_inliers FROM ranked r JOIN tiles0 t USING(tile_id) WHERE r.rank<=5)"
 
 
-@query(sql("SELECT q.query_id, CASE WHEN num_inliers>=30 THEN 'fix' ELSE 'no_fix' END AS status, coalesce(num_inliers,0)::DOUBLE AS confidence, tile_id AS matched_tile_id, coalesce(n,0) AS n_candidates, CASE WHEN num_inliers>=30 THEN 4 ELSE 0 END AS n_ties FROM qd q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY num_inliers DESC, rank) AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM seen) b ON b.query_id=q.query_id AND nth=1", "qd", "ranked", "tiles0", more=_SEEN))
+@query(
+    sql(
+        "SELECT q.query_id, CASE WHEN num_inliers>=30 THEN 'fix' ELSE 'no_fix' END AS status, coalesce(num_inliers,0)::DOUBLE AS "
+        "confidence, tile_id AS matched_tile_id, coalesce(n,0) AS n_candidates, CASE WHEN num_inliers>=30 THEN 4 ELSE 0 END AS n_ties "
+        "FROM qd q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY num_inliers DESC, rank) AS nth, count(*) OVER "
+        "(PARTITION BY query_id) AS n FROM seen) b ON b.query_id=q.query_id AND nth=1",
+        "qd", "ranked", "tiles0", more=_SEEN,
+    )
+)
 def stream_localization(spark: SparkSession, d: str) -> DataFrame:
     """A stream of frames with descriptors: each micro-batch searches the reference table, is matched and localized."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -713,10 +1191,16 @@ def stream_localization(spark: SparkSession, d: str) -> DataFrame:
 
     job = jobs.localization_job(S.descriptors(spark, d).select("tile_id", "descriptor"), matcher, tiles, S.DIM, 5)
     v = F.col("vec_id")
-    frames = _stream(spark, d, "embeddings").where(v % 25 == 0).select(v.alias("query_id"), F.floor(v / 4).alias("own_tile"), F.col("embedding").alias("descriptor"), F.lit(480).alias("query_h"), F.lit(640).alias("query_w"))
+    frames = _stream(spark, d, "embeddings").where(v % 25 == 0).select(
+        v.alias("query_id"), F.floor(v / 4).alias("own_tile"), F.col("embedding").alias("descriptor"), F.lit(480).alias("query_h"),
+        F.lit(640).alias("query_w"),
+    )
     jobs.localize_stream(frames, job, f"{path}/out", f"{path}/state").awaitTermination()
     out = spark.read.parquet(f"{path}/out")
-    return out.select("query_id", "status", "confidence", "matched_tile_id", F.size("candidates").cast("long").alias("n_candidates"), F.size("tie_points").cast("long").alias("n_ties"))
+    return out.select(
+        "query_id", "status", "confidence", "matched_tile_id", F.size("candidates").cast("long").alias("n_candidates"),
+        F.size("tie_points").cast("long").alias("n_ties"),
+    )
 
 
 # -- files written and read again -------------------------------------------------------------------------------------
@@ -731,48 +1215,79 @@ def saved_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Tiles saved by year and zoom, and those of a year read back."""
     path = _folder(spark, "tiles")
     sinks.save_tiles(S.tiles(spark, d), path)
-    return tables.scoped(spark.read.parquet(path), 2021).select("tile_id", F.col("zoom").cast("long").alias("zoom"), F.col("year").cast("long").alias("year"), *r6("tile_lat"))
+    return tables.scoped(spark.read.parquet(path), 2021).select(
+        "tile_id", F.col("zoom").cast("long").alias("zoom"), F.col("year").cast("long").alias("year"), *r6("tile_lat"),
+    )
 
 
 @query("SELECT n_name AS region, count(*) AS tiles, sum(c_custkey) AS ids FROM customer JOIN nation ON n_nationkey=c_nationkey GROUP BY 1")
 def saved_reference_db(spark: SparkSession, d: str) -> DataFrame:
     """A reference database saved by region and read back region by region; a second save leaves it as it is."""
     path = _folder(spark, "reference-db")
-    c = S.table(spark, d, "customer").join(F.broadcast(S.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("region"), "c_custkey")
+    c = S.table(spark, d, "customer").join(
+        F.broadcast(S.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"),
+    ).select(F.col("n_name").alias("region"), "c_custkey")
     sinks.save_reference_db(c, c.select("region", (-F.col("c_custkey")).alias("c_custkey")), path)
     sinks.save_reference_db(c.limit(0), c.limit(0), path)
     return tables.reference_db(spark, path)[0].groupBy("region").agg(F.count("*").alias("tiles"), F.sum("c_custkey").alias("ids"))
 
 
-@query(sql("SELECT row_number() OVER (ORDER BY best_inliers DESC, query_id::VARCHAR) AS place, query_id::VARCHAR AS tile_id, best_inliers FROM labelled WHERE outcome='verified'", "frames", "candidates", more=_OUT))
+@query(
+    sql(
+        "SELECT row_number() OVER (ORDER BY best_inliers DESC, query_id::VARCHAR) AS place, query_id::VARCHAR AS tile_id, best_inliers "
+        "FROM labelled WHERE outcome='verified'",
+        "frames", "candidates", more=_OUT,
+    )
+)
 def saved_verified(spark: SparkSession, d: str) -> DataFrame:
     """Verified queries saved with their places, and read back."""
     path, found = _folder(spark, "verified"), _outcomes(spark, d)
-    rows = found.where("outcome = 'verified'").select(F.col("query_id").cast("string").alias("tile_id"), F.col("best_inliers").cast("int").alias("best_inliers"))
+    rows = found.where("outcome = 'verified'").select(
+        F.col("query_id").cast("string").alias("tile_id"), F.col("best_inliers").cast("int").alias("best_inliers"),
+    )
     sinks.save_verified(rows, evaluate.outcome_counts(found), path)
     return tables.verified_cache(spark, path).select("place", "tile_id", F.col("best_inliers").cast("long").alias("best_inliers"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS frame, round(o_totalprice,4) AS nadir_lat FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus<>'P') WHERE nth=1")
+@query(
+    "SELECT o_orderkey::VARCHAR AS frame, round(o_totalprice,4) AS nadir_lat FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey "
+    "ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus<>'P') WHERE nth=1"
+)
 def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
     """A manifest written as JSON lines and read back: of each roll the first valid line by file and place in it wins."""
     path = _folder(spark, "manifest")
-    o = S.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("roll"), F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "P", "bad").otherwise(F.col("o_totalprice").cast("string")).alias("nadir_lat"))
-    lines = o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("roll", F.col("o_orderkey").cast("string").alias("frame"), "nadir_lat")
+    o = S.table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("roll"), F.col("o_orderkey"),
+        F.when(F.col("o_orderstatus") == "P", "bad").otherwise(F.col("o_totalprice").cast("string")).alias("nadir_lat"),
+    )
+    lines = o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(
+        "roll", F.col("o_orderkey").cast("string").alias("frame"), "nadir_lat",
+    )
     lines.write.json(path)
     read = tables.manifest(spark, path).withColumn("lat", F.col("nadir_lat").try_cast("double"))
     return select.first_valid(read, ["roll"], F.col("lat").isNotNull(), ["line"]).select("frame", F.round("lat", 4).alias("nadir_lat"))
 
 
-@query("WITH a AS (SELECT n_name AS region, count(*) AS customers, round(sum(c_acctbal),2) AS balance FROM customer JOIN nation ON n_nationkey=c_nationkey WHERE c_mktsegment='BUILDING' GROUP BY 1), b AS (SELECT n_name AS region, count(*) AS suppliers, round(sum(s_acctbal),2) AS balance FROM supplier JOIN nation ON n_nationkey=s_nationkey GROUP BY 1) SELECT coalesce(a.region,b.region) AS region, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN a.customers::DOUBLE END AS customers, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN b.suppliers::DOUBLE END AS suppliers, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN b.balance::DOUBLE END AS balance FROM a FULL JOIN b ON a.region=b.region")
+@query(
+    "WITH a AS (SELECT n_name AS region, count(*) AS customers, round(sum(c_acctbal),2) AS balance FROM customer JOIN nation ON "
+    "n_nationkey=c_nationkey WHERE c_mktsegment='BUILDING' GROUP BY 1), b AS (SELECT n_name AS region, count(*) AS suppliers, "
+    "round(sum(s_acctbal),2) AS balance FROM supplier JOIN nation ON n_nationkey=s_nationkey GROUP BY 1) SELECT "
+    "coalesce(a.region,b.region) AS region, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN a.customers::DOUBLE END AS "
+    "customers, CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN b.suppliers::DOUBLE END AS suppliers, CASE WHEN a.region IS "
+    "NOT NULL AND b.region IS NOT NULL THEN b.balance::DOUBLE END AS balance FROM a FULL JOIN b ON a.region=b.region"
+)
 def merged_result_maps(spark: SparkSession, d: str) -> DataFrame:
     """Two files of results by region, merged map by map: the later file wins, and a region that one lacks is null."""
     nations = F.broadcast(S.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("region")))
 
     def file(rows: DataFrame, key: str, count: str, balance: str) -> DataFrame:
-        sums = rows.join(nations, rows[key] == F.col("k")).groupBy("region").agg(F.count("*").cast("double").alias("n"), F.round(F.sum(balance), 2).cast("double").alias("b"))
+        sums = rows.join(nations, rows[key] == F.col("k")).groupBy("region").agg(
+            F.count("*").cast("double").alias("n"), F.round(F.sum(balance), 2).cast("double").alias("b"),
+        )
         return sums.select("region", F.create_map(F.lit(count), "n", F.lit("balance"), "b").alias("fields"))
 
     c, s = S.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), S.table(spark, d, "supplier")
-    both = select.merged_results([file(c, "c_nationkey", "customers", "c_acctbal"), file(s, "s_nationkey", "suppliers", "s_acctbal")], "region", "fields")
+    both = select.merged_results(
+        [file(c, "c_nationkey", "customers", "c_acctbal"), file(s, "s_nationkey", "suppliers", "s_acctbal")], "region", "fields",
+    )
     return both.select("region", *(F.col("fields")[k].alias(k) for k in ("customers", "suppliers", "balance")))

@@ -37,39 +37,58 @@ def regions(spark: SparkSession, role: str | None = None) -> DataFrame:
 
 
 def _square(lat, lon, half, skew):
-    return F.array(corner(lat - half, lon - half), corner(lat + half, lon - half + skew), corner(lat + half, lon + half), corner(lat - half + skew, lon + half))
+    return F.array(
+        corner(lat - half, lon - half), corner(lat + half, lon - half + skew), corner(lat + half, lon + half),
+        corner(lat - half + skew, lon + half),
+    )
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tile_id, tile_lat, tile_lon, zoom, year, corners); some rings cross themselves."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(k.alias("tile_id"), (((k * 7919) % 12000) / F.lit(100.0) - 60).alias("tile_lat"), (((k * 104729) % 36000) / F.lit(100.0) - 180).alias("tile_lon"), (F.col("p_size") / F.lit(10.0)).alias("half"), ((k % 5) / F.lit(10.0)).alias("skew"), (k % 2 + 9).alias("zoom"), (k % 4 + 2018).alias("year"))
-    return rows.select("tile_id", "tile_lat", "tile_lon", "zoom", "year", _square(F.col("tile_lat"), F.col("tile_lon"), F.col("half"), F.col("skew")).alias("corners"))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("tile_id"), (((k * 7919) % 12000) / F.lit(100.0) - 60).alias("tile_lat"),
+        (((k * 104729) % 36000) / F.lit(100.0) - 180).alias("tile_lon"), (F.col("p_size") / F.lit(10.0)).alias("half"),
+        ((k % 5) / F.lit(10.0)).alias("skew"), (k % 2 + 9).alias("zoom"), (k % 4 + 2018).alias("year"),
+    )
+    return rows.select(
+        "tile_id", "tile_lat", "tile_lon", "zoom", "year",
+        _square(F.col("tile_lat"), F.col("tile_lon"), F.col("half"), F.col("skew")).alias("corners"),
+    )
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, lat, lon, corners)"""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("query_id"), (((k * 6151) % 12000) / F.lit(100.0) - 60).alias("lat"), (((k * 92821) % 36000) / F.lit(100.0) - 180).alias("lon"), ((k % 50 + 1) / F.lit(10.0)).alias("half"))
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("query_id"), (((k * 6151) % 12000) / F.lit(100.0) - 60).alias("lat"),
+        (((k * 92821) % 36000) / F.lit(100.0) - 180).alias("lon"), ((k % 50 + 1) / F.lit(10.0)).alias("half"),
+    )
     return rows.select("query_id", "lat", "lon", _square(F.col("lat"), F.col("lon"), F.col("half"), F.lit(0.0)).alias("corners"))
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tile_id, rotation, label, descriptor): four variants a tile."""
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.floor(v / 4).alias("tile_id"), ((v % 4) * 90).alias("rotation"), "label", F.col("embedding").alias("descriptor"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(v / 4).alias("tile_id"), ((v % 4) * 90).alias("rotation"), "label", F.col("embedding").alias("descriptor"),
+    )
 
 
 def query_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, own_tile, label, descriptor)"""
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").where(v % 25 == 0).select(v.alias("query_id"), F.floor(v / 4).alias("own_tile"), "label", F.col("embedding").alias("descriptor"))
+    return table(spark, sf_dir, "embeddings").where(v % 25 == 0).select(
+        v.alias("query_id"), F.floor(v / 4).alias("own_tile"), "label", F.col("embedding").alias("descriptor"),
+    )
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, tile_id): tiles with a variant of the query's label, the query's own tile left out."""
     q = query_descriptors(spark, sf_dir).select("query_id", "own_tile", "label")
-    return q.join(descriptors(spark, sf_dir).select("tile_id", "label").distinct(), "label").where("tile_id <> own_tile").select("query_id", "tile_id")
+    return q.join(
+        descriptors(spark, sf_dir).select("tile_id", "label").distinct(), "label",
+    ).where("tile_id <> own_tile").select("query_id", "tile_id")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +98,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def match(i):
         u, v = (q * 37 + i * 101) % 640, (p * 13 + i * 57) % 480
-        return F.struct(u.cast("double").alias("qu"), v.cast("double").alias("qv"), (u * 0.4 + 10).alias("tu"), (v * 0.45 + 5).alias("tv"), ((n + i) % 3 != 0).alias("inlier"))
+        return F.struct(
+            u.cast("double").alias("qu"), v.cast("double").alias("qv"), (u * 0.4 + 10).alias("tu"), (v * 0.45 + 5).alias("tv"),
+            ((n + i) % 3 != 0).alias("inlier"),
+        )
 
     matrix = F.array(F.lit(0.4), F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(0.45), F.lit(5.0), n * F.lit(1e-5), F.lit(0.0), F.lit(1.0))
     return table(spark, sf_dir, "lineitem").select(
@@ -91,12 +113,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, region, timestamp, query_h, query_w) from orders."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return o.select(F.col("o_orderkey").alias("query_id"), F.col("r_name").alias("region"), F.date_format("o_orderdate", "yyyyMMdd").alias("timestamp"), F.lit(480).alias("query_h"), F.lit(640).alias("query_w"))
+    o = o.join(
+        F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"),
+    ).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return o.select(
+        F.col("o_orderkey").alias("query_id"), F.col("r_name").alias("region"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("timestamp"), F.lit(480).alias("query_h"), F.lit(640).alias("query_w"),
+    )
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, event_id, ts, counter, rss_mb): a wrapping counter that is unreadable now and then."""
     e = F.col("event_id")
     counter = F.when(e % 17 != 0, (e * 7919000 + F.floor(F.col("value") * 100)) % 262144000)
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("run_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"), counter.cast("double").alias("counter"), (F.floor(F.col("value") * 100) / F.lit(10.0)).alias("rss_mb"))
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).alias("run_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"),
+        counter.cast("double").alias("counter"), (F.floor(F.col("value") * 100) / F.lit(10.0)).alias("rss_mb"),
+    )

@@ -21,7 +21,10 @@ def _footprints(files: DataFrame, strict: bool) -> DataFrame:
 
 def reference_tiles(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Footprints of all .jpg files below a folder, with year and zoom from their `YYYY_ZZ` folder. Images are not opened."""
-    return _footprints(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(path).select("path"), strict)
+    return _footprints(
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(path).select("path"),
+        strict,
+    )
 
 
 def query_set(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -45,7 +48,10 @@ def frames(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest lines with nulls for missing fields and for lines that are not JSON, and `line`, which orders them: by file, by
     place in the file. Files are read in splits; a split's rows are numbered as they come."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    text = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
     return text.select(F.from_json("value", MANIFEST).alias("m"), F.struct("file", "start", "at").alias("line")).select("m.*", "line")
 
 

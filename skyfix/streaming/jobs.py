@@ -21,7 +21,9 @@ def localize_stream(frames: DataFrame, batch_job: Callable[[DataFrame], DataFram
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def localization_job(descriptors: DataFrame, matcher: Callable[[DataFrame], DataFrame], tiles: DataFrame, dim: int, k: int, least: int = MIN_INLIERS) -> Callable[[DataFrame], DataFrame]:
+def localization_job(
+    descriptors: DataFrame, matcher: Callable[[DataFrame], DataFrame], tiles: DataFrame, dim: int, k: int, least: int = MIN_INLIERS,
+) -> Callable[[DataFrame], DataFrame]:
     """A batch job for localize_stream: searches the reference descriptors for each frame (query_id, descriptor, query_h,
     query_w), matches the k best tiles and localizes.
 
@@ -38,14 +40,22 @@ def localization_job(descriptors: DataFrame, matcher: Callable[[DataFrame], Data
     return job
 
 
-def measurement_arcs(ties: DataFrame, length: str = "15 minutes", late: str = "10 minutes", ts: str = "ts", camera: str = "camera") -> DataFrame:
+def measurement_arcs(
+    ties: DataFrame, length: str = "15 minutes", late: str = "10 minutes", ts: str = "ts", camera: str = "camera",
+) -> DataFrame:
     """(camera, arc_start, arc_end, n_rows, n_frames) of tumbling windows; works on streams and tables alike. Frames are counted
     exactly: the state of an open window holds their ids."""
     rows = ties.withWatermark(ts, late) if ties.isStreaming else ties
-    return rows.groupBy(F.window(ts, length).alias("w"), camera).agg(F.count("*").alias("n_rows"), F.size(F.collect_set("frame_id")).cast("long").alias("n_frames")).select(camera, F.col("w.start").alias("arc_start"), F.col("w.end").alias("arc_end"), "n_rows", "n_frames")
+    return rows.groupBy(F.window(ts, length).alias("w"), camera).agg(F.count("*").alias("n_rows"), F.size(F.collect_set("frame_id")).cast("long").alias("n_frames")).select(
+        camera, F.col("w.start").alias("arc_start"), F.col("w.end").alias("arc_end"), "n_rows", "n_frames",
+    )
 
 
-def resource_windows(samples: DataFrame, length: str = "1 hour", late: str = "10 minutes", ts: str = "ts", value: str = "rss_mb") -> DataFrame:
+def resource_windows(
+    samples: DataFrame, length: str = "1 hour", late: str = "10 minutes", ts: str = "ts", value: str = "rss_mb",
+) -> DataFrame:
     """(window_start, window_end, peak, mean, n) of a resource sample stream or table."""
     rows = samples.withWatermark(ts, late) if samples.isStreaming else samples
-    return rows.groupBy(F.window(ts, length).alias("w")).agg(F.max(value).alias("peak"), F.avg(value).alias("mean"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "peak", "mean", "n")
+    return rows.groupBy(F.window(ts, length).alias("w")).agg(F.max(value).alias("peak"), F.avg(value).alias("mean"), F.count("*").alias("n")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "peak", "mean", "n",
+    )

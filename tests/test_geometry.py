@@ -36,7 +36,10 @@ def simple(p):
 def measure(spark, pairs):
     rows = [(i, ring(a), ring(b)) for i, (a, b) in enumerate(pairs)]
     df = spark.createDataFrame(rows, f"i int, a {RING}, b {RING}")
-    got = df.select("i", geo.iou(F.col("a"), F.col("b")).alias("iou"), geo.intersection_area(F.col("a"), F.col("b")).alias("c"), geo.valid(F.col("a")).alias("valid")).collect()
+    got = df.select(
+        "i", geo.iou(F.col("a"), F.col("b")).alias("iou"), geo.intersection_area(F.col("a"), F.col("b")).alias("c"),
+        geo.valid(F.col("a")).alias("valid"),
+    ).collect()
     return {r.i: r for r in got}
 
 
@@ -50,7 +53,13 @@ def test_iou_of_known_shapes(spark):
     dart = [(0, 0), (2, 1), (4, 0), (2, 4)]
     small = [(0.5, 0.5), (0.5, 1), (1, 1), (1, 0.5)]
     touch = [(0, 0), (0, 2), (0, 1), (2, 0)]
-    got = measure(spark, [(SQUARE, SQUARE), (SQUARE, SQUARE[::-1]), (SQUARE, shift(1, 0)), (SQUARE, shift(2, 0)), (SQUARE, shift(2, 2)), (SQUARE, small), (bowtie, SQUARE), (flat, SQUARE), (dart, dart), (SQUARE, shift(9, 9)), (touch, SQUARE)])
+    got = measure(
+        spark,
+        [
+            (SQUARE, SQUARE), (SQUARE, SQUARE[::-1]), (SQUARE, shift(1, 0)), (SQUARE, shift(2, 0)), (SQUARE, shift(2, 2)), (SQUARE, small),
+            (bowtie, SQUARE), (flat, SQUARE), (dart, dart), (SQUARE, shift(9, 9)), (touch, SQUARE),
+        ],
+    )
     expect = [1, 1, 1 / 3, 0, 0, 0.0625, 0, 0, 1, 0, 0]
     assert all(abs(got[i].iou - e) < 1e-12 for i, e in enumerate(expect)), [got[i].iou for i in range(len(expect))]
     assert [got[i].valid for i in (0, 6, 7, 8, 10)] == [True, False, False, True, False]
@@ -79,12 +88,16 @@ def test_frames_round_trip(spark, points):
     back = df.withColumn("e", eci).select("i", frames.ecef_to_geodetic(frames.eci_to_ecef(F.col("e"), jd)).alias("g")).collect()
     for r in back:
         assert abs(r.g.lat - points[r.i][0]) < 1e-6 and abs(r.g.lon - points[r.i][1]) < 1e-6
-    nadir = df.withColumn("n", frames.nadir_eci(F.col("lat"), F.col("lon"), F.col("alt"), jd)).select("i", frames.altitude_m(F.col("n")).alias("h")).collect()
+    nadir = df.withColumn(
+        "n", frames.nadir_eci(F.col("lat"), F.col("lon"), F.col("alt"), jd),
+    ).select("i", frames.altitude_m(F.col("n")).alias("h")).collect()
     assert all(abs(r.h - points[r.i][2]) < 1e-3 for r in nadir)
 
 
 def test_bearings_have_length_one(spark):
-    df = spark.createDataFrame([(0.0, 0.0), (2304.0, 1296.0), (4608.0, 2592.0)], "u double, v double").select(frames.pixel_bearing(F.col("u"), F.col("v")).alias("b"))
+    df = spark.createDataFrame(
+        [(0.0, 0.0), (2304.0, 1296.0), (4608.0, 2592.0)], "u double, v double",
+    ).select(frames.pixel_bearing(F.col("u"), F.col("v")).alias("b"))
     got = [r.b for r in df.collect()]
     assert all(abs(b.x**2 + b.y**2 + b.z**2 - 1) < 1e-12 for b in got) and tuple(got[1]) == (0.0, 0.0, 1.0)
     half = math.degrees(math.acos(got[0].z / math.hypot(got[0].x, got[0].z)))
@@ -95,7 +108,10 @@ def test_pixels_and_homography(spark):
     corners = F.array(*(ids.corner(F.lit(y), F.lit(x)) for y, x in ((0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0))))
     at = lambda u, v, h, w: geo.pixel_to_latlon(corners, F.lit(u), F.lit(v), F.lit(h), F.lit(w))
     one = [float(i in (0, 4, 8)) for i in range(9)]
-    r = spark.range(1).select(at(0.0, 0.0, 11, 21).alias("tl"), at(20.0, 10.0, 11, 21).alias("br"), at(0.0, 0.0, 1, 1).alias("one"), geo.project(F.array(*map(F.lit, one)), F.lit(3.0), F.lit(4.0)).alias("same")).first()
+    r = spark.range(1).select(
+        at(0.0, 0.0, 11, 21).alias("tl"), at(20.0, 10.0, 11, 21).alias("br"), at(0.0, 0.0, 1, 1).alias("one"),
+        geo.project(F.array(*map(F.lit, one)), F.lit(3.0), F.lit(4.0)).alias("same"),
+    ).first()
     assert tuple(r.tl) == (1.0, 0.0) and tuple(r.br) == (0.0, 2.0) and tuple(r.one) == (1.0, 0.0) and tuple(r.same) == (3.0, 4.0)
 
 
@@ -116,5 +132,7 @@ def test_names_parse_and_fail(spark):
 
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
-    got = df.select(dot(F.col("a"), F.col("b")).alias("d"), dot(F.col("a"), F.col("b"), 2).alias("u"), normalized(F.col("a")).alias("n")).collect()
+    got = df.select(
+        dot(F.col("a"), F.col("b")).alias("d"), dot(F.col("a"), F.col("b"), 2).alias("u"), normalized(F.col("a")).alias("n"),
+    ).collect()
     assert [(r.d, r.u) for r in got] == [(11.0, 11.0), (0.0, 0.0)] and got[0].n == [0.6, 0.8] and got[1].n == [0.0, 0.0]

@@ -47,7 +47,9 @@ def test_nearest_tile_everywhere(spark):
 
 
 def test_radius_is_strict_and_first_region_wins(spark):
-    regions = spark.createDataFrame([(0, "a", 0.0, 0.0), (1, "b", 0.0, 10.0)], "ord int, region string, center_lat double, center_lon double")
+    regions = spark.createDataFrame(
+        [(0, "a", 0.0, 0.0), (1, "b", 0.0, 10.0)], "ord int, region string, center_lat double, center_lon double",
+    )
     rows = spark.createDataFrame([(1, 0.0, 5.0), (2, 0.0, 30.0), (3, 0.0, 9.0)], "i int, lat double, lon double")
     edge = rows.where("i = 1").select(F.lit(6371.0) * F.radians(F.lit(5.0))).first()[0]
     assert spatial.in_regions(rows, regions, "lat", "lon", edge * 0.999999).where("i = 1").count() == 0
@@ -58,7 +60,10 @@ def test_radius_is_strict_and_first_region_wins(spark):
 
 
 def test_search_caps_ties_and_checks(spark):
-    d = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 90, [0.0, 1.0]), (2, 0, [0.0, 1.0]), (3, 0, [-1.0, 0.0])], "tile_id long, rotation int, descriptor array<float>")
+    d = spark.createDataFrame(
+        [(1, 0, [1.0, 0.0]), (1, 90, [0.0, 1.0]), (2, 0, [0.0, 1.0]), (3, 0, [-1.0, 0.0])],
+        "tile_id long, rotation int, descriptor array<float>",
+    )
     q = spark.createDataFrame([(7, [0.0, 1.0])], "query_id long, descriptor array<float>")
     for method in ("gemm", "native"):
         got = [(r.tile_id, r.similarity, r["rank"]) for r in retrieval.search_tiles(q, d, 2, 9, method).orderBy("rank").collect()]
@@ -71,7 +76,9 @@ def test_search_caps_ties_and_checks(spark):
 
 def test_query_blocks_give_the_same(spark, monkeypatch):
     rnd = np.random.default_rng(3)
-    d = spark.createDataFrame([(i // 4, i % 4 * 90, rnd.normal(size=8).tolist()) for i in range(400)], "tile_id long, rotation int, descriptor array<double>").repartition(5)
+    d = spark.createDataFrame(
+        [(i // 4, i % 4 * 90, rnd.normal(size=8).tolist()) for i in range(400)], "tile_id long, rotation int, descriptor array<double>",
+    ).repartition(5)
     q = spark.createDataFrame([(i, rnd.normal(size=8).tolist()) for i in range(30)], "query_id long, descriptor array<double>")
     key = lambda df: sorted((r.query_id, r["rank"], r.tile_id, round(r.similarity, 9)) for r in df.collect())
     native = key(retrieval.search_tiles(q, d, 8, 6, "native"))
@@ -83,12 +90,22 @@ def candidates(spark, rows):
     c = [(1.0, 2.0, 3.0, 4.0, True), (5.0, 6.0, 7.0, 8.0, False)] * 3
     one = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     data = [(q, t, r, 0.5, n, c, one if h else None, box(10.0, 20.0, 1.0), 11, 21) for q, t, r, n, h in rows]
-    return spark.createDataFrame(data, f"query_id long, tile_id long, rank int, similarity double, num_inliers int, correspondences array<struct<qu: double, qv: double, tu: double, tv: double, inlier: boolean>>, homography array<double>, corners {RING}, tile_h int, tile_w int")
+    return spark.createDataFrame(
+        data,
+        f"query_id long, tile_id long, rank int, similarity double, num_inliers int, correspondences array<struct<qu: double, qv: double, "
+        f"tu: double, tv: double, inlier: boolean>>, homography array<double>, corners {RING}, tile_h int, tile_w int",
+    )
 
 
 def test_localize_decides(spark):
     frames = spark.createDataFrame([(i, 480, 640) for i in range(1, 7)], "query_id long, query_h int, query_w int")
-    c = candidates(spark, [(1, 10, 1, 29, True), (2, 10, 1, 30, True), (3, 10, 1, 31, False), (4, 10, 2, 40, True), (4, 11, 1, 40, True), (5, 10, 1, 3, True)])
+    c = candidates(
+        spark,
+        [
+            (1, 10, 1, 29, True), (2, 10, 1, 30, True), (3, 10, 1, 31, False), (4, 10, 2, 40, True), (4, 11, 1, 40, True),
+            (5, 10, 1, 3, True),
+        ],
+    )
     got = {r.query_id: r for r in localize.localize(frames, c).collect()}
     assert [got[i].status for i in range(1, 7)] == ["no_fix", "fix", "fix", "fix", "no_fix", "no_fix"]
     assert got[1].confidence == 29 and got[1].matched_tile_id == 10 and got[1].tie_points == [] and got[1].query_footprint is None
@@ -100,7 +117,12 @@ def test_localize_decides(spark):
 
 
 def test_footprint_needs_four_inliers(spark):
-    c = candidates(spark, [(1, 1, 1, 3, True), (2, 1, 1, 4, True)]).withColumn("f", localize.query_footprint(F.col("homography"), F.col("num_inliers"), F.col("corners"), F.lit(11), F.lit(21), F.col("tile_h"), F.col("tile_w")))
+    c = candidates(spark, [(1, 1, 1, 3, True), (2, 1, 1, 4, True)]).withColumn(
+        "f",
+        localize.query_footprint(
+            F.col("homography"), F.col("num_inliers"), F.col("corners"), F.lit(11), F.lit(21), F.col("tile_h"), F.col("tile_w"),
+        ),
+    )
     got = {r.query_id: r.f for r in c.collect()}
     assert got[1] is None and [tuple(p) for p in got[2]] == [(11.0, 19.0), (11.0, 21.0), (9.0, 21.0), (9.0, 19.0)]
     centre = c.select("query_id", localize.center_of(F.col("f"), F.lit(1.0), F.lit(2.0)).alias("m")).collect()
@@ -108,7 +130,9 @@ def test_footprint_needs_four_inliers(spark):
 
 
 def test_first_clearing_is_not_the_largest(spark):
-    c = spark.createDataFrame([(1, 5, 1, 10), (1, 6, 2, 31), (1, 7, 3, 90), (2, 5, 1, 1)], "query_id int, tile_id int, rank int, num_inliers int")
+    c = spark.createDataFrame(
+        [(1, 5, 1, 10), (1, 6, 2, 31), (1, 7, 3, 90), (2, 5, 1, 1)], "query_id int, tile_id int, rank int, num_inliers int",
+    )
     assert {r.query_id: r.clearing_inliers for r in evaluate.first_clearing(c, 30).collect()} == {1: 31, 2: None}
 
 
@@ -118,7 +142,9 @@ def test_recall_without_queries_is_zero(spark):
 
 
 def test_power_wraps_and_skips(spark):
-    s = spark.createDataFrame([(0.0, 90.0), (1.0, 95.0), (2.0, 5.0), (3.0, None), (3.0, 7.0), (4.0, 9.0)], "ts double, c double").withColumn("rss_mb", F.lit(1.0))
+    s = spark.createDataFrame(
+        [(0.0, 90.0), (1.0, 95.0), (2.0, 5.0), (3.0, None), (3.0, 7.0), (4.0, 9.0)], "ts double, c double",
+    ).withColumn("rss_mb", F.lit(1.0))
     got = [r.power_w for r in evaluate.counter_power(s.withColumn("run", F.lit(1)), "ts", "c", 100.0, ["run"]).orderBy("ts", "c").collect()]
     assert got[:3] == [None, 5e-6, 1e-5] and got[3:5] == [None, None] and got[5] == 2e-6
 
@@ -197,7 +223,9 @@ def test_listings(spark, tmp_path):
     for n in ("b.JPG", "a.png", "c.jpeg", "d.gif"):
         (tmp_path / "f" / n).write_bytes(b"xyz")
     assert [r.frame_id for r in tables.frames(spark, str(tmp_path / "f")).collect()] == ["a", "b", "c"]
-    got = plugins.embed(tables.frames(spark, str(tmp_path / "f"), content=True), lambda: lambda images: [[len(i), 1.0] for i in images], key="frame_id").collect()
+    got = plugins.embed(
+        tables.frames(spark, str(tmp_path / "f"), content=True), lambda: lambda images: [[len(i), 1.0] for i in images], key="frame_id",
+    ).collect()
     assert sorted((r.frame_id, r.descriptor) for r in got) == [("a", [3.0, 1.0]), ("b", [3.0, 1.0]), ("c", [3.0, 1.0])]
 
 
@@ -209,7 +237,9 @@ def test_scoped_scan_prunes(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    full = {f"{c}_{k}": "1.0" for c in ("ul", "ur", "lr", "ll") for k in ("lat", "lon")} | {"mission": "m", "roll": "r", "frame": "f", "nadir_lat": "1", "nadir_lon": "2", "orientation": "0"}
+    full = {f"{c}_{k}": "1.0" for c in ("ul", "ur", "lr", "ll") for k in ("lat", "lon")} | {
+        "mission": "m", "roll": "r", "frame": "f", "nadir_lat": "1", "nadir_lon": "2", "orientation": "0",
+    }
     lines = [full, full | {"nadir_lat": "bad"}, {k: v for k, v in full.items() if k != "nadir_lon"}]
     (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, lines)))
     raw = tables.manifest(spark, str(tmp_path / "m.jsonl"))
@@ -218,7 +248,12 @@ def test_manifest(spark, tmp_path):
 
 
 def test_result_files_and_databases(spark, tmp_path):
-    doc = {"Alps": {"recalls": {"1": 50.0}, "num_evaluated": 4, "coords": {"num_scored": 4, "top1_correct_tile_rate": 25.0, "median_coord_error_km": None, "mean_coord_error_km": None}}}
+    doc = {
+        "Alps": {
+            "recalls": {"1": 50.0}, "num_evaluated": 4,
+            "coords": {"num_scored": 4, "top1_correct_tile_rate": 25.0, "median_coord_error_km": None, "mean_coord_error_km": None},
+        }
+    }
     for name in ("big", "smoketest"):
         (tmp_path / f"results_{name}.json").write_text(json.dumps(doc))
     got = tables.results(spark, str(tmp_path)).collect()
@@ -252,7 +287,9 @@ def test_export(spark, tmp_path):
 
 
 def test_matcher_plugin_sees_tiles_together(spark):
-    pairs = spark.createDataFrame([(q, t, b"q", b"t") for q in range(6) for t in range(3)], "query_id int, tile_id int, query_image binary, tile_image binary")
+    pairs = spark.createDataFrame(
+        [(q, t, b"q", b"t") for q in range(6) for t in range(3)], "query_id int, tile_id int, query_image binary, tile_image binary",
+    )
 
     def factory():
         seen = []
@@ -269,7 +306,12 @@ def test_matcher_plugin_sees_tiles_together(spark):
 
 
 def test_streams_equal_tables(spark, tmp_path):
-    rows = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=300, freq="97s"), "camera": [i % 2 for i in range(300)], "frame_id": range(300), "rss_mb": [float(i % 50) for i in range(300)]})
+    rows = pd.DataFrame(
+        {
+            "ts": pd.date_range("2024-01-01", periods=300, freq="97s"), "camera": [i % 2 for i in range(300)], "frame_id": range(300),
+            "rss_mb": [float(i % 50) for i in range(300)],
+        }
+    )
     df = spark.createDataFrame(rows)
     for i in range(3):
         df.where(f"frame_id between {i * 100} and {i * 100 + 99}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -281,6 +323,9 @@ def test_streams_equal_tables(spark, tmp_path):
         assert 0 < got.count() <= whole.count() and got.exceptAll(whole).count() == 0
         late = whole.exceptAll(got).collect()
         assert all(r[2 if name == "arcs" else 1] >= rows.ts.max().to_pydatetime() - pd.Timedelta("11min") for r in late)
-    q = jobs.localize_stream(stream.select(F.col("frame_id").alias("query_id")), lambda b: b.withColumn("status", F.lit("fix")), str(tmp_path / "loc"), str(tmp_path / "loc-state"))
+    q = jobs.localize_stream(
+        stream.select(F.col("frame_id").alias("query_id")), lambda b: b.withColumn("status", F.lit("fix")), str(tmp_path / "loc"),
+        str(tmp_path / "loc-state"),
+    )
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "loc")).select("query_id").distinct().count() == 300
