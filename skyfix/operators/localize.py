@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from skyfix.functions.geo import corner_pixels, pixel_to_latlon, project
 
-from .select import first_of
-
 #: Inliers that a fix needs, and correspondences or inliers that a footprint needs.
 MIN_INLIERS, MIN_MATCHES = 30, 4
 
@@ -30,8 +28,12 @@ def with_matches(candidates: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
-    """The candidate of each query with the most inliers, the first by rank on ties."""
-    return first_of(candidates, ["query_id"], [F.col("num_inliers").desc(), F.col("rank")])
+    """The candidate of each query with the most inliers, the first by rank on ties; ranks differ within a query.
+
+    The choice is an aggregate of two numbers that mappers combine; the winners' correspondences and the like move once, to meet it.
+    """
+    best = candidates.groupBy("query_id").agg(F.max(F.struct("num_inliers", (-F.col("rank")).alias("place"))).alias("best"))
+    return candidates.join(best.select("query_id", (-F.col("best.place")).alias("rank")), ["query_id", "rank"]).select(candidates.columns)
 
 
 def flag_best(candidates: DataFrame) -> DataFrame:
