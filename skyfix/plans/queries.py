@@ -625,14 +625,14 @@ def export_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POS = "pos AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS tile_id FROM lineitem WHERE (l_orderkey+l_partkey)%4=0)"
-_OUT = _POS + ", labelled AS (SELECT f.query_id, CASE WHEN p.query_id IS NULL THEN 'unscoreable' WHEN h.query_id IS NULL THEN 'retrieval_miss' WHEN c.n IS NULL THEN 'matcher_shortfall' ELSE 'verified' END AS outcome, CASE WHEN p.query_id IS NOT NULL AND h.query_id IS NOT NULL THEN c.n END AS best_inliers FROM frames f LEFT JOIN (SELECT DISTINCT query_id FROM pos) p ON p.query_id=f.query_id LEFT JOIN (SELECT DISTINCT c.query_id FROM candidates c JOIN pos USING(query_id,tile_id) WHERE rank<=3) h ON h.query_id=f.query_id LEFT JOIN (SELECT query_id, arg_min(num_inliers, rank) AS n FROM candidates WHERE num_inliers>=30 AND rank<=3 GROUP BY 1) c ON c.query_id=f.query_id)"
+_OUT = _POS + ", labelled AS (SELECT f.query_id, CASE WHEN p.query_id IS NULL THEN 'unscoreable' WHEN h.query_id IS NULL THEN 'retrieval_miss' WHEN c.n IS NULL THEN 'matcher_shortfall' ELSE 'verified' END AS outcome, CASE WHEN p.query_id IS NOT NULL AND h.query_id IS NOT NULL THEN c.n END AS best_inliers FROM frames f LEFT JOIN (SELECT DISTINCT query_id FROM pos) p ON p.query_id=f.query_id LEFT JOIN (SELECT DISTINCT c.query_id FROM candidates c JOIN pos USING(query_id,tile_id)) h ON h.query_id=f.query_id LEFT JOIN (SELECT query_id, arg_min(num_inliers, rank) AS n FROM candidates WHERE num_inliers>=30 GROUP BY 1) c ON c.query_id=f.query_id)"
 
 
 def _outcomes(spark, d):
     positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(
         F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("tile_id"),
     )
-    return evaluate.outcomes(S.frames(spark, d).select("query_id"), positives, S.candidates(spark, d).where("rank <= 3"), 30)
+    return evaluate.outcomes(S.frames(spark, d).select("query_id"), positives, S.candidates(spark, d), 30)
 
 
 @query(sql("SELECT query_id, outcome, best_inliers FROM labelled", "frames", "candidates", more=_OUT))
@@ -692,11 +692,11 @@ def work_status(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
-_BOARD = "board AS (SELECT p.p_brand AS model, f.region_name AS region, 100.0*avg((c.num_inliers>=30)::INT) AS r1, CASE WHEN count(*)%5<>0 THEN avg(c.num_inliers) END AS err FROM candidates c JOIN frames f USING(query_id) JOIN part p ON p.p_partkey=c.tile_id WHERE rank<=2 GROUP BY 1,2)"
+_BOARD = "board AS (SELECT p.p_brand AS model, f.region_name AS region, 100.0*avg((c.num_inliers>=30)::INT) AS r1, CASE WHEN count(*)%5<>0 THEN avg(c.num_inliers) END AS err FROM candidates c JOIN frames f USING(query_id) JOIN part p ON p.p_partkey=c.tile_id GROUP BY 1,2)"
 
 
 def _board(spark, d):
-    c = S.candidates(spark, d).where("rank <= 2").join(S.frames(spark, d).select("query_id", "region"), "query_id").join(
+    c = S.candidates(spark, d).join(S.frames(spark, d).select("query_id", "region"), "query_id").join(
         S.table(spark, d, "part").select(F.col("p_partkey").alias("tile_id"), F.col("p_brand").alias("model")), "tile_id",
     )
     return c.groupBy("model", "region").agg(
@@ -847,7 +847,7 @@ def training_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql(
-        "SELECT query_id, count(*) AS both FROM (SELECT query_id, tile_id FROM candidates WHERE rank<=3 INTERSECT SELECT query_id, "
+        "SELECT query_id, count(*) AS both FROM (SELECT query_id, tile_id FROM candidates INTERSECT SELECT query_id, "
         "tile_id FROM pos) GROUP BY 1",
         "candidates", more=_POS,
     )
@@ -856,7 +856,7 @@ def retrieved_positives(spark: SparkSession, d: str) -> DataFrame:
     positives = S.table(spark, d, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 == 0).select(
         F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("tile_id"),
     )
-    return S.candidates(spark, d).where("rank <= 3").select("query_id", "tile_id").intersect(positives).groupBy("query_id").agg(F.count("*").alias("both"))
+    return S.candidates(spark, d).select("query_id", "tile_id").intersect(positives).groupBy("query_id").agg(F.count("*").alias("both"))
 
 
 _MAN = f"""man AS (SELECT o_orderkey AS line_no, 'm'||(o_custkey%40) AS mission, 'r'||(o_custkey%7) AS roll, (o_custkey%30)::VARCHAR AS frame, CASE WHEN o_orderkey%9<>0 THEN ((o_custkey*6151)%12000)/1e2-60 END AS lat, ((o_custkey*92821)%36000)/1e2-180 AS lon FROM orders),
