@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, lookup, maybe_broadcast, row_keys, tidy
+from .shared import cut, maybe_broadcast, row_keys, tidy
 
 #: Bytes that part words, after lower-casing A-Z; fixed by the task.
 PARTERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -46,3 +46,11 @@ def test_stages_of_an_empty_table(spark):
     docs = documents(spark, "/root/testdata/sf0.001").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_lists_too_long_to_send_change_nothing(spark, monkeypatch):
+    import skyfix.llm.shared as shared
+
+    expect = sorted((r.doc_id, r.copies) for r in P.run(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    assert sorted((r.doc_id, r.copies) for r in P.run(spark, "/root/testdata/sf0.001").collect()) == expect
