@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_model import Discriminant, class_sums
-from .shared import steps, text_function, tidy
+from .shared import text_function, tidy
 
 #: HTML's fixed names: text inside these never shows, and these start and end blocks.
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "select", "textarea", "datalist"}
@@ -324,20 +324,16 @@ def fit_blocks(pages: DataFrame, html_col: str = "html", most: int = SAMPLE) ->
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * most / n))
 
-    def measure(batches):
-        for part in (part for batch in batches for part in steps(batch, "html")):
-            label, x = [], [np.zeros((0, 9))]
-            for found in map(blocks, part.column("html").to_pylist()):
-                own = [label_of(box) for _, _, box in found]
-                some = [i for i, k in enumerate(own) if k is not None]
-                label += [own[i] for i in some]
-                x.append(signs(found)[some])
-            x = np.vstack(x)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), lists], ["label", "x"])
+    def measure(batch: pa.RecordBatch):
+        for page in batch.column("html").to_pylist():
+            found = blocks(page)
+            own = [label_of(box) for _, _, box in found]
+            some = [i for i, k in enumerate(own) if k is not None]
+            if some:
+                yield np.array([own[i] for i in some]), signs(found)[some]
 
     with tidy(pages.sparkSession):
-        return Discriminant(class_sums(rows.mapInArrow(measure, "label int, x array<double>")), shrink=0.9, ridge=1e-2)
+        return Discriminant(class_sums(rows, measure), shrink=0.9, ridge=1e-2)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = SAMPLE) -> DataFrame:

@@ -117,19 +117,15 @@ def fit_memberships(
     weights = word_weights(feature_counts(learnt.where("text is not null"), word_features, WORD_BUCKETS), names)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def measure(batches):
-        for part in (part for batch in batches for part in steps(batch, "text")):
+    def measure(batch: pa.RecordBatch):
+        for part in steps(batch, "text"):
             row, bucket, times, tokens = word_features(part.column("text"))
             label = np.array([names.index(x) for x in part.column("label").to_pylist()])
-            _, own, other = (evidence(w, row, bucket, times, tokens) for w in shared.value)
+            own, other = (evidence(w, row, bucket, times, tokens) for w in shared.value[1:])
             mine = label[:, None] == np.arange(own.shape[1])[None, :] % len(names)
-            x = np.hstack((_statistics(part.column("text")), np.where(mine, own, other)))
-            offs = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(label.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(x.ravel()))], ["label", "x"],
-            )
+            yield label, np.hstack((_statistics(part.column("text")), np.where(mine, own, other)))
 
-    sums = class_sums(learnt.mapInArrow(measure, "label int, x array<double>"))
+    sums = class_sums(learnt, measure)
     return Memberships(names, weights[0], Discriminant(sums, SHRINK, RIDGE))
 
 

@@ -33,7 +33,7 @@ from .components import components
 from .shared import Rolling, Texts, U, cut, lookup, maybe_broadcast, mix, perhaps_among, row_keys, text_function, tidy
 
 #: N-grams in a fragment on average, in a slice of a hot fragment at most, and held back by a mapper before it sends.
-FRAGMENT, SLICE, HELD = 500_000, 2_000_000, 500_000
+FRAGMENT, SLICE, HELD = 250_000, 1_000_000, 250_000
 #: Classes in a block of candidates, n-grams in a fragment of a pair of blocks or in a task of small groups, fragments that a
 #: pair is counted in at least, and members that a large group meets first, about.
 BLOCK_ROWS, BLOCK_GRAMS, LEAST_FRAGMENTS, PIVOTS = 400, 200_000, 2, 16

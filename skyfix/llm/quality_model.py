@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repetition import SYMBOLS, Measures, _per_row
-from .shared import U, cut, maybe_broadcast, mix, text_function, tidy
+from .shared import U, cut, maybe_broadcast, mix, steps, text_function, tidy
 
 _BYTES = np.arange(256)
 UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -59,16 +59,6 @@ def _statistics(column: pa.Array) -> np.ndarray:
     )
 
 
-def statistics(text):
-    """The statistics of a text column; null counts as empty."""
-
-    def run(texts: pa.Array) -> list:
-        x = _statistics(texts)
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))]
-
-    return text_function(run, "x array<double>")(text.cast("string"))["x"]
-
-
 #: Labelled rows that a model is fitted on at most, about: beyond it a sample by the hash of their ids.
 SAMPLE = 50_000
 
@@ -91,27 +81,24 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     ).join(known, "label_id").select("label", "text")
 
 
-def class_sums(rows: DataFrame) -> dict[int, np.ndarray]:
-    """From (label, x): by label the sums of 1, x and x xT, in one array."""
+def class_sums(rows: DataFrame, read) -> dict[int, np.ndarray]:
+    """By label the sums of 1, x and x xT, in one array. read: from an Arrow batch of rows to pairs (labels, x); reading and
+    adding up are one function, so that a task has one Python worker."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-                x = np.hstack((np.ones((len(x), 1)), x))
-                label = np.asarray(batch.column("label"))
-                for k in np.unique(label):
-                    own = x[label == k]
-                    sums[int(k)] = sums.get(int(k), 0) + own.T @ own
+        for label, x in (pair for batch in batches for pair in read(batch)):
+            x = np.hstack((np.ones((len(x), 1)), x))
+            for k in np.unique(label):
+                own = x[label == k]
+                sums[int(k)] = sums.get(int(k), 0) + own.T @ own
         for k, s in sums.items():
             s = s.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(s), k, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)],
-                ["label", "at", "value"],
-            )
+            at = np.arange(len(s), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(at), pa.array(s)], ["label", "at", "value"])
 
-    added = rows.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(run, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
+    parts = rows.mapInArrow(run, "label int, at int, value double")
+    added = parts.groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
     d = round(max((r["at"] + 1 for r in added), default=1) ** 0.5)
     out: dict[int, np.ndarray] = {}
     for r in added:
@@ -166,7 +153,13 @@ def fit_quality(
     known = known.where("label in (0, 1) and label_id is not null").where(~held_out("label_id", 4, 2))
     with tidy(docs.sparkSession):
         learnt = labelled_texts(docs, known, id_col, text_col, most)
-        return Discriminant(class_sums(learnt.select("label", statistics(F.col("text")).alias("x"))), shrink, ridge)
+        return Discriminant(class_sums(learnt, _labelled_statistics), shrink, ridge)
+
+
+def _labelled_statistics(batch: pa.RecordBatch):
+    """(labels, statistics) of slices of (label, text)."""
+    for part in steps(batch, "text"):
+        yield np.asarray(part.column("label")), _statistics(part.column("text"))
 
 
 def quality_verdict(docs: DataFrame, model: Discriminant, text_col: str, threshold: float = 0.7):

@@ -212,6 +212,7 @@ def text_function(run, shape: str):
         for array in arrays:
             done = [pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in run(part)], names) for part in slices(array)]
             yield pa.concat_arrays(done) if done else pa.array([], kind)
+            pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(apply, shape).asNondeterministic()  # not to be run again for each place that the plan names it
 
