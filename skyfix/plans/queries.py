@@ -976,6 +976,20 @@ def total_loss(spark: SparkSession, d: str) -> DataFrame:
     return training.total_loss(batch, q, t, S.DIM).select("batch", *r6("pairwise_loss", "cluster_loss", "total_loss"))
 
 
+@query(
+    sql(
+        "SELECT p.query_id, p.tile_id, round(iou,6) AS iou, e.label AS cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+        "ORDER BY iou DESC, tile_id) AS nth FROM ious WHERE iou>=0.1) p JOIN embeddings e ON e.vec_id=p.tile_id WHERE nth=1",
+        "queries", "tiles", more=_IOU,
+    )
+)
+def pair_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Training pairs with the cluster of their tile, clusters being given; a pair whose tile has none is left out."""
+    pairs = spatial.positive_pairs(_scope_queries(spark, d), _scope_tiles(spark, d), "query_id", "tile_id", "tile_id")
+    clusters = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("tile_id"), F.col("label").alias("cluster_id"))
+    return training.training_table(pairs, clusters).select("query_id", "tile_id", *r6("iou"), "cluster_id")
+
+
 @query()
 def training_data(spark: SparkSession, d: str) -> DataFrame:
     pairs = spatial.positive_pairs(_scope_queries(spark, d), _scope_tiles(spark, d), "query_id", "tile_id", "tile_id", 0.2)
