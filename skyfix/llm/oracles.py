@@ -74,6 +74,17 @@ w AS (SELECT conv_id, sum(chars) AS chars FROM fold GROUP BY 1),
 c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(string_agg(CASE WHEN role='assistant' THEN text END, '' ORDER BY turn, role, text),'') AS loss, max(head_size) AS head_size FROM t3 GROUP BY 1)
 SELECT c.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (c.head_size+coalesce(w.chars,0))::BIGINT AS formatted_chars FROM c LEFT JOIN w ON w.conv_id=c.conv_id"""
 
+_OP12 = """WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents),
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id=keep_id AS kept, sha256(t) AS text_sha256 FROM g"""
+
+_DRAW = "('0x'||substr(h,{0},8))::BIGINT AS h{1}"
+_OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t, sha256('7:'||doc_id::VARCHAR) AS h, regexp_extract_all(coalesce(text,''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+e AS (SELECT *, len(u)::BIGINT AS n, {", ".join(_DRAW.format(1 + 8 * i, i + 1) for i in range(4))} FROM d),
+f AS (SELECT *, least(h1%(n+1), h2%(n+1)) AS a, greatest(h1%(n+1), h2%(n+1)) AS b, CASE WHEN t='' OR contains(t,'<P>') OR contains(t,'<S>') OR contains(t,'<M>') OR h3%100>=100 THEN 'plain' WHEN h4%100<50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+p AS (SELECT *, array_to_string(u[1:a],'') AS p, array_to_string(u[a+1:b],'') AS m, array_to_string(u[b+1:n],'') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form<>'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form<>'plain' THEN length(m) END::BIGINT AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>'||p||'<S>'||s||'<M>'||m ELSE '<S>'||s||'<P>'||p||'<M>'||m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1,
     "op2_benchmark_decontamination": _OP2,
@@ -81,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": _OP5,
     "op7_warc": _OP7,
     "op8_chat_formatting": _OP8,
+    "op12_exact_dedup": _OP12,
+    "op13_fill_in_middle": _OP13,
 }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .bayes import language_ids
 from .chat import format_chats, read_chats
 from .decontamination import decontaminate
+from .exact_dedup import exact_duplicates
+from .fill_middle import fill_in_middle, restored
 from .html_text import extract
 from .mixing import mix_to_targets
 from .ngram_join import ngram_components
@@ -83,6 +85,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(documents(spark, sf_dir))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restored(fill_in_middle(documents(spark, sf_dir)))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -94,4 +108,6 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
