@@ -74,6 +74,18 @@ w AS (SELECT conv_id, sum(chars) AS chars FROM fold GROUP BY 1),
 c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(string_agg(CASE WHEN role='assistant' THEN text END, '' ORDER BY turn, role, text),'') AS loss, max(head_size) AS head_size FROM t3 GROUP BY 1)
 SELECT c.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (c.head_size+coalesce(w.chars,0))::BIGINT AS formatted_chars FROM c LEFT JOIN w ON w.conv_id=c.conv_id"""
 
+_OP11 = f"""WITH d AS (SELECT doc_id, coalesce(lang,'und') AS lang, {_LOWER.format('text')} AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+g AS (SELECT lang, m, array_to_string(w[i:i+m-1],' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w)-m+2)) AS i FROM p, range(1,6) AS s(m) WHERE len(w)>=m)),
+f AS (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*)>=100),
+c AS (SELECT lang, phrase, m, a, k, array_to_string(string_split(phrase,' ')[1:k],' ') AS p1, array_to_string(string_split(phrase,' ')[k+1:m],' ') AS p2 FROM (SELECT *, unnest(range(1,m)) AS k FROM f WHERE m>1)),
+s AS (SELECT c.*, x.a AS l, y.a AS r, n.n, ((1000::HUGEINT*c.a*n.n)//(x.a::HUGEINT*y.a))::BIGINT AS score FROM c JOIN f x ON x.lang=c.lang AND x.phrase=p1 JOIN f y ON y.lang=c.lang AND y.phrase=p2 JOIN n ON n.lang=c.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s) WHERE nth=1),
+i AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[j:j+q-1],' ') AS part FROM (SELECT lang, a, w, q, unnest(range(1, m-q+2)) AS j FROM (SELECT lang, a, m, string_split(phrase,' ') AS w, unnest(range(2,m)) AS q FROM f WHERE m>2))) GROUP BY 1,2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN i ON i.lang=b.lang AND i.part=b.phrase WHERE longer IS NULL OR longer<a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank<=2000"""
+
 _OP12 = """WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id=keep_id AS kept, sha256(t) AS text_sha256 FROM g"""
@@ -92,6 +104,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": _OP5,
     "op7_warc": _OP7,
     "op8_chat_formatting": _OP8,
+    "op11_phrase_collocations": _OP11,
     "op12_exact_dedup": _OP12,
     "op13_fill_in_middle": _OP13,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bayes import language_ids
 from .chat import format_chats, read_chats
+from .collocations import collocations
 from .decontamination import decontaminate
 from .exact_dedup import exact_duplicates
 from .fill_middle import fill_in_middle, restored
@@ -85,6 +86,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

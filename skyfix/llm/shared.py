@@ -162,31 +162,32 @@ def perhaps_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def _may_be(keys: DataFrame, on: list[str]):
     """A function of key hashes: whether the bit filter of the keys has them."""
-    bits = keys.sparkSession.sparkContext.broadcast(_filter_of(keys, on))
+    bits = keys.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.xxhash64(*on).alias("h"))))
 
     def may(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for h in hashes:
-            places = _places(np.asarray(h).view(U))
+            places = bit_places(np.asarray(h).view(U))
             yield pa.array(np.all((bits.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0))
 
     return F.arrow_udf(may, "boolean").asNondeterministic()
 
 
-def _places(h: np.ndarray) -> np.ndarray:
+def bit_places(h: np.ndarray) -> np.ndarray:
+    """Of each 64-bit hash, its bits in a bit filter; a key that the filter has has them all set."""
     return np.stack([(mix(h + U(i)) % U(FILTER_BITS)).astype(np.int64) for i in range(FILTER_HASHES)])
 
 
-def _filter_of(keys: DataFrame, on: list[str]) -> np.ndarray:
-    """The bit filter of all keys: each task makes one of its keys, and the driver ors them, FILTER_PARTS of them."""
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """The bit filter of all hashes (h): each task makes one of its keys, and the driver ors them, FILTER_PARTS of them."""
 
     def make(batches):
         bits = np.zeros(FILTER_BITS >> 3, np.uint8)
         for batch in batches:
-            places = _places(np.asarray(batch.column("h")).view(U)).ravel()
+            places = bit_places(np.asarray(batch.column("h")).view(U)).ravel()
             np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
-    made = keys.select(F.xxhash64(*on).alias("h")).coalesce(FILTER_PARTS).mapInArrow(make, "bits binary")
+    made = hashes.coalesce(FILTER_PARTS).mapInArrow(make, "bits binary")
     bits = np.zeros(FILTER_BITS >> 3, np.uint8)
     for row in made.toLocalIterator():  # FILTER_PARTS arrays of FILTER_BITS, one at a time
         bits |= np.frombuffer(row["bits"], np.uint8)
