@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import BASE, STEP_BYTES, Texts, U, bit_filter, bit_places, cut, maybe_broadcast, mix, separators, slices, tidy
+from .shared import BASE, STEP_BYTES, Texts, U, bit_filter, bit_places, cut, maybe_broadcast, mix, separators, slices, steps, tidy
 
 #: Words of a candidate at most, its least count, and phrases of each language in the report.
 DEPTH, LEAST, TOP = 5, 100, 2000
@@ -26,7 +26,7 @@ _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 _BREAK = np.array([b in _BREAKS for b in range(256)])
 _NO_WORD = separators(lambda b: b not in _BREAKS and b not in b" \t")
 #: Bytes of text that a task sorts at a time before it sends suffixes, and suffixes that a route aims at.
-FLUSH_BYTES, ROUTE_ROWS = 8 << 20, 2_000_000
+FLUSH_BYTES, ROUTE_ROWS = 3 << 20, 2_000_000
 #: Leading words are split further where they lead so many suffixes, a share of a route, or where so many of them could be met.
 HOT_ROWS, MOST_HOT = ROUTE_ROWS // 8, 500_000
 
@@ -97,23 +97,22 @@ def _leading(suffixes: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
-    """The words of the batches' rows (text, lang), FLUSH_BYTES of text or a batch at a time."""
+    """The words of the batches' rows (text, lang), about FLUSH_BYTES of text at a time; a longer text comes by itself."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= FLUSH_BYTES:
-            yield _words_of(held)
-            held, size = [], 0
+        for part in steps(batch, "text", FLUSH_BYTES):
+            held.append(part)
+            size += part.nbytes
+            if size >= FLUSH_BYTES:
+                yield _words_of(held)
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield _words_of(held)
 
 
 def _words_of(held: list[pa.RecordBatch]) -> _Words:
-    table = pa.Table.from_batches(held).combine_chunks()
-    one = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([], pa.string())
-    text, lang = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (one("text"), one("lang")))
-    return _Words(text, lang)
+    return _Words(*(pa.concat_arrays([part.column(c) for part in held]) for c in ("text", "lang")))
 
 
 _COUNTED = "lang string, words array<string>, hashes array<bigint>, times array<bigint>, leading array<bigint>, load array<bigint>"
