@@ -37,7 +37,7 @@ class _Words:
     def __init__(self, texts: pa.Array, langs: pa.Array):
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
-        lang_hash = np.array([mix(np.array([hash_text(x)], U))[0] for x in self.langs] or [0], U)
+        lang_hash = _lang_hashes(self.langs)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         parts, rows, base = [], 0, 0
         for part in slices(texts, STEP_BYTES):
@@ -79,12 +79,21 @@ class _Words:
         return out
 
 
-def hash_text(text: str) -> int:
-    """A 64-bit hash of a short text that is alike in all processes."""
-    out = 0
-    for b in text.encode():
-        out = (out * BASE + b + 1) & ((1 << 64) - 1)
-    return out
+def _lang_hashes(langs: list[str]) -> np.ndarray:
+    t = Texts(pa.array(langs, pa.string()), lower=False)
+    return mix(t.hashes(t.offs[:-1], t.offs[1:])) if langs else np.zeros(1, U)
+
+
+def _hashed(words: DataFrame) -> DataFrame:
+    """(h): the hash that _Words gives to each (lang, phrase) of one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = _Words(batch.column("phrase"), batch.column("lang")).hash
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    return words.select("phrase", "lang").mapInArrow(run, "h bigint")
 
 
 def _leading(suffixes: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
@@ -115,11 +124,11 @@ def _words_of(held: list[pa.RecordBatch]) -> _Words:
     return _Words(*(pa.concat_arrays([part.column(c) for part in held]) for c in ("text", "lang")))
 
 
-_COUNTED = "lang string, words array<string>, hashes array<bigint>, times array<bigint>, leading array<bigint>, load array<bigint>"
+_COUNTED = "lang string, words array<string>, times array<bigint>, leading array<bigint>, load array<bigint>"
 
 
 def _counted(rows: DataFrame, total_bytes: int, hot: float) -> DataFrame:
-    """Of each flush and language: the words, their hashes and times; of each flush the leading two to four words that lead its
+    """Of each flush and language: the words and their times; of each flush the leading two to four words that lead its
     share of `hot` different suffixes, as hash and number of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +150,9 @@ def _counted(rows: DataFrame, total_bytes: int, hot: float) -> DataFrame:
             for i, lang in enumerate(words.langs):
                 own = np.flatnonzero(words.lang[first] == i)
                 sent = (found, loads) if i == 0 else (found[:0], loads[:0])
-                out.append((lang, words.strings(first[own]), hashes[own].view(np.int64), times[own], *sent))
-            kinds = [pa.string(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 4]
-            names = ["lang", "words", "hashes", "times", "leading", "load"]
+                out.append((lang, words.strings(first[own]), times[own], *sent))
+            kinds = [pa.string(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3]
+            names = ["lang", "words", "times", "leading", "load"]
             for row in out:
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
@@ -153,6 +162,20 @@ def _counted(rows: DataFrame, total_bytes: int, hot: float) -> DataFrame:
 _ROUTED = "route int, lang string, depth int, n int, words binary, suffixes binary, times binary"
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Rows of numbers as bytes that pack well: by column, the first two as steps from row to row, all low bytes before higher ones."""
+    columns = rows.T.astype(np.uint32)
+    columns[:2] = np.diff(columns[:2], axis=1, prepend=np.uint32(0))
+    return np.ascontiguousarray(columns.reshape(DEPTH, -1, 1).view(np.uint8).transpose(0, 2, 1)).tobytes()
+
+
+def _rows_of(planes: bytes, n: int) -> np.ndarray:
+    """The rows that _planes took."""
+    columns = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(DEPTH, 4, n).transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
+    columns[:2] = np.cumsum(columns[:2], axis=1, dtype=np.uint32)
+    return columns.T
+
+
 def _routed(rows: DataFrame, routes: int, frequent, hot) -> DataFrame:
     """Different suffixes of two words or more of each flush with their times, by route, language and depth: the number of leading
     words that route them. They end before a word that is not frequent.
@@ -160,12 +183,14 @@ def _routed(rows: DataFrame, routes: int, frequent, hot) -> DataFrame:
     frequent: broadcast bit filter of word hashes; hot: broadcast sorted hashes of leading words that do not route.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.Codec("zstd")
+        zstd = pa.Codec("zstd", compression_level=4)
         for words in _flushes(batches):
-            hashes, number, first, _ = words.vocabulary()
-            places = bit_places(hashes)
-            keep = np.all((frequent.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0)
-            new = np.where(keep, np.cumsum(keep), 0).astype(np.int32)
+            hashes, number, first, times = words.vocabulary()
+            places = bit_places(hashes, frequent.value)
+            keep = np.flatnonzero(np.all((frequent.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0))
+            keep = keep[np.argsort(-times[keep], kind="stable")]  # usual words get small numbers, which pack well
+            new = np.zeros(len(hashes), np.int32)
+            new[keep] = np.arange(1, len(keep) + 1)
             hashes, first = hashes[keep], first[keep]
             suffixes = words.suffixes(new[number])
             some = np.flatnonzero(suffixes[:, 1])
@@ -189,11 +214,9 @@ def _routed(rows: DataFrame, routes: int, frequent, hot) -> DataFrame:
                 used, local = np.unique(suffixes[own], return_inverse=True)
                 if used[0] != 0:
                     used, local = np.concatenate(([0], used)), local + 1
-                narrow = np.uint16 if len(used) < 1 << 16 else np.uint32
                 spelled = "\n".join(texts.take(pa.array(used[1:] - 1)).to_pylist()).encode()
-                columns = np.ascontiguousarray(local.reshape(b - a, DEPTH).T.astype(narrow))
                 i = own[0]
-                row = (int(route[i]), words.langs[lang[i]], int(depth[i]), b - a, spelled, columns.tobytes(), times[own].astype(np.int32).tobytes())
+                row = (int(route[i]), words.langs[lang[i]], int(depth[i]), b - a, spelled, _planes(local.reshape(b - a, DEPTH)), times[own].astype(np.int32).tobytes())
                 for column, x in zip(out, row, strict=True):
                     column.append(len(x).to_bytes(4, "little") + zstd.compress(x, asbytes=True) if isinstance(x, bytes) else x)
             kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -252,7 +275,7 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     for n, own, data in zip(table.column("n").to_pylist(), spelled, opened("suffixes"), strict=True):
         names = np.concatenate((np.zeros(1, np.int32), number[at : at + len(own)]))
         at += len(own)
-        parts.append(names[np.frombuffer(data, np.uint16 if len(own) + 1 < 1 << 16 else np.uint32).reshape(DEPTH, n).T])
+        parts.append(names[_rows_of(data, n)])
     times = np.concatenate([np.frombuffer(x, np.int32) for x in opened("times")]).astype(np.int64)
     return np.concatenate(parts), times, coded.dictionary
 
@@ -316,16 +339,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         routes = max(2 * shuffles, -(-size // (6 * ROUTE_ROWS)))
         hot = max(HOT_ROWS, size / 6 / MOST_HOT)
         counted = cut(_counted(rows, size, hot), "phrase-words")
-        words = counted.select("lang", F.explode(F.arrays_zip("words", "hashes", "times")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(
-            F.sum("w.times").alias("times"), F.max("w.hashes").alias("h"),
-        )
+        words = counted.select("lang", F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.times").alias("times"))
         words = cut(words, "phrase-vocabulary")
         totals = cut(words.groupBy("lang").agg(F.sum("times").alias("n")), "phrase-totals")
         words = words.where(F.col("times") >= least)
         led = counted.select(F.explode(F.arrays_zip("leading", "load")).alias("x")).groupBy("x.leading").agg(F.sum("x.load").alias("load"))
         led = led.where(F.col("load") >= hot / 2).select("leading").toArrow().column(0).to_numpy()  # 6 * MOST_HOT at most, see HOT_ROWS
         context = spark.sparkContext
-        frequent, leading = context.broadcast(bit_filter(words.select("h"))), context.broadcast(np.sort(led.view(U)))
+        frequent, leading = context.broadcast(bit_filter(_hashed(words))), context.broadcast(np.sort(led.view(U)))
         found = _frequent_phrases(_routed(rows, routes, frequent, leading), least).groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times"))
         found = found.where(F.col("times") >= least).unionByName(words.select("lang", "phrase", F.lit(1).alias("size"), "times"))
         found = cut(found, "phrases")

@@ -132,8 +132,9 @@ def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     return without(named, keys.toDF(*names), names).select(docs.columns)
 
 
-#: Bits of a filter that tells most rows apart from a key table too large to send, its hash functions, and the tasks that make it.
-FILTER_BITS, FILTER_HASHES, FILTER_PARTS = 1 << 27, 4, 16
+#: Bits of a filter that tells most rows apart from a key table too large to send, at most and for each key, its hash functions,
+#: and the tasks that make it.
+FILTER_BITS, KEY_BITS, FILTER_HASHES, FILTER_PARTS = 1 << 27, 16, 4, 16
 
 
 def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -166,30 +167,32 @@ def _may_be(keys: DataFrame, on: list[str]):
 
     def may(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for h in hashes:
-            places = bit_places(np.asarray(h).view(U))
+            places = bit_places(np.asarray(h).view(U), bits.value)
             yield pa.array(np.all((bits.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0))
 
     return F.arrow_udf(may, "boolean").asNondeterministic()
 
 
-def bit_places(h: np.ndarray) -> np.ndarray:
-    """Of each 64-bit hash, its bits in a bit filter; a key that the filter has has them all set."""
-    return np.stack([(mix(h + U(i)) % U(FILTER_BITS)).astype(np.int64) for i in range(FILTER_HASHES)])
+def bit_places(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of each 64-bit hash, its places in a bit filter; those of a key that the filter has are all set."""
+    return np.stack([(mix(h + U(i)) % U(8 * len(bits))).astype(np.int64) for i in range(FILTER_HASHES)])
 
 
 def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """The bit filter of all hashes (h): each task makes one of its keys, and the driver ors them, FILTER_PARTS of them."""
+    """The bit filter of all hashes (h) of a written table, of KEY_BITS bits a row and FILTER_BITS at most: each task makes one
+    of its rows, and the driver ors them, FILTER_PARTS of them."""
+    size = min(FILTER_BITS, 1 << max(16, (KEY_BITS * hashes.count()).bit_length())) >> 3
 
     def make(batches):
-        bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
-            places = bit_places(np.asarray(batch.column("h")).view(U)).ravel()
+            places = bit_places(np.asarray(batch.column("h")).view(U), bits).ravel()
             np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
     made = hashes.coalesce(FILTER_PARTS).mapInArrow(make, "bits binary")
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in made.toLocalIterator():  # FILTER_PARTS arrays of FILTER_BITS, one at a time
+    bits = np.zeros(size, np.uint8)
+    for row in made.toLocalIterator():  # FILTER_PARTS arrays of FILTER_BITS at most, one at a time
         bits |= np.frombuffer(row["bits"], np.uint8)
     return bits
 
