@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import BASE, STEP_BYTES, Texts, U, bit_filter, bit_places, cut, maybe_broadcast, mix, separators, slices, steps, tidy
+from .shared import BASE, BROADCAST_BYTES, STEP_BYTES, Texts, U, bit_filter, bit_places, cut, maybe_broadcast, mix, separators, slices, steps, tidy
 
 #: Words of a candidate at most, its least count, and phrases of each language in the report.
 DEPTH, LEAST, TOP = 5, 100, 2000
@@ -25,10 +25,12 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 _BREAK = np.array([b in _BREAKS for b in range(256)])
 _NO_WORD = separators(lambda b: b not in _BREAKS and b not in b" \t")
-#: Bytes of text that a task sorts at a time before it sends suffixes, and suffixes that a route aims at.
-FLUSH_BYTES, ROUTE_ROWS = 3 << 20, 2_000_000
+#: Bytes of text that a task splits into words at a time, suffixes that it packs at a time, and suffixes that a route aims at.
+FLUSH_BYTES, GATHERED, ROUTE_ROWS = 3 << 20, 1_200_000, 2_000_000
 #: Leading words are split further where they lead so many suffixes, a share of a route, or where so many of them could be met.
 HOT_ROWS, MOST_HOT = ROUTE_ROWS // 8, 500_000
+#: Bytes of a frequent word, about, as it is sent to all tasks where all of them are few enough.
+WORD_BYTES = 64
 
 
 class _Words:
@@ -171,58 +173,128 @@ def _planes(rows: np.ndarray) -> bytes:
 
 def _rows_of(planes: bytes, n: int) -> np.ndarray:
     """The rows that _planes took."""
-    columns = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(DEPTH, 4, n).transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
+    columns = np.frombuffer(planes, np.uint8).reshape(DEPTH, 4, n).transpose(0, 2, 1).copy().view(np.uint32)[:, :, 0]
     columns[:2] = np.cumsum(columns[:2], axis=1, dtype=np.uint32)
     return columns.T
 
 
+class _Numbered:
+    """The frequent words of all languages, numbered from 1 by their counts: few enough to be sent whole."""
+
+    def __init__(self, words: pa.StringArray, langs: pa.StringArray):
+        self.words, self.hashes = words, _Words(words, langs).hash
+        self.order = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.order]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, 0 for a word that is not frequent."""
+        if not len(self.sorted):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at] + 1, 0).astype(np.int32)
+
+
+class _Filtered:
+    """The frequent words, and some others, as a bit filter of their hashes: for more words than can be sent."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers from 1 of the hashes that the filter has, 0 for the others."""
+        places = bit_places(hashes, self.bits)
+        keep = np.all((self.bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0)
+        return np.where(keep, np.cumsum(keep), 0).astype(np.int32)
+
+
+class _Gathered:
+    """Suffixes of several flushes under one numbering of their frequent words: that of _Numbered, or one of their own, whose
+    words they then carry."""
+
+    def __init__(self, frequent: _Numbered | _Filtered) -> None:
+        self.frequent, self.known = frequent, isinstance(frequent, _Numbered)
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, words: _Words) -> None:
+        """The suffixes of two words or more of a flush, up to its first word that is not frequent."""
+        hashes, number, first, times = words.vocabulary()
+        new = self.frequent.numbers(hashes)
+        keep = np.flatnonzero(new) if not self.known else np.zeros(0, np.int64)
+        suffixes = words.suffixes(new[number])
+        some = np.flatnonzero(suffixes[:, 1])
+        langs = pa.DictionaryArray.from_arrays(pa.array(words.lang[some]), pa.array(words.langs, pa.string()))
+        self.parts.append((hashes[keep], words.strings(first[keep]), times[keep], suffixes[some], langs.dictionary_decode()))
+        self.rows += len(some)
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.DictionaryArray]:
+        """(hashes, words, suffixes, langs) of all; usual words get small numbers, which pack well."""
+        langs = pa.concat_arrays([p[4] for p in self.parts]).dictionary_encode()
+        if self.known:
+            return self.frequent.hashes, pa.array([], pa.string()), np.concatenate([p[3] for p in self.parts]), langs
+        every = np.concatenate([p[0] for p in self.parts])
+        hashes, first, number = np.unique(every, return_index=True, return_inverse=True)
+        order = np.argsort(-np.bincount(number, np.concatenate([p[2] for p in self.parts]), len(hashes)), kind="stable")
+        place = np.empty(len(hashes), np.int32)
+        place[order] = np.arange(1, len(hashes) + 1)
+        number, at, suffixes = place[number], 0, []
+        for p in self.parts:
+            names = np.concatenate((np.zeros(1, np.int32), number[at : at + len(p[0])]))
+            suffixes.append(names[p[3]])
+            at += len(p[0])
+        words = pa.concat_arrays([p[1] for p in self.parts]).take(pa.array(first[order]))
+        return hashes[order], words, np.concatenate(suffixes), langs
+
+    def packed(self, routes: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The different suffixes and their times, a row for each route, language and number of leading words that route them."""
+        zstd = pa.Codec("zstd", compression_level=4)
+        hashes, texts, suffixes, coded = self.numbered()
+        langs, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        leading = _leading(suffixes, hashes)
+        _, at, times = np.unique(leading[-1], return_index=True, return_counts=True)
+        leading, suffixes, lang = [x[at] for x in leading], suffixes[at], lang[at]
+        depth = np.full(len(at), 2, np.int32)
+        for d in range(2, DEPTH):
+            depth[(depth == d) & np.isin(leading[d - 1], hot)] = d + 1
+        by = np.choose(depth - 2, leading[1:]) if len(at) else np.zeros(0, U)
+        route = ((by >> U(16)) % U(routes)).astype(np.int64)
+        group = (route * (DEPTH + 1) + depth) * max(len(langs), 1) + lang
+        order = np.lexsort((suffixes[:, 0].astype(np.int64) << 32 | suffixes[:, 1], group))
+        group = group[order]
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
+        out: list[list] = [[] for _ in range(7)]
+        for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
+            own = order[a:b]
+            i, rows, spelled = own[0], suffixes[own], b""
+            if not self.known:
+                used, local = np.unique(rows, return_inverse=True)
+                if used[0] != 0:
+                    used, local = np.concatenate(([0], used)), local + 1
+                rows, spelled = local.reshape(b - a, DEPTH), "\n".join(texts.take(pa.array(used[1:] - 1)).to_pylist()).encode()
+            row = (int(route[i]), langs[lang[i]], int(depth[i]), b - a, spelled, _planes(rows), times[own].astype(np.int32).tobytes())
+            for column, x in zip(out, row, strict=True):
+                column.append(len(x).to_bytes(4, "little") + zstd.compress(x, asbytes=True) if isinstance(x, bytes) else x)
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _ROUTED.split(", ")])
+        for a in range(0, made.num_rows, 64):
+            yield made.slice(a, 64)
+
+
 def _routed(rows: DataFrame, routes: int, frequent, hot) -> DataFrame:
-    """Different suffixes of two words or more of each flush with their times, by route, language and depth: the number of leading
-    words that route them. They end before a word that is not frequent.
+    """Different suffixes of two words or more with their times, GATHERED or a task's at a time, by route, language and depth.
 
-    frequent: broadcast bit filter of word hashes; hot: broadcast sorted hashes of leading words that do not route.
+    frequent: broadcast _Numbered or _Filtered; hot: broadcast hashes of leading words that do not route.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.Codec("zstd", compression_level=4)
+        held = _Gathered(frequent.value)
         for words in _flushes(batches):
-            hashes, number, first, times = words.vocabulary()
-            places = bit_places(hashes, frequent.value)
-            keep = np.flatnonzero(np.all((frequent.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1, axis=0))
-            keep = keep[np.argsort(-times[keep], kind="stable")]  # usual words get small numbers, which pack well
-            new = np.zeros(len(hashes), np.int32)
-            new[keep] = np.arange(1, len(keep) + 1)
-            hashes, first = hashes[keep], first[keep]
-            suffixes = words.suffixes(new[number])
-            some = np.flatnonzero(suffixes[:, 1])
-            suffixes, lang = suffixes[some], words.lang[some]
-            leading = _leading(suffixes, hashes)
-            _, at, times = np.unique(leading[-1], return_index=True, return_counts=True)
-            leading, suffixes, lang = [x[at] for x in leading], suffixes[at], lang[at]
-            depth = np.full(len(at), 2, np.int32)
-            for d in range(2, DEPTH):
-                depth[(depth == d) & np.isin(leading[d - 1], hot.value)] = d + 1
-            by = np.choose(depth - 2, leading[1:]) if len(at) else np.zeros(0, U)
-            route = ((by >> U(16)) % U(routes)).astype(np.int64)
-            group = (route * (DEPTH + 1) + depth) * len(words.langs) + lang
-            order = np.lexsort((suffixes[:, 0].astype(np.int64) << 32 | suffixes[:, 1], group))
-            group = group[order]
-            edges = np.flatnonzero(np.diff(group, prepend=-1))
-            texts = words.strings(first)
-            out: list[list] = [[] for _ in range(7)]
-            for a, b in zip(edges, np.append(edges[1:], len(group)), strict=True):
-                own = order[a:b]
-                used, local = np.unique(suffixes[own], return_inverse=True)
-                if used[0] != 0:
-                    used, local = np.concatenate(([0], used)), local + 1
-                spelled = "\n".join(texts.take(pa.array(used[1:] - 1)).to_pylist()).encode()
-                i = own[0]
-                row = (int(route[i]), words.langs[lang[i]], int(depth[i]), b - a, spelled, _planes(local.reshape(b - a, DEPTH)), times[own].astype(np.int32).tobytes())
-                for column, x in zip(out, row, strict=True):
-                    column.append(len(x).to_bytes(4, "little") + zstd.compress(x, asbytes=True) if isinstance(x, bytes) else x)
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _ROUTED.split(", ")])
-            for a in range(0, made.num_rows, 64):
-                yield made.slice(a, 64)
+            held.add(words)
+            if held.rows >= GATHERED:
+                yield from held.packed(routes, hot.value)
+                held = _Gathered(frequent.value)
+        if held.rows:
+            yield from held.packed(routes, hot.value)
 
     return rows.mapInArrow(run, _ROUTED)
 
@@ -262,21 +334,23 @@ def equal_parts(suffixes: np.ndarray, times: np.ndarray, least: int, from_depth:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def _unpacked(table: pa.Table, frequent: _Numbered | _Filtered) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(suffixes, times, words) of all rows of a table that _routed made; word i of suffixes is words[i - 1]."""
     zstd = pa.Codec("zstd")
 
     def opened(c: str) -> list[bytes]:
         return [zstd.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True) for x in table.column(c).to_pylist()]
 
+    times = np.concatenate([np.frombuffer(x, np.int32) for x in opened("times")]).astype(np.int64)
+    parts = [_rows_of(x, n) for x, n in zip(opened("suffixes"), table.column("n").to_pylist(), strict=True)]
+    if isinstance(frequent, _Numbered):
+        return np.concatenate(parts).astype(np.int32), times, frequent.words
     spelled = [x.decode().split("\n") if x else [] for x in opened("words")]
     coded = pa.array([w for x in spelled for w in x], pa.string()).dictionary_encode()
-    number, parts, at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1, [], 0
-    for n, own, data in zip(table.column("n").to_pylist(), spelled, opened("suffixes"), strict=True):
-        names = np.concatenate((np.zeros(1, np.int32), number[at : at + len(own)]))
+    number, at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1, 0
+    for i, own in enumerate(spelled):
+        parts[i] = np.concatenate((np.zeros(1, np.int32), number[at : at + len(own)]))[parts[i]]
         at += len(own)
-        parts.append(names[_rows_of(data, n)])
-    times = np.concatenate([np.frombuffer(x, np.int32) for x in opened("times")]).astype(np.int64)
     return np.concatenate(parts), times, coded.dictionary
 
 
@@ -290,7 +364,7 @@ def _phrases(words: pa.Array, suffixes: np.ndarray, row: np.ndarray, depth: np.n
     return pa.concat_arrays(out)
 
 
-def _frequent_phrases(routed: DataFrame, least: int) -> DataFrame:
+def _frequent_phrases(routed: DataFrame, frequent, least: int) -> DataFrame:
     """(lang, phrase, size, times) of phrases of two words and more. Those of leading words that several routes share come as one row
     a route, others once and only if they are frequent."""
 
@@ -301,7 +375,7 @@ def _frequent_phrases(routed: DataFrame, least: int) -> DataFrame:
                 own = table.filter(pc.and_(pc.equal(table.column("lang"), lang), pc.equal(table.column("depth"), first)))
                 if not own.num_rows:
                     continue
-                suffixes, times, words = _unpacked(own)
+                suffixes, times, words = _unpacked(own, frequent.value)
                 found = [equal_parts(suffixes, times, least, first)]
                 for d in range(2, first):
                     _, at, back = np.unique(suffixes[:, :d], axis=0, return_index=True, return_inverse=True)
@@ -346,8 +420,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         led = counted.select(F.explode(F.arrays_zip("leading", "load")).alias("x")).groupBy("x.leading").agg(F.sum("x.load").alias("load"))
         led = led.where(F.col("load") >= hot / 2).select("leading").toArrow().column(0).to_numpy()  # 6 * MOST_HOT at most, see HOT_ROWS
         context = spark.sparkContext
-        frequent, leading = context.broadcast(bit_filter(_hashed(words))), context.broadcast(np.sort(led.view(U)))
-        found = _frequent_phrases(_routed(rows, routes, frequent, leading), least).groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times"))
+        words = cut(words, "phrase-frequent")
+        if words.count() * WORD_BYTES <= BROADCAST_BYTES:
+            table = words.orderBy(F.col("times").desc(), "lang", "phrase").select("phrase", "lang").toArrow().combine_chunks()
+            one = lambda c: pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in table.column(c).chunks)])
+            known = _Numbered(one("phrase"), one("lang"))
+        else:
+            known = _Filtered(bit_filter(_hashed(words)))
+        frequent, leading = context.broadcast(known), context.broadcast(np.sort(led.view(U)))
+        found = _frequent_phrases(_routed(rows, routes, frequent, leading), frequent, least).groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times"))
         found = found.where(F.col("times") >= least).unionByName(words.select("lang", "phrase", F.lit(1).alias("size"), "times"))
         found = cut(found, "phrases")
         rated = _rated(found, totals)
