@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyfix.sources.shared import cut
+
+from .ordered import exact_quantiles, join_groups, with_previous
+
 
 def first_hits(ranked: DataFrame, positives: DataFrame) -> DataFrame:
     """(query_id, first_rank) for each query with a positive: the rank of its first relevant tile, null if none was found."""
@@ -23,34 +26,50 @@ def recall(hits: DataFrame, ks: tuple[int, ...], by: list[str] | None = None) ->
 
 def matching_report(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """n, mean_inliers over all frames, fix_rate in percent, and the exact median of error_km over fixes (null without)."""
-    fix = F.col("status") == "fix"
-    return results.groupBy(*(by or [])).agg(
+    by, fix = by or [], F.col("status") == "fix"
+    rows = cut(results.select(*by, "status", "confidence", F.when(fix, F.col("error_km")).alias("error_km")), "matching")
+    report = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("confidence").alias("mean_inliers"),
         (F.coalesce(F.avg(F.when(fix, 100.0).otherwise(0.0)), F.lit(0.0))).alias("fix_rate"),
-        F.median(F.when(fix, F.col("error_km"))).alias("median_error_km"),
     )
+    return _with_quantile(report, rows, "error_km", 0.5, by, "median_error_km")
 
 
 def coordinate_report(top1: DataFrame, by: list[str] | None = None) -> DataFrame:
     """num_scored, top1_correct_tile_rate, median and mean coordinate error, from (correct, error_km) of the best tiles."""
-    return top1.groupBy(*(by or [])).agg(
+    by = by or []
+    rows = cut(top1.select(*by, "correct", "error_km"), "coordinates")
+    report = rows.groupBy(*by).agg(
         F.count("*").alias("num_scored"),
         F.coalesce(F.avg(F.when(F.col("correct"), 100.0).otherwise(0.0)), F.lit(0.0)).alias("top1_correct_tile_rate"),
-        F.median("error_km").alias("median_coord_error_km"), F.avg("error_km").alias("mean_coord_error_km"),
+        F.avg("error_km").alias("mean_coord_error_km"),
     )
+    return _with_quantile(report, rows, "error_km", 0.5, by, "median_coord_error_km")
 
 
 def latency_report(log: DataFrame, latency: str, by: list[str] | None = None) -> DataFrame:
-    return log.groupBy(*(by or [])).agg(F.avg(latency).alias("mean_latency"), F.percentile(latency, 0.95).alias("p95_latency"))
+    """mean_latency and the exact p95_latency, between ranks by linear interpolation."""
+    by = by or []
+    rows = cut(log.select(*by, F.col(latency).alias("latency")), "latencies")
+    return _with_quantile(rows.groupBy(*by).agg(F.avg("latency").alias("mean_latency")), rows, "latency", 0.95, by, "p95_latency")
+
+
+def _with_quantile(report: DataFrame, rows: DataFrame, value: str, p: float, by: list[str], name: str) -> DataFrame:
+    """report, a row for each group of rows, with a quantile of the group's values (null where it has none)."""
+    found = cut(exact_quantiles(rows, value, [p], by), "quantiles")
+    return join_groups(report, found, by, "left").withColumn(name, F.col("quantiles")[0]).drop("quantiles")
 
 
 def counter_power(samples: DataFrame, ts: str, counter: str, most: float, by: list[str]) -> DataFrame:
     """samples with power_w: the counter's step (micro-joules) over the time step (seconds, 1e-6 at least). A counter that
-    fell has wrapped at `most`. Null at the first sample and next to an unreadable one. Ties in ts go by counter."""
-    w = W.partitionBy(*by).orderBy(ts, counter)
-    step = F.col(counter) - F.lag(counter).over(w)
+    fell has wrapped at `most`. Null at the first sample and next to an unreadable one. Ties in ts go by counter.
+
+    Samples are ordered in ranges, so that one run may have them all."""
+    near = with_previous(samples, by, [ts, counter], [ts, counter])
+    step = F.col(counter) - F.col(f"prev_{counter}")
     step = F.when(step < 0, step + most).otherwise(step)
-    return samples.withColumn("power_w", step / 1e6 / F.greatest(F.col(ts) - F.lag(ts).over(w), F.lit(1e-6)))
+    power = step / 1e6 / F.greatest(F.col(ts) - F.col(f"prev_{ts}"), F.lit(1e-6))
+    return near.select(*samples.columns, power.alias("power_w"))
 
 
 def resource_report(samples: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -115,7 +115,5 @@ def localize(frames: DataFrame, candidates: DataFrame, least: int = MIN_INLIERS)
         ),
     )
     best = best.select("query_id", "status", "confidence", "matched_tile_id", ties.alias("tie_points"), print_.alias("query_footprint"))
-    return best.join(listed, "query_id", "left").withColumn(
-        "candidates",
-        F.coalesce("candidates", F.expr("cast(array() as array<struct<tile_id: bigint, retrieval_similarity: double, num_inliers: int>>)")),
-    )
+    none = F.array().cast(listed.schema["candidates"].dataType)
+    return best.join(listed, "query_id", "left").withColumn("candidates", F.coalesce("candidates", none))

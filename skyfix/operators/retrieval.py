@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from skyfix.functions.ids import ROTATIONS, add_rotation
 from skyfix.functions.vectors import checked, distance, dot
 
 from .select import top_k
-from .spatial import SMALL_ROWS
+from .tile_index import TileIndex, build_index, search_index
 
-#: Vectors in a block of queries, in one of descriptors, and columns of scores that a task holds at once.
-QUERY_BLOCK, TILE_BLOCK, SCORES = 1024, 32_768, 4096
+#: Rows of a block of descriptors that queries meet in generated code, and bytes of centroids that are sent to all tasks.
+TILE_BLOCK, CENTROID_BYTES = 32_768, 16 << 20
 
 
 def expand_rotations(tiles: DataFrame, tile: str = "tile_id", degrees: tuple[int, ...] = ROTATIONS) -> DataFrame:
@@ -35,98 +34,46 @@ def in_blocks(left: DataFrame, right: DataFrame, blocks: int, key: Column) -> Da
     return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
 
-def similarities(queries: DataFrame, descriptors: DataFrame, dim: int) -> DataFrame:
-    """All (query_id, row of descriptors, similarity), in generated code."""
-    q = queries.select("query_id", checked(F.col("descriptor"), dim).alias("query_descriptor"))
+def similarities(queries: DataFrame, descriptors: DataFrame, dim: int, more: list[str] | None = None) -> DataFrame:
+    """All (query_id, more columns of queries, row of descriptors, similarity), in generated code."""
+    q = queries.select("query_id", *(more or []), checked(F.col("descriptor"), dim).alias("query_descriptor"))
     blocks = _blocks(descriptors.count(), TILE_BLOCK, int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = in_blocks(q, descriptors, blocks, F.col("tile_id"))
     return met.withColumn("similarity", dot(F.col("query_descriptor"), F.col("descriptor"), dim)).drop("query_descriptor", "descriptor")
 
 
-def _packed(rows: DataFrame, ids: list[str], block: str) -> DataFrame:
-    """(block, ids..., vectors): the rows of each block as one array of each id and one of all vectors, in order of the last id."""
-
-    def pack(key, table):
-        order = np.argsort(np.asarray(table.column(ids[-1])), kind="stable")
-        vectors = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)[order]
-        arrays = [np.asarray(table.column(c), dtype=np.int64)[order].tobytes() for c in ids] + [vectors.tobytes()]
-        return pa.table(
-            [pa.array([key[0].as_py()], pa.int32()), *(pa.array([a], pa.binary()) for a in arrays)], names=[block, *ids, "vectors"],
-        )
-
-    return rows.groupBy(block).applyInArrow(pack, f"{block} int, " + ", ".join(f"{c} binary" for c in [*ids, "vectors"]))
-
-
-def _best_of_block(
-    matrix: np.ndarray, own: np.ndarray | None, tile: np.ndarray, vectors: np.ndarray, k: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, tiles), the k best tiles of each query in a block of descriptors ordered by tile; ties go to the smaller tile."""
-    best_s, best_t = np.full((len(matrix), 0), -np.inf), np.zeros((len(matrix), 0), np.int64)
-    first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
-    bounds = np.append(first, len(tile))
-    for low in range(0, len(first), SCORES):
-        high = min(low + SCORES, len(first))
-        score = np.maximum.reduceat(matrix @ vectors[bounds[low] : bounds[high]].T, first[low:high] - bounds[low], axis=1)
-        tiles = np.broadcast_to(tile[first[low:high]], score.shape)
-        if own is not None:
-            score = np.where(own[:, None] == tiles, -np.inf, score)
-        # All tiles differ and come in order, so a stable sort by score breaks ties by tile.
-        score, tiles = np.hstack((best_s, score)), np.hstack((best_t, tiles))
-        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        best_s, best_t = np.take_along_axis(score, at, 1), np.take_along_axis(tiles, at, 1)
-    return best_s, best_t
-
-
-def _by_blocks(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exclude: bool) -> DataFrame:
-    """(query_id, tile_id, similarity): k a query and block of descriptors. Blocks of queries visit all blocks of descriptors by
-    an equi-join; all rows of a tile are in one block. Neither side passes the driver or is held whole by a task."""
-    q = queries.select(
-        F.col("query_id").cast("long").alias("query_id"), (F.col("own_tile") if exclude else F.lit(-1)).cast("long").alias("own"),
-        checked(F.col("descriptor"), dim).alias("v"),
-    )
-    q_blocks = _blocks(queries.count(), QUERY_BLOCK)
-    d_blocks = _blocks(descriptors.count(), TILE_BLOCK, int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = _packed(q.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")), ["own", "query_id"], "q_block")
-    d = descriptors.select(F.col("tile_id").cast("long").alias("tile_id"), checked(F.col("descriptor"), dim).alias("v"))
-    d = _packed(
-        d.withColumn("d_block", F.pmod(F.xxhash64("tile_id"), F.lit(d_blocks)).cast("int")), ["tile_id"], "d_block",
-    ).withColumnRenamed("vectors", "tile_vectors")
-    met = q.withColumn(
-        "d_block", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))),
-    ).join(d, "d_block").select("query_id", "own", "vectors", "tile_id", "tile_vectors")
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, own, tile = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("query_id", "own", "tile_id"))
-                matrix, vectors = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("vectors", len(ids)), ("tile_vectors", len(tile))))
-                score, tiles = _best_of_block(matrix, own if exclude else None, tile, vectors, k)
-                at, place = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(tiles[at, place]), pa.array(score[at, place])], ["query_id", "tile_id", "similarity"],
-                )
-
-    return met.mapInArrow(run, "query_id long, tile_id long, similarity double")
+def _kept(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exclude: bool) -> DataFrame:
+    """(query_id, tile_id, similarity) of the best variants of each query, all pairs met in generated code. Every task keeps a bounded
+    heap a query and sends only that: k times the variants of a tile, so that k tiles are among them."""
+    variants = descriptors.groupBy("tile_id").count().agg(F.max("count")).first()[0] or 1
+    own = ["own_tile"] if exclude else []
+    met = similarities(queries, descriptors, dim, own)
+    met = met.where("tile_id <> own_tile or own_tile is null") if exclude else met
+    best = InternalFunction.collect_top_k(F.struct((-F.col("similarity")).alias("far"), "tile_id"), k * variants, True)
+    return met.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best").alias("b")).groupBy(
+        "query_id", F.col("b.tile_id").alias("tile_id"),
+    ).agg(F.max(-F.col("b.far")).alias("similarity"))
 
 
 def search_tiles(
-    queries: DataFrame, descriptors: DataFrame, dim: int, k: int, method: str = "gemm", exclude_own: bool = False,
+    queries: DataFrame, descriptors: DataFrame | TileIndex, dim: int, k: int, method: str = "gemm", exclude_own: bool = False,
 ) -> DataFrame:
     """(query_id, tile_id, similarity, rank): the k tiles of each query with the largest similarity over their rotation
-    variants, best first, ties by tile. k is capped by the number of tiles.
+    variants, best first, ties by tile. k is capped by the number of tiles; ids may be of any type that has an order.
 
     queries: query_id, descriptor (and own_tile with exclude_own, which is left out of the query's result). descriptors:
-    tile_id, descriptor, one row for each variant. `gemm` multiplies blocks and keeps k a query of each; `native` meets all
-    pairs in generated code and takes the maximum of each tile.
+    tile_id, descriptor, one row for each variant; rows without tile_id are left out. `gemm` multiplies blocks of an index (see
+    tile_index), built here or once before; `native` meets all pairs in generated code, for small dims.
     """
     if method == "native":
-        found = similarities(queries, descriptors, dim)
-        if exclude_own:
-            found = found.join(queries.select("query_id", "own_tile"), "query_id").where("tile_id <> own_tile")
-        found = found.groupBy("query_id", "tile_id").agg(F.max("similarity").alias("similarity"))
-    else:
-        found = _by_blocks(queries, descriptors, dim, k, exclude_own)
-    return top_k(found, ["query_id"], [F.col("similarity").desc(), F.col("tile_id")], k)
+        rows = descriptors.where("tile_id is not null").select("tile_id", "descriptor")
+        return top_k(_kept(queries, rows, dim, k, exclude_own), ["query_id"], [F.col("similarity").desc(), F.col("tile_id")], k)
+    if isinstance(descriptors, TileIndex):
+        return search_index(queries, descriptors, k, exclude_own)[0]
+    index = build_index(descriptors, dim)
+    hits, _ = search_index(queries, index, k, exclude_own)
+    index.delete()
+    return hits
 
 
 def with_tiles(hits: DataFrame, tiles: DataFrame, tile: str = "tile_id") -> DataFrame:
@@ -135,11 +82,12 @@ def with_tiles(hits: DataFrame, tiles: DataFrame, tile: str = "tile_id") -> Data
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
-    """(key, cluster_id, centroid_distance): the nearest centroid (L2), the smallest id on ties. Few centroids are broadcast;
-    rows visit many of them block by block."""
+    """(key, cluster_id, centroid_distance): the nearest centroid (L2), the smallest id on ties. Centroids of CENTROID_BYTES are
+    broadcast; rows visit more of them block by block."""
     centroids = centroids.select("cluster_id", F.col("descriptor").alias("centroid"))
-    n = centroids.count()
-    met = rows.join(F.broadcast(centroids)) if n <= SMALL_ROWS else in_blocks(rows, centroids, _blocks(n, SMALL_ROWS), F.col("cluster_id"))
+    size = centroids.agg(F.coalesce(F.sum(F.size("centroid") * 8), F.lit(0))).first()[0]
+    few = size <= CENTROID_BYTES
+    met = rows.crossJoin(F.broadcast(centroids)) if few else in_blocks(rows, centroids, _blocks(size, CENTROID_BYTES), F.col("cluster_id"))
     far = met.withColumn("d", distance(F.col("descriptor"), F.col("centroid")))
     return far.groupBy(key).agg(
         F.min_by("cluster_id", F.struct("d", "cluster_id")).alias("cluster_id"), F.min("d").alias("centroid_distance"),

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyfix.sources.shared import cut
+
+from .ordered import join_groups, with_previous
+
 
 def seeded(key: Column, seed: int) -> Column:
     """A fixed order that looks random: the md5 of seed and key. It does not depend on partitions."""
@@ -114,9 +118,11 @@ def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def progress(log: DataFrame, time: str, total: int, by: str, tie: str | None = None) -> DataFrame:
     """A work log with done, rate (a second) and eta_s at each entry of each worker or run (`by`); `time` is in seconds, ties go
-    by `tie`."""
-    w = W.partitionBy(by).orderBy(time, *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, 0)
-    out = log.withColumn("done", F.count("*").over(w)).withColumn("elapsed", F.col(time) - F.min(time).over(w))
+    by `tie`. Entries are ordered in ranges, so that one worker may have them all."""
+    placed = with_previous(log, [by], [time, *([tie] if tie else [])], [])
+    begun = cut(log.groupBy(by).agg(F.min(time).alias("_begun")), "work-begun")
+    out = join_groups(placed, begun, [by]).withColumn("elapsed", F.col(time) - F.col("_begun"))
+    out = out.select(*log.columns, F.col("place").alias("done"), "elapsed")
     some = F.col("elapsed") > 0
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
     return out.withColumn("rate", F.when(some, F.col("done") / F.col("elapsed"))).withColumn(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyfix.functions import frames as fr
 from skyfix.functions import geo, ids, vectors
 from skyfix.operators import evaluate, localize, measure, retrieval, select, spatial, training
+from skyfix.operators.tile_index import build_index, search_index
 from skyfix.sources import sinks, tables
 from skyfix.sources.shared import shared_dir
 from skyfix.sources.tables import manifest_numbers, scoped
@@ -492,6 +493,21 @@ def top_k_tiles_native(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, 5, "native").select("query_id", "tile_id", *r6("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+_NAMED = ("SELECT query_name, tile_name, round(similarity,6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY similarity DESC, tile_name) AS rank "
+    "FROM (SELECT 'q'||q.query_id AS query_name, 'ISS'||(d.tile_id%97)||'@'||d.tile_id AS tile_name, max(list_dot_product(q.descriptor, d.descriptor)) AS similarity FROM qd q JOIN descriptors d ON d.tile_id<>q.own_tile GROUP BY 1,2)) WHERE rank<=10")
+
+
+@query(sql(_NAMED, "qd", "descriptors"))
+def top_k_named_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Search by names as footprints have them, over an index of blocks so small that bounds decide which of them are visited."""
+    name = lambda t: F.concat(F.lit("ISS"), t % 97, F.lit("@"), t).alias("tile_id")
+    index = build_index(S.descriptors(spark, d).select(name(F.col("tile_id")), "descriptor"), S.DIM, block_bytes=16 * 4 * S.DIM)
+    q = S.query_descriptors(spark, d)
+    q = q.select(F.concat(F.lit("q"), "query_id").alias("query_id"), name(F.col("own_tile")).alias("own_tile"), "descriptor")
+    hits, _ = search_index(q, index, 10, exclude_own=True)
+    return hits.select(F.col("query_id").alias("query_name"), F.col("tile_id").alias("tile_name"), *r6("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     sql(
         "SELECT query_id, r.tile_id, rank, round(similarity,6) AS similarity, year, zoom, tile_lat FROM ranked r JOIN tiles0 t ON "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,3 +25,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_of(df: DataFrame) -> str:
+    """The folder of a table that cut wrote."""
+    return df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""
+
+
+def delete(df: DataFrame) -> None:
+    """Remove a table that cut wrote, when nothing reads it any more."""
+    path = path_of(df)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, most: int):
+    """While it lasts, Spark sends rows to Python in Arrow batches of so many bytes at most, or row by row where rows are larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)

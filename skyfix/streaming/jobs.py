@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.operators.localize import MIN_INLIERS, localize
-from skyfix.operators.retrieval import search_tiles
+from skyfix.operators.tile_index import TileIndex, build_index, search_index
 
 
 def localize_stream(frames: DataFrame, batch_job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger):
@@ -22,18 +22,19 @@ def localize_stream(frames: DataFrame, batch_job: Callable[[DataFrame], DataFram
 
 
 def localization_job(
-    descriptors: DataFrame, matcher: Callable[[DataFrame], DataFrame], tiles: DataFrame, dim: int, k: int, least: int = MIN_INLIERS,
+    descriptors: DataFrame | TileIndex, matcher: Callable[[DataFrame], DataFrame], tiles: DataFrame, dim: int, k: int, least: int = MIN_INLIERS,
 ) -> Callable[[DataFrame], DataFrame]:
     """A batch job for localize_stream: searches the reference descriptors for each frame (query_id, descriptor, query_h,
     query_w), matches the k best tiles and localizes.
 
-    matcher: from (query_id, tile_id, rank, similarity) to the same with num_inliers, correspondences and homography. tiles:
+    descriptors: an index, or a table of which one is made here, once: no micro-batch reads the table again. matcher: from (query_id, tile_id, rank, similarity) to the same with num_inliers, correspondences and homography. tiles:
     tile_id, corners, tile_h, tile_w. A frame that names its own_tile does not find that one.
     """
+    index = descriptors if isinstance(descriptors, TileIndex) else build_index(descriptors, dim)
 
     def job(batch: DataFrame) -> DataFrame:
         own = [c for c in ("own_tile",) if c in batch.columns]
-        found = search_tiles(batch.select("query_id", "descriptor", *own), descriptors, dim, k, exclude_own=bool(own))
+        found, _ = search_index(batch.select("query_id", "descriptor", *own), index, k, bool(own))
         candidates = matcher(found).join(tiles, "tile_id")
         return localize(batch.select("query_id", "query_h", "query_w"), candidates, least)
 

@@ -5,8 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from skyfix.operators import evaluate, localize, plugins, retrieval, select, spatial, training
+from skyfix.sources.shared import shared_dir
+from skyfix.operators import evaluate, localize, plugins, retrieval, select, spatial, tile_index, training
 from skyfix.sources import sinks, tables
+from skyfix.sources.shared import shared_dir
 from skyfix.streaming import jobs
 
 RING = "array<struct<lat: double, lon: double>>"
@@ -74,16 +76,83 @@ def test_search_caps_ties_and_checks(spark):
         retrieval.search_tiles(q, d, 3, 2).collect()
 
 
-def test_query_blocks_give_the_same(spark, monkeypatch):
-    rnd = np.random.default_rng(3)
-    d = spark.createDataFrame(
-        [(i // 4, i % 4 * 90, rnd.normal(size=8).tolist()) for i in range(400)], "tile_id long, rotation int, descriptor array<double>",
-    ).repartition(5)
-    q = spark.createDataFrame([(i, rnd.normal(size=8).tolist()) for i in range(30)], "query_id long, descriptor array<double>")
-    key = lambda df: sorted((r.query_id, r["rank"], r.tile_id, round(r.similarity, 9)) for r in df.collect())
-    native = key(retrieval.search_tiles(q, d, 8, 6, "native"))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    assert key(retrieval.search_tiles(q, d, 8, 6)) == native and len(native) == 180
+def _search_tables(spark, rnd, tiles, queries, dim, near=0.0, kind="float"):
+    home = rnd.normal(size=(12, dim))
+    vectors = [(home[i % 12] * near + rnd.normal(size=dim)).tolist() for i in range(tiles * 3)]
+    d = spark.createDataFrame([(f"t{i // 3 % 31}@{i // 3}", v) for i, v in enumerate(vectors)], f"tile_id string, descriptor array<{kind}>").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", f"t{i * 7 % 31}@{i * 7}", vectors[i * 21]) for i in range(queries)], f"query_id string, own_tile string, descriptor array<{kind}>")
+    return q, d
+
+
+def _plain_search(q, d, k, exclude):
+    rows = d.collect()
+    matrix = np.array([r.descriptor for r in rows])
+    out = {}
+    for r in q.collect():
+        best = {}
+        for t, s in zip((x.tile_id for x in rows), matrix @ np.array(r.descriptor), strict=True):
+            if not (exclude and t == r.own_tile):
+                best[t] = max(best.get(t, -np.inf), s)
+        out[r.query_id] = [(t, round(s, 6)) for t, s in sorted(best.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]]
+    return out
+
+
+def _found(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: r["rank"]):
+        out.setdefault(r.query_id, []).append((r.tile_id, round(r.similarity, 6)))
+    return out
+
+
+@pytest.mark.parametrize("near", [0.0, 20.0])
+def test_an_index_of_many_blocks_finds_the_same(spark, monkeypatch, near):
+    monkeypatch.setattr(tile_index, "QUERY_BYTES", 7 * 8 * 8)
+    q, d = _search_tables(spark, np.random.default_rng(3), 400, 30, 8, near)
+    index = tile_index.build_index(d, 8, block_bytes=40 * 4 * 8)
+    hits, seen = tile_index.search_index(q, index, 6, exclude_own=True)
+    assert _found(hits) == _plain_search(q, d, 6, True)
+    assert seen.tile_blocks >= 30 and seen.query_blocks >= 4 and 0 < seen.visited <= seen.query_blocks * seen.tile_blocks
+    if near:
+        assert seen.skipped_share > 0.5  # tiles lie in twelve crowds
+    again, _ = tile_index.search_index(q, index.save(f"{shared_dir(spark)}/index-test-{near}"), 6, exclude_own=True)
+    assert _found(again) == _found(hits)
+    for method in ("gemm", "native"):
+        assert _found(retrieval.search_tiles(q, d, 8, 6, method, exclude_own=True)) == _found(hits)
+
+
+def test_blocks_of_wide_vectors_are_bounded(spark):
+    """Vectors of 4,096 numbers, as encoders give them, in blocks of 16 MB at most."""
+    dim = 4096
+    d = spark.range(2500).select(F.concat(F.lit("t"), "id").alias("tile_id"), F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: F.sin(j * (F.col("id") % 2000 + 1)).cast("float")).alias("descriptor"))
+    q = d.where("tile_id in ('t3', 't1999')").select(F.col("tile_id").alias("query_id"), "descriptor")
+    index = tile_index.build_index(d, dim)
+    assert index.blocks.agg(F.max(F.length("vectors"))).first()[0] <= tile_index.BLOCK_BYTES
+    found = _found(tile_index.search_index(q, index, 2)[0])
+    assert [t for t, _ in found["t1999"]][0] == "t1999" and [t for t, _ in found["t3"]] == ["t2003", "t3"]
+
+
+def test_one_vector_of_many_tiles_is_cut(spark, monkeypatch):
+    d = spark.range(3000).select("id", F.array(F.lit(1.0), F.lit(0.5)).alias("descriptor")).withColumnRenamed("id", "tile_id")
+    index = tile_index.build_index(d, 2, block_bytes=100 * 16)
+    assert index.blocks.agg(F.max(F.size("tiles"))).first()[0] <= 110
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, descriptor array<double>")
+    assert [t for t, _ in _found(tile_index.search_index(q, index, 4)[0])[1]] == [0, 1, 2, 3]
+
+
+def test_native_search_sends_heaps_only(spark):
+    q, d = _search_tables(spark, np.random.default_rng(4), 300, 20, 8)
+    plan = retrieval._kept(q, d, 8, 5, True)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_top_k" in plan
+
+
+def test_nearest_centroids_in_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(50)], "id int, descriptor array<double>")
+    centroids = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(20)], "cluster_id int, descriptor array<double>")
+    key = lambda df: sorted((r.id, r.cluster_id, round(r.centroid_distance, 9)) for r in df.collect())
+    sent = key(retrieval.nearest_centroid(rows, centroids, "id"))
+    monkeypatch.setattr(retrieval, "CENTROID_BYTES", 100)
+    assert key(retrieval.nearest_centroid(rows, centroids, "id")) == sent and len(sent) == 50
 
 
 def candidates(spark, rows):
