@@ -14,8 +14,8 @@ KM_PER_DEGREE = 111.0
 SMALL_ROWS = 10_000
 #: Cells that one point looks into at most, one by one.
 MOST_CELLS = 2000
-#: Queries in a grid cell beyond which it is cut into slices.
-CROWDED = 128
+#: Queries, and tiles, in a grid cell beyond which it is cut into slices.
+CROWDED, CROWDED_TILES = 128, 4096
 
 
 def cell_size(*boxes: DataFrame) -> float:
@@ -28,37 +28,77 @@ def cell_size(*boxes: DataFrame) -> float:
     return float(middle) if middle and middle > 0 else 1.0
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    steps = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    return df.withColumn("cell_y", F.explode(steps("box.lat_min", "box.lat_max"))).withColumn("cell_x", F.explode(steps("box.lon_min", "box.lon_max")))
+def _leveled(df: DataFrame, corners: str, box: str, cell: float) -> DataFrame:
+    """df with the box of its corners and its level: the first at which a cell, of `cell` degrees at level 0 and twice as wide at
+    each next one, is as wide as the box. So a box touches two by two cells of its level, whatever its size."""
+    side = lambda b: F.greatest(b["lat_max"] - b["lat_min"], b["lon_max"] - b["lon_min"])
+    return df.withColumn(box, bbox(F.col(corners))).withColumn(
+        f"{box}_level", F.greatest(F.ceil(F.log2(F.greatest(side(F.col(box)) / cell, F.lit(1.0)))), F.lit(0)).cast("int"),
+    )
 
 
-def overlapping(queries: DataFrame, tiles: DataFrame, cell: float | None = None) -> DataFrame:
-    """Pairs (query columns, tile columns) whose bounding boxes overlap, bounds included.
+def _cells(df: DataFrame, box: str, level: Column, cell: float) -> DataFrame:
+    """A row for each cell of a level that the box touches; level may be a generator of levels."""
+    rows, b = df.withColumn("level", level), F.col(box)
+    wide = F.pow(F.lit(2.0), F.col("level")) * cell
+    steps = lambda k: F.sequence(F.floor(b[f"{k}_min"] / wide), F.floor(b[f"{k}_max"] / wide))
+    return rows.withColumn("cell_y", F.explode(steps("lat"))).withColumn("cell_x", F.explode(steps("lon")))
+
+
+_CELL = ["level", "cell_y", "cell_x"]
 
-    Both sides have `corners`; other names must differ. Boxes are dealt to grid cells and meet by an equi-join on the cell;
-    a pair is kept in the one cell that has the low corner of its overlap, so there is nothing to make distinct. A cell with
-    more than CROWDED queries is cut into slices, each of which meets the cell's tiles by itself.
+
+def _meet(home: DataFrame, other: DataFrame, boxes: tuple[str, str], cell: float) -> DataFrame:
+    """Pairs of boxes that share a cell and overlap, kept in the one cell that has the low corner of their overlap.
+
+    A cell with more than CROWDED boxes of a side is cut along that side: each slice of one side meets each slice of the other.
     """
-    q = queries.withColumn("box", bbox(F.col("corners"))).withColumnRenamed("corners", "query_corners")
-    t = tiles.withColumn("box", bbox(F.col("corners"))).withColumnRenamed("corners", "tile_corners")
-    cell = cell or cell_size(q, t)
-    q = _cells(q, cell).withColumnRenamed("box", "query_box")
-    t = _cells(t, cell).withColumnRenamed("box", "tile_box")
-    crowded = q.groupBy("cell_y", "cell_x").agg(F.ceil(F.count("*") / CROWDED).cast("int").alias("slices")).where("slices > 1")
-    q = q.join(crowded, ["cell_y", "cell_x"], "left").withColumn(
-        "slice", F.pmod(F.xxhash64("query_corners"), F.coalesce("slices", F.lit(1))).cast("int"),
-    ).drop("slices")
-    t = t.join(crowded, ["cell_y", "cell_x"], "left").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)),
-    ).drop("slices")
+    sizes = home.groupBy(_CELL).agg(F.count("*").alias("n")).select(*_CELL, F.ceil(F.col("n") / CROWDED).cast("int").alias("h_slices"), F.lit(1).alias("o_slices"))
+    others = other.groupBy(_CELL).agg(F.count("*").alias("n")).select(*_CELL, F.lit(1).alias("h_slices"), F.ceil(F.col("n") / CROWDED_TILES).cast("int").alias("o_slices"))
+    cuts = sizes.unionByName(others).groupBy(_CELL).agg(F.max("h_slices").alias("h_slices"), F.max("o_slices").alias("o_slices"))
+    cuts = cuts.where("h_slices > 1 or o_slices > 1")
+    one = lambda c: F.coalesce(c, F.lit(1))
+
+    def sliced(rows: DataFrame, own: str, visited: str) -> DataFrame:
+        met = rows.join(cuts, _CELL, "left")
+        met = met.withColumn(f"{own[0]}_slice", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in _CELL]), one(f"{own}_slices")).cast("int"))
+        return met.withColumn(f"{visited[0]}_slice", F.explode(F.sequence(F.lit(0), one(f"{visited}_slices") - 1))).drop("h_slices", "o_slices")
+
     # Dealt by hand, so that a small table's pairs, which are many, are not all put into the few tasks that its bytes ask for.
-    parts, on = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["cell_y", "cell_x", "slice"]
-    both = q.repartition(parts, *on).join(t.repartition(parts, *on), on)
-    a, b = F.col("query_box"), F.col("tile_box")
+    parts, on = int(home.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*_CELL, "h_slice", "o_slice"]
+    both = sliced(home, "h", "o").repartition(parts, *on).join(sliced(other, "o", "h").repartition(parts, *on), on)
+    a, b = (F.col(x) for x in boxes)
     meet = (a["lat_min"] <= b["lat_max"]) & (b["lat_min"] <= a["lat_max"]) & (a["lon_min"] <= b["lon_max"]) & (b["lon_min"] <= a["lon_max"])
-    low = lambda k: F.floor(F.greatest(a[k], b[k]) / cell)
-    return both.where(meet & (F.col("cell_y") == low("lat_min")) & (F.col("cell_x") == low("lon_min"))).drop(*on, "query_box", "tile_box")
+    wide = F.pow(F.lit(2.0), F.col("level")) * cell
+    low = lambda k: F.floor(F.greatest(a[k], b[k]) / wide)
+    return both.where(meet & (F.col("cell_y") == low("lat_min")) & (F.col("cell_x") == low("lon_min"))).drop(*on)
+
+
+def overlapping(queries: DataFrame, tiles: DataFrame, cell: float | None = None) -> DataFrame:
+    """Pairs (query columns, tile columns) whose bounding boxes overlap, bounds included.
+
+    Both sides have `corners`; other names must differ. Boxes meet by an equi-join on cells of a grid with levels: a pair meets at
+    the level of its larger box, of which each box touches a few cells, so a box as wide as a continent costs no more rows than a
+    small one. There is a row of a box for each level that the other side has, some twenty at most. Crowded cells are cut along
+    both sides; a pair is found in one cell only, so there is nothing to make distinct.
+    """
+    cell = cell or cell_size(*(x.select(bbox(F.col("corners")).alias("box")) for x in (queries, tiles)))
+    q = cut(_leveled(queries.withColumnRenamed("corners", "query_corners"), "query_corners", "query_box", cell), "query-boxes")
+    t = cut(_leveled(tiles.withColumnRenamed("corners", "tile_corners"), "tile_corners", "tile_box", cell), "tile-boxes")
+    levels = q.select(F.lit("q").alias("side"), F.col("query_box_level").alias("l")).unionByName(t.select(F.lit("t").alias("side"), F.col("tile_box_level").alias("l")))
+    found = [tuple(r) for r in levels.where("l is not null").distinct().collect()]  # a few dozen at most: binary logarithms
+    of = lambda side: F.array(*(F.lit(x) for s, x in sorted(found) if s == side)) if any(s == side for s, _ in found) else F.array().cast("array<int>")
+    above = lambda levels, least: F.explode(F.filter(levels, lambda x: x >= least))
+    large_queries = _meet(
+        _cells(q, "query_box", F.col("query_box_level"), cell), _cells(t, "tile_box", above(of("q"), F.col("tile_box_level")), cell),
+        ("query_box", "tile_box"), cell,
+    )
+    large_tiles = _meet(
+        _cells(q, "query_box", above(of("t"), F.col("query_box_level") + 1), cell), _cells(t, "tile_box", F.col("tile_box_level"), cell),
+        ("query_box", "tile_box"), cell,
+    )
+    extra = ["query_box", "tile_box", "query_box_level", "tile_box_level"]
+    return large_queries.unionByName(large_tiles).drop(*extra)
 
 
 def positives(queries: DataFrame, tiles: DataFrame, least_iou: float = 0.2, cell: float | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from skyfix.operators.tile_index import build_index, search_index
 from skyfix.sources import sinks, tables
 from skyfix.sources.shared import shared_dir
 from skyfix.sources.tables import manifest_numbers, scoped
-from skyfix.streaming import jobs
+from skyfix.streaming import jobs, power
 
 from . import standins as S
 from .oracle_views import haversine, sql
@@ -1172,15 +1172,19 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(S.table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
-@query(
-    "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, max(value) AS peak, round(avg(value),6) AS mean, count(*) AS n FROM "
-    "events GROUP BY 1"
-)
+_POWER = ("SELECT time_bucket(INTERVAL '1 hour', at_) AS window_start, max(rss_mb) AS peak, round(avg(rss_mb),6) AS mean, round(max(power),6) AS peak_power_w, round(avg(power),6) AS mean_power_w, count(*) AS n FROM "
+    "(SELECT *, make_timestamp((ts*1e6)::BIGINT) AS at_, (CASE WHEN step<0 THEN step+262144000 ELSE step END)/1e6/greatest(ts-before,1e-6) AS power FROM "
+    "(SELECT *, counter-lag(counter) OVER w AS step, lag(ts) OVER w AS before FROM samples WINDOW w AS (PARTITION BY run_id ORDER BY ts, counter NULLS FIRST))) GROUP BY 1")
+
+
+@query(sql(_POWER, "samples"))
 def stream_resource_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("rss_mb"))
-    return _closed(rows, "ts", jobs.resource_windows).select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean"), "n",
-    )
+    """A stream of resource samples: memory and power of each hour, power from the counters of runs kept in state."""
+    rows = S.samples(spark, d).select("run_id", F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("bigint")).alias("ts"), "counter", "rss_mb")
+    job = lambda stream: power.power_windows(power.counter_power_stream(stream, "run_id", "counter", "rss_mb", 262144000.0))
+    with power.keyed_state(spark):
+        out = _closed(rows, "ts", job)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "peak", *r6("mean", "peak_power_w", "mean_power_w"), "n")
 
 
 @query(

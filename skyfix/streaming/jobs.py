@@ -45,10 +45,13 @@ def measurement_arcs(
     ties: DataFrame, length: str = "15 minutes", late: str = "10 minutes", ts: str = "ts", camera: str = "camera",
 ) -> DataFrame:
     """(camera, arc_start, arc_end, n_rows, n_frames) of tumbling windows; works on streams and tables alike. Frames are counted
-    exactly: the state of an open window holds their ids."""
+    exactly by two aggregations, one behind the other: rows of each frame in a window, then frames of the window. Open windows
+    hold a row of two numbers for each frame, which keys of a store hold, never a list; null is no frame."""
     rows = ties.withWatermark(ts, late) if ties.isStreaming else ties
-    return rows.groupBy(F.window(ts, length).alias("w"), camera).agg(F.count("*").alias("n_rows"), F.size(F.collect_set("frame_id")).cast("long").alias("n_frames")).select(
-        camera, F.col("w.start").alias("arc_start"), F.col("w.end").alias("arc_end"), "n_rows", "n_frames",
+    of_frame = rows.groupBy(F.window(ts, length).alias("w"), camera, "frame_id").agg(F.count("*").alias("n"))
+    arcs = of_frame.groupBy(F.window(F.window_time("w"), length).alias("arc"), camera)
+    return arcs.agg(F.sum("n").alias("n_rows"), F.count("frame_id").alias("n_frames")).select(
+        camera, F.col("arc.start").alias("arc_start"), F.col("arc.end").alias("arc_end"), "n_rows", "n_frames",
     )
 
 

@@ -398,3 +398,33 @@ def test_streams_equal_tables(spark, tmp_path):
     )
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "loc")).select("query_id").distinct().count() == 300
+
+
+def _boxes(spark, rows, key):
+    return spark.createDataFrame([(i, box(lat, lon, half)) for i, (lat, lon, half) in enumerate(rows)], f"{key} int, corners {RING}")
+
+
+def _plain_overlaps(q, t):
+    meet = lambda a, b: all(abs(a[i] - b[i]) <= a[2] + b[2] for i in (0, 1))
+    return sorted((i, j) for i, a in enumerate(q) for j, b in enumerate(t) if meet(a, b))
+
+
+def test_boxes_of_all_sizes_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CROWDED", 7)
+    monkeypatch.setattr(spatial, "CROWDED_TILES", 11)
+    rnd = random.Random(9)
+    some = lambda n: [(rnd.randrange(-80, 80) / 2, rnd.randrange(-200, 200) / 2, rnd.choice([0.0, 0.25, 0.25, 0.5, 1.0, 4.0, 32.0])) for _ in range(n)]
+    q, t = some(60) + [(0.0, 0.0, 90.0)] + [(10.0, 10.0, 0.25)] * 30, some(80) + [(0.0, 0.0, 128.0)] + [(10.0, 10.0, 0.5)] * 40
+    got = spatial.overlapping(_boxes(spark, q, "query_id"), _boxes(spark, t, "tile_id"), cell=0.5)
+    assert sorted((r.query_id, r.tile_id) for r in got.collect()) == _plain_overlaps(q, t)
+    assert got.columns == ["query_id", "query_corners", "tile_id", "tile_corners"]
+
+
+def test_a_global_box_among_small_ones_is_a_few_rows(spark):
+    rows = spatial._leveled(_boxes(spark, [(0.0, 0.0, 80.0), (1.0, 1.0, 0.01)], "query_id"), "corners", "query_box", 0.01)
+    assert spatial._cells(rows, "query_box", F.col("query_box_level"), 0.01).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_no_boxes_meet_none(spark):
+    none, some = _boxes(spark, [(0.0, 0.0, 1.0)], "query_id").where("query_id > 5"), _boxes(spark, [(0.0, 0.0, 1.0)], "tile_id")
+    assert spatial.overlapping(none, some).count() == 0
