@@ -127,9 +127,11 @@ def leaderboard(rows: DataFrame, values: list[str]) -> DataFrame:
     return rows.select("region", "model", *(F.bround(v, 1).alias(v) for v in values)).orderBy("region", "model")
 
 
-def result_document(rows: DataFrame, fields: list[str], key: str = "region") -> DataFrame:
-    """One JSON document: a map from region to its fields."""
-    return rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.struct(*fields)))))).alias("document"))
+def result_document(rows: DataFrame, fields: list[str], key: str = "region", by: list[str] | None = None) -> DataFrame:
+    """One JSON document, or one for each group (`by`, then document): a map from region to its fields, in order of regions."""
+    entries = F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value")))
+    entries = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return rows.groupBy(*(by or [])).agg(F.to_json(F.map_from_entries(entries)).alias("document"))
 
 
 def metric_rows(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -144,8 +146,8 @@ def export_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def residuals(rows: DataFrame, angle: Column, by: str) -> DataFrame:
-    """(by, rms, worst, n) of an angle of each row."""
+def residuals(rows: DataFrame, angle: Column, by: str, *more: Column) -> DataFrame:
+    """(by, rms, worst, n, more aggregates) of an angle of each row."""
     return rows.withColumn("_a", angle).groupBy(by).agg(
-        F.sqrt(F.avg(F.col("_a") * F.col("_a"))).alias("rms"), F.max("_a").alias("worst"), F.count("*").alias("n"),
+        F.sqrt(F.avg(F.col("_a") * F.col("_a"))).alias("rms"), F.max("_a").alias("worst"), F.count("*").alias("n"), *more,
     )

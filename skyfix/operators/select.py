@@ -111,9 +111,9 @@ def capped_counts(df: DataFrame, group: str, cap: int) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("total")).withColumn("chosen", F.least(F.col("total"), F.lit(cap).cast("long")))
 
 
-def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Work whose key is not among what is done."""
-    return work.join(done.select(key), key, "left_anti")
+def pending(work: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
+    """Work whose keys are not among what is done."""
+    return work.join(done.select(*keys), list(keys), "left_anti")
 
 
 def progress(log: DataFrame, time: str, total: int, by: str, tie: str | None = None) -> DataFrame:

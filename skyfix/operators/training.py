@@ -2,36 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyfix.functions.vectors import dot
+from skyfix.sources.shared import cut, delete
 
-from skyfix.sources.shared import cut
-
-from .select import seeded_places
+from .retrieval import CENTROID_BYTES
+from .select import sample, seeded_places
 
 #: Of the multi-similarity loss: weights of positives and negatives, base similarity, mining margin.
 ALPHA, BETA, BASE, MARGIN = 2.0, 50.0, 0.5, 0.1
 
 
-def fit_clusters(rows: DataFrame, k: int = 50, rounds: int = 20, seed: int = 0):
-    """k-means on descriptors; the fitted model."""
-    return KMeans(k=k, maxIter=rounds, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(rows.select(array_to_vector(F.transform("descriptor", lambda x: x.cast("double"))).alias("features")))
+def fit_clusters(rows: DataFrame, key: str, k: int = 50, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """(cluster_id, descriptor): k centroids of descriptors by Lloyd's rounds from the first k rows in seeded order of key, fewer
+    if there are fewer rows. A cluster that loses all its rows keeps its centroid.
+
+    Tasks sum the rows of each cluster and send k sums; the centroids, CENTROID_BYTES at most, go to all tasks in the next round.
+    The order alone decides the start, so any engine and partitioning gives the same up to rounding.
+    """
+    given = cut(rows.select(key, F.col("descriptor").cast("array<double>").alias("descriptor")), "cluster-rows")
+    start = sample(given, key, k, seed).select("descriptor").toArrow().column(0)  # k rows
+    centers = np.array(start.to_pylist(), np.float64)
+    if centers.nbytes > CENTROID_BYTES:
+        raise ValueError(f"{k} centroids are {centers.nbytes} bytes; {CENTROID_BYTES} at most can be sent to all tasks")
+    for _ in range(rounds if len(centers) else 0):
+        table = _added(_sums(given, centers)).toArrow()  # k rows
+        centers = centers.copy()
+        centers[np.asarray(table.column("cluster_id"))] = np.array(table.column("sums").to_pylist()) / np.asarray(table.column("n"))[:, None]
+    delete(given)
+    return rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id int, descriptor array<double>")
+
+
+def _nearest_of(matrix: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first on ties."""
+    half = (centers * centers).sum(1) / 2
+    return np.argmax(matrix @ centers.T - half, axis=1)
+
+
+def _sums(rows: DataFrame, centers: np.ndarray) -> DataFrame:
+    """(cluster_id, n, sums) of the rows of each task that are nearest to each centre."""
+
+    def run(batches):
+        n, total = np.zeros(len(centers), np.int64), np.zeros_like(centers)
+        for batch in batches:
+            matrix = np.asarray(batch.column("descriptor").flatten(), np.float64).reshape(-1, centers.shape[1])
+            near = _nearest_of(matrix, centers)
+            n += np.bincount(near, minlength=len(centers))
+            np.add.at(total, near, matrix)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["cluster_id", "n", "sums"])
+
+    return rows.select("descriptor").mapInArrow(run, "cluster_id int, n bigint, sums array<double>")
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """(cluster_id, n, sums) of all tasks, summed number by number and put together again: no task holds the parts of a cluster."""
+    flat = parts.select("cluster_id", "n", F.posexplode("sums").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return flat.groupBy("cluster_id").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sums"))
+
+
+def assign_clusters(centroids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, cluster_id) by the nearest centroid, the smallest id on ties. No row moves but to the task that it is in."""
+    table = centroids.orderBy("cluster_id").select("cluster_id", "descriptor").toArrow()  # CENTROID_BYTES at most, see fit_clusters
+    ids, centers = np.asarray(table.column("cluster_id")), np.array(table.column("descriptor").to_pylist(), np.float64)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in batches:
+            near = _nearest_of(np.asarray(array.flatten(), np.float64).reshape(-1, centers.shape[1]), centers)
+            yield pa.array(ids[near].astype(np.int32))
 
-def assign_clusters(model, rows: DataFrame, key: str) -> DataFrame:
-    """(key, cluster_id) by the nearest centroid of a fitted model."""
-    return model.transform(rows.select(key, array_to_vector(F.transform("descriptor", lambda x: x.cast("double"))).alias("features"))).select(key, "cluster_id")
+    return rows.select(key, F.arrow_udf(run, "int")(F.col("descriptor").cast("array<double>")).alias("cluster_id"))
 
 
 def recluster(tiles: DataFrame, queries: DataFrame, k: int, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Clusters of tiles, and of queries by the same centroids."""
-    model = fit_clusters(tiles, k, rounds, seed)
-    return assign_clusters(model, tiles, "tile_id"), assign_clusters(model, queries, "query_id")
+    centroids = fit_clusters(tiles, "tile_id", k, rounds, seed)
+    return assign_clusters(centroids, tiles, "tile_id"), assign_clusters(centroids, queries, "query_id")
 
 
 def training_table(pairs: DataFrame, clusters: DataFrame) -> DataFrame:

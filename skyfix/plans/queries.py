@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyfix.functions import frames as fr
 from skyfix.functions import geo, ids, vectors
-from skyfix.operators import evaluate, localize, measure, retrieval, select, spatial, training
+from skyfix.operators import evaluate, localize, measure, plugins, retrieval, select, spatial, training
 from skyfix.operators.tile_index import build_index, search_index
 from skyfix.sources import sinks, tables
-from skyfix.sources.shared import shared_dir
+from skyfix.sources.shared import cut, shared_dir
 from skyfix.sources.tables import manifest_numbers, scoped
 from skyfix.streaming import jobs, power
 
@@ -425,10 +426,8 @@ def pose_residuals(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("range", F.sqrt(d_xyz[0] * d_xyz[0] + d_xyz[1] * d_xyz[1] + d_xyz[2] * d_xyz[2])).withColumn(
         "a", fr.angular_error(fr.line_of_sight(F.col("mark"), F.col("pose")), F.col("b")),
     )
-    out = rows.groupBy("frame_id").agg(
-        F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("rms"), F.max("a").alias("worst"), F.count("*").alias("n"),
-        F.max(fr.altitude_m(F.col("pose"))).alias("altitude_m"), F.max(fr.angular_noise(F.lit(3000.0), F.col("range"))).alias("noise"),
-    )
+    high, noise = F.max(fr.altitude_m(F.col("pose"))).alias("altitude_m"), F.max(fr.angular_noise(F.lit(3000.0), F.col("range"))).alias("noise")
+    out = evaluate.residuals(rows, F.col("a"), "frame_id", high, noise)
     return out.select(
         "frame_id", *r6("rms", "worst", "noise"), "n", F.round(F.degrees("rms"), 4).alias("rms_degrees"),
         F.round("altitude_m", 2).alias("altitude_m"),
@@ -1006,15 +1005,47 @@ def pair_clusters(spark: SparkSession, d: str) -> DataFrame:
     return training.training_table(pairs, clusters).select("query_id", "tile_id", *r6("iou"), "cluster_id")
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Parts of a WITH clause: centroids m<rounds> (cluster_id, c) of the first variants of tiles, the rounds written out."""
+    parts = ["kt AS MATERIALIZED (SELECT tile_id, descriptor AS v FROM descriptors WHERE rotation=0)", f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('0|'||tile_id), tile_id)-1 AS cluster_id, v AS c FROM (SELECT * FROM kt ORDER BY md5('0|'||tile_id), tile_id LIMIT {k}))"]
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT tile_id, v, arg_min(cluster_id, (list_distance(v,c), cluster_id)) AS cluster_id FROM kt, m{i} GROUP BY 1,2)")
+        parts.append(f"s{i} AS (SELECT cluster_id, list(x ORDER BY j) AS c FROM (SELECT cluster_id, j, avg(v[j]) AS x FROM a{i}, range(1,{S.DIM + 1}) r(j) GROUP BY 1,2) GROUP BY 1)")
+        parts.append(f"m{i + 1} AS MATERIALIZED (SELECT m.cluster_id, coalesce(s.c, m.c) AS c FROM m{i} m LEFT JOIN s{i} s USING (cluster_id))")
+    return ", ".join(parts)
+
+
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tiles = S.descriptors(spark, d).where("rotation = 0").select("tile_id", "descriptor")
+    return training.recluster(tiles, S.query_descriptors(spark, d).select("query_id", "descriptor"), 10, 20, 0)
+
+
+@query(
+    sql(
+        "SELECT p.query_id, p.tile_id, round(iou,6) AS iou, c.cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY iou DESC, tile_id) AS nth FROM ious WHERE iou>=0.2) p "
+        "JOIN (SELECT tile_id, arg_min(cluster_id, (list_distance(v,c), cluster_id)) AS cluster_id FROM kt, m20 GROUP BY 1) c ON c.tile_id=p.tile_id%(SELECT count(*) FROM kt) WHERE nth=1",
+        "queries", "tiles", "descriptors", more=_IOU + ", " + _kmeans_sql(10, 20),
+    )
+)
 def training_data(spark: SparkSession, d: str) -> DataFrame:
+    """Training pairs with the k-means cluster of their tile. Tiles and descriptors of these tables have numbers of their own, so a
+    tile stands in for the descriptor whose number is its own modulo their count."""
     pairs = spatial.positive_pairs(_scope_queries(spark, d), _scope_tiles(spark, d), "query_id", "tile_id", "tile_id", 0.2)
-    e = S.descriptors(spark, d).where("rotation = 0").select("tile_id", "descriptor")
-    q = S.query_descriptors(spark, d).select("query_id", "descriptor")
-    tiles, _ = training.recluster(e, q, 10, 20, 0)
-    return training.training_table(
-        pairs.withColumn("source_tile", F.col("tile_id")).withColumn("tile_id", F.col("tile_id") % e.count()), tiles,
-    ).select("query_id", F.col("source_tile").alias("tile_id"), "iou", "cluster_id")
+    tiles, _ = _clusters(spark, d)
+    n = S.descriptors(spark, d).where("rotation = 0").count()
+    found = training.training_table(pairs.withColumn("source_tile", F.col("tile_id")).withColumn("tile_id", F.col("tile_id") % n), tiles)
+    return found.select("query_id", F.col("source_tile").alias("tile_id"), *r6("iou"), F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@query(
+    sql(
+        "SELECT query_id, arg_min(cluster_id, (list_distance(descriptor,c), cluster_id)) AS cluster_id FROM qd, m20 GROUP BY 1",
+        "descriptors", "qd", more=_kmeans_sql(10, 20),
+    )
+)
+def query_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Queries by the centroids that their tiles were clustered around."""
+    return _clusters(spark, d)[1].select("query_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
 # -- composites and reports -------------------------------------------------------------------------------------------
@@ -1148,6 +1179,75 @@ def fix_centres(spark: SparkSession, d: str) -> DataFrame:
     ).select("query_id", *(F.round(f"m.{k}", 6).alias(k) for k in ("lat", "lon")))
 
 
+# -- plug-ins ---------------------------------------------------------------------------------------------------------
+
+_CODES = 8
+
+
+def _encoder():
+    """A made-up encoder: an image holds a number, from which its descriptor follows."""
+
+    def encode(images):
+        numbers = np.array([int(x.as_py()) for x in images], np.int64)
+        return (numbers[:, None] * (np.arange(_CODES) + 3) * 7919) % 101
+
+    return encode
+
+
+def _matcher():
+    """A made-up matcher: points, mask and homography follow from the numbers in both images."""
+
+    def run(query: bytes, tile: bytes, tile_id: int):
+        q, t = int(query), int(tile)
+        i = np.arange((q * 31 + t * 17) % 12)
+        points = np.column_stack([i * 40.0, i * 30.0, (i * 13 + t) % 384, (i * 11 + q) % 320])
+        return points, (i + q) % 4 != 0, None if t % 5 == 0 else [0.5, 0, t % 7, 0, 0.5, q % 11, 0, 0, 1]
+
+    return run
+
+
+_CHAIN = """qi AS (SELECT s_suppkey AS query_id, list_transform(range(8), lambda j: (s_suppkey*(j+3)*7919)%101)::DOUBLE[] AS v FROM supplier),
+ti AS (SELECT p_partkey AS tile_id, list_transform(range(8), lambda j: ((p_partkey*4+r)*(j+3)*7919)%101)::DOUBLE[] AS v FROM part, range(4) x(r)),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) AS rank FROM (SELECT query_id, tile_id, max(list_dot_product(qi.v, ti.v)) AS sim FROM qi, ti GROUP BY 1,2)) WHERE rank<=5),
+mt AS (SELECT *, CASE WHEN tile_id%3=0 THEN 0 ELSE (query_id*31+tile_id*17)%12 END AS n FROM hit),
+ml AS (SELECT *, CASE WHEN n<4 THEN 0 ELSE len(list_filter(range(n), lambda i: (i+query_id)%4<>0)) END AS inl FROM mt),
+bs AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS nc FROM ml QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY inl DESC, rank)=1),
+ft AS (SELECT b.*, ((tile_id%7)/383e0) AS fx, ((query_id%11)/319e0) AS fy, t.* EXCLUDE (tile_id) FROM bs b JOIN tiles t USING (tile_id))"""
+
+
+@query(
+    sql(
+        "SELECT query_id, CASE WHEN inl>=6 THEN 'fix' ELSE 'no_fix' END AS status, inl::DOUBLE AS confidence, tile_id AS matched_tile_id, nc AS n_candidates, CASE WHEN inl>=6 THEN inl ELSE 0 END AS n_ties, "
+        "CASE WHEN inl>=6 AND tile_id%5<>0 THEN round((y1*(1-fx)+y2*fx)*(1-fy)+(y0*(1-fx)+y3*fx)*fy,6) END AS lat0 FROM ft",
+        "tiles", more=_CHAIN,
+    )
+)
+def plugin_chain(spark: SparkSession, d: str) -> DataFrame:
+    """From images to fixes by plug-ins: tiles and their turned variants and frames are encoded, the best five tiles of each frame
+    are matched, in two runs of which the second takes up what the first has left, and frames are localized."""
+    tiles = S.tiles(spark, d)
+    picture = lambda c: c.cast("string").cast("binary")
+    turned = picture(F.col("tile_id") * 4 + (F.col("rotation") / 90).cast("int"))
+    variants = retrieval.expand_rotations(tiles.select("tile_id")).withColumn("content", turned)
+    frames = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), picture(F.col("s_suppkey")).alias("content"))
+    described = plugins.embed(variants.select(F.struct("tile_id", "variant_id").alias("id"), "content"), _encoder).select("id.tile_id", "descriptor")
+    index = build_index(described, _CODES)
+    hits, _ = search_index(plugins.embed(frames, _encoder, key="query_id"), index, 5)
+    # Tiles with a number divisible by three have no match result: as if their images were gone.
+    pairs = hits.where("tile_id % 3 <> 0").join(frames.select("query_id", F.col("content").alias("query_image")), "query_id")
+    pairs = cut(pairs.withColumn("tile_image", picture(F.col("tile_id"))), "pairs")
+    done = cut(plugins.match(pairs.where("rank <= 2"), _matcher, 8), "matches")
+    matches = done.unionByName(plugins.match(select.pending(pairs, done, "query_id", "tile_id"), _matcher, 8))
+    matches = matches.withColumn("num_inliers", localize.usable_inliers(F.col("num_matches"), localize.inlier_count(F.col("correspondences"))))
+    shapes = tiles.select("tile_id", "corners", F.lit(320).alias("tile_h"), F.lit(384).alias("tile_w"))
+    candidates = retrieval.with_tiles(localize.with_matches(hits, matches), shapes)
+    out = localize.localize(frames.select("query_id", F.lit(480).alias("query_h"), F.lit(640).alias("query_w")), candidates, 6)
+    return out.select(
+        "query_id", "status", "confidence", "matched_tile_id", F.size("candidates").cast("long").alias("n_candidates"),
+        F.size("tie_points").cast("long").alias("n_ties"), F.round(F.col("query_footprint")[0]["lat"], 6).alias("lat0"),
+    )
+
+
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -1266,6 +1366,69 @@ def saved_reference_db(spark: SparkSession, d: str) -> DataFrame:
     return tables.reference_db(spark, path)[0].groupBy("region").agg(F.count("*").alias("tiles"), F.sum("c_custkey").alias("ids"))
 
 
+@query(
+    sql(
+        "SELECT replace(model,'#','-') AS model, region, floor(r1)::BIGINT AS num_evaluated, floor(r1)::DOUBLE AS recall_1, round(err,6) AS median_coord_error_km FROM board",
+        "candidates", "frames", more=_BOARD,
+    )
+)
+def saved_results(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation's documents, a file for each model, and those files read back by their names."""
+    path, rows = _folder(spark, "results"), _board(spark, d)
+    coords = F.struct(F.floor("r1").alias("num_scored"), F.lit(0.0).alias("top1_correct_tile_rate"), F.col("err").alias("median_coord_error_km"))
+    rows = rows.select(
+        F.translate("model", "#", "-").alias("model"), "region", F.create_map(F.lit("1"), F.floor("r1").cast("double")).alias("recalls"),
+        F.floor("r1").alias("num_evaluated"), coords.alias("coords"),
+    )
+    sinks.save_results(evaluate.result_document(rows, ["recalls", "num_evaluated", "coords"], by=["model"]), path)
+    back = tables.results(spark, path)
+    return back.select("model", "region", "num_evaluated", F.col("recalls")["1"].alias("recall_1"), *[F.round("coords.median_coord_error_km", 6).alias("median_coord_error_km")])
+
+
+@query(
+    sql(
+        "SELECT f.query_id, status, confidence, tile_id AS matched_tile_id, coalesce(n,0) AS n_ties, coalesce(listed,0) AS n_candidates, (SELECT count(*) FROM fixes) AS num_frames, "
+        "(SELECT round(100.0*avg((status='fix')::INT),6) FROM fixes) AS fix_rate_percent FROM fixes f LEFT JOIN (SELECT query_id, count(*) AS n FROM ground GROUP BY 1) g USING(query_id) "
+        "LEFT JOIN (SELECT query_id, count(*) AS listed FROM candidates GROUP BY 1) c ON c.query_id=f.query_id",
+        "ground", "fixes",
+    )
+)
+def saved_export(spark: SparkSession, d: str) -> DataFrame:
+    """Localization results exported as JSON with their summary, and both read back."""
+    path = _folder(spark, "export")
+    c = S.candidates(spark, d).join(S.tiles(spark, d).select("tile_id", "corners"), "tile_id")
+    found = cut(localize.localize(S.frames(spark, d).select("query_id", "query_h", "query_w"), c), "results")
+    sinks.save_export(found, evaluate.export_summary(found), path)
+    rows, summary = tables.saved_export(spark, path, found.schema)
+    size = lambda name: F.coalesce(F.size(name), F.lit(0)).cast("long")
+    return rows.crossJoin(F.broadcast(summary)).select(
+        "query_id", "status", "confidence", "matched_tile_id", size("tie_points").alias("n_ties"), size("candidates").alias("n_candidates"),
+        "num_frames", *r6("fix_rate_percent"),
+    )
+
+
+@query(
+    sql(
+        "SELECT query_id, p.tile_id, round(iou,6) AS iou, e.label AS cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY iou DESC, tile_id) AS nth FROM ious WHERE iou>=0.1) p "
+        "LEFT JOIN embeddings e ON e.vec_id=p.tile_id WHERE nth=1",
+        "queries", "tiles", more=_IOU,
+    )
+)
+def saved_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Training pairs and clusters saved as tables, read back and joined."""
+    path = _folder(spark, "pairs")
+    pairs = spatial.positive_pairs(_scope_queries(spark, d), _scope_tiles(spark, d), "query_id", "tile_id", "tile_id")
+    sinks.save_table(pairs, f"{path}/pairs")
+    sinks.save_table(S.table(spark, d, "embeddings").select(F.col("vec_id").alias("tile_id"), F.col("label").alias("cluster_id")), f"{path}/clusters")
+    back = tables.training_pairs(spark, f"{path}/pairs").join(tables.training_pairs(spark, f"{path}/clusters"), "tile_id", "left")
+    return back.select("query_id", "tile_id", *r6("iou"), "cluster_id")
+
+
+@query("SELECT c_nationkey AS region, count(*) AS total, least(count(*), 50) AS chosen FROM customer GROUP BY 1")
+def capped_regions(spark: SparkSession, d: str) -> DataFrame:
+    return select.capped_counts(S.table(spark, d, "customer").withColumnRenamed("c_nationkey", "region"), "region", 50)
+
+
 @query(
     sql(
         "SELECT row_number() OVER (ORDER BY best_inliers DESC, query_id::VARCHAR) AS place, query_id::VARCHAR AS tile_id, best_inliers "

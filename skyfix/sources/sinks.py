@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +33,24 @@ def save_document(document: DataFrame, path: str) -> None:
     document.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
 
 
+def save_results(documents: DataFrame, path: str) -> None:
+    """Write documents (model, document), one for each model, as `results_<model>.json` files, each whole. A file of that name that
+    is there is replaced. Models are few: the driver renames a file for each."""
+    spark = documents.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    documents.select("model", F.col("document").alias("value")).repartition("model").write.partitionBy("model").text(staged)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    files = of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(of(staged)):
+        name = folder.getPath().getName()
+        if folder.isDirectory() and name.startswith("model="):
+            target = of(f"{path}/results_{unquote(name.removeprefix('model='))}.json")
+            files.delete(target, False)
+            part = next(x.getPath() for x in files.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-"))
+            files.rename(part, target)
+    files.delete(of(staged), True)
+
+
 def save_verified(verified: DataFrame, counts: DataFrame, path: str) -> None:
     """Write verified queries as JSON lines with their place (most inliers first, then by tile_id), and the outcome counts beside
     them. Places count within groups of equal inliers, which are added up in order."""

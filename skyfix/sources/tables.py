@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyfix.functions.ids import model_of_results, parse_footprint
 from skyfix.operators.plugins import image_key
@@ -19,12 +20,16 @@ def _footprints(files: DataFrame, strict: bool) -> DataFrame:
     return rows.select("p.*", "image_path", place[0].alias("year"), place[1].alias("zoom"))
 
 
-def reference_tiles(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Footprints of all .jpg files below a folder, with year and zoom from their `YYYY_ZZ` folder. Images are not opened."""
-    return _footprints(
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(path).select("path"),
-        strict,
-    )
+def reference_tiles(
+    spark: SparkSession, path: str, strict: bool = True, year: int | None = None, zooms: tuple[int, ...] | None = None,
+) -> DataFrame:
+    """Footprints of all .jpg files below a folder, with year and zoom from their `YYYY_ZZ` folder. Images are not opened. With a
+    year or zooms only folders of that name are listed; without, the whole tree is."""
+    place = path
+    if year is not None or zooms is not None:
+        place = f"{path}/{'[0-9][0-9][0-9][0-9]' if year is None else f'{year:04d}'}_" + ("[0-9][0-9]" if zooms is None else "{" + ",".join(f"{z:02d}" for z in zooms) + "}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(place)
+    return _footprints(files.select("path"), strict)
 
 
 def query_set(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -76,6 +81,12 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("model", "region", "r.*")
 
 
+def saved_export(spark: SparkSession, path: str, shape: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(frames, summary) of an export; shape: the frames' columns and types."""
+    summary = spark.read.schema("num_frames bigint, fix_rate_percent double").json(f"{path}/summary")
+    return spark.read.schema(shape).json(f"{path}/frames"), summary
+
+
 def verified_cache(spark: SparkSession, path: str) -> DataFrame:
     """(place, tile_id, best_inliers) of saved verified queries."""
     return spark.read.schema("place long, tile_id string, best_inliers int").json(f"{path}/verified")

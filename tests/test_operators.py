@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -9,7 +10,7 @@ from skyfix.sources.shared import shared_dir
 from skyfix.operators import evaluate, localize, plugins, retrieval, select, spatial, tile_index, training
 from skyfix.sources import sinks, tables
 from skyfix.sources.shared import shared_dir
-from skyfix.streaming import jobs
+from skyfix.streaming import jobs, power
 
 RING = "array<struct<lat: double, lon: double>>"
 
@@ -266,12 +267,19 @@ def test_batch_plan(spark, size):
 
 def test_clusters(spark):
     rnd = np.random.default_rng(0)
-    x = np.vstack([rnd.normal(c, 0.05, size=(20, 3)) for c in (0, 4, 9)])
-    tiles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "tile_id int, descriptor array<double>")
+    x = np.vstack([rnd.normal(c, 0.5, size=(20, 3)) for c in (0, 4, 9)])
+    tiles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "tile_id int, descriptor array<double>").repartition(5)
     queries = tiles.withColumnRenamed("tile_id", "query_id")
-    t, q = training.recluster(tiles, queries, 3)
-    a = [r.cluster_id for r in t.orderBy("tile_id").collect()]
-    assert a == [r.cluster_id for r in q.orderBy("query_id").collect()] and len({tuple(a[i : i + 20]) for i in (0, 20, 40)}) == 3 == len(set(a))
+    order = sorted(range(60), key=lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest())
+    centers = x[order[:3]]
+    near = lambda: np.argmin(((x[:, None] - centers) ** 2).sum(2), 1)
+    for _ in range(4):
+        at = near()
+        centers = np.array([x[at == c].mean(0) for c in range(3)])
+    t, q = training.recluster(tiles, queries, 3, 4, 7)
+    assert [r.cluster_id for r in t.orderBy("tile_id").collect()] == near().tolist() == [r.cluster_id for r in q.orderBy("query_id").collect()]
+    assert training.fit_clusters(tiles.limit(2), "tile_id", 5).count() == 2
+    assert training.fit_clusters(tiles.where("tile_id < 0"), "tile_id", 5).count() == 0
 
 
 NAME = "@44.0@9.0@46.0@9.0@46.0@11.0@44.0@11.0@img{}@20210724@45.0@10.0@3@0.0@.jpg"
@@ -285,6 +293,9 @@ def test_listings(spark, tmp_path):
     found = tables.reference_tiles(spark, str(tmp_path / "db"))
     assert {(r.year, r.zoom) for r in found.collect()} == {(2021, 9), (2021, 10), (2020, 9)}
     assert tables.scoped(found, 2021, (9,)).count() == 1
+    for scope, want in (((2021, (9,)), {(2021, 9)}), ((None, (9,)), {(2021, 9), (2020, 9)}), ((2021, None), {(2021, 9), (2021, 10)})):
+        part = tables.reference_tiles(spark, str(tmp_path / "db"), True, *scope)
+        assert {(r.year, r.zoom) for r in part.collect()} == want
     flat = tmp_path / "db" / "2021_09"
     (flat / NAME.format("q")).write_bytes(b"x")
     assert [r.tile_id for r in tables.query_set(spark, str(flat)).collect()] == ["imgq@20210724"]
@@ -293,7 +304,7 @@ def test_listings(spark, tmp_path):
         (tmp_path / "f" / n).write_bytes(b"xyz")
     assert [r.frame_id for r in tables.frames(spark, str(tmp_path / "f")).collect()] == ["a", "b", "c"]
     got = plugins.embed(
-        tables.frames(spark, str(tmp_path / "f"), content=True), lambda: lambda images: [[len(i), 1.0] for i in images], key="frame_id",
+        tables.frames(spark, str(tmp_path / "f"), content=True), lambda: lambda images: [[len(i.as_py()), 1.0] for i in images], key="frame_id",
     ).collect()
     assert sorted((r.frame_id, r.descriptor) for r in got) == [("a", [3.0, 1.0]), ("b", [3.0, 1.0]), ("c", [3.0, 1.0])]
 
@@ -357,21 +368,28 @@ def test_export(spark, tmp_path):
 
 def test_matcher_plugin_sees_tiles_together(spark):
     pairs = spark.createDataFrame(
-        [(q, t, b"q", b"t") for q in range(6) for t in range(3)], "query_id int, tile_id int, query_image binary, tile_image binary",
+        [(f"q{q}", t, b"q", b"t%d" % t) for q in range(6) for t in range(3)], "query_id string, tile_id int, query_image binary, tile_image binary",
     )
 
     def factory():
         seen = []
 
         def run(query, tile, tile_id):
-            if tile_id not in seen:
-                seen.append(tile_id)
-            return 5, len(seen), None if tile_id else [1.0] * 9
+            if tile not in seen:
+                seen.append(tile)
+            points = [(float(tile_id), 2.0, 3.0, 4.0)] * (tile_id * 3)
+            return points, [i < len(seen) for i in range(len(points))], None if tile_id else [1.0] * 9
 
         return run
 
-    got = plugins.match(pairs, factory, 1).toPandas()
-    assert got.groupby("tile_id").num_inliers.nunique().eq(1).all() and len(got) == 18 and got.homography.isna().sum() == 12
+    got = plugins.match(pairs, factory, 1)
+    assert got.count() == 18 and got.where("homography is null").count() == 12
+    assert {(r.tile_id, r.num_matches) for r in got.collect()} == {(0, 0), (1, 3), (2, 6)}
+    assert got.groupBy("tile_id").agg(F.countDistinct("num_inliers").alias("n")).where("n > 1").count() == 0
+    one = got.where("tile_id = 2").first()
+    assert one.correspondences[0].asDict() == {"qu": 2.0, "qv": 2.0, "tu": 3.0, "tv": 4.0, "inlier": True} and one.num_inliers == sum(c.inlier for c in one.correspondences)
+    left = select.pending(pairs, got.where("tile_id < 2"), "query_id", "tile_id")
+    assert {r.tile_id for r in left.collect()} == {2} and plugins.match(left.limit(0), factory, 1).count() == 0
 
 
 def test_streams_equal_tables(spark, tmp_path):
@@ -428,3 +446,27 @@ def test_a_global_box_among_small_ones_is_a_few_rows(spark):
 def test_no_boxes_meet_none(spark):
     none, some = _boxes(spark, [(0.0, 0.0, 1.0)], "query_id").where("query_id > 5"), _boxes(spark, [(0.0, 0.0, 1.0)], "tile_id")
     assert spatial.overlapping(none, some).count() == 0
+
+
+def test_localize_takes_ids_of_any_type(spark):
+    c = candidates(spark, [(1, 10, 1, 40, True)]).withColumn("tile_id", F.concat(F.lit("img@"), "tile_id")).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    frames = spark.createDataFrame([("q1", 480, 640), ("q2", 480, 640)], "query_id string, query_h int, query_w int")
+    out = {r.query_id: r for r in localize.localize(frames, c).collect()}
+    assert out["q1"].matched_tile_id == "img@10" and out["q1"].candidates[0].tile_id == "img@10" and out["q2"].candidates == []
+
+
+def test_power_of_samples_out_of_order(spark, tmp_path):
+    """Samples of several files, some later than others, give what the whole table gives in order."""
+    rows = [(i % 2, (pd.Timestamp("2024-01-01") + pd.Timedelta(f"{i * 7 + (11 if i % 3 else 0)}s")).to_pydatetime(), None if i % 11 == 0 else float(i * 37 % 500), float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "run int, ts timestamp, counter double, rss double")
+    for i in range(3):
+        df.where(f"rss between {i * 40} and {i * 40 + 39}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with power.keyed_state(spark):
+        q = power.counter_power_stream(stream, "run", "counter", "rss", 500.0, "5 minutes").writeStream.outputMode("append").format("parquet")
+        q = q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.run, r.ts): r.power_w for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    whole = evaluate.counter_power(df.withColumn("s", F.unix_micros("ts") / 1e6), "s", "counter", 500.0, ["run"])
+    want = {(r.run, r.ts): r.power_w for r in whole.collect()}
+    assert len(got) > 60 and all(want[k] == pytest.approx(v) if v is not None else want[k] is None for k, v in got.items())
