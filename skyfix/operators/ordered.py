@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyfix.sources.shared import cut
 
 #: Values that one aggregate holds at most; rows that a range aims at; rows up to which a table of groups is broadcast.
-FEW, RANGE_ROWS, SMALL_GROUPS = 10_000, 1_000_000, 10_000
+FEW, RANGE_ROWS, SMALL_GROUPS = 100_000, 1_000_000, 10_000
 #: Splitters of a band in a pass, the accuracy of the sketch that finds them (its state is of that order), and passes at most.
 GRID, ACCURACY, PASSES = 500, 10_000, 60
 

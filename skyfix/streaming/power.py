@@ -51,8 +51,8 @@ class _Power(StatefulProcessor):
             us = part["us"].astype("int64")
             number = lambda c: [None if pd.isna(x) else float(x) for x in part[c]]  # noqa: B023, E731
             self.waiting.appendList(list(zip(us.tolist(), number("counter"), number("value"), strict=True)))
-            for ms in sorted(set((-(-us // 1000)).tolist())):
-                self.handle.registerTimer(int(ms))
+            if len(us):
+                self.handle.registerTimer(-(-int(us.min()) // 1000))  # the first that waits; those behind it follow
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,6 +65,7 @@ class _Power(StatefulProcessor):
         rest = [r for r in held if r[0] > passed]
         if rest:
             self.waiting.put(rest)
+            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
         else:
             self.waiting.clear()
         last = tuple(self.last.get()) if self.last.exists() else None
