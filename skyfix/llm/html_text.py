@@ -2,7 +2,8 @@
 
 A page becomes text blocks. A classifier gives each block a cost of being content and of being boilerplate, the capacities to
 the two terminals: a discriminant over signs of its text (words, link share, marks, place in the page, element), fitted to blocks
-whose own page marks them by article, main, nav, footer and the like, and fixed weights for the containers around it.
+whose own page marks them by article, main, nav, footer and the like, and fixed weights for the containers around it. Where
+the names of containers would take most of what the classifier finds to be text, it overrules them; see believed.
 Neighbouring blocks and blocks of one container are tied by smoothness edges. The minimum cut separates content from boilerplate.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,9 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Containers that say what a block is, by element and by the words of the names in class, id and role.
+#: Containers that say what a block is, by element and by the words of the names in class, id and role; a word weighs WORD_COST.
 AWAY_TAGS = {"nav": 6.0, "header": 3.5, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0}
+WORD_COST = 6.0
 AWAY_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice",
     "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "nav", "navbar", "navigation", "menu", "breadcrumb",
@@ -46,7 +49,11 @@ AWAY_WORDS = {
 HOME_TAGS = {"article": 1.5, "main": 1.2}
 HOME_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 #: A name that begins with one of these tells of a state or of other parts of the page, not of what is inside.
+#: Elements that hold text rather than parts of a page: only a name of nothing but listed words tells of them.
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
 STATES = {"has", "no", "not", "with", "without", "is", "are", "hide", "show", "hides", "shows", "non", "js", "supports", "wp"}
+#: Containers' words are believed where they take at most so much of a page's text, or leave so much of it in a container of content.
+MOST_TAKEN, LEAST_LEFT = 0.5, 0.05
 #: Strength of the ties between neighbours, in one container and across; the text's say at most, and its scale.
 NEAR, ACROSS, TEXT_LIMIT, TEXT_SCALE = 1.5, 0.15, 2.0, 0.4
 
@@ -60,38 +67,50 @@ _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
 class _Element:
-    __slots__ = ("name", "parent", "away", "home", "hidden")
+    """An open element: what is said of it and of those around it. `away` has elements as <name> and words."""
+
+    __slots__ = ("name", "parent", "away", "home", "hidden", "block", "label")
 
     def __init__(self, name: str, parent, attributes: str):
         self.name, self.parent = name, parent
-        self.away = AWAY_TAGS.get(name, 0.0)
         self.home = HOME_TAGS.get(name, 0.0)
         self.hidden = name in HIDDEN
         inside = parent is not None and parent.home >= HOME_TAGS["main"]
-        if name == "header" and inside:  # the article's own header
-            self.away = 0.0
+        away: set[str] = set()
+        if name in AWAY_TAGS and not (name == "header" and inside):  # not the article's own header
+            away.add(f"<{name}>")
         if attributes and not attributes.isspace():
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values).lower()
                 if key in ("class", "id", "role"):
-                    self._named(name, value.split(), inside)
+                    self._named(name, value.split(), inside, away)
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     self.hidden = True
+        around = frozenset() if parent is None else parent.away
+        if name in HOME_TAGS:  # a form around it is the page's
+            around -= {"<form>"}
+            around = frozenset() if around == {"<header>"} else around
+        self.away = around | away if away else around
+        self.block = self if parent is None or name in BLOCK else parent.block
+        #: Whether an element for boilerplate, and one for content, is around it.
+        self.label = (name in AWAY_TAGS, name in HOME_TAGS)
         if parent is not None:
-            self.away = max(self.away, parent.away) if name not in ("article", "main") or parent.away > 3.5 else self.away
             self.home = max(self.home, parent.home)
             self.hidden = self.hidden or parent.hidden
+            self.label = (self.label[0] or parent.label[0], self.label[1] or parent.label[1])
 
-    def _named(self, tag: str, names: list[str], inside: bool) -> None:
+    def _named(self, tag: str, names: list[str], inside: bool, away: set[str]) -> None:
         for words in map(_PARTS.findall, names):
             if not words or words[0] in STATES:
                 continue
             home = not HOME_WORDS.isdisjoint(words)
-            away = AWAY_WORDS.intersection(words)
-            if (home or inside) and away == {"header"}:
-                away = set()
-            if away and tag not in ("body", "html", "article", "main"):
-                self.away = max(self.away, 6.0)
+            told = AWAY_WORDS.intersection(words)
+            if (home or inside) and told == {"header"}:
+                told = set()
+            if tag in TEXTS and not AWAY_WORDS.union(HOME_WORDS).issuperset(words):
+                told = set()
+            if told and tag not in ("body", "html", "article", "main"):
+                away |= told
             elif home:
                 self.home = max(self.home, 1.0)
 
@@ -102,15 +121,19 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
     out: list = []
     parts: list[str] = []
     linked = links = 0
+    opened: Counter = Counter()  # elements from here up, by name: what is not open is not looked for
+
+    def leave(box):
+        nonlocal here
+        while here is not box:
+            opened[here.name] -= 1
+            here = here.parent
 
     def close():
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip(" ")
         if text:
-            box = here
-            while box.parent is not None and box.name not in BLOCK:
-                box = box.parent
-            out.append((text, min(1.0, linked / len(text)), box))
+            out.append((text, min(1.0, linked / len(text)), here.block))
         parts.clear()
         linked = 0
 
@@ -131,33 +154,34 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
             parts.append(" ")
             continue
         if closing:
-            box = here
-            while box is not top and box.name != name:
-                box = box.parent
             if name in BLOCK:
                 close()
-            if box is not top:
+            if opened[name]:
+                box = here
+                while box.name != name:
+                    box = box.parent
                 if name == "a":
                     links = max(0, links - 1)
-                here = box.parent
+                leave(box.parent)
             continue
         if name in BLOCK:
             close()
             inside, stop = CLOSES.get(name, (None, None))
             if inside is None and here.name == "p":
                 inside, stop = {"p"}, None
-            if inside is not None or name in BLOCK and _open_p(here):
+            kinds = inside or {"p"}
+            if any(opened[k] for k in kinds) and (inside is not None or here.block.name == "p"):
                 box = here
-                kinds = inside or {"p"}
                 while box is not top and box.name not in kinds and not (stop and box.name in stop) and (stop or box.name not in BLOCK):
                     box = box.parent
                 if box is not top and box.name in kinds:
-                    here = box.parent
+                    leave(box.parent)
         if name in VOID or (m[0].endswith("/>") and name not in RAW):
             continue
         if name == "html":
             continue
         here = _Element(name, here, m[3] or m[6] or "")
+        opened[name] += 1
         links += name == "a"
         if name in RAW:
             stop_at = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -167,17 +191,11 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
             at = stop_at.end() if stop_at else end
             if name in BLOCK:
                 close()
-            here = here.parent
+            leave(here.parent)
     close()
     return out
 
 
-def _open_p(box: _Element) -> bool:
-    while box is not None and box.name not in BLOCK:
-        box = box.parent
-    return box is not None and box.name == "p"
-
-
 _KINDS = [{"p", "blockquote", "pre", "figcaption"}, {"li", "dd", "dt", "td", "th"}, {"h1", "h2", "h3", "h4", "h5", "h6"}]
 
 
@@ -196,28 +214,61 @@ def signs(found: list[tuple[str, float, _Element]]) -> np.ndarray:
 
 def label_of(box: _Element) -> int | None:
     """What a page itself says of a block: 1 inside article or main, 0 inside nav, footer and the like, else nothing."""
-    names = set()
-    while box is not None:
-        names.add(box.name)
-        box = box.parent
-    away, home = not names.isdisjoint(AWAY_TAGS), not names.isdisjoint(HOME_TAGS)
+    away, home = box.label
     return int(home) if away != home else None
 
 
-def costs(found: list[tuple[str, float, _Element]], model: Discriminant | None) -> list[tuple[float, float]]:
-    """(capacity of being content, of being boilerplate) of each block."""
+def text_scores(found: list[tuple[str, float, _Element]], model: Discriminant | None) -> np.ndarray:
+    """What its text says for each block being content, below 0 if against it."""
     if model is not None and {0, 1} <= set(model.classes):
         x = signs(found)
-        told = np.clip(TEXT_SCALE * (model.log_joint(x, 1) - model.log_joint(x, 0)), -TEXT_LIMIT, TEXT_LIMIT)
-    else:  # nothing was learnt: long blocks without links are content
-        told = np.array([min(min(t.count(" ") + 1, 30) * 0.07 - 0.4 - 2.5 * linked, TEXT_LIMIT) for t, linked, _ in found])
+        return np.clip(TEXT_SCALE * (model.log_joint(x, 1) - model.log_joint(x, 0)), -TEXT_LIMIT, TEXT_LIMIT)
+    # nothing was learnt: long blocks without links are content
+    return np.array([min(min(t.count(" ") + 1, 30) * 0.07 - 0.4 - 2.5 * linked, TEXT_LIMIT) for t, linked, _ in found])
+
+
+def believed(found: list[tuple[str, float, _Element]], told: np.ndarray) -> list[float]:
+    """What the containers say against each block.
+
+    A name may tell of the whole page rather than of a part (`post comments-open`, `layout-rail`, a form around everything). So
+    words lose their say one by one, the one on most text first, while those left take more than MOST_TAKEN of what the
+    classifier finds to be text, two blocks or more, and less than LEAST_LEFT of it stays in a container of content. Elements
+    made for boilerplate keep theirs, but for forms, which some sites put around the page. A block counts by the logarithm of
+    its words.
+    """
+    own = [set(box.away) for _, _, box in found]
+    weight = [np.log1p(t.count(" ") + 1) if s > 0 else 0.0 for (t, _, _), s in zip(found, told.tolist(), strict=True)]
+    total = sum(weight)
+    texts = [i for i, w in enumerate(weight) if w]
+    while True:
+        taken = [i for i in texts if own[i]]
+        left = sum(weight[i] for i in texts if not own[i] and found[i][2].home)
+        if len(taken) < 2 or sum(weight[i] for i in taken) <= MOST_TAKEN * total or left >= LEAST_LEFT * total:
+            break
+        on: Counter = Counter()
+        for i in taken:
+            for word in own[i]:
+                if word[0] != "<" or word == "<form>":
+                    on[word] += weight[i]
+        if not on:
+            break
+        word = min(on, key=lambda w: (-on[w], w))
+        for away in own:
+            away.discard(word)
+    return [max((AWAY_TAGS[w[1:-1]] if w[0] == "<" else WORD_COST for w in away), default=0.0) for away in own]
+
+
+def costs(found: list[tuple[str, float, _Element]], model: Discriminant | None) -> tuple[list[tuple[float, float]], list[float]]:
+    """(capacity of being content, of being boilerplate) of each block, and what its containers say against it."""
+    told = text_scores(found, model)
+    away = believed(found, told)
     out = []
-    for (text, _, box), t in zip(found, told.tolist(), strict=True):
-        score = t + box.home - box.away
+    for (text, _, box), t, against in zip(found, told.tolist(), away, strict=True):
+        score = t + box.home - against
         if text.startswith("©") or "all rights reserved" in text.lower():
             score -= 2.0
         out.append((max(score, 0.0) + 0.01, max(-score, 0.0)))
-    return out
+    return out, away
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -290,7 +341,7 @@ def _fill(starts, level, near, ends, free, excess, room) -> None:
                 break
 
 
-def ties(found: list[tuple[str, float, _Element]]) -> list[tuple[int, int, float]]:
+def ties(found: list[tuple[str, float, _Element]], away: list[float]) -> list[tuple[int, int, float]]:
     """Edges between neighbours, and between each block and the one before it in its container; weak ones where the containers
     say different things of the two."""
     edges = []
@@ -299,7 +350,7 @@ def ties(found: list[tuple[str, float, _Element]]) -> list[tuple[int, int, float
         before = last.get(id(box.parent))
         for other in {i - 1, before} - {-1, None}:
             there = found[other][2]
-            edges.append((other, i, NEAR if there.parent is box.parent and there.away == box.away else ACROSS))
+            edges.append((other, i, NEAR if there.parent is box.parent and away[other] == away[i] else ACROSS))
         last[id(box.parent)] = i
     return edges
 
@@ -308,8 +359,8 @@ def main_text(page: str | None, model: Discriminant | None = None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    pairs = costs(found, model)
-    keep = minimum_cut([p[0] for p in pairs], [p[1] for p in pairs], ties(found))
+    pairs, away = costs(found, model)
+    keep = minimum_cut([p[0] for p in pairs], [p[1] for p in pairs], ties(found, away))
     return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 

@@ -190,6 +190,47 @@ def test_class_names_are_taken_whole():
     assert main_text("<article><p>Let <math><mi>x</mi></math> be <object>a</object> <button>number</button>.</p></article>") == "Let x be a number."
 
 
+PARAGRAPHS = [
+    "The council met on Tuesday to discuss the plan for the river bank, which has been closed since the spring floods.",
+    "Engineers said that the work, delayed twice, would begin in June. Residents hope to see it done by autumn.",
+    "A second meeting is planned for next month, at which the budget of the works will be decided.",
+]
+NAV, FOOT = '<nav><ul><li><a href=x>A</a><li><a href=y>B</a></ul></nav>', "<footer>&copy; 2024 X</footer>"
+
+
+@pytest.mark.parametrize("name", [
+    "hentry post comments-open", "content sidebar-right", "page header-fixed", "elementor-widget", "side-by-side", "layout-rail", "legal-text",
+    "article-with-ads", "main nav-collapsed", "container",
+])
+def test_names_of_whole_pages_take_no_article(name):
+    body, whole = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    assert main_text(f'<body>{NAV}<div class="{name}">{body}</div>{FOOT}') == whole
+    assert main_text(f"<body>{NAV}" + "".join(f'<div class="{name}"><p>{p}</p></div>' for p in PARAGRAPHS) + FOOT) == whole
+
+
+def test_text_overrules_names_only_where_they_take_the_page():
+    body, whole = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    assert main_text(f"<form id=aspnetForm>{NAV}<article>{body}</article>{FOOT}</form>") == whole
+    assert main_text(f"<form id=aspnetForm>{NAV}<div>{body}</div>{FOOT}</form>") == whole
+    assert main_text(f'<article>{body}<p class="share-price">{PARAGRAPHS[0]}</p><p class="banner-year">{PARAGRAPHS[1]}</p><p class=ad>Buy!</p></article>') == "\n".join(PARAGRAPHS + PARAGRAPHS[:2])
+    thread = "".join(f"<div class=comment><p>{PARAGRAPHS[0]}</p></div>" for _ in range(20))
+    assert main_text(f'<article>{body}</article><div class="comments">{thread}</div>') == whole
+    assert main_text(f'<div class="wrap">{body}</div><div id="disqus_thread"><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></div>') == whole
+    assert main_text(f"{NAV}<aside>{body}</aside>{FOOT}") == ""  # an element made for boilerplate keeps its say
+    assert main_text("<div id=cookie-notice><p>We use cookies to make this site work as well as it can for you and all others.</p></div>") == ""
+
+
+def test_deep_nesting_and_stray_ends_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        main_text("<div>" * n + "</b>" * n + "x</p>" * n)
+        return time.process_time() - began
+
+    assert seconds(32_000) < 3
+
+
 def test_the_cut_overrules_single_blocks():
     """A short line between long ones stays, a long line among links goes, though each by itself would be judged otherwise."""
     long = "A sentence that goes on for quite some words so that it is text by itself."
