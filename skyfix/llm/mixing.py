@@ -2,13 +2,15 @@
 
 A classifier learnt from the labelled rows predicts, for each document, how much of it belongs to each domain. Nonnegative
 document rates are fitted so that expected domain token totals meet the targets: projected-gradient least squares. The
-gradient of a document's rate is its posteriors times the domains' errors, so the sum of all steps is one number a domain,
-and a rate is max(0, 1 - that sum times the posteriors): a column expression, never gathered. Each round is one distributed
-sum over the documents, of the totals and of their curvature (domains x domains numbers), which scales the next step.
+gradient of a document's rate is its posteriors times the domains' errors, so a step is one number a domain, and a round turns
+each rate x into max(0, x - step times posteriors): a column expression over the steps so far, never gathered. Each round is
+one distributed sum over the documents, of the totals and of their curvature (domains x domains numbers), which scales the
+next step.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -140,9 +142,12 @@ def verdicts(docs: DataFrame, model: Memberships, text_col: str) -> Column:
     return text_function(run, "tokens bigint, p array<double>")(F.col(text_col).cast("string"))
 
 
-def rate_of(p: Column, steps_: np.ndarray) -> Column:
-    """Rate of a document with these posteriors after steps that sum to so much for each domain."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, (p[j] * F.lit(float(s)) for j, s in enumerate(steps_))))
+def rate_of(p: Column, steps_: list[np.ndarray]) -> Column:
+    """Rate of a document with these posteriors after these steps, each projected to what is not negative."""
+    rate = F.lit(1.0)
+    for step in steps_:
+        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, (p[j] * F.lit(float(s)) for j, s in enumerate(step))))
+    return rate
 
 
 def copies_of(rate: Column, key: Column, draw: int) -> Column:
@@ -155,8 +160,9 @@ def _column_sums(rows: DataFrame, values: list[Column]) -> np.ndarray:
     return np.array(rows.agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s{i}") for i, v in enumerate(values))).first(), np.float64)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
-    """The sum of the steps for each domain, from rows (tokens, p, banned); see rate_of. Banned rows have rate 0.
+def fit_rates(rows: DataFrame, targets: dict[str, float], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[list[np.ndarray], float]:
+    """The steps, a number a domain each, from rows (tokens, p, banned), see rate_of; and how far the domains' shares are from
+    their targets at most. Banned rows have rate 0.
 
     The domain with the largest target keeps its tokens and the others are fitted to it. Where it has none, all stay at 1.
     """
@@ -166,40 +172,43 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], tolerance: float = TOL
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     free = rows.where("not banned and tokens > 0")
 
-    def measured(tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(totals, curvature) at each of the tried sums of steps, in one pass."""
+    def measured(done: list[np.ndarray], tries: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(totals, curvature) after the steps done and each of the tried ones, in one pass."""
         values = []
-        for at in tries:
-            rate, t, p = rate_of(F.col("p"), at), F.col("tokens"), F.col("p")
+        now = free.withColumn("rate", rate_of(F.col("p"), done))
+        for k, step in enumerate(tries):
+            now = now.withColumn(f"rate_{k}", F.greatest(F.lit(0.0), F.col("rate") - sum(F.col("p")[j] * float(v) for j, v in enumerate(step))))
+            rate, t, p = F.col(f"rate_{k}"), F.col("tokens"), F.col("p")
             values += [rate * t * p[j] for j in range(d)] + [F.when(rate > 0, t * p[i] * p[j]).otherwise(0.0) for i, j in pairs]
         out = []
-        for found in np.split(_column_sums(free, values), len(tries)):
+        for found in np.split(_column_sums(now, values), len(tries)):
             curve = np.zeros((d, d))
             for (i, j), value in zip(pairs, found[d:], strict=True):
                 curve[i, j] = curve[j, i] = value
             out.append((found[:d], curve))
         return out
 
-    at = np.zeros(d)
-    [(totals, curve)] = measured([at])
+    done: list[np.ndarray] = []
+    [(totals, curve)] = measured(done, [np.zeros(d)])
     if totals[anchor] <= 0 or weights[anchor] <= 0:
-        return at
+        return done, 0.0 if totals.sum() <= 0 else 1.0
     goal = totals[anchor] * weights / weights[anchor]
-    off = lambda totals: np.abs(totals / max(totals.sum(), 1e-9) - weights / weights.sum()).max()
+    off = lambda totals: float(np.abs(totals / max(totals.sum(), 1e-9) - weights / weights.sum()).max())
     for _ in range(rounds):
         if off(totals) <= tolerance:
             break
         step = np.linalg.lstsq(curve + 1e-9 * np.trace(curve) * np.eye(d), totals - goal, rcond=None)[0]
-        tries = [at + part * step for part in PARTS]
-        found = measured(tries)
+        tries = [part * step for part in PARTS]
+        found = measured(done, tries)
         best = min(range(len(tries)), key=lambda k: np.square(found[k][0] - goal).sum())
         if np.square(found[best][0] - goal).sum() >= np.square(totals - goal).sum():
             break
-        at, (totals, curve) = tries[best], found[best]
-    return at
+        done.append(tries[best])
+        totals, curve = found[best]
+    return done, off(totals)
 
 
-def best_draw(rows: DataFrame, targets: dict[str, float], at: np.ndarray, draws: int = DRAWS) -> int:
+def best_draw(rows: DataFrame, targets: dict[str, float], at: list[np.ndarray], draws: int = DRAWS) -> int:
     """Of some draws of whole copies the one whose totals are nearest to the expected ones."""
     d = len(targets)
     rate, t, p = rate_of(F.col("p"), at), F.col("tokens"), F.col("p")
@@ -212,11 +221,11 @@ def best_draw(rows: DataFrame, targets: dict[str, float], at: np.ndarray, draws:
 
 @dataclass
 class Mix:
-    """A fitted mix: the classifier, the sums of the steps and the draw."""
+    """A fitted mix: the classifier, the steps and the draw."""
 
     targets: dict[str, float]
     model: Memberships
-    steps: np.ndarray
+    steps: list[np.ndarray]
     draw: int
 
 
@@ -231,18 +240,23 @@ def _labelled(labels: DataFrame, targets: dict[str, float], id_col: str, of: Col
     return known.where(F.col("label").isin(*targets) & F.col("label_id").isNotNull())
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str, text_col: str, most: int) -> tuple[Mix, DataFrame]:
+def _fit(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str, text_col: str, most: int, ban: bool,
+) -> tuple[Mix, DataFrame]:
     """The fitted mix and the written table (id, key, tokens, p, banned) of all rows."""
     model = fit_memberships(docs, labels, tuple(targets), id_col, text_col, most)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), verdicts(docs, model, text_col).alias("v"))
-    rows = cut(rows.select("id", "key", "v.*"), "memberships")
-    barred = cut(_banned(labels, targets).withColumn("banned", F.lit(True)), "barred")
-    rows = cut(
-        lookup(rows, barred, "id").select("id", "key", "tokens", "p", F.coalesce("banned", F.lit(False)).alias("banned")), "rated",
-        keep=True,
-    )
-    at = fit_rates(rows, targets)
+    rows = rows.select("id", "key", "v.*")
+    if ban:
+        barred = cut(_banned(labels, targets).withColumn("banned", F.lit(True)), "barred")
+        rows = lookup(cut(rows, "memberships"), barred, "id").select("id", "key", "tokens", "p", F.coalesce("banned", F.lit(False)).alias("banned"))
+    else:
+        rows = rows.withColumn("banned", F.lit(False))
+    rows = cut(rows, "rated", keep=True)
+    at, miss = fit_rates(rows, targets)
+    if miss > TOLERANCE:
+        warnings.warn(f"the rates leave a domain's share of the expected tokens {miss:.4f} from its target", stacklevel=3)
     return Mix(targets, model, at, best_draw(rows, targets, at)), rows
 
 
@@ -254,20 +268,22 @@ def mix_to_targets(
     text_col: str = "text",
     of: Column | None = None,
     most: int = SAMPLE,
+    ban: bool = False,
 ) -> DataFrame:
     """(id_col, n_tokens, p_<domain> for each domain, rate, copies) for every row of docs.
 
     targets: the share of the mixed tokens that each domain is to have; of: the domain of a label row (null: none), by
     default toxic 1 is `toxic`, else quality 0 `low` and 1 `clean`. Learns from about `most` label rows at most (a sample by
-    the hash of the id) whose document is there. A document that labels place in a domain of target 0 has rate 0, whatever
-    the classifier says. Null and empty texts have no tokens, and posteriors as texts without words. Without usable labels
+    the hash of the id) whose document is there. All rows are rated by what the
+    classifier says; with `ban`, documents that labels place in a domain of target 0 have rate 0 and are not fitted. Where the
+    targets cannot be met within TOLERANCE of the expected shares, a warning says by how much. Null and empty texts have no tokens, and posteriors as texts without words. Without usable labels
     all is of the first domain. Repeated rows count and are rated each; a null id is rated and never learnt from; ids may
     have any type. Where the domain with the largest target has no tokens, every other rate is 1. Other columns are ignored,
     whatever their names; an empty table gives none.
     """
     targets = targets or TARGETS
     with tidy(docs.sparkSession):
-        mix, rows = _fit(docs, _labelled(labels, targets, id_col, of), targets, id_col, text_col, most)
+        mix, rows = _fit(docs, _labelled(labels, targets, id_col, of), targets, id_col, text_col, most, ban)
     rate = F.when(F.col("banned"), F.lit(0.0)).otherwise(rate_of(F.col("p"), mix.steps))
     shares = [F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(targets)]
     copies = F.when(F.col("banned"), F.lit(0).cast("long")).otherwise(copies_of(rate_of(F.col("p"), mix.steps), F.col("key"), mix.draw))
@@ -282,6 +298,7 @@ def mixed_documents(
     text_col: str = "text",
     of: Column | None = None,
     most: int = SAMPLE,
+    ban: bool = False,
 ) -> DataFrame:
     """The rows of docs that have a copy or more in the mix of mix_to_targets, whole, with `rate` and `copies`.
 
@@ -290,8 +307,9 @@ def mixed_documents(
     targets = targets or TARGETS
     known = _labelled(labels, targets, id_col, of)
     with tidy(docs.sparkSession):
-        mix, _ = _fit(docs, known, targets, id_col, text_col, most)
-    docs = without(docs, cut(_banned(known, targets), "barred", keep=True).withColumnRenamed("id", id_col), [id_col])
+        mix, _ = _fit(docs, known, targets, id_col, text_col, most, ban)
+    if ban:
+        docs = without(docs, cut(_banned(known, targets), "barred", keep=True).withColumnRenamed("id", id_col), [id_col])
     name = spare_name(docs, "mix_verdict")
     text = F.col(text_col).cast("string")
     rated = docs.select("*", verdicts(docs, mix.model, text_col).alias(name))
