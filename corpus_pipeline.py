@@ -72,10 +72,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a copy or more in the mix, and their rate and copies (columns of these names are replaced).
 
-    Each row is rated by its own text, null and empty ones as texts without words; a row without doc_id has no label. Other
-    columns stay as they are, whatever their names; an empty table gives none.
+    Documents that labels call toxic go, whatever the classifier says of them. Each other row is rated by its own text, null
+    and empty ones as texts without words; a row without doc_id has no label. Other columns stay as they are, whatever their
+    names; an empty table gives none.
     """
-    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ban=True)
 
 
 STAGES = [
