@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bayes import language_ids
-from .chat import format_chats, read_chats
+from .chat import formatted_parts, read_chats
 from .collocations import collocations
 from .decontamination import decontaminate
 from .exact_dedup import exact_duplicates
@@ -17,7 +19,7 @@ from .ngram_join import ngram_components
 from .oracles import ORACLE_SQL
 from .quality_model import quality_scores
 from .repetition import quality_rules
-from .shared import cut, documents
+from .shared import documents
 from .url_filter import judge_urls
 from .warc import archive_round_trip
 
@@ -69,7 +71,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(forged).alias("text"),
         )
     )
-    read = read_chats(cut(format_chats(turns), "windows"))
+    read = reduce(DataFrame.unionByName, [read_chats(windows) for windows in formatted_parts(turns)])
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     return read.select(

@@ -418,6 +418,57 @@ def test_chats_round_trip(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def plain_windows(turns, budget, history, chunk):
+    """(new and repeated texts of each window, how many are repeated): by lists, for turns (role, text) in order."""
+    size = lambda t: -(-len(t[1]) // 4) + 4
+    head, out = (turns[:1] if turns[0][0] == "system" else []), []
+    n_head = sum(map(size, head))
+    window, used = None, 0
+    for place, turn in enumerate(turns):
+        if place == 0 and head:
+            window = None
+            if len(turns) == 1 or chunk == 1:
+                out.append([0, head[:]])
+            continue
+        starts = place % chunk == 0 or window is None or used + size(turn) > budget
+        if starts:
+            room, again = min(history, budget - n_head - size(turn)), []
+            for earlier in reversed(turns[len(head) : place]):
+                if sum(map(size, again)) + size(earlier) > room:
+                    break
+                again.insert(0, earlier)
+            window = [len(again) + (bool(head) and bool(out)), [*head, *again]]
+            out.append(window)
+            used = n_head + sum(map(size, again))
+        window[1].append(turn)
+        used += size(turn)
+    return [(n, texts) for n, texts in out]
+
+
+@pytest.mark.parametrize("chunk", [512, 16, 3, 1])
+def test_chat_windows_go_by_rank(spark, chunk):
+    rnd = random.Random(chunk)
+    talk = [("system" if t == 0 else rnd.choice(["user", "assistant"]), "w" * rnd.choice([0, 9, 40, 90, 400])) for t in range(70)]
+    convs = {}
+    for c, number in enumerate((lambda t: t, lambda t: 60 * t - 2000, lambda t: 10**12 + 1000 * t)):
+        convs[c] = [(number(t), *turn) for t, turn in enumerate(talk)]
+    convs[3] = [(t, *turn) for t, turn in enumerate(talk[1:])]
+    convs[None] = [(None if t < 30 else t // 3, rnd.choice([None, "user", "assistant"]), rnd.choice([None, "", "a", "b" * 60])) for t in range(60)]
+    convs[5] = [(7, "user", "same")] * 40
+    convs[6] = [(0, "system", "only")]
+    rows = [(c, *turn) for c, turns in convs.items() for turn in turns]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for w in sorted(format_chats(table, budget=100, history=40, chunk=chunk).collect(), key=lambda w: w.window):
+        parts = [t.partition("\n") for t in w.formatted.split("<|im_start|>")[1:]]
+        got.setdefault(w.conv_id, []).append((w.n_repeated, [(role, text[: -len("<|im_end|>\n")]) for role, _, text in parts]))
+    for c, turns in convs.items():
+        turns = sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1] or "", t[2] or ""))
+        assert got[c] == plain_windows([(r or "", x or "") for _, r, x in turns], 100, 40, chunk), c
+    assert got[0] == got[1] == got[2]
+
+
 def unescape_text(text):
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
