@@ -8,17 +8,19 @@ import zlib
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.types as T
 import pytest
 from pyspark.sql import functions as F
 from skyfix.llm import queries as Q
-from skyfix.llm.bayes import language_ids
+from skyfix.llm.bayes import character_features, fit_languages, held_out, language_bars, language_ids, language_verdict
 from skyfix.llm.chat import escape, format_chats, read_chats, unescape
 from skyfix.llm.decontamination import decontaminate
 from skyfix.llm.html_text import extract, main_text, minimum_cut
 from skyfix.llm.mixing import TARGETS, mix_to_targets
 from skyfix.llm.quality_model import quality_scores
 from skyfix.llm.repetition import quality_rules
+from skyfix.llm.shared import documents
 from skyfix.llm.url_filter import RULES, judge_urls
 from skyfix.llm.warc import archive_round_trip, broken_chains, read_warc, reachable, with_revisits, write_warc
 
@@ -531,6 +533,43 @@ def test_language_ids_on_held_out_documents(spark):
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for d, r in got.items())
 
 
+def test_language_bars_against_all_pairs(spark):
+    docs = documents(spark, SF)
+    model = fit_languages(docs)
+    rows = docs.where(held_out("doc_id", 3, 1) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text").toPandas()
+    found = {name: [] for name in model.names}
+    for lang, text in zip(rows.lang, rows.text, strict=True):
+        row, bucket, has = character_features(pa.array([text]))
+        for k, name in enumerate(model.names):
+            if has[0] and lang != name:
+                found[name].append(model.usual[k] - model.log_prob[k][bucket].astype(float).mean())
+    bars = language_bars(docs.repartition(7), model)
+    for name, values in found.items():
+        assert abs(bars[name] - sorted(values)[(len(values) + 1) // 2 - 1]) < 0.011
+    assert language_bars(docs.where("lang = 'en'"), fit_languages(docs.where("lang = 'en'"))) == {}
+    assert language_bars(docs.limit(0), fit_languages(docs.limit(0))) == {}
+
+
+def test_language_bars_part_known_from_unknown(spark):
+    docs = documents(spark, "/root/testdata/sf0.1")
+    model = fit_languages(docs)
+    bars = language_bars(docs, model)
+    texts = spark.createDataFrame(
+        [
+            ("Мы читаем таблицу документов и записываем строки",), ("我们读取文档表并写入保留的行",), ("xqzj kwvq zzxk qqwj vkxz jqwk",),
+        ],
+        "text string",
+    )
+    for r in texts.select(language_verdict(texts, model).alias("v")).collect():
+        assert r.v.surprise > bars[r.v.lang_pred]
+    for own in (documents(spark, SF), docs):
+        model = fit_languages(own)
+        bars = language_bars(own, model)
+        told = own.where("lang is not null").select("lang", language_verdict(own, model).alias("v")).where("lang = v.lang_pred")
+        n, *over = told.agg(F.count("*"), *(F.count_if((F.col("lang") == k) & (F.col("v.surprise") > b)) for k, b in bars.items())).first()
+        assert sum(over) <= 0.001 * n
+
+
 def test_language_ids_of_odd_tables(spark):
     rows = [
         (1, "the cat and the dog", "en", 1), (2, "le chat et le chien", "fr", 2), (3, None, "en", 3), (4, "123 %% 7", None, 4),
