@@ -9,16 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm.bayes import fit_languages, language_verdict
+from skyfix.llm.bayes import fit_languages, language_bars, language_verdict
 from skyfix.llm.decontamination import contaminated_rows
 from skyfix.llm.mixing import mixed_documents
 from skyfix.llm.ngram_join import component_rows
 from skyfix.llm.quality_model import fit_quality, quality_verdict
 from skyfix.llm.shared import cut, documents, drop_rows, perhaps_among, row_keys, spare_name
 
-#: A document whose language is predicted with less posterior than this is rejected, as is one without a letter, and one whose
-#: letters are less usual in the predicted language than this, in mean log probability of its n-grams.
-LEAST_LANGUAGE_SCORE, MOST_SURPRISE = 0.5, 3.0
+#: A document whose language is predicted with less posterior than this is rejected.
+LEAST_LANGUAGE_SCORE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +31,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told, and whose letters are usual in it.
+    """Documents whose language is told, and whose n-grams are less unusual in it than those of half the texts of other languages
+    are there (language_bars), so that texts in languages or alphabets that were not learnt go.
 
     Each row is judged by its own text; null, empty and letterless texts go. Null and repeated ids are like any others.
     Columns stay as they are, whatever their names; an empty table gives none.
     """
     name = spare_name(docs, "language_verdict")
-    told = docs.select("*", language_verdict(docs, fit_languages(docs)).alias(name))
-    kept = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= LEAST_LANGUAGE_SCORE) & (F.col(name)["surprise"] <= MOST_SURPRISE)
+    model = fit_languages(docs)
+    told = docs.select("*", language_verdict(docs, model).alias(name))
+    kept = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= LEAST_LANGUAGE_SCORE)
+    bars = language_bars(docs, model)
+    if bars:
+        bar = F.create_map(*(F.lit(x) for pair in bars.items() for x in pair))[F.col(name)["lang_pred"]]
+        kept = kept & (F.col(name)["surprise"] <= F.coalesce(bar, F.lit(float("inf"))))
     return told.where(kept).select(docs.columns)
 
 
