@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyfix.functions.vectors import checked
@@ -31,13 +32,15 @@ SLACK = 1e-9
 
 @dataclass(frozen=True)
 class TileIndex:
-    """blocks: d_block, tiles (array of ids), vectors, center (binaries), radius; a written table. tile: Spark's type of the ids."""
+    """blocks: d_block, tiles (array of ids), vectors, center (binaries), radius, element, most; a written table. tile: Spark's type of
+    the ids. most: the largest k that may be asked for, if the index was built for one."""
 
     blocks: DataFrame
     dim: int
     tile: str
     element: str
     count: int
+    most: int | None = None
 
     def save(self, path: str) -> TileIndex:
         """The index at another place, for later sessions and streams."""
@@ -52,8 +55,8 @@ class TileIndex:
 def load_index(spark: SparkSession, path: str, dim: int) -> TileIndex:
     blocks = spark.read.parquet(path)
     kinds = {f.name: f.dataType for f in blocks.schema}
-    first = blocks.select("element").first()
-    return TileIndex(blocks, dim, kinds["tiles"].elementType.simpleString(), first[0] if first else "float", blocks.count())
+    first = blocks.select("element", "most" if "most" in kinds else F.lit(None).cast("int").alias("most")).first()
+    return TileIndex(blocks, dim, kinds["tiles"].elementType.simpleString(), first[0] if first else "float", blocks.count(), first[1] if first else None)
 
 
 def _element(df: DataFrame, column: str) -> str:
@@ -86,19 +89,30 @@ def _nearest(pivots: np.ndarray):
     return F.arrow_udf(run, "int")
 
 
-def build_index(descriptors: DataFrame, dim: int, block_bytes: int | None = None, seed: int = 0) -> TileIndex:
+def _first_tiles(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (tile_id, v) but for tiles that no search for `most` tiles can find by that vector: of equal vectors, which all have the
+    same score, the first `most` tiles come before the others, and one more may be the query's own. Spark limits groups before
+    they are moved."""
+    order = W.partitionBy(F.xxhash64("v"), "v").orderBy("tile_id")
+    return rows.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most + 1).drop("nth")
+
+
+def build_index(descriptors: DataFrame, dim: int, block_bytes: int | None = None, seed: int = 0, most: int | None = None) -> TileIndex:
     """An index of descriptors: tile_id (of any type that has an order), descriptor (array of dim floats or doubles), a row for
     each variant of a tile.
 
     Rows go to the nearest of some pivots, descriptors drawn by a seeded order, and those of a pivot to as many blocks as its
-    bytes need. Rows without a tile_id are left out; a descriptor of another length fails the job; no rows make no blocks.
+    bytes need. Rows without a tile_id are left out; a descriptor of another length fails the job; no rows make no blocks. With
+    `most`, an index for searches of that many tiles at most, many tiles of one vector take no more room than these searches need.
     """
     element, tile = _element(descriptors, "descriptor"), descriptors.schema["tile_id"].dataType.simpleString()
     width = dim * np.dtype(_dtype(element)).itemsize
     rows = descriptors.where("tile_id is not null").select("tile_id", checked(F.col("descriptor"), dim).cast(f"array<{element}>").alias("v"))
+    first = cut(_first_tiles(rows, most), "first-tiles") if most is not None else None
+    rows = rows if first is None else first
     n, tasks = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(1, min(BLOCK_ROWS, (block_bytes or BLOCK_BYTES) // width))
-    wanted, near = -(-n // most), None
+    room = max(1, min(BLOCK_ROWS, (block_bytes or BLOCK_BYTES) // width))
+    wanted, near = -(-n // room), None
     if wanted < PRUNE_FROM:
         # Too few to leave any out: only a share for each task.
         block = F.pmod(F.xxhash64("tile_id", "v"), F.lit(max(1, wanted, min(tasks, PRUNE_FROM - 1))))
@@ -107,7 +121,7 @@ def build_index(descriptors: DataFrame, dim: int, block_bytes: int | None = None
         pivots = min(wanted, max(1, PIVOT_BYTES // (8 * dim)))
         drawn = sample(rows.select("v", F.xxhash64("v").alias("h")), "h", pivots, seed).select("v").toArrow()  # PIVOT_BYTES at most
         near = cut(rows.withColumn("pivot", _nearest(_matrix(drawn.column("v"), np.float64, dim))("v")), "near-pivots")
-        parts = near.groupBy("pivot").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+        parts = near.groupBy("pivot").agg(F.ceil(F.count("*") / room).cast("int").alias("parts"))
         # Rows of a pivot are dealt out in turn: near is written, so a task that runs again numbers its rows alike.
         turn = near.withColumn("turn", F.monotonically_increasing_id()).join(F.broadcast(parts), "pivot")
         dealt = turn.select("tile_id", "v", F.xxhash64("pivot", F.pmod("turn", "parts")).alias("d_block"))
@@ -122,15 +136,17 @@ def build_index(descriptors: DataFrame, dim: int, block_bytes: int | None = None
         ids = table.column("tile_id").take(order).combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         return pa.table(
-            [pa.array([key[0].as_py()]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([vectors.tobytes()]), pa.array([center.tobytes()]), pa.array([radius]), pa.array([element])],
-            names=["d_block", "tiles", "vectors", "center", "radius", "element"],
+            [pa.array([key[0].as_py()]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([vectors.tobytes()]), pa.array([center.tobytes()]), pa.array([radius]), pa.array([element]), pa.array([most], pa.int32())],
+            names=["d_block", "tiles", "vectors", "center", "radius", "element", "most"],
         )
 
-    shape = f"d_block bigint, tiles array<{tile}>, vectors binary, center binary, radius double, element string"
+    shape = f"d_block bigint, tiles array<{tile}>, vectors binary, center binary, radius double, element string, most int"
     blocks = cut(dealt.groupBy("d_block").applyInArrow(pack, shape), "tile-index")
     if near is not None:
         delete(near)
-    return TileIndex(blocks, dim, tile, element, blocks.count())
+    if first is not None:
+        delete(first)
+    return TileIndex(blocks, dim, tile, element, blocks.count(), most)
 
 
 def _best(matrix: np.ndarray, own: np.ndarray | None, code: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,6 +283,8 @@ def search_index(queries: DataFrame, index: TileIndex, k: int, exclude_own: bool
     queries first visits the block of tiles with the largest bound, then those whose bound reaches the k-th score found there;
     with few blocks it visits all. Blocks meet by equi-joins: neither side passes the driver or is held whole.
     """
+    if index.most is not None and k > index.most:
+        raise ValueError(f"the index was built for {index.most} tiles at most, not {k}")
     prune, pivots, spark = index.count >= PRUNE_FROM, None, queries.sparkSession
     if prune:
         centers = index.blocks.select("center").limit(max(1, PIVOT_BYTES // (8 * index.dim))).toArrow()  # only deals queries to blocks

@@ -150,6 +150,19 @@ def test_one_vector_of_many_tiles_is_cut(spark, monkeypatch):
     assert [t for t, _ in _found(tile_index.search_index(q, index, 4)[0])[1]] == [0, 1, 2, 3]
 
 
+def test_an_index_for_few_tiles_keeps_few_of_one_vector(spark):
+    d = spark.range(3000).select(F.col("id").alias("tile_id"), F.array((F.col("id") % 3).cast("float"), F.lit(1.0).cast("float")).alias("descriptor"))
+    d = d.unionByName(d.where("tile_id < 6"))
+    q = spark.createDataFrame([(i, i, [1.0, 0.5]) for i in (2, 5, 8, 2999)], "query_id long, own_tile long, descriptor array<double>")
+    index = tile_index.build_index(d, 2, most=4)
+    assert index.blocks.agg(F.sum(F.size("tiles"))).first()[0] <= 3 * 5 + 6
+    again = tile_index.load_index(spark, index.save(f"{shared_dir(spark)}/index-most").blocks.inputFiles()[0].rpartition("/")[0], 2)
+    for x in (index, again):
+        assert _found(tile_index.search_index(q, x, 4, exclude_own=True)[0]) == _plain_search(q, d, 4, True)
+        with pytest.raises(ValueError, match="built for 4"):
+            tile_index.search_index(q, x, 5)
+
+
 def test_native_search_sends_heaps_only(spark):
     q, d = _search_tables(spark, np.random.default_rng(4), 300, 20, 8)
     plan = retrieval._kept(q, d, 8, 5, True)._jdf.queryExecution().executedPlan().toString()
