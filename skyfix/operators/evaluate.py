@@ -18,6 +18,24 @@ def first_hits(ranked: DataFrame, positives: DataFrame) -> DataFrame:
     return positives.select("query_id").distinct().join(hits, "query_id", "left")
 
 
+def label_hits(ranked: DataFrame, queries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """As first_hits, where the positives of a query are the tiles with a variant of its label, but for its own: they are looked up
+    for what was ranked only, as there are as many of them as queries times tiles.
+
+    queries: query_id, own_tile, label. tiles: tile_id, label, a row for each variant."""
+    span = tiles.where("tile_id is not null").groupBy("label").agg(F.min("tile_id").alias("_low"), F.max("tile_id").alias("_high"))
+    some = queries.join(span, "label").where("_low <> own_tile or _high <> own_tile").select("query_id").distinct()
+    hits = with_labels(ranked, queries, tiles).where("correct").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    return some.join(hits, "query_id", "left")
+
+
+def with_labels(ranked: DataFrame, queries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """ranked with own_tile and correct: whether the tile has a variant of the query's label and is not its own."""
+    known = tiles.select("tile_id", "label").distinct().withColumn("_same", F.lit(True))
+    met = ranked.join(queries.select("query_id", "own_tile", "label"), "query_id").join(known, ["tile_id", "label"], "left")
+    return met.withColumn("correct", F.col("_same").isNotNull() & F.coalesce(F.col("tile_id") != F.col("own_tile"), F.lit(False))).drop("_same", "label")
+
+
 def recall(hits: DataFrame, ks: tuple[int, ...], by: list[str] | None = None) -> DataFrame:
     """recall_<k> in percent and num_evaluated from first_hits; 0.0 if no query has a positive."""
     at = [F.coalesce(F.avg(F.when(F.col("first_rank") <= k, 100.0).otherwise(0.0)), F.lit(0.0)).alias(f"recall_{k}") for k in ks]

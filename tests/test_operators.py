@@ -234,6 +234,17 @@ def test_recall_without_queries_is_zero(spark):
     assert tuple(evaluate.recall(none, (1, 5)).first()) == (0.0, 0.0, 0)
 
 
+def test_positives_by_label_are_those_written_out(spark):
+    """Also of queries whose label no other tile has, and of those without a tile; no row for each query and tile of a label."""
+    tiles = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, None)], "tile_id long, label string")
+    q = spark.createDataFrame([(10, 1, "a"), (11, 2, "b"), (12, 3, "c"), (13, None, "a"), (14, 9, "z"), (15, 1, "b"), (16, 4, None)], "query_id long, own_tile long, label string")
+    ranked = spark.createDataFrame([(i, t, r) for i in range(10, 17) for r, t in enumerate((3, 1, 2, 4), 1)], "query_id long, tile_id long, rank int")
+    pairs = q.join(tiles.distinct(), "label").where("tile_id <> own_tile").select("query_id", "tile_id")
+    want = {tuple(r) for r in evaluate.first_hits(ranked, pairs).collect()}
+    got = evaluate.label_hits(ranked, q, tiles)
+    assert {tuple(r) for r in got.collect()} == want == {(10, 3), (11, 2)}
+
+
 def test_power_wraps_and_skips(spark):
     s = spark.createDataFrame(
         [(0.0, 90.0), (1.0, 95.0), (2.0, 5.0), (3.0, None), (3.0, 7.0), (4.0, 9.0)], "ts double, c double",
