@@ -231,35 +231,136 @@ def _packed_queries(queries: DataFrame, index: TileIndex, exclude: bool, pivots:
     return cut(near.select("q_block", "query_id", "own", "v").groupBy("q_block").applyInArrow(pack, shape), "query-blocks")
 
 
-def _bounds(queries: DataFrame, index: TileIndex, home: bool) -> DataFrame:
-    """Of each block of queries and block of tiles the largest bound: with home (q_block, bound, d_block) of the best in each pack of
-    centres, without (q_block, d_block) of all whose bound reaches some query's floor. Centres come in packs of PIVOT_BYTES."""
+def _home(queries: DataFrame, index: TileIndex) -> DataFrame:
+    """(q_block, d_block, bound) of the block of tiles with the largest bound in each pack of centres, of PIVOT_BYTES, for each block
+    of queries."""
     dim = index.dim
     packs = max(1, -(-index.count * 8 * dim // PIVOT_BYTES))
     centers = index.blocks.select("d_block", "center", "radius").withColumn("pack", F.pmod("d_block", F.lit(packs)).cast("int"))
     centers = centers.groupBy("pack").agg(F.collect_list(F.struct("d_block", "center", "radius")).alias("centers"))
-    met = queries.select("q_block", "floor", "q_vectors", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack")).join(centers, "pack")
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = _in_packs(queries, "q_block", "q_vectors", QUERY_BYTES, tasks, "q", ["q_block", "floor", "q_vectors"])
+    met = grouped.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(centers, "pack").repartition(tasks, "q")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                matrix = np.frombuffer(batch.column("q_vectors")[i].as_buffer(), np.float64).reshape(-1, dim)
-                floor = np.frombuffer(batch.column("floor")[i].as_buffer(), np.float64)
-                packed = batch.column("centers")[i].values
-                blocks = packed.field("d_block").to_numpy()
-                center = np.frombuffer(b"".join(packed.field("center").to_pylist()), np.float64).reshape(-1, dim)
-                length = np.sqrt(np.square(matrix).sum(1))[:, None]
-                far = packed.field("radius").to_numpy()[None, :] + SLACK * (1 + np.sqrt(np.square(center).sum(1)))
-                bound = matrix @ center.T + length * far
-                if home:
-                    best = bound.sum(0)
-                    keep = np.array([int(np.argmax(best))])
-                else:
-                    best = bound.max(0)
-                    keep = np.flatnonzero(np.any(bound >= floor[:, None], axis=0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), batch.column("q_block")[i].as_py())), pa.array(blocks[keep]), pa.array(best[keep])], ["q_block", "d_block", "bound"])
-
-    return met.select("q_block", "floor", "q_vectors", "centers").mapInArrow(run, "q_block bigint, d_block bigint, bound double")
+                queries, packed = batch.column("q_blocks")[i].values, batch.column("centers")[i].values
+                matrix, _, ends = _split(queries, dim)
+                center, far = _spheres(packed, dim)
+                ats, bests = [], []
+                for j in range(len(queries)):
+                    # The sum of bounds over a block's queries, from the sums of vectors and of lengths.
+                    part = matrix[ends[j] : ends[j + 1]]
+                    total = part.sum(0) @ center.T + np.sqrt(np.square(part).sum(1)).sum() * far
+                    ats.append(int(np.argmax(total)))
+                    bests.append(float(total[ats[-1]]))
+                yield pa.RecordBatch.from_arrays([queries.field("q_block"), packed.field("d_block").take(pa.array(ats)), pa.array(bests)], ["q_block", "d_block", "bound"])
+
+    return met.select("q_blocks", "centers").mapInArrow(run, "q_block bigint, d_block bigint, bound double")
+
+
+def _spheres(packed: pa.StructArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of blocks and their radii, with what rounding may add."""
+    center = np.frombuffer(b"".join(packed.field("center").to_pylist()), np.float64).reshape(-1, dim)
+    return center, packed.field("radius").to_numpy() + SLACK * (1 + np.sqrt(np.square(center).sum(1)))
+
+
+def _reached(matrix: np.ndarray, floor: np.ndarray, center: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which blocks of tiles have a bound that reaches some query's floor."""
+    out, step = np.zeros(len(far), bool), max(1, STEP_DOUBLES // len(far))
+    for a in range(0, len(matrix), step):
+        part = matrix[a : a + step]
+        bound = part @ center.T + np.sqrt(np.square(part).sum(1))[:, None] * far
+        out |= np.any(bound >= floor[a : a + step, None], axis=0)
+    return out
+
+
+def _split(packed: pa.StructArray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, floors, first row of each block and the end) of a pack of blocks of queries."""
+    floors = packed.field("floor").to_pylist()
+    ends = np.cumsum([0] + [len(x) // 8 for x in floors])
+    return np.frombuffer(b"".join(packed.field("q_vectors").to_pylist()), np.float64).reshape(-1, dim), np.frombuffer(b"".join(floors), np.float64), ends
+
+
+def _in_packs(blocks: DataFrame, block: str, size: str, most: int, tasks: int, name: str, columns: list[str]) -> DataFrame:
+    """(name, <name>_blocks): blocks put together in packs of some `most` bytes, more packs if there are fewer than tasks. A block of
+    more than half of that is a pack by itself."""
+    n, total = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length(size)), F.lit(0))).first()
+    packs = max(-(-total * 2 // most), min(n, tasks), 1)
+    alone = F.length(size) * 2 > most
+    pack = F.when(alone, F.concat(F.lit("b"), F.col(block))).otherwise(F.pmod(F.xxhash64(block), F.lit(packs)).cast("string"))
+    return blocks.groupBy(pack.alias(name)).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_blocks"))
+
+
+_QUERY, _SPHERE = ["q_block", "d_block", "queries", "own", "floor", "q_vectors"], ["d_block", "center", "radius"]
+
+
+def _pack_pairs(queries: DataFrame, tiles: DataFrame, dim: int) -> DataFrame:
+    """(q, t, n): packs of queries and of tiles in which n blocks of tiles besides the first ones reach some query's floor, so there
+    is a row for each two packs at most, however small the blocks are."""
+    spheres = tiles.select("t", F.transform("t_blocks", lambda b: F.struct(*(b[c].alias(c) for c in _SPHERE))).alias("t_blocks"))
+    told = queries.select("q", F.transform("q_blocks", lambda b: F.struct(*(b[c].alias(c) for c in ("d_block", "floor", "q_vectors")))).alias("q_blocks"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = told.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = groups.join(spheres.withColumn("g", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int")), "g")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                packed, blocks = batch.column("q_blocks")[i].values, batch.column("t_blocks")[i].values
+                matrix, floor, ends = _split(packed, dim)
+                center, far = _spheres(blocks, dim)
+                homes, ids, n = packed.field("d_block").to_numpy(), blocks.field("d_block").to_numpy(), 0
+                for j, home in enumerate(homes):
+                    rows = slice(ends[j], ends[j + 1])
+                    n += int((_reached(matrix[rows], floor[rows], center, far) & (ids != home)).sum())
+                if n:
+                    yield pa.RecordBatch.from_arrays([batch.column("q").slice(i, 1), batch.column("t").slice(i, 1), pa.array([n])], ["q", "t", "n"])
+
+    return met.select("q", "t", "q_blocks", "t_blocks").mapInArrow(run, "q string, t string, n bigint")
+
+
+def _visited_packs(met: DataFrame, dim: int, element: str, query: str, tile: str, k: int, exclude: bool) -> DataFrame:
+    """(found) of packs of queries that met packs of tiles, as in _visited: k tiles at most of each query in a pack, from the blocks
+    that its own block of queries reaches. Blocks of queries that reach the same ones are searched together."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                packed, blocks = batch.column("q_blocks")[i].values, batch.column("t_blocks")[i].values
+                matrix, floor, ends = _split(packed, dim)
+                center, far = _spheres(blocks, dim)
+                queries, ids = packed.field("queries").flatten(), blocks.field("tiles").flatten()
+                order = np.asarray(pc.sort_indices(ids))
+                coded = ids.take(pa.array(order)).dictionary_encode()
+                code = coded.indices.to_numpy().astype(np.int64)
+                vectors = np.frombuffer(b"".join(blocks.field("vectors").to_pylist()), _dtype(element)).reshape(-1, dim)[order]
+                block = np.repeat(np.arange(len(far)), pc.list_value_length(blocks.field("tiles")).to_numpy())[order]
+                own = None
+                if exclude:
+                    own = pc.fill_null(pc.index_in(packed.field("own").flatten().cast(coded.dictionary.type), coded.dictionary), -1).to_numpy()
+                alike: dict[bytes, list[int]] = {}
+                for j, home in enumerate(packed.field("d_block").to_pylist()):
+                    rows = slice(ends[j], ends[j + 1])
+                    reached = _reached(matrix[rows], floor[rows], center, far)
+                    if len(far) == 1 and blocks.field("d_block")[0].as_py() == home:
+                        continue  # visited before; in a pack it is looked at again, so that more blocks of queries are alike
+                    if reached.any():
+                        alike.setdefault(reached.tobytes(), []).append(j)
+                for mask, members in alike.items():
+                    reached = np.frombuffer(mask, bool)
+                    rows = np.concatenate([np.arange(ends[j], ends[j + 1]) for j in members])
+                    some = slice(None) if reached.all() else np.flatnonzero(reached[block])
+                    score, tiles = _best(matrix[rows], None if own is None else own[rows], code[some], vectors[some], k)
+                    at, place = np.nonzero((score > -np.inf) & (score >= floor[rows][:, None]))
+                    found = pa.StructArray.from_arrays(
+                        [queries.take(pa.array(rows[at])), coded.dictionary.take(pa.array(tiles[at, place])), pa.array(score[at, place])],
+                        ["query_id", "tile_id", "similarity"],
+                    )
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)], ["found"])
+
+    return met.select("q_blocks", "t_blocks").mapInArrow(run, f"found array<struct<query_id: {query}, tile_id: {tile}, similarity: double>>")
 
 
 @dataclass(frozen=True)
@@ -281,7 +382,7 @@ def search_index(queries: DataFrame, index: TileIndex, k: int, exclude_own: bool
 
     queries: query_id (of any type), descriptor (and own_tile with exclude_own, which the query then does not find). Each block of
     queries first visits the block of tiles with the largest bound, then those whose bound reaches the k-th score found there;
-    with few blocks it visits all. Blocks meet by equi-joins: neither side passes the driver or is held whole.
+    with few blocks it visits all. Blocks meet by equi-joins, small ones in packs: neither side passes the driver or is held whole.
     """
     if index.most is not None and k > index.most:
         raise ValueError(f"the index was built for {index.most} tiles at most, not {k}")
@@ -299,12 +400,18 @@ def search_index(queries: DataFrame, index: TileIndex, k: int, exclude_own: bool
             pairs = packed.select("q_block").crossJoin(F.broadcast(index.blocks.select("d_block")))  # fewer than PRUNE_FROM blocks
             found, visited = visit(packed.join(pairs, "q_block").join(tiles, "d_block")), n * index.count
         else:
-            home = cut(_bounds(packed, index, True).groupBy("q_block").agg(F.max_by("d_block", "bound").alias("d_block")), "home-blocks")
+            home = cut(_home(packed, index).groupBy("q_block").agg(F.max_by("d_block", "bound").alias("d_block")), "home-blocks")
             first = cut(visit(packed.join(home, "q_block").join(tiles, "d_block")), "home-found")
-            packed = packed.drop("floor").join(first.select("q_block", "floor"), "q_block")
-            pairs = cut(_bounds(packed, index, False).select("q_block", "d_block").join(home, ["q_block", "d_block"], "left_anti"), "block-pairs")
-            found, visited = first.unionByName(visit(packed.join(pairs, "q_block").join(tiles, "d_block"))), n + pairs.count()
-            own += [home, first, pairs]
+            tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            known = packed.drop("floor").join(first.select("q_block", "floor"), "q_block").join(home, "q_block")
+            q_packs = cut(_in_packs(known, "q_block", "q_vectors", QUERY_BYTES, 1, "q", _QUERY), "query-packs")
+            t_packs = cut(_in_packs(index.blocks, "d_block", "vectors", BLOCK_BYTES, tasks, "t", [*_SPHERE, "tiles", "vectors"]), "tile-packs")
+            pairs = cut(_pack_pairs(q_packs, t_packs, index.dim), "pack-pairs")
+            # Dealt by hand: a pair of packs is few bytes and much work.
+            met = pairs.join(q_packs, "q").repartition(tasks, "t").join(t_packs.repartition(tasks, "t"), "t").select("q_blocks", "t_blocks")
+            rest = _visited_packs(met, index.dim, index.element, query, index.tile, k, exclude_own)
+            found, visited = first.select("found").unionByName(rest), n + (pairs.agg(F.sum("n")).first()[0] or 0)
+            own += [home, first, q_packs, t_packs, pairs]
         hits = found.select(F.inline("found")).groupBy("query_id", "tile_id").agg(F.max("similarity").alias("similarity"))
         hits = cut(top_k(hits, ["query_id"], [F.col("similarity").desc(), F.col("tile_id")], k), "hits")
     for table in own:

@@ -131,6 +131,16 @@ def test_an_index_of_many_blocks_finds_the_same(spark, monkeypatch, near):
         assert _found(retrieval.search_tiles(q, d, 8, 6, method, exclude_own=True)) == _found(hits)
 
 
+def test_small_blocks_meet_in_packs(spark):
+    """Blocks of 16 vectors: rows that are moved grow with packs, not with pairs of blocks."""
+    q, d = _search_tables(spark, np.random.default_rng(6), 400, 30, 8)
+    index = tile_index.build_index(d, 8, block_bytes=16 * 4 * 8)
+    tiles = tile_index._in_packs(index.blocks, "d_block", "vectors", 64 * 4 * 8, 4, "t", [*tile_index._SPHERE, "tiles", "vectors"])
+    assert tiles.count() < index.count and tiles.agg(F.sum(F.size("t_blocks"))).first()[0] == index.count
+    hits, seen = tile_index.search_index(q, index, 6, exclude_own=True)
+    assert _found(hits) == _plain_search(q, d, 6, True) and seen.tile_blocks >= 75
+
+
 def test_blocks_of_wide_vectors_are_bounded(spark):
     """Vectors of 4,096 numbers, as encoders give them, in blocks of 16 MB at most."""
     dim = 4096
