@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
 from skyfix.functions.ids import ROTATIONS, add_rotation
-from skyfix.functions.vectors import checked, distance, dot
+from skyfix.functions.vectors import checked, distance
 
 from .select import top_k
 from .tile_index import TileIndex, build_index, search_index
@@ -34,20 +37,45 @@ def in_blocks(left: DataFrame, right: DataFrame, blocks: int, key: Column) -> Da
     return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
 
-def similarities(queries: DataFrame, descriptors: DataFrame, dim: int, more: list[str] | None = None) -> DataFrame:
-    """All (query_id, more columns of queries, row of descriptors, similarity), in generated code."""
-    q = queries.select("query_id", *(more or []), checked(F.col("descriptor"), dim).alias("query_descriptor"))
-    blocks = _blocks(descriptors.count(), TILE_BLOCK, int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = in_blocks(q, descriptors, blocks, F.col("tile_id"))
-    return met.withColumn("similarity", dot(F.col("query_descriptor"), F.col("descriptor"), dim)).drop("query_descriptor", "descriptor")
+def _numbers(a: Column, dim: int, name: str) -> list[Column]:
+    """A vector as columns that are never null, of which generated code is short; NaN where there is no number."""
+    return [F.coalesce(a[i].cast("double"), F.lit(float("nan"))).alias(f"_{name}{i}") for i in range(dim)]
+
+
+def similarities(queries: DataFrame, descriptors: DataFrame, dim: int) -> DataFrame:
+    """All (columns of queries, tile_id, similarity) but for vectors that lack a number, in generated code. Blocks are dealt to all
+    tasks, however few files the tables have."""
+    tasks = int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.withColumn("_v", checked(F.col("descriptor"), dim)).select(*(c for c in queries.columns if c != "descriptor"), *_numbers(F.col("_v"), dim, "q"))
+    rows = descriptors.select("tile_id", *_numbers(F.col("descriptor"), dim, "t"))
+    blocks = _blocks(descriptors.count(), TILE_BLOCK, 2 * tasks)
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("tile_id"), F.lit(blocks)).cast("int")).repartition(tasks, "_block")
+    met = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, "_block").join(dealt, "_block")
+    product = reduce(lambda x, y: x + y, (F.col(f"_q{i}") * F.col(f"_t{i}") for i in range(dim)))
+    return met.withColumn("similarity", product).select(*(c for c in queries.columns if c != "descriptor"), "tile_id", "similarity")
+
+
+def _floors(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exclude: bool) -> DataFrame:
+    """(query_id, floor, floor_tile): the k-th of the best tiles among a share of them, about the square root of k times their number.
+    No tile behind it is among the k best of all. A query that meets fewer has no row."""
+    share = max(1, isqrt(descriptors.count() // max(k, 1)))
+    met = similarities(queries, descriptors.where(F.pmod(F.xxhash64("tile_id"), F.lit(share)) == 0), dim)
+    met = met.where("not isnan(similarity)")
+    met = met.where("tile_id <> own_tile or own_tile is null") if exclude else met
+    best = top_k(met.groupBy("query_id", "tile_id").agg(F.max("similarity").alias("floor")), ["query_id"], [F.col("floor").desc(), F.col("tile_id")], k)
+    return best.where(F.col("rank") == k).select("query_id", "floor", F.col("tile_id").alias("floor_tile"))
 
 
 def _kept(queries: DataFrame, descriptors: DataFrame, dim: int, k: int, exclude: bool) -> DataFrame:
-    """(query_id, tile_id, similarity) of the best variants of each query, all pairs met in generated code. Every task keeps a bounded
-    heap a query and sends only that: k times the variants of a tile, so that k tiles are among them."""
+    """(query_id, tile_id, similarity) of the best variants of each query, all pairs met in generated code. A pair behind its query's
+    floor goes where it is met; of the rest every task keeps a bounded heap a query and sends only that: k times the variants of a
+    tile, so that k tiles are among them."""
     variants = descriptors.groupBy("tile_id").count().agg(F.max("count")).first()[0] or 1
-    own = ["own_tile"] if exclude else []
-    met = similarities(queries, descriptors, dim, own)
+    q = queries.select("query_id", *(["own_tile"] if exclude else []), "descriptor")
+    known = q.join(_floors(q, descriptors, dim, k, exclude), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    # The first condition is all that most pairs are asked; ties with the floor go by tile, as ranks do.
+    met = similarities(known, descriptors, dim).where("similarity >= floor").where("not isnan(similarity)")
+    met = met.where("similarity > floor or floor_tile is null or tile_id <= floor_tile")
     met = met.where("tile_id <> own_tile or own_tile is null") if exclude else met
     best = InternalFunction.collect_top_k(F.struct((-F.col("similarity")).alias("far"), "tile_id"), k * variants, True)
     return met.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best").alias("b")).groupBy(
