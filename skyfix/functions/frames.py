@@ -69,19 +69,25 @@ def eci_to_ecef(v: Column, jd: Column) -> Column:
 
 
 def ecef_to_geodetic(v: Column, rounds: int = 5) -> Column:
-    """struct(lat, lon) by a fixed number of Bowring steps on the reduced latitude."""
-    p = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+    """struct(lat, lon) by a fixed number of Bowring steps on the reduced latitude. The steps carry what they need in their state,
+    so `v` is worked out once for each row, not in each step."""
     polar = EQUATOR_M * (1 - FLATTENING)
     second = ECCENTRICITY2 / (1 - ECCENTRICITY2)
 
     def step(state: Column, _: Column) -> Column:
         s, c = F.sin(state["beta"]), F.cos(state["beta"])
-        up, out = v["z"] + s * s * s * (second * polar), p - c * c * c * (ECCENTRICITY2 * EQUATOR_M)
-        return F.struct(F.atan2(up, out).alias("lat"), F.atan2(up * (1 - FLATTENING), out).alias("beta"))
-
-    start = F.struct(F.lit(0.0).alias("lat"), F.atan2(v["z"] * EQUATOR_M, p * polar).alias("beta"))
-    lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["lat"])
-    return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(v["y"], v["x"])).alias("lon"))
+        up, out = state["z"] + s * s * s * (second * polar), state["p"] - c * c * c * (ECCENTRICITY2 * EQUATOR_M)
+        return F.struct(
+            state["z"].alias("z"), state["p"].alias("p"), F.atan2(up, out).alias("lat"), F.atan2(up * (1 - FLATTENING), out).alias("beta"),
+        )
+
+    def solved(w: Column) -> Column:
+        p = F.sqrt(w["x"] * w["x"] + w["y"] * w["y"])
+        start = F.struct(w["z"].alias("z"), p.alias("p"), F.lit(0.0).alias("lat"), F.atan2(w["z"] * EQUATOR_M, p * polar).alias("beta"))
+        lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["lat"])
+        return F.struct(F.degrees(lat).alias("lat"), F.degrees(F.atan2(w["y"], w["x"])).alias("lon"))
+
+    return F.transform(F.array(v), solved)[0]
 
 
 def nadir_eci(lat: Column, lon: Column, altitude_m: Column, jd: Column) -> Column:

@@ -94,6 +94,14 @@ def test_frames_round_trip(spark, points):
     assert all(abs(r.h - points[r.i][2]) < 1e-3 for r in nadir)
 
 
+def test_geodetic_steps_do_not_repeat_their_vector(spark):
+    rows = spark.createDataFrame([(1.0, 0.0, 0.0), (1.0, 3.0, 4.0)], "x double, y double, z double")
+    v = F.struct(F.cosh("x").alias("x"), "y", "z")
+    found = rows.select(frames.ecef_to_geodetic(v).alias("g"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("COSH(") == 1
+    assert [round(r.g.lon, 6) for r in found.collect()] == [round(math.degrees(math.atan2(y, math.cosh(1.0))), 6) for y in (0.0, 3.0)]
+
+
 def test_bearings_have_length_one(spark):
     df = spark.createDataFrame(
         [(0.0, 0.0), (2304.0, 1296.0), (4608.0, 2592.0)], "u double, v double",
