@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
@@ -22,9 +23,12 @@ def save_tiles(tiles: DataFrame, path: str) -> None:
     tiles.write.mode("overwrite").partitionBy("year", "zoom").parquet(path)
 
 
-def save_export(results: DataFrame, summary: DataFrame, path: str) -> None:
-    """Write localization results as JSON lines, and the summary beside them."""
-    results.write.mode("overwrite").json(f"{path}/frames")
+def save_export(results: DataFrame, summary: DataFrame | Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Write localization results as JSON lines, gzipped, and the summary beside them. A summary given as a function is made of the
+    results as they were written, which are then worked out once."""
+    results.write.mode("overwrite").json(f"{path}/frames", compression="gzip")
+    if callable(summary):
+        summary = summary(results.sparkSession.read.schema(results.schema).json(f"{path}/frames"))
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 

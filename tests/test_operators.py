@@ -447,6 +447,23 @@ def test_export(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e/summary")).first().fix_rate_percent == 50.0
 
 
+def test_export_works_results_out_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    frames = spark.createDataFrame([(i, 480, 640) for i in range(20)], "query_id long, query_h int, query_w int").mapInArrow(one, "query_id long, query_h int, query_w int")
+    out = localize.localize(frames, candidates(spark, [(i, 10, 1, 20 + i, True) for i in range(20)]))
+    sinks.save_export(out, evaluate.export_summary, str(tmp_path / "e"))
+    rows, summary = tables.saved_export(spark, str(tmp_path / "e"), out.schema)
+    assert made.value == 20 and tuple(summary.first()) == (20, 50.0)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, out.collect()))
+    assert all(f.suffix in (".gz", ".crc") for f in (tmp_path / "e/frames").glob("*part-*"))
+
+
 def test_matcher_plugin_sees_tiles_together(spark):
     pairs = spark.createDataFrame(
         [(f"q{q}", t, b"q", b"t%d" % t) for q in range(6) for t in range(3)], "query_id string, tile_id int, query_image binary, tile_image binary",
