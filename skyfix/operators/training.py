@@ -157,46 +157,60 @@ def mined_pairs(rows: DataFrame, dim: int | None = None, margin: float = MARGIN)
     return hard.where(keep).select("batch", "anchor", "other", "positive", "similarity")
 
 
+def _losses(rows: DataFrame, labels: list[str], dim: int | None, alpha: float, beta: float, base: float, margin: float) -> DataFrame:
+    """(batch, and for each label column loss_<label>, anchors_<label>): pairs meet and are compared once, whatever the number of labels.
+
+    An item meets itself too, as neither a positive nor a negative, so that every batch has a row.
+    """
+    b = rows.select("batch", F.col("item").alias("other"), *(F.col(x).alias(f"_other_{x}") for x in labels), F.col("embedding").alias("other_embedding"))
+    like = {x: F.when(F.col("item") != F.col("other"), F.col(x) == F.col(f"_other_{x}")).alias(f"_like_{x}") for x in labels}
+    pairs = rows.join(b, "batch", "left").select("batch", F.col("item").alias("anchor"), dot(F.col("embedding"), F.col("other_embedding"), dim).alias("s"), *like.values())
+    w, s = W.partitionBy("batch", "anchor"), F.col("s")
+    hard = pairs.select(
+        "*", *(F.min(F.when(F.col(f"_like_{x}"), s)).over(w).alias(f"_hp_{x}") for x in labels),
+        *(F.max(F.when(~F.col(f"_like_{x}"), s)).over(w).alias(f"_hn_{x}") for x in labels),
+    )
+    sums, out = [], []
+    for x in labels:
+        positive = F.col(f"_like_{x}") & (s - margin < F.col(f"_hn_{x}"))
+        negative = ~F.col(f"_like_{x}") & (s + margin > F.col(f"_hp_{x}"))
+        sums += [F.sum(F.when(positive, F.exp(-alpha * (s - base)))).alias(f"_p_{x}"), F.sum(F.when(negative, F.exp(beta * (s - base)))).alias(f"_n_{x}")]
+        each = F.log1p(f"_p_{x}") / alpha + F.log1p(f"_n_{x}") / beta
+        out += [F.coalesce(F.avg(each), F.lit(0.0)).alias(f"loss_{x}"), F.count(each).alias(f"anchors_{x}")]
+    return hard.groupBy("batch", "anchor").agg(*sums).groupBy("batch").agg(*out)
+
+
 def multi_similarity_loss(
     rows: DataFrame, dim: int | None = None, alpha: float = ALPHA, beta: float = BETA, base: float = BASE, margin: float = MARGIN,
 ) -> DataFrame:
     """(batch, loss, valid_anchors): mean over anchors with a mined positive and a mined negative; 0.0 without any."""
-    mined = mined_pairs(rows, dim, margin)
-    away = F.col("similarity") - base
-    sums = mined.groupBy("batch", "anchor").agg(
-        F.sum(F.when(F.col("positive"), F.exp(-alpha * away))).alias("p"),
-        F.sum(F.when(~F.col("positive"), F.exp(beta * away))).alias("n"),
-    )
-    each = sums.where("p is not null and n is not null").withColumn("loss", F.log1p("p") / alpha + F.log1p("n") / beta)
-    found = each.groupBy("batch").agg(F.avg("loss").alias("loss"), F.count("*").alias("valid_anchors"))
-    every = rows.select("batch").distinct().join(found, "batch", "left")
-    return every.select(
-        "batch", F.coalesce("loss", F.lit(0.0)).alias("loss"), F.coalesce("valid_anchors", F.lit(0).cast("long")).alias("valid_anchors"),
-    )
+    found = _losses(rows.select("batch", "item", "label", "embedding"), ["label"], dim, alpha, beta, base, margin)
+    return found.select("batch", F.col("loss_label").alias("loss"), F.col("anchors_label").alias("valid_anchors"))
 
 
-def paired_rows(batch: DataFrame, embeddings_q: DataFrame, embeddings_t: DataFrame, label: str) -> DataFrame:
-    """(batch, item, label, embedding) of both sides of a batch of pairs: label is a column of `batch`, alike for both."""
-    q = batch.join(embeddings_q, "query_id").select(
-        "batch", F.concat(F.lit("q"), F.col("pair_idx")).alias("item"), F.col(label).alias("label"), "embedding",
-    )
-    t = batch.join(embeddings_t, "tile_id").select(
-        "batch", F.concat(F.lit("t"), F.col("pair_idx")).alias("item"), F.col(label).alias("label"), "embedding",
-    )
-    return q.unionByName(t)
+def paired_rows(batch: DataFrame, embeddings_q: DataFrame, embeddings_t: DataFrame, *labels: str) -> DataFrame:
+    """(batch, item, labels, embedding) of both sides of a batch of pairs: labels are columns of `batch`, alike for both."""
+    side = lambda mark, e, key: batch.join(e, key).select("batch", F.concat(F.lit(mark), F.col("pair_idx")).alias("item"), *labels, "embedding")
+    return side("q", embeddings_q, "query_id").unionByName(side("t", embeddings_t, "tile_id"))
+
+
+def _paired_losses(batch: DataFrame, q: DataFrame, t: DataFrame, dim: int | None, **names: str) -> DataFrame:
+    """(batch, a loss for each name) by the label columns that the names stand for."""
+    found = _losses(paired_rows(batch, q, t, *names.values()), list(names.values()), dim, ALPHA, BETA, BASE, MARGIN)
+    return found.select("batch", *(F.col(f"loss_{x}").alias(name) for name, x in names.items()))
 
 
 def pairwise_loss(batch: DataFrame, q: DataFrame, t: DataFrame, dim: int | None = None) -> DataFrame:
     """The loss where a query and its tile are alike and all else differs."""
-    return multi_similarity_loss(paired_rows(batch, q, t, "pair_idx"), dim)
+    return _paired_losses(batch, q, t, dim, loss="pair_idx")
 
 
 def cluster_loss(batch: DataFrame, q: DataFrame, t: DataFrame, dim: int | None = None) -> DataFrame:
     """The loss where all items of a cluster are alike."""
-    return multi_similarity_loss(paired_rows(batch, q, t, "cluster_id"), dim)
+    return _paired_losses(batch, q, t, dim, loss="cluster_id")
 
 
 def total_loss(batch: DataFrame, q: DataFrame, t: DataFrame, dim: int | None = None) -> DataFrame:
-    a = pairwise_loss(batch, q, t, dim).select("batch", F.col("loss").alias("pairwise_loss"))
-    b = cluster_loss(batch, q, t, dim).select("batch", F.col("loss").alias("cluster_loss"))
-    return a.join(b, "batch").withColumn("total_loss", F.col("pairwise_loss") + F.col("cluster_loss"))
+    """(batch, pairwise_loss, cluster_loss, total_loss). The plan of the batches is written, as both sides of a pair look it up."""
+    found = _paired_losses(cut(batch, "batches"), q, t, dim, pairwise_loss="pair_idx", cluster_loss="cluster_id")
+    return found.withColumn("total_loss", F.col("pairwise_loss") + F.col("cluster_loss"))

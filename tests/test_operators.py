@@ -333,6 +333,32 @@ def test_losses(spark):
         assert all(abs(got[b] - v) < 1e-9 for b, v in expect.items()) and got[1] == got[2] == 0.0
 
 
+def test_total_loss_works_its_batches_out_once(spark):
+    rnd, made = np.random.default_rng(2), spark.sparkContext.accumulator(0)
+    x = rnd.normal(size=(12, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>")
+    shape = "batch int, pair_idx int, cluster_id int, query_id int, tile_id int"
+
+    def one(rows):
+        for batch in rows:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i // 6, i, i % 2, i, (i + 1) % 12) for i in range(12)]
+    batch = spark.createDataFrame(rows, shape).mapInArrow(one, shape)
+    q, t = (e.withColumnRenamed("id", k) for k in ("query_id", "tile_id"))
+    got = {r.batch: r for r in training.total_loss(batch, q, t, 6).collect()}
+    assert made.value == 12 and sorted(got) == [0, 1]
+    for b, r in got.items():
+        mine = [row for row in rows if row[0] == b]
+        vectors = x[[row[3] for row in mine] + [row[4] for row in mine]]
+        by = lambda k: loss_by_hand([row[k] for row in mine] * 2, vectors)  # noqa: B023, E731
+        assert abs(r.pairwise_loss - by(1)) < 1e-9 and abs(r.cluster_loss - by(2)) < 1e-9 and r.total_loss == r.pairwise_loss + r.cluster_loss
+    lone = spark.createDataFrame([(1, 1, 1, [1.0]), (None, 2, 1, [1.0])], "batch int, item int, label int, embedding array<double>")
+    assert {tuple(r) for r in training.multi_similarity_loss(lone).collect()} == {(1, 0.0, 0), (None, 0.0, 0)}
+
+
 @pytest.mark.parametrize("size", [10, 7])
 def test_batch_plan(spark, size):
     pairs = spark.createDataFrame([(i, 0 if i < 60 else i % 9 + 1) for i in range(100)], "pair_idx int, cluster_id int")
