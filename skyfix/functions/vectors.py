@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Numbers that an unrolled sum has at most.
+UNROLLED = 16
+
 
 def dot(a: Column, b: Column, dim: int | None = None) -> Column:
-    """Inner product in double precision. With dim, an unrolled sum that stays in generated code; use it for small dims."""
-    if dim:
+    """Inner product in double precision. With a dim of UNROLLED at most, an unrolled sum that stays in generated code; of more, the
+    code would be too long for the JVM to compile, and a loop is faster."""
+    if dim and dim <= UNROLLED:
         return reduce(lambda x, y: x + y, (a[i].cast("double") * b[i].cast("double") for i in range(dim)))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -94,6 +94,14 @@ def test_frames_round_trip(spark, points):
     assert all(abs(r.h - points[r.i][2]) < 1e-3 for r in nadir)
 
 
+def test_long_products_are_loops(spark):
+    rows = spark.range(1).select(*(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: x * f / 7).alias(c) for c, f in (("a", 1.5), ("b", -2.5))))
+    plan = lambda n: rows.select(dot(F.col("a"), F.col("b"), n).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan(64).count("a#") < 8 < plan(12).count("a#")
+    same = rows.select(dot(F.col("a"), F.col("b"), 64).alias("x"), sum((F.col("a")[i] * F.col("b")[i] for i in range(1, 64)), F.col("a")[0] * F.col("b")[0]).alias("y")).first()
+    assert same.x == same.y
+
+
 def test_geodetic_steps_do_not_repeat_their_vector(spark):
     rows = spark.createDataFrame([(1.0, 0.0, 0.0), (1.0, 3.0, 4.0)], "x double, y double, z double")
     v = F.struct(F.cosh("x").alias("x"), "y", "z")
