@@ -179,6 +179,45 @@ def test_native_search_sends_heaps_only(spark):
     assert "partial_collect_top_k" in plan
 
 
+def test_native_search_of_64_numbers_is_compiled(spark):
+    """The join of all pairs is generated code, in methods that the JVM compiles (8,000 bytes at most), and most pairs are not multiplied."""
+    q, d = _search_tables(spark, np.random.default_rng(5), 30, 4, 64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = retrieval._kept(q, d, 64, 5, True)._jdf.queryExecution().executedPlan()
+        codes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    parts = [codes.apply(i) for i in range(codes.size())]
+    joins = [p for p in parts if "bit_count" in p._1() and "SortMergeJoin" in p._1()]
+    assert joins and all(0 < p._3().maxMethodCodeSize() <= 8000 for p in joins)
+
+
+def test_bounds_of_sliced_vectors_hold(spark):
+    rnd = np.random.default_rng(9)
+    vectors = [*(rnd.normal(size=(40, 70)) * rnd.uniform(0.01, 100, (40, 1)) + rnd.normal(size=(40, 1))).tolist(), [0.0] * 70, [3.0] * 70]
+    odd = [[1.0] * 69 + [x] for x in (float("nan"), float("inf"), float("-inf"), 1e308)] + [[-1e308] + [1e308] * 69]
+    rows = spark.createDataFrame(list(enumerate(vectors + odd)), "i int, v array<double>")
+    sliced = [retrieval._sliced(rows.select(F.col("i").alias(f"{n}i"), F.col("v").alias(n)), n, 70) for n in ("a", "b")]
+    met = sliced[0].crossJoin(sliced[1]).select("ai", "bi", retrieval._at_most("a", "b", 70).alias("most"))
+    got = {(r.ai, r.bi): r.most for r in met.collect()}
+    product = np.array(vectors) @ np.array(vectors).T
+    scale = np.outer(*[np.linalg.norm(vectors, axis=1)] * 2)
+    for i in range(len(vectors)):
+        for j in range(len(vectors)):
+            assert product[i, j] <= got[i, j] <= product[i, j] + 0.2 * scale[i, j] + 1e-9
+    assert all(np.isnan(m) or m == float("inf") for (i, j), m in got.items() if max(i, j) >= len(vectors) and vectors[min(i, j, 41)] != [0.0] * 70)
+
+
+def test_native_search_of_odd_vectors(spark):
+    """Vectors without a number are left out, and tiles of one vector are ranked by tile."""
+    q, d = _search_tables(spark, np.random.default_rng(11), 200, 10, 8)
+    odd = spark.createDataFrame([("a", [None] + [9.0] * 7), ("b", [float("nan")] * 8), ("c", None)], d.schema)
+    copies = d.select(F.concat(F.lit("u"), "tile_id").alias("tile_id"), "descriptor")
+    many = d.unionByName(copies)
+    assert _found(retrieval.search_tiles(q, many.unionByName(odd), 8, 6, "native", exclude_own=True)) == _plain_search(q, many, 6, True)
+
+
 def test_nearest_centroids_in_blocks(spark, monkeypatch):
     rnd = np.random.default_rng(8)
     rows = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(50)], "id int, descriptor array<double>")
