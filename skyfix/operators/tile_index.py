@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -231,6 +232,12 @@ def _packed_queries(queries: DataFrame, index: TileIndex, exclude: bool, pivots:
     return cut(near.select("q_block", "query_id", "own", "v").groupBy("q_block").applyInArrow(pack, shape), "query-blocks")
 
 
+def _by_shuffle(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An equi-join that broadcasts neither side. Spark takes a table for as large as its compressed files, and its copies in many
+    cells for no more than that, so what it takes for small may be more than the driver holds."""
+    return left.hint("merge").join(right, key)
+
+
 def _home(queries: DataFrame, index: TileIndex) -> DataFrame:
     """(q_block, d_block, bound) of the block of tiles with the largest bound in each pack of centres, of PIVOT_BYTES, for each block
     of queries."""
@@ -240,7 +247,7 @@ def _home(queries: DataFrame, index: TileIndex) -> DataFrame:
     centers = centers.groupBy("pack").agg(F.collect_list(F.struct("d_block", "center", "radius")).alias("centers"))
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = _in_packs(queries, "q_block", "q_vectors", QUERY_BYTES, tasks, "q", ["q_block", "floor", "q_vectors"])
-    met = grouped.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(centers, "pack").repartition(tasks, "q")
+    met = _by_shuffle(grouped.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))), centers, "pack").repartition(tasks, "q")
 
     def run(batches):
         for batch in batches:
@@ -298,12 +305,17 @@ _QUERY, _SPHERE = ["q_block", "d_block", "queries", "own", "floor", "q_vectors"]
 
 def _pack_pairs(queries: DataFrame, tiles: DataFrame, dim: int) -> DataFrame:
     """(q, t, n): packs of queries and of tiles in which n blocks of tiles besides the first ones reach some query's floor, so there
-    is a row for each two packs at most, however small the blocks are."""
+    is a row for each two packs at most, however small the blocks are. They meet in a grid of cells, one for each task: a pack of
+    queries is copied to the cells of its row, the spheres of one of tiles to those of its column."""
     spheres = tiles.select("t", F.transform("t_blocks", lambda b: F.struct(*(b[c].alias(c) for c in _SPHERE))).alias("t_blocks"))
     told = queries.select("q", F.transform("q_blocks", lambda b: F.struct(*(b[c].alias(c) for c in ("d_block", "floor", "q_vectors")))).alias("q_blocks"))
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = told.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = groups.join(spheres.withColumn("g", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int")), "g")
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = max(1, min(isqrt(tasks), queries.count()))
+    across = -(-tasks // down)
+    row, column = F.pmod(F.xxhash64("q"), F.lit(down)).cast("int"), F.pmod(F.xxhash64("t"), F.lit(across)).cast("int")
+    told = told.withColumn("cell", F.explode(F.sequence(row * across, row * across + (across - 1))))
+    spheres = spheres.withColumn("cell", F.explode(F.sequence(column, column + across * (down - 1), F.lit(across))))
+    met = _by_shuffle(told, spheres, "cell")
 
     def run(batches):
         for batch in batches:
@@ -401,14 +413,14 @@ def search_index(queries: DataFrame, index: TileIndex, k: int, exclude_own: bool
             found, visited = visit(packed.join(pairs, "q_block").join(tiles, "d_block")), n * index.count
         else:
             home = cut(_home(packed, index).groupBy("q_block").agg(F.max_by("d_block", "bound").alias("d_block")), "home-blocks")
-            first = cut(visit(packed.join(home, "q_block").join(tiles, "d_block")), "home-found")
+            first = cut(visit(_by_shuffle(packed.join(home, "q_block"), tiles, "d_block")), "home-found")
             tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
             known = packed.drop("floor").join(first.select("q_block", "floor"), "q_block").join(home, "q_block")
             q_packs = cut(_in_packs(known, "q_block", "q_vectors", QUERY_BYTES, 1, "q", _QUERY), "query-packs")
             t_packs = cut(_in_packs(index.blocks, "d_block", "vectors", BLOCK_BYTES, tasks, "t", [*_SPHERE, "tiles", "vectors"]), "tile-packs")
             pairs = cut(_pack_pairs(q_packs, t_packs, index.dim), "pack-pairs")
             # Dealt by hand: a pair of packs is few bytes and much work.
-            met = pairs.join(q_packs, "q").repartition(tasks, "t").join(t_packs.repartition(tasks, "t"), "t").select("q_blocks", "t_blocks")
+            met = _by_shuffle(pairs.join(q_packs, "q").repartition(tasks, "t"), t_packs.repartition(tasks, "t"), "t").select("q_blocks", "t_blocks")
             rest = _visited_packs(met, index.dim, index.element, query, index.tile, k, exclude_own)
             found, visited = first.select("found").unionByName(rest), n + (pairs.agg(F.sum("n")).first()[0] or 0)
             own += [home, first, q_packs, t_packs, pairs]

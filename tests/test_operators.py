@@ -142,6 +142,22 @@ def test_small_blocks_meet_in_packs(spark):
     assert _found(hits) == _plain_search(q, d, 6, True) and seen.tile_blocks >= 75
 
 
+def test_packs_do_not_pass_the_driver(spark, monkeypatch):
+    """To Spark, packs of queries in many cells are as small as their compressed files: it would broadcast all copies."""
+    plans, cut = {}, tile_index.cut
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(tile_index, "cut", kept)
+    q, d = _search_tables(spark, np.random.default_rng(8), 400, 30, 8)
+    hits, _ = tile_index.search_index(q, tile_index.build_index(d, 8, block_bytes=16 * 4 * 8), 6, exclude_own=True)
+    assert _found(hits) == _plain_search(q, d, 6, True)
+    assert all("SortMergeJoin" in plans[name] for name in ("home-blocks", "home-found", "pack-pairs", "hits"))
+    assert not any("Broadcast" in plans[name] for name in ("home-blocks", "pack-pairs"))
+
+
 def test_blocks_of_wide_vectors_are_bounded(spark):
     """Vectors of 4,096 numbers, as encoders give them, in blocks of 16 MB at most."""
     dim = 4096
